@@ -132,3 +132,289 @@ def q_active_categories(spark, sf_dir):
     d = dom(spark, sf_dir)
     used = d.categories.join(d.visitors.select("category_id"), "category_id", "left_semi")
     return reports.active_categories(used).select("category_id", "name", "code", "priority")
+
+
+# -- billing -----------------------------------------------------------------
+from ..operators import billing, changes, logs, registration, tenancy  # noqa: E402
+from ..sources import seeds  # noqa: E402
+
+AS_OF_SUBS = "2024-03-01 00:00:00"
+AS_OF_PAYMENTS = "1998-01-01 00:00:00"
+CODE_CUTOFF = "2001-07-01 00:00:00"
+CODE_AS_OF = "2001-08-01 00:00:00"
+REGISTRATION_CUTOFF = "2001-01-01 00:00:00"
+PATCH_AS_OF = "2024-02-01 00:00:00"
+TICKET_KEY = "rollcall-dev-ticket-key-24"   # 24 bytes -> AES-192
+
+
+@query("active_subscriptions")
+def q_active_subscriptions(spark, sf_dir):
+    d = dom(spark, sf_dir)
+    return billing.active_subscriptions(d.subscriptions, AS_OF_SUBS).select(
+        "subscription_id", "tenant_id", "plan_id", "status", "ends_at")
+
+
+@query("latest_subscription")
+def q_latest_subscription(spark, sf_dir):
+    d = dom(spark, sf_dir)
+    return billing.latest_subscription(d.subscriptions, d.plans).select(
+        "tenant_id", "subscription_id", "plan_id", "plan_name", "plan_slug", "created_at",
+        "max_events", "max_visitors_per_event", "max_admin_users",
+        F.concat_ws("|", "features").alias("features_list"))
+
+
+@query("subscription_with_last_payment")
+def q_subscription_with_last_payment(spark, sf_dir):
+    d = dom(spark, sf_dir)
+    return billing.subscription_with_last_payment(d.subscriptions, d.plans, d.payments)
+
+
+@query("plan_usage")
+def q_plan_usage(spark, sf_dir):
+    d = dom(spark, sf_dir)
+    return billing.plan_usage(d.tenants, d.subscriptions, d.plans, d.occasions, d.staff,
+                              d.visitors, AS_OF_SUBS)
+
+
+def _quote(plans, d):
+    q = billing.payment_quote(plans, d.payments.select("order_id", "plan_id", "billing_period",
+                                                       "provider"))
+    return q.select("order_id", "plan_id", "billing_period", "provider",
+                    F.col("amount_idr").cast("double").alias("amount_idr"), "provider_amount")
+
+
+@query("payment_quote")
+def q_payment_quote(spark, sf_dir):
+    d = dom(spark, sf_dir)
+    return _quote(d.plans, d)
+
+
+@query("payment_quote_repriced")
+def q_payment_quote_repriced(spark, sf_dir):
+    d = dom(spark, sf_dir)
+    return _quote(billing.reprice_plans(d.plans, seeds.idr_prices(spark)), d)
+
+
+@query("map_payment_status")
+def q_map_payment_status(spark, sf_dir):
+    return billing.map_payment_status(dom(spark, sf_dir).webhooks)
+
+
+@query("apply_payments")
+def q_apply_payments(spark, sf_dir):
+    d = dom(spark, sf_dir)
+    notices = billing.map_payment_status(d.webhooks)
+    return billing.apply_payment_notices(d.payments, notices).select(
+        "order_id", "tenant_id", "status", "updated_at")
+
+
+def _subscription_base(d):
+    return billing.latest_subscription(d.subscriptions, d.plans).select(
+        "tenant_id", "subscription_id", "plan_id", "status", "starts_at", "ends_at",
+        "billing_email")
+
+
+@query("upsert_subscriptions")
+def q_upsert_subscriptions(spark, sf_dir):
+    d = dom(spark, sf_dir)
+    notices = billing.map_payment_status(d.webhooks)
+    return billing.activate_subscriptions(_subscription_base(d), notices, d.payments)
+
+
+@query("payment_expiry")
+def q_payment_expiry(spark, sf_dir):
+    d = dom(spark, sf_dir)
+    return billing.payment_expiry(d.payments, AS_OF_PAYMENTS).select(
+        "order_id", "tenant_id", "status", "created_at")
+
+
+# -- registration --------------------------------------------------------------
+@query("validate_visitors")
+def q_validate_visitors(spark, sf_dir):
+    d = dom(spark, sf_dir)
+    return registration.validate_rows(d.visitors, "visitors").select(
+        "visitor_id", F.array_join("violations", ",").alias("violations"))
+
+
+@query("validate_events")
+def q_validate_events(spark, sf_dir):
+    d = dom(spark, sf_dir)
+    return registration.validate_rows(d.occasions, "occasions").select(
+        "event_id", F.array_join("violations", ",").alias("violations"))
+
+
+@query("admit_checkins")
+def q_admit_checkins(spark, sf_dir):
+    d = dom(spark, sf_dir)
+    c = d.checkins
+    stored = c.where(F.col("is_stored"))
+    requests = c.where(~F.col("is_stored")).select(
+        F.col("checkin_id").alias("request_id"), "visitor_id",
+        F.col("checkin_time").alias("scan_time"), "gate_number")
+    return registration.admit_checkins(requests, d.visitors, stored).select(
+        "request_id", "visitor_id", "event_id", "scan_time", "decision", "reason")
+
+
+@query("assign_codes")
+def q_assign_codes(spark, sf_dir):
+    d = dom(spark, sf_dir)
+    v = d.visitors
+    cutoff = F.lit(CODE_CUTOFF).cast("timestamp_ntz")
+    existing = v.where(F.col("registered_at") < cutoff)
+    new = v.where(F.col("registered_at") >= cutoff) \
+        .withColumn("registration_code", F.lit(None).cast("string"))
+    return registration.assign_codes(new, existing, d.categories, style="saas",
+                                     as_of=CODE_AS_OF).select(
+        "visitor_id", "tenant_id", "category_id", "registration_code")
+
+
+@query("dedupe_registrations")
+def q_dedupe_registrations(spark, sf_dir):
+    d = dom(spark, sf_dir)
+    return registration.dedupe_registrations(d.visitors).select(
+        "visitor_id", "kept", "duplicate_of")
+
+
+@query("dedupe_registrations_global")
+def q_dedupe_registrations_global(spark, sf_dir):
+    d = dom(spark, sf_dir)
+    return registration.dedupe_registrations(d.visitors, keys=("email",)).select(
+        "visitor_id", "kept", "duplicate_of")
+
+
+@query("ticket_checksum")
+def q_ticket_checksum(spark, sf_dir):
+    d = dom(spark, sf_dir)
+    return registration.ticket_payload(d.visitors, d.categories, TICKET_KEY, CODE_AS_OF) \
+        .select("visitor_id", "registration_code", "checksum")
+
+
+@query("ticket_verify")
+def q_ticket_verify(spark, sf_dir):
+    d = dom(spark, sf_dir)
+    t = registration.ticket_payload(d.visitors, d.categories, TICKET_KEY, CODE_AS_OF)
+    return registration.verify_tickets(t, TICKET_KEY).groupBy("valid") \
+        .agg(F.count(F.lit(1)).alias("tickets"))
+
+
+# -- tenancy and contacts --------------------------------------------------------
+@query("resolve_tenant")
+def q_resolve_tenant(spark, sf_dir):
+    d = dom(spark, sf_dir)
+    directory = d.tenants.select("tenant_id", "slug", "subdomain", "custom_domain", "is_active") \
+        .unionByName(d.sites.select("tenant_id", "slug", "subdomain", "custom_domain", "is_active"))
+    return tenancy.resolve_tenant(d.requests, directory).select(
+        "request_id", "host", "path", "tenant_id", "resolved_by")
+
+
+@query("normalize_contacts")
+def q_normalize_contacts(spark, sf_dir):
+    d = dom(spark, sf_dir)
+    c = d.contacts.where(F.col("email").isNotNull() | F.col("phone").isNotNull())
+    return tenancy.normalize_contacts(c)
+
+
+# -- table changes ------------------------------------------------------------------
+@query("insert_ignore")
+def q_insert_ignore(spark, sf_dir):
+    d = dom(spark, sf_dir)
+    v = d.visitors.select("visitor_id", "tenant_id", "event_id", "email", "registered_at")
+    cutoff = F.lit(REGISTRATION_CUTOFF).cast("timestamp_ntz")
+    return changes.insert_ignore(v.where(F.col("registered_at") < cutoff),
+                                 v.where(F.col("registered_at") >= cutoff),
+                                 key=["tenant_id", "event_id", "email"],
+                                 order_by=["registered_at", "visitor_id"])
+
+
+@query("apply_patch")
+def q_apply_patch(spark, sf_dir):
+    d = dom(spark, sf_dir)
+    base = d.staff.select("user_id", "tenant_id", "login_count",
+                          F.lit(None).cast("timestamp_ntz").alias("last_login"))
+    logins = (d.request_log.where(F.col("route") == "auth")
+              .groupBy(F.col("client").alias("user_id"))
+              .agg(F.count(F.lit(1)).cast("int").alias("login_count"),
+                   F.max("ts").alias("last_login")))
+    return changes.apply_patch(base, logins, "user_id", PATCH_AS_OF, add_cols=["login_count"])
+
+
+def _purged(spark, sf_dir):
+    d = dom(spark, sf_dir)
+    gone = d.tenants.where(~F.col("is_active")).select("tenant_id")
+    return changes.purge({"visitors": d.visitors, "checkins": d.checkins}, gone,
+                         children={"checkins": ("visitors", "visitor_id", "visitor_id")})
+
+
+@query("purge_visitors")
+def q_purge_visitors(spark, sf_dir):
+    return _purged(spark, sf_dir)["visitors"].select("visitor_id", "tenant_id", "event_id")
+
+
+@query("purge_checkins")
+def q_purge_checkins(spark, sf_dir):
+    return _purged(spark, sf_dir)["checkins"].select("checkin_id", "visitor_id")
+
+
+# -- logs ---------------------------------------------------------------------------
+@query("request_kpis")
+def q_request_kpis(spark, sf_dir):
+    return logs.request_kpis(dom(spark, sf_dir).request_log, by=["route"])
+
+
+@query("scanner_stats")
+def q_scanner_stats(spark, sf_dir):
+    return logs.scanner_stats(dom(spark, sf_dir).scans, by=["scanner"])
+
+
+@query("rate_limit_hits")
+def q_rate_limit_hits(spark, sf_dir):
+    return logs.rate_limit_hits(dom(spark, sf_dir).request_log, key="tenant_id", window="1 day")
+
+
+def access_lines(d):
+    """Proxy access-log lines rendered from the request log."""
+    r = d.request_log
+    ms = F.floor("duration_ms").cast("long")
+    rt = F.concat((ms / 1000).cast("long").cast("string"), F.lit("."),
+                  F.lpad((ms % 1000).cast("string"), 3, "0"))
+    line = F.concat(
+        F.lit("10.0."), (F.col("client") % 256).cast("string"), F.lit("."),
+        (F.col("request_id") % 256).cast("string"), F.lit(" - - ["),
+        F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss"), F.lit(" +0000] \"GET "), F.col("path"),
+        F.lit(" HTTP/1.1\" "), F.col("status").cast("string"), F.lit(" "),
+        (F.col("request_id") % 5000).cast("string"),
+        F.lit(" \"-\" \"Mozilla/5.0\" \"-\" rt="), rt,
+        F.lit(" uct=\"0.000\" uht=\"0.001\" urt=\""), rt, F.lit("\""))
+    bad = (F.col("status") == 500) & (F.col("client") % 7 == 0)
+    return r.select(F.col("request_id"),
+                    F.when(bad, F.concat(F.lit("garbage "), F.col("request_id").cast("string")))
+                     .otherwise(line).alias("value"))
+
+
+@query("parse_access_log")
+def q_parse_access_log(spark, sf_dir):
+    d = dom(spark, sf_dir)
+    return logs.parse_access_log(access_lines(d)).drop("line")
+
+
+def activity(d):
+    """Audit rows rendered from the event stream: each event edits the
+    user's record; old and new values are JSON objects."""
+    e = d.table("events")
+    k = F.get_json_object("props", "$.k").cast("int")
+    et = F.col("event_type")
+    new = (F.when(et == "click", F.col("props"))
+            .when(et == "view", F.concat(F.lit('{"k": '), (k + 1).cast("string"), F.lit("}")))
+            .when(et == "purchase", F.concat(F.lit('{"k": '), k.cast("string"),
+                                             F.lit(', "paid": "yes"}')))
+            .when(et == "signup", F.lit("{}"))
+            .otherwise(F.lit('{"k": null}')))
+    return e.select(et.alias("action"), F.lit("user").alias("entity_type"),
+                    F.col("user_id").alias("entity_id"), F.col("props").alias("old_values"),
+                    new.alias("new_values"))
+
+
+@query("audit_changes")
+def q_audit_changes(spark, sf_dir):
+    d = dom(spark, sf_dir)
+    return logs.audit_counts(logs.audit_changes(activity(d)))

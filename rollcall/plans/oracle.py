@@ -21,7 +21,7 @@ def sql(name: str, text: str):
 sql("load_views", " UNION ALL ".join(
     f"SELECT '{v}' AS view, count(*) AS row_count FROM {v}" for v in (
         "tenants", "plans", "subscriptions", "staff", "occasions", "categories", "visitors",
-        "checkins", "payments", "request_log", "scans", "contacts", "requests", "sites")))
+        "checkins", "payments", "webhooks", "request_log", "scans", "contacts", "requests", "sites")))
 
 sql("tenant_lookup", "SELECT * FROM visitors WHERE tenant_id = 3 AND status = 'confirmed'")
 
@@ -152,3 +152,361 @@ sql("active_categories", """
 
 def oracle_sql() -> dict[str, str]:
     return {name: with_views(text) for name, text in _RAW.items()}
+
+
+# -- billing ---------------------------------------------------------------
+from ..sources import seeds  # noqa: E402
+
+AS_OF_SUBS = "TIMESTAMP '2024-03-01 00:00:00'"
+AS_OF_PAYMENTS = "TIMESTAMP '1998-01-01 00:00:00'"
+
+_LATEST_SUB = """
+    SELECT * FROM (
+      SELECT ts.*, row_number() OVER (PARTITION BY ts.tenant_id
+                                      ORDER BY ts.created_at DESC NULLS FIRST, ts.subscription_id DESC) AS rn
+      FROM subscriptions ts WHERE ts.status = 'active' {extra}) WHERE rn = 1"""
+
+sql("active_subscriptions", f"""
+    SELECT subscription_id, tenant_id, plan_id, status, ends_at FROM subscriptions
+    WHERE status = 'active' AND (ends_at IS NULL OR ends_at > {AS_OF_SUBS})""")
+
+sql("latest_subscription", f"""
+    SELECT s.tenant_id, s.subscription_id, s.plan_id, p.name AS plan_name, p.slug AS plan_slug,
+           s.created_at, p.max_events, p.max_visitors_per_event, p.max_admin_users,
+           array_to_string(p.features, '|') AS features_list
+    FROM ({_LATEST_SUB.format(extra="")}) s JOIN plans p ON p.plan_id = s.plan_id""")
+
+sql("subscription_with_last_payment", f"""
+    SELECT s.tenant_id, s.subscription_id, p.name AS plan_name, p.slug AS plan_slug,
+           CAST(p.price AS DOUBLE) AS plan_price, s.status, s.starts_at, s.ends_at,
+           pay.created_at AS last_payment_date, pay.amount AS last_payment_amount,
+           pay.provider AS last_payment_provider, s.ends_at AS next_billing_date
+    FROM ({_LATEST_SUB.format(extra="")}) s
+    JOIN plans p ON p.plan_id = s.plan_id
+    LEFT JOIN (SELECT tenant_id, created_at, amount, provider,
+                      row_number() OVER (PARTITION BY tenant_id
+                                         ORDER BY created_at DESC NULLS FIRST, order_id DESC) AS rn
+               FROM payments WHERE status = 'success') pay
+      ON pay.tenant_id = s.tenant_id AND pay.rn = 1""")
+
+sql("plan_usage", f"""
+    WITH cur AS (
+      SELECT s.tenant_id, p.max_events, p.max_admin_users, p.max_visitors_per_event
+      FROM ({_LATEST_SUB.format(extra=f"AND (ts.ends_at IS NULL OR ts.ends_at > {AS_OF_SUBS})")}) s
+      JOIN plans p ON p.plan_id = s.plan_id),
+    t AS (SELECT t.tenant_id, c.max_events, c.max_admin_users, c.max_visitors_per_event
+          FROM tenants t LEFT JOIN cur c ON c.tenant_id = t.tenant_id),
+    ev AS (SELECT tenant_id, count(*) AS u FROM occasions GROUP BY tenant_id),
+    us AS (SELECT tenant_id, count(*) AS u FROM staff WHERE is_active GROUP BY tenant_id),
+    big AS (SELECT tenant_id, max(n) AS u FROM (SELECT tenant_id, event_id, count(*) AS n
+                                                FROM visitors GROUP BY tenant_id, event_id) GROUP BY tenant_id)
+    SELECT t.tenant_id, 'events' AS limit_type, coalesce(ev.u, 0) AS usage,
+           CAST(t.max_events AS BIGINT) AS limit_value, coalesce(coalesce(ev.u, 0) < t.max_events, false) AS allowed
+    FROM t LEFT JOIN ev ON ev.tenant_id = t.tenant_id
+    UNION ALL
+    SELECT t.tenant_id, 'users', coalesce(us.u, 0), CAST(t.max_admin_users AS BIGINT),
+           coalesce(coalesce(us.u, 0) < t.max_admin_users, false)
+    FROM t LEFT JOIN us ON us.tenant_id = t.tenant_id
+    UNION ALL
+    SELECT t.tenant_id, 'visitors_per_event', coalesce(big.u, 0), CAST(t.max_visitors_per_event AS BIGINT),
+           coalesce(coalesce(big.u, 0) < t.max_visitors_per_event, false)
+    FROM t LEFT JOIN big ON big.tenant_id = t.tenant_id""")
+
+
+def _quote_sql(plans_sql: str) -> str:
+    return f"""
+    WITH pl AS ({plans_sql}),
+    q AS (SELECT pay.order_id, pay.plan_id, pay.billing_period, pay.provider,
+                 CASE WHEN pl.currency = 'USD'
+                      THEN (CASE WHEN pay.billing_period = 'yearly' THEN pl.price * 12 * 0.8 ELSE pl.price END) * 15000
+                      ELSE (CASE WHEN pay.billing_period = 'yearly' THEN pl.price * 12 * 0.8 ELSE pl.price END)
+                 END AS amt
+          FROM payments pay JOIN pl ON pl.plan_id = pay.plan_id WHERE pl.is_active)
+    SELECT order_id, plan_id, billing_period, provider, CAST(amt AS DOUBLE) AS amount_idr,
+           CAST(floor(amt + 0.5) AS BIGINT) AS provider_amount FROM q"""
+
+
+def _idr_values() -> str:
+    rows = []
+    for slug, price, feats in seeds.IDR_PRICES:
+        flist = "[" + ", ".join("'" + f.replace("'", "''") + "'" for f in feats) + "]"
+        rows.append(f"('{slug}', CAST({price} AS DECIMAL(10,2)), {flist})")
+    return "(VALUES " + ", ".join(rows) + ") AS np(slug, price, features)"
+
+
+sql("payment_quote", _quote_sql("SELECT * FROM plans"))
+
+sql("payment_quote_repriced", _quote_sql(f"""
+    SELECT p.plan_id, p.name, p.slug,
+           CASE WHEN np.slug IS NOT NULL THEN np.price ELSE p.price END AS price,
+           CASE WHEN np.slug IS NOT NULL THEN 'IDR' ELSE p.currency END AS currency,
+           p.is_active
+    FROM plans p LEFT JOIN {_idr_values()} ON np.slug = p.slug"""))
+
+_NOTICES = """
+    SELECT notice_id, provider, received_at, order_id, tx AS provider_status,
+           CASE WHEN provider = 'midtrans' THEN
+                  CASE WHEN tx = 'capture' AND fraud = 'challenge' THEN 'challenge'
+                       WHEN tx = 'capture' AND fraud = 'accept' THEN 'success'
+                       WHEN tx = 'capture' THEN 'pending'
+                       WHEN tx = 'settlement' THEN 'success'
+                       WHEN tx IN ('cancel', 'deny', 'expire') THEN 'failed'
+                       ELSE 'pending' END
+                WHEN provider = 'xendit' THEN
+                  CASE WHEN tx = 'PAID' THEN 'success' WHEN tx IN ('EXPIRED', 'FAILED') THEN 'failed'
+                       ELSE 'pending' END END AS payment_status,
+           CASE WHEN provider = 'midtrans' THEN
+                  CASE WHEN tx = 'settlement' THEN 'success'
+                       WHEN tx IN ('cancel', 'deny', 'expire') THEN 'failed' ELSE 'pending' END
+                WHEN provider = 'xendit' THEN
+                  CASE WHEN tx = 'PAID' THEN 'success' WHEN tx IN ('EXPIRED', 'FAILED') THEN 'failed'
+                       ELSE 'pending' END END AS polled_status,
+           amount, tenant_id, plan_id, billing_period
+    FROM (SELECT notice_id, provider, received_at,
+                 CASE WHEN provider = 'midtrans' THEN json_extract_string(body, '$.order_id')
+                      ELSE json_extract_string(body, '$.external_id') END AS order_id,
+                 CASE WHEN provider = 'midtrans' THEN json_extract_string(body, '$.transaction_status')
+                      ELSE json_extract_string(body, '$.status') END AS tx,
+                 CASE WHEN provider = 'midtrans' THEN json_extract_string(body, '$.fraud_status') END AS fraud,
+                 CAST(CASE WHEN provider = 'midtrans' THEN json_extract_string(body, '$.gross_amount')
+                           ELSE json_extract_string(body, '$.amount') END AS DOUBLE) AS amount,
+                 CAST(CASE WHEN provider = 'midtrans' THEN json_extract_string(body, '$.custom_field1')
+                           ELSE json_extract_string(body, '$.metadata.tenant_id') END AS INTEGER) AS tenant_id,
+                 CAST(CASE WHEN provider = 'midtrans' THEN json_extract_string(body, '$.custom_field2')
+                           ELSE json_extract_string(body, '$.metadata.plan_id') END AS INTEGER) AS plan_id,
+                 CASE WHEN provider = 'midtrans' THEN json_extract_string(body, '$.custom_field3')
+                      ELSE json_extract_string(body, '$.metadata.billing_period') END AS billing_period
+          FROM webhooks)"""
+
+_LAST_NOTICE = f"""
+    SELECT * FROM (SELECT n.*, row_number() OVER (PARTITION BY order_id
+                                                  ORDER BY received_at DESC, notice_id DESC) AS rn
+                   FROM ({_NOTICES}) n) WHERE rn = 1"""
+
+sql("map_payment_status", _NOTICES)
+
+sql("apply_payments", f"""
+    SELECT p.order_id, p.tenant_id, coalesce(l.payment_status, p.status) AS status,
+           l.received_at AS updated_at
+    FROM payments p LEFT JOIN ({_LAST_NOTICE}) l ON l.order_id = p.order_id""")
+
+sql("upsert_subscriptions", f"""
+    WITH b AS ({_LATEST_SUB.format(extra="")}),
+    ok AS (SELECT l.*, json_extract_string(p.customer_data, '$.email') AS new_email,
+                  CAST(CAST(date_trunc('month', CAST(l.received_at AS DATE))
+                            + to_months(CASE WHEN l.billing_period = 'yearly' THEN 12 ELSE 1 END) AS DATE)
+                       + CAST(day(l.received_at) - 1 AS INTEGER) AS TIMESTAMP) AS ends
+           FROM ({_LAST_NOTICE}) l LEFT JOIN payments p ON p.order_id = l.order_id
+           WHERE l.payment_status = 'success'),
+    u AS (SELECT * FROM (SELECT ok.*, row_number() OVER (PARTITION BY tenant_id
+                                                        ORDER BY received_at DESC, order_id DESC) AS rk
+                         FROM ok) WHERE rk = 1)
+    SELECT coalesce(b.tenant_id, u.tenant_id) AS tenant_id, b.subscription_id,
+           CASE WHEN u.tenant_id IS NOT NULL THEN u.plan_id ELSE b.plan_id END AS plan_id,
+           CASE WHEN u.tenant_id IS NOT NULL THEN 'active' ELSE b.status END AS status,
+           CASE WHEN u.tenant_id IS NOT NULL THEN u.received_at ELSE b.starts_at END AS starts_at,
+           CASE WHEN u.tenant_id IS NOT NULL THEN u.ends ELSE b.ends_at END AS ends_at,
+           CASE WHEN b.tenant_id IS NOT NULL THEN b.billing_email ELSE u.new_email END AS billing_email,
+           u.received_at AS updated_at, u.order_id AS last_order_id
+    FROM b FULL OUTER JOIN u ON b.tenant_id = u.tenant_id""")
+
+sql("payment_expiry", f"""
+    SELECT order_id, tenant_id,
+           CASE WHEN status = 'pending' AND created_at + INTERVAL 24 HOUR <= {AS_OF_PAYMENTS}
+                THEN 'expired' ELSE status END AS status, created_at
+    FROM payments""")
+
+# -- registration ----------------------------------------------------------
+sql("validate_visitors", r"""
+    SELECT visitor_id, concat_ws(',',
+        CASE WHEN NOT (first_name IS NOT NULL AND length(trim(first_name)) > 0) THEN 'name_required' END,
+        CASE WHEN NOT (email IS NOT NULL AND length(trim(email)) > 0) THEN 'email_required' END,
+        CASE WHEN NOT regexp_matches(email, '^[^\s@]+@[^\s@]+\.[^\s@]+$') THEN 'email_format' END,
+        CASE WHEN NOT (category_id BETWEEN 1 AND 4) THEN 'category_range' END,
+        CASE WHEN NOT (event_id >= 1) THEN 'event_id_positive' END,
+        CASE WHEN NOT (status IN ('registered', 'confirmed', 'checked_in', 'checked_out', 'no_show', 'cancelled'))
+             THEN 'status_enum' END) AS violations
+    FROM visitors""")
+
+sql("validate_events", r"""
+    SELECT event_id, concat_ws(',',
+        CASE WHEN NOT (event_name IS NOT NULL AND length(trim(event_name)) > 0) THEN 'name_required' END,
+        CASE WHEN NOT regexp_matches(slug, '^[a-z0-9-]+$') THEN 'slug_format' END,
+        CASE WHEN NOT (status IN ('draft', 'published', 'active', 'completed', 'cancelled')) THEN 'status_enum' END,
+        CASE WHEN NOT (end_time > start_time) THEN 'end_after_start' END) AS violations
+    FROM occasions""")
+
+sql("admit_checkins", """
+    WITH stored AS (SELECT DISTINCT visitor_id FROM checkins WHERE is_stored),
+    req AS (SELECT checkin_id AS request_id, visitor_id, checkin_time AS scan_time
+            FROM checkins WHERE NOT is_stored),
+    j AS (SELECT r.*, v.event_id, v.visitor_id IS NOT NULL AS known, s.visitor_id IS NOT NULL AS seen
+          FROM req r LEFT JOIN visitors v ON v.visitor_id = r.visitor_id
+          LEFT JOIN stored s ON s.visitor_id = r.visitor_id),
+    k AS (SELECT j.*, row_number() OVER (PARTITION BY visitor_id, known AND NOT seen
+                                         ORDER BY scan_time, request_id) AS rn FROM j),
+    d AS (SELECT k.*, CASE WHEN seen THEN 'duplicate' WHEN NOT known THEN 'not_found'
+                           WHEN rn = 1 THEN NULL ELSE 'duplicate' END AS reason FROM k)
+    SELECT request_id, visitor_id, event_id, scan_time,
+           CASE WHEN reason IS NULL THEN 'accepted' ELSE 'rejected' END AS decision, reason
+    FROM d""")
+
+sql("assign_codes", """
+    WITH ex AS (
+      SELECT v.tenant_id, v.category_id,
+             max(TRY_CAST(substr(v.registration_code, length(gc.code || '01') + 1) AS INTEGER)) AS mx
+      FROM visitors v JOIN categories gc ON gc.category_id = v.category_id
+      WHERE v.registered_at < TIMESTAMP '2001-07-01 00:00:00'
+        AND starts_with(v.registration_code, gc.code || '01')
+      GROUP BY v.tenant_id, v.category_id),
+    nw AS (
+      SELECT v.visitor_id, v.tenant_id, v.category_id, gc.code,
+             row_number() OVER (PARTITION BY v.tenant_id, v.category_id
+                                ORDER BY v.registered_at, v.visitor_id) AS seq
+      FROM visitors v LEFT JOIN categories gc ON gc.category_id = v.category_id
+      WHERE v.registered_at >= TIMESTAMP '2001-07-01 00:00:00'),
+    num AS (SELECT nw.*, CAST(coalesce(ex.mx, 0) + nw.seq AS VARCHAR) AS n
+            FROM nw LEFT JOIN ex ON ex.tenant_id = nw.tenant_id AND ex.category_id = nw.category_id)
+    SELECT visitor_id, tenant_id, category_id,
+           CASE WHEN code IS NULL THEN NULL
+                ELSE code || '01' || lpad(n, CAST(greatest(4, length(n)) AS INTEGER), '0') END AS registration_code
+    FROM num""")
+
+_DEDUPE = """
+    SELECT visitor_id, visitor_id = f AS kept, CASE WHEN visitor_id <> f THEN f END AS duplicate_of
+    FROM (SELECT visitor_id, first_value(visitor_id) OVER (PARTITION BY {keys}
+                                                           ORDER BY registered_at, visitor_id) AS f
+          FROM visitors)"""
+sql("dedupe_registrations", _DEDUPE.format(keys="tenant_id, event_id, email"))
+sql("dedupe_registrations_global", _DEDUPE.format(keys="email"))
+
+sql("ticket_checksum", """
+    SELECT visitor_id, registration_code,
+           substr(md5(CAST(visitor_id AS VARCHAR) || registration_code || email), 1, 8) AS checksum
+    FROM visitors""")
+
+# -- tenancy and contacts --------------------------------------------------
+sql("resolve_tenant", """
+    WITH dir AS (SELECT tenant_id, slug, subdomain, custom_domain, is_active FROM tenants
+                 UNION ALL SELECT tenant_id, slug, subdomain, custom_domain, is_active FROM sites),
+    r AS (SELECT request_id, host, path, header_tenant_id,
+                 CASE WHEN len(string_split(host, '.')) >= 3 THEN string_split(host, '.')[1] END AS k_sub,
+                 CASE WHEN NOT contains(host, 'localhost') THEN host END AS k_dom,
+                 CASE WHEN starts_with(path, '/t/') AND len(string_split(path, '/')) > 2
+                           AND string_split(path, '/')[3] <> '' THEN string_split(path, '/')[3] END AS k_slug
+          FROM requests)
+    SELECT r.request_id, r.host, r.path,
+           coalesce(h.tenant_id, s.t, d.t, g.t) AS tenant_id,
+           CASE WHEN h.tenant_id IS NOT NULL THEN 'header' WHEN s.t IS NOT NULL THEN 'subdomain'
+                WHEN d.t IS NOT NULL THEN 'custom_domain' WHEN g.t IS NOT NULL THEN 'path' END AS resolved_by
+    FROM r
+    LEFT JOIN (SELECT DISTINCT tenant_id FROM dir) h ON h.tenant_id = r.header_tenant_id
+    LEFT JOIN (SELECT subdomain AS k, min(tenant_id) AS t FROM dir
+               WHERE is_active AND subdomain IS NOT NULL GROUP BY subdomain) s ON s.k = r.k_sub
+    LEFT JOIN (SELECT custom_domain AS k, min(tenant_id) AS t FROM dir
+               WHERE is_active AND custom_domain IS NOT NULL GROUP BY custom_domain) d ON d.k = r.k_dom
+    LEFT JOIN (SELECT slug AS k, min(tenant_id) AS t FROM dir
+               WHERE is_active AND slug IS NOT NULL GROUP BY slug) g ON g.k = r.k_slug""")
+
+sql("normalize_contacts", r"""
+    SELECT doc_id, email, phone,
+           CASE WHEN starts_with(regexp_replace(phone, '[^0-9+]', '', 'g'), '08')
+                THEN '+62' || substr(regexp_replace(phone, '[^0-9+]', '', 'g'), 2)
+                ELSE regexp_replace(phone, '[^0-9+]', '', 'g') END AS phone_normalized,
+           coalesce(regexp_matches(regexp_replace(phone, '[\s-]', '', 'g'), '^(\+62|62|0)[0-9]{9,13}$'), false)
+             AS phone_valid,
+           lower(trim(email)) AS email_normalized,
+           coalesce(regexp_matches(lower(trim(email)), '^[^\s@]+@[^\s@]+\.[^\s@]+$'), false) AS email_valid
+    FROM contacts WHERE email IS NOT NULL OR phone IS NOT NULL""")
+
+# -- table changes -----------------------------------------------------------
+sql("insert_ignore", """
+    WITH v AS (SELECT visitor_id, tenant_id, event_id, email, registered_at FROM visitors),
+    b AS (SELECT * FROM v WHERE registered_at < TIMESTAMP '2001-01-01 00:00:00'),
+    n AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, event_id, email
+                                       ORDER BY registered_at, visitor_id) AS rn
+          FROM v WHERE registered_at >= TIMESTAMP '2001-01-01 00:00:00')
+    SELECT * FROM b
+    UNION ALL
+    SELECT visitor_id, tenant_id, event_id, email, registered_at FROM n
+    WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM b WHERE b.tenant_id = n.tenant_id
+                                 AND b.event_id = n.event_id AND b.email = n.email)""")
+
+sql("apply_patch", """
+    WITH p AS (SELECT client AS user_id, CAST(count(*) AS INTEGER) AS login_count, max(ts) AS last_login
+               FROM request_log WHERE route = 'auth' GROUP BY client)
+    SELECT b.user_id, b.tenant_id,
+           CASE WHEN p.user_id IS NOT NULL THEN b.login_count + coalesce(p.login_count, 0)
+                ELSE b.login_count END AS login_count,
+           CASE WHEN p.user_id IS NOT NULL THEN p.last_login END AS last_login,
+           CASE WHEN p.user_id IS NOT NULL THEN TIMESTAMP '2024-02-01 00:00:00' END AS updated_at
+    FROM staff b LEFT JOIN p ON p.user_id = b.user_id""")
+
+sql("purge_visitors", """
+    SELECT visitor_id, tenant_id, event_id FROM visitors
+    WHERE tenant_id NOT IN (SELECT tenant_id FROM tenants WHERE NOT is_active)""")
+
+sql("purge_checkins", """
+    SELECT checkin_id, visitor_id FROM checkins
+    WHERE visitor_id NOT IN (SELECT visitor_id FROM visitors
+                             WHERE tenant_id IN (SELECT tenant_id FROM tenants WHERE NOT is_active))""")
+
+# -- logs ----------------------------------------------------------------------
+sql("request_kpis", """
+    SELECT route, count(*) AS requests,
+           count(*) FILTER (WHERE status >= 500) AS errors,
+           round(count(*) FILTER (WHERE status >= 500) / count(*), 6) AS error_rate,
+           round(avg(duration_ms), 6) AS avg_ms,
+           round(quantile_cont(duration_ms, 0.95), 6) AS p95_ms,
+           round(count(*) FILTER (WHERE duration_ms < 200) / count(*), 6) AS under_target_share,
+           round(count(*) FILTER (WHERE duration_ms > 1000) / count(*), 6) AS slow_share
+    FROM request_log GROUP BY route""")
+
+sql("scanner_stats", """
+    SELECT scanner, count(*) AS total_scans, count(*) FILTER (WHERE ok) AS successful_scans,
+           max(ts) AS last_scan,
+           (count(*) FILTER (WHERE ok) * 200 + count(*)) // (2 * count(*)) AS success_rate
+    FROM scans GROUP BY scanner""")
+
+sql("rate_limit_hits", """
+    SELECT window_start, window_end, tenant_id, route, "count", "limit", "count" - "limit" AS blocked
+    FROM (SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end,
+                 tenant_id, route, count(*) AS "count"
+          FROM request_log WHERE path NOT IN ('/health', '/api/health')
+          GROUP BY 1, 2, 3, 4) c
+    JOIN (VALUES ('auth', 5), ('register', 10), ('other', 100)) AS l(route, "limit") USING (route)
+    WHERE "count" > "limit\"""")
+
+_LINES = """
+    SELECT request_id,
+           CASE WHEN status = 500 AND client % 7 = 0 THEN 'garbage ' || CAST(request_id AS VARCHAR)
+           ELSE '10.0.' || CAST(client % 256 AS VARCHAR) || '.' || CAST(request_id % 256 AS VARCHAR)
+                || ' - - [' || strftime(ts, '%d/%b/%Y:%H:%M:%S') || ' +0000] "GET ' || path
+                || ' HTTP/1.1" ' || CAST(status AS VARCHAR) || ' ' || CAST(request_id % 5000 AS VARCHAR)
+                || ' "-" "Mozilla/5.0" "-" rt=' || rt || ' uct="0.000" uht="0.001" urt="' || rt || '"'
+           END AS value
+    FROM (SELECT *, CAST(ms // 1000 AS VARCHAR) || '.' || lpad(CAST(ms % 1000 AS VARCHAR), 3, '0') AS rt
+          FROM (SELECT *, CAST(floor(duration_ms) AS BIGINT) AS ms FROM request_log))"""
+
+
+def _access_sql() -> str:
+    from ..operators.logs import ACCESS_LOG_RE
+    pat = "'" + ACCESS_LOG_RE.replace("'", "''") + "'"
+
+    def g(i):
+        return f"nullif(m.g{i}, '')"
+
+    names = "[" + ", ".join(f"'g{i}'" for i in range(1, 14)) + "]"
+    return f"""
+    SELECT regexp_matches(value, {pat}) AS parsed,
+           {g(1)} AS remote_addr, nullif({g(2)}, '-') AS remote_user,
+           strptime(split_part({g(3)}, ' ', 1), '%d/%b/%Y:%H:%M:%S') AS time,
+           CASE WHEN {g(3)} IS NULL THEN NULL ELSE split_part({g(3)}, ' ', -1) END AS tz_offset,
+           split_part({g(4)}, ' ', 1) AS method, split_part({g(4)}, ' ', 2) AS uri,
+           CAST({g(5)} AS INTEGER) AS status, CAST(nullif({g(6)}, '-') AS BIGINT) AS body_bytes,
+           CAST({g(10)} AS DOUBLE) AS request_time,
+           TRY_CAST(nullif({g(13)}, '-') AS DOUBLE) AS upstream_response_time
+    FROM (SELECT value, regexp_extract(value, {pat}, {names}) AS m FROM ({_LINES}) lines)"""
+
+
+sql("parse_access_log", _access_sql())

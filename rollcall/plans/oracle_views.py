@@ -116,6 +116,33 @@ VIEWS: dict[str, str] = {
                o_orderdate AS created_at,
                o_orderdate + INTERVAL 24 HOUR AS expires_at
         FROM orders JOIN customer ON o_custkey = c_custkey""",
+    "webhooks": """
+        SELECT o_orderkey AS notice_id,
+               CASE WHEN o_orderkey % 2 = 0 THEN 'midtrans' ELSE 'xendit' END AS provider,
+               o_orderdate + to_hours(CAST(o_orderkey % 48 AS INTEGER)) AS received_at,
+               CASE WHEN o_orderkey % 2 = 0 THEN json_object(
+                   'order_id', 'SUB-' || CAST(c_nationkey AS VARCHAR) || '-' || CAST(o_orderkey AS VARCHAR),
+                   'transaction_status', CASE o_orderstatus
+                        WHEN 'F' THEN CASE WHEN o_orderkey % 3 = 0 THEN 'capture' ELSE 'settlement' END
+                        WHEN 'O' THEN CASE WHEN o_orderkey % 3 = 0 THEN 'capture' ELSE 'pending' END
+                        ELSE CASE o_orderkey % 3 WHEN 0 THEN 'capture' WHEN 1 THEN 'deny' ELSE 'expire' END END,
+                   'fraud_status', CASE WHEN o_orderkey % 3 = 0 THEN
+                        CASE o_orderstatus WHEN 'F' THEN 'accept' WHEN 'O' THEN 'review' ELSE 'challenge' END END,
+                   'gross_amount', CAST(o_totalprice AS VARCHAR),
+                   'custom_field1', CAST(c_nationkey AS VARCHAR),
+                   'custom_field2', CAST(o_orderkey % 4 + 1 AS VARCHAR),
+                   'custom_field3', CASE WHEN o_orderkey % 3 = 0 THEN 'yearly' ELSE 'monthly' END)::VARCHAR
+               ELSE json_object(
+                   'external_id', 'SUB-' || CAST(c_nationkey AS VARCHAR) || '-' || CAST(o_orderkey AS VARCHAR),
+                   'status', CASE o_orderstatus WHEN 'F' THEN 'PAID' WHEN 'O' THEN 'PENDING'
+                        ELSE CASE WHEN o_orderkey % 3 = 0 THEN 'EXPIRED' ELSE 'FAILED' END END,
+                   'amount', o_totalprice,
+                   'metadata', json_object('tenant_id', CAST(c_nationkey AS VARCHAR),
+                                           'plan_id', CAST(o_orderkey % 4 + 1 AS VARCHAR),
+                                           'billing_period', CASE WHEN o_orderkey % 3 = 0 THEN 'yearly' ELSE 'monthly' END),
+                   'id', 'inv-' || CAST(o_orderkey AS VARCHAR))::VARCHAR
+               END AS body
+        FROM orders JOIN customer ON o_custkey = c_custkey""",
     "request_log": """
         SELECT event_id AS request_id, ts, user_id AS client,
                CAST(user_id % 25 AS INTEGER) AS tenant_id,

@@ -201,6 +201,45 @@ class Domain:
             plus_hours(F.col("o_orderdate"), 24).alias("expires_at"),
         )
 
+    @cached_property
+    def webhooks(self) -> DataFrame:
+        """Provider notices, one per order: the first provider's body carries
+        transaction/fraud state and custom fields, the second's an invoice
+        status and a metadata object."""
+        k = F.col("o_orderkey")
+        st = F.col("o_orderstatus")
+        first = k % 2 == 0
+        order_id = F.concat(F.lit("SUB-"), F.col("c_nationkey").cast("string"), F.lit("-"),
+                            k.cast("string"))
+        tx = F.when(first, F.when(st == "F", F.when(k % 3 == 0, "capture").otherwise("settlement"))
+                           .when(st == "O", F.when(k % 3 == 0, "capture").otherwise("pending"))
+                           .otherwise(F.when(k % 3 == 0, "capture")
+                                       .when(k % 3 == 1, "deny").otherwise("expire"))) \
+              .otherwise(F.when(st == "F", "PAID").when(st == "O", "PENDING")
+                          .otherwise(F.when(k % 3 == 0, "EXPIRED").otherwise("FAILED")))
+        fraud = F.when(first & (k % 3 == 0),
+                       F.when(st == "F", "accept").when(st == "O", "review").otherwise("challenge"))
+        period = F.when(k % 3 == 0, "yearly").otherwise("monthly")
+        tenant = F.col("c_nationkey").cast("string")
+        plan = (k % 4 + 1).cast("string")
+        body_first = F.to_json(F.struct(
+            order_id.alias("order_id"), tx.alias("transaction_status"),
+            fraud.alias("fraud_status"), F.col("o_totalprice").cast("string").alias("gross_amount"),
+            tenant.alias("custom_field1"), plan.alias("custom_field2"),
+            period.alias("custom_field3")))
+        body_second = F.to_json(F.struct(
+            order_id.alias("external_id"), tx.alias("status"),
+            F.col("o_totalprice").alias("amount"),
+            F.struct(tenant.alias("tenant_id"), plan.alias("plan_id"),
+                     period.alias("billing_period")).alias("metadata"),
+            F.concat(F.lit("inv-"), k.cast("string")).alias("id")))
+        return self._orders_with_tenant().select(
+            k.alias("notice_id"),
+            F.when(first, "midtrans").otherwise("xendit").alias("provider"),
+            (F.col("o_orderdate") + F.make_dt_interval(hours=(k % 48).cast("int"))).alias("received_at"),
+            F.when(first, body_first).otherwise(body_second).alias("body"),
+        )
+
     # -- request log, scans ---------------------------------------------------
     @cached_property
     def request_log(self) -> DataFrame:
@@ -275,8 +314,8 @@ class Domain:
 
     # -------------------------------------------------------------------------
     VIEW_NAMES = ("tenants", "plans", "subscriptions", "staff", "occasions", "categories",
-                  "visitors", "checkins", "payments", "request_log", "scans", "contacts",
-                  "requests", "sites")
+                  "visitors", "checkins", "payments", "webhooks", "request_log", "scans",
+                  "contacts", "requests", "sites")
 
     def register(self) -> "Domain":
         """Expose every base table and domain view as a temp view for SQL."""
