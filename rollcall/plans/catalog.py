@@ -418,3 +418,95 @@ def activity(d):
 def q_audit_changes(spark, sf_dir):
     d = dom(spark, sf_dir)
     return logs.audit_counts(logs.audit_changes(activity(d)))
+
+
+# -- sources and sinks -----------------------------------------------------------
+from ..sources import io as rio  # noqa: E402
+from ..streaming import live  # noqa: E402
+from ..streaming.runner import run_available_now  # noqa: E402
+
+NTZ_JSON = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+
+
+@query("read_json_events")
+def q_read_json_events(spark, sf_dir):
+    """Request-log JSON lines rendered from the events table (some lines
+    malformed), written to the shared folder and read back with the
+    declared schema."""
+    d = dom(spark, sf_dir)
+    r = d.request_log
+    body = F.to_json(F.struct(
+        F.lit("GET").alias("method"), F.col("path").alias("url"), F.col("status"),
+        F.concat(F.floor("duration_ms").cast("long").cast("string"), F.lit("ms")).alias("duration"),
+        F.concat(F.lit("10.0.0."), (F.col("client") % 256).cast("string")).alias("ip"),
+        F.lit("Mozilla/5.0").alias("userAgent"), F.col("tenant_id").cast("string").alias("tenantId"),
+        F.col("ts").alias("timestamp")), {"timestampNTZFormat": NTZ_JSON})
+    bad = (F.col("status") == 500) & (F.col("client") % 7 == 0)
+    line = F.when(bad, F.concat(F.lit('{"method": "GET", "url": broken '),
+                                F.col("request_id").cast("string"))).otherwise(body)
+    path = rio.scratch_path(spark, "json_events")
+    r.select(line.alias("value")).write.text(path)
+    ev = rio.read_json_events(spark, path, rio.REQUEST_LOG_SCHEMA)
+    return ev.select("method", "url", "status", rio.duration_ms().alias("duration_ms"),
+                     F.col("tenantId").cast("int").alias("tenant_id"), "timestamp",
+                     F.col(rio.CORRUPT).isNotNull().alias("is_corrupt"))
+
+
+@query("export_csv")
+def q_export_csv(spark, sf_dir):
+    """Event stats exported as CSV, one folder per tenant, read back."""
+    d = dom(spark, sf_dir)
+    stats = reports.event_stats(d.occasions, d.visitors, d.categories)
+    path = rio.export_csv(stats, rio.scratch_path(spark, "export"), partition_by="tenant_id")
+    schema = ("event_id BIGINT, total_visitors BIGINT, registered_count BIGINT, "
+              "checked_in_count BIGINT, vip_count BIGINT, sponsor_count BIGINT, "
+              "speaker_count BIGINT, participant_count BIGINT, tenant_id INT")
+    return spark.read.schema(schema).option("header", True).csv(path)
+
+
+@query("refresh_snapshot")
+def q_refresh_snapshot(spark, sf_dir):
+    """Tenant analytics rebuilt and swapped in (key tenant + plan), then read
+    through the pointer."""
+    d = dom(spark, sf_dir)
+    ta = reports.tenant_analytics(d.tenants, d.subscriptions, d.plans, d.occasions,
+                                  d.visitors, d.checkins, d.staff)
+    root = rio.scratch_path(spark, "snapshots", "tenant_analytics")
+    rio.refresh_snapshot(ta, root, key=["tenant_id", "plan_name"])
+    return rio.current_snapshot(spark, root)
+
+
+# -- streams (availableNow over files derived from the tables) ------------------
+STREAM_DELAY = "1 day"
+
+
+def _stream_of(spark, df: DataFrame, name: str) -> DataFrame:
+    path = rio.scratch_path(spark, "stream_src", name)
+    df.write.parquet(path)
+    return spark.readStream.schema(df.schema).parquet(path)
+
+
+@query("live_dashboard_stream")
+def q_live_dashboard_stream(spark, sf_dir):
+    d = dom(spark, sf_dir)
+    scans = live.event_time(d.checkins.select("visitor_id", F.col("checkin_time").alias("scan_time")),
+                            "scan_time")
+    s = _stream_of(spark, scans, "checkins")
+    out = live.live_dashboard(s, d.visitors, window="1 day", by=["category_id"],
+                              delay=STREAM_DELAY)
+    sink = run_available_now(out, "live_dashboard")
+    res = spark.read.parquet(sink)
+    return res.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"),
+                      F.col("window_end").cast("timestamp_ntz").alias("window_end"),
+                      "category_id", "checkins")
+
+
+@query("rate_limit_stream")
+def q_rate_limit_stream(spark, sf_dir):
+    d = dom(spark, sf_dir)
+    s = _stream_of(spark, live.event_time(d.request_log, "ts"), "request_log")
+    out = live.rate_limit_stream(s, key="tenant_id", window="1 day", delay=STREAM_DELAY)
+    res = spark.read.parquet(run_available_now(out, "rate_limit"))
+    return res.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"),
+                      F.col("window_end").cast("timestamp_ntz").alias("window_end"),
+                      "tenant_id", "route", "count", "limit", "blocked")

@@ -510,3 +510,52 @@ def _access_sql() -> str:
 
 
 sql("parse_access_log", _access_sql())
+
+
+# -- sources and sinks -----------------------------------------------------------
+sql("read_json_events", """
+    SELECT CASE WHEN bad THEN NULL ELSE 'GET' END AS method,
+           CASE WHEN bad THEN NULL ELSE path END AS url,
+           CASE WHEN bad THEN NULL ELSE status END AS status,
+           CASE WHEN bad THEN NULL ELSE CAST(floor(duration_ms) AS DOUBLE) END AS duration_ms,
+           CASE WHEN bad THEN NULL ELSE tenant_id END AS tenant_id,
+           CASE WHEN bad THEN NULL ELSE ts END AS timestamp,
+           bad AS is_corrupt
+    FROM (SELECT *, status = 500 AND client % 7 = 0 AS bad FROM request_log)""")
+
+sql("export_csv", """
+    SELECT e.event_id, e.tenant_id,
+           count(v.visitor_id) AS total_visitors,
+           count(CASE WHEN v.status = 'registered' THEN 1 END) AS registered_count,
+           count(CASE WHEN v.status = 'checked_in' THEN 1 END) AS checked_in_count,
+           count(CASE WHEN gc.code = 'VIP' THEN 1 END) AS vip_count,
+           count(CASE WHEN gc.code = 'SPR' THEN 1 END) AS sponsor_count,
+           count(CASE WHEN gc.code = 'SPK' THEN 1 END) AS speaker_count,
+           count(CASE WHEN gc.code = 'PTC' THEN 1 END) AS participant_count
+    FROM occasions e
+    LEFT JOIN visitors v ON v.event_id = e.event_id AND v.tenant_id = e.tenant_id
+    LEFT JOIN categories gc ON v.category_id = gc.category_id
+    GROUP BY e.event_id, e.tenant_id""")
+
+sql("refresh_snapshot", _RAW["tenant_analytics"])
+
+# Stream twins: a window is final (emitted in append mode) once the watermark,
+# max event time - 1 day, has reached its end.
+sql("live_dashboard_stream", """
+    SELECT date_trunc('day', c.checkin_time) AS window_start,
+           date_trunc('day', c.checkin_time) + INTERVAL 1 DAY AS window_end,
+           v.category_id, count(*) AS checkins
+    FROM checkins c JOIN visitors v ON v.visitor_id = c.visitor_id
+    GROUP BY 1, 2, 3
+    HAVING date_trunc('day', c.checkin_time) + INTERVAL 1 DAY
+           <= (SELECT max(checkin_time) FROM checkins) - INTERVAL 1 DAY""")
+
+sql("rate_limit_stream", """
+    SELECT window_start, window_end, tenant_id, route, "count", "limit", "count" - "limit" AS blocked
+    FROM (SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end,
+                 tenant_id, route, count(*) AS "count"
+          FROM request_log WHERE path NOT IN ('/health', '/api/health')
+          GROUP BY 1, 2, 3, 4) c
+    JOIN (VALUES ('auth', 5), ('register', 10), ('other', 100)) AS l(route, "limit") USING (route)
+    WHERE "count" > "limit"
+      AND window_end <= (SELECT max(ts) FROM request_log) - INTERVAL 1 DAY""")
