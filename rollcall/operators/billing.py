@@ -122,32 +122,39 @@ def payment_quote(plans: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 # O40 ---------------------------------------------------------------------
+# Union of both providers' notice bodies; each body is parsed once.
+NOTICE_SCHEMA = ("order_id STRING, transaction_status STRING, fraud_status STRING, "
+                 "gross_amount STRING, custom_field1 STRING, custom_field2 STRING, "
+                 "custom_field3 STRING, external_id STRING, status STRING, amount STRING, "
+                 "metadata STRUCT<tenant_id: STRING, plan_id: STRING, billing_period: STRING>, "
+                 "id STRING")
+
+
 def map_payment_status(webhooks: DataFrame, polled: bool = False) -> DataFrame:
     """Normalise provider notices: order id, state, amount, tenant, plan and
-    billing period pulled out of each provider's body."""
-    b = F.col("body")
+    billing period pulled out of each provider's body, and the normalised
+    status as the webhook handler (and the status poll) map it."""
+    parsed = webhooks.select("notice_id", "provider", "received_at",
+                             F.from_json("body", NOTICE_SCHEMA).alias("b"))
     first = F.col("provider") == "midtrans"
 
-    def j(path: str):
-        return F.get_json_object(b, path)
+    def pick(a: str, b: str):
+        return F.when(first, F.col(f"b.{a}")).otherwise(F.col(f"b.{b}"))
 
-    tx = F.when(first, j("$.transaction_status")).otherwise(j("$.status"))
-    return webhooks.select(
+    fields = parsed.select(
         "notice_id", "provider", "received_at",
-        F.when(first, j("$.order_id")).otherwise(j("$.external_id")).alias("order_id"),
-        tx.alias("provider_status"),
-        payment_status("provider", tx, F.when(first, j("$.fraud_status")), polled=polled)
-        .alias("payment_status"),
-        payment_status("provider", tx, F.when(first, j("$.fraud_status")), polled=True)
-        .alias("polled_status"),
-        F.when(first, j("$.gross_amount")).otherwise(j("$.amount")).cast("double").alias("amount"),
-        F.when(first, j("$.custom_field1")).otherwise(j("$.metadata.tenant_id"))
-        .cast("int").alias("tenant_id"),
-        F.when(first, j("$.custom_field2")).otherwise(j("$.metadata.plan_id"))
-        .cast("int").alias("plan_id"),
-        F.when(first, j("$.custom_field3")).otherwise(j("$.metadata.billing_period"))
-        .alias("billing_period"),
-    )
+        pick("order_id", "external_id").alias("order_id"),
+        pick("transaction_status", "status").alias("provider_status"),
+        F.when(first, F.col("b.fraud_status")).alias("_fraud"),
+        pick("gross_amount", "amount").cast("double").alias("amount"),
+        pick("custom_field1", "metadata.tenant_id").cast("int").alias("tenant_id"),
+        pick("custom_field2", "metadata.plan_id").cast("int").alias("plan_id"),
+        pick("custom_field3", "metadata.billing_period").alias("billing_period"))
+    return fields.select(
+        "notice_id", "provider", "received_at", "order_id", "provider_status",
+        payment_status("provider", "provider_status", "_fraud", polled=polled).alias("payment_status"),
+        payment_status("provider", "provider_status", "_fraud", polled=True).alias("polled_status"),
+        "amount", "tenant_id", "plan_id", "billing_period")
 
 
 # O41 ---------------------------------------------------------------------

@@ -36,6 +36,11 @@ OCCASION_EPOCH = "2024-01-01"
 DAY_SPAN = 3650          # day offsets wrap so dates stay valid at any scale
 FIRST_NAMES = ["Budi", "Siti", "Agus", "Dewi"]
 EMAIL_SHAPE = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}"
+# The same matches for Java's backtracking engine without re-scanning every
+# word from every offset: a match may only start where a local-part run
+# starts (a later start in the same run reaches the same '@'), and the run
+# is taken possessively (it cannot contain '@', so giving back never helps).
+EMAIL_SHAPE_JAVA = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+[.][A-Za-z]{2,}"
 PHONE_SHAPE = r"(\+62|62|0)[0-9][0-9 -]{7,16}[0-9]"
 HOST_RE = r"^[A-Za-z]+://([^/?#:]+)"
 PATH_RE = r"^[A-Za-z]+://[^/?#]*([^?#]*)"
@@ -275,7 +280,7 @@ class Domain:
         d = self.table("documents")
         return d.select(
             F.col("doc_id"),
-            F.nullif(F.regexp_extract("text", EMAIL_SHAPE, 0), F.lit("")).alias("email"),
+            F.nullif(F.regexp_extract("text", EMAIL_SHAPE_JAVA, 0), F.lit("")).alias("email"),
             F.nullif(F.regexp_extract("text", PHONE_SHAPE, 0), F.lit("")).alias("phone"),
         )
 
