@@ -87,7 +87,9 @@ def admit_checkins(requests: DataFrame, visitors: DataFrame, checkins: DataFrame
     visitor already checked in -> rejected 'duplicate'; unknown visitor ->
     rejected 'not_found'; otherwise the earliest request per visitor in the
     batch is accepted (event taken from the visitor) and later ones are
-    'duplicate'. All joins are on unique keys or de-duplicated key sets, and
+    'duplicate'. ``request_id`` must identify a request uniquely (a retried
+    request carries its own id). All joins are on unique keys or
+    de-duplicated key sets, and
     the earliest pick is a partial aggregation, so a visitor scanned very
     often does not concentrate work in one task."""
     keys = as_list(keys)
@@ -170,11 +172,12 @@ def dedupe_registrations(df: DataFrame, keys=("tenant_id", "event_id", "email"),
 
 # O37 ---------------------------------------------------------------------
 def ticket_payload(visitors: DataFrame, categories: DataFrame, key: str, as_of: str) -> DataFrame:
-    """Per visitor: the JSON ticket payload with its checksum, and the
+    """Per visitor with a code: the JSON ticket payload with its checksum, and the
     payload sealed with AES (GCM, random IV) under ``key`` (16/24/32 bytes),
     base64 encoded."""
     cat = F.broadcast(categories.select("category_id", F.col("name").alias("_cat_name")))
-    v = visitors.join(cat, "category_id", "left")
+    # A ticket needs a registration code (visitors without one get none).
+    v = visitors.where(F.col("registration_code").isNotNull()).join(cat, "category_id", "left")
     checksum = ticket_checksum("visitor_id", "registration_code", "email")
     stamp = (F.unix_micros(ts_ntz(as_of).cast("timestamp")) / 1000).cast("long")
     payload = F.to_json(F.struct(

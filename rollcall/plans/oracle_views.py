@@ -99,7 +99,8 @@ VIEWS: dict[str, str] = {
         FROM orders JOIN customer ON o_custkey = c_custkey""",
     "checkins": """
         SELECT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) || '-'
-                 || CAST(l_partkey AS VARCHAR) || '-' || CAST(l_suppkey AS VARCHAR) AS checkin_id,
+                 || CAST(l_partkey AS VARCHAR) || '-' || CAST(l_suppkey AS VARCHAR) || '-'
+                 || CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS VARCHAR) AS checkin_id,
                l_orderkey AS visitor_id, l_shipdate AS checkin_time,
                CAST(l_linenumber AS VARCHAR) AS gate_number, l_suppkey AS checked_in_by,
                l_linestatus = 'F' AS is_stored

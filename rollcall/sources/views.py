@@ -173,8 +173,12 @@ class Domain:
     @cached_property
     def checkins(self) -> DataFrame:
         li = self.table("lineitem")
+        # lineitem has no key: (order, line, part, supplier) repeats at the
+        # smallest scale, adding the price in cents makes it unique.
+        cents = F.round(F.col("l_extendedprice") * 100).cast("long")
         cid = F.concat_ws("-", *[F.col(c).cast("string") for c in
-                                 ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
+                                 ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")],
+                          cents.cast("string"))
         return li.select(
             cid.alias("checkin_id"),
             F.col("l_orderkey").alias("visitor_id"),

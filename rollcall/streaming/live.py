@@ -39,32 +39,26 @@ def checkin_stream(scans: DataFrame, visitors: DataFrame, delay: str = "1 day",
                  .join(v, "visitor_id", "inner"))
 
 
-def exact_admission_batch(visitors: DataFrame, stored_path: str, rejects_path: str,
+def exact_admission_batch(visitors: DataFrame, decisions_path: str,
                           time_col: str = "scan_time"):
     """``foreachBatch`` handler for the exact rule: each micro-batch is
-    admitted against everything stored so far (O15), accepted scans are
-    appended to the stored check-ins, rejects to their own table. Appends
-    are idempotent per batch id, so a retried batch after a failure does
-    not admit twice."""
+    admitted (O15) against every scan accepted so far, and all decisions of
+    the batch are appended to one table in a single write (accepted rows
+    are the stored check-ins). A batch id already present is skipped, so a
+    batch retried after a failure does not admit twice."""
 
     def handle(batch: DataFrame, batch_id: int):
         spark = batch.sparkSession
         try:
-            stored = spark.read.parquet(stored_path)
-            done = stored.where(F.col("batch_id") == batch_id).limit(1).count() > 0
-        except Exception:  # noqa: BLE001 - first batch: nothing stored yet
+            past = spark.read.parquet(decisions_path)
+            if past.where(F.col("batch_id") == batch_id).limit(1).count() > 0:
+                return
+            stored = past.where(F.col("decision") == "accepted").select("visitor_id")
+        except Exception:  # noqa: BLE001 - first batch: nothing decided yet
             stored = batch.select("visitor_id").where(F.lit(False))
-            done = False
-        if done:
-            return
-        decided = admit_checkins(batch, visitors, stored.select("visitor_id"), time_col=time_col) \
+        decided = admit_checkins(batch, visitors, stored, time_col=time_col) \
             .withColumn("batch_id", F.lit(batch_id))
-        decided = decided.cache()
-        decided.where(F.col("decision") == "accepted").drop("decision", "reason") \
-            .write.mode("append").parquet(stored_path)
-        decided.where(F.col("decision") == "rejected") \
-            .write.mode("append").parquet(rejects_path)
-        decided.unpersist()
+        decided.write.mode("append").parquet(decisions_path)
 
     return handle
 
