@@ -175,6 +175,8 @@ def ticket_payload(visitors: DataFrame, categories: DataFrame, key: str, as_of:
     """Per visitor with a code: the JSON ticket payload with its checksum, and the
     payload sealed with AES (GCM, random IV) under ``key`` (16/24/32 bytes),
     base64 encoded."""
+    if len(key.encode()) not in (16, 24, 32):
+        raise ValueError("ticket key must be 16, 24 or 32 bytes")
     cat = F.broadcast(categories.select("category_id", F.col("name").alias("_cat_name")))
     # A ticket needs a registration code (visitors without one get none).
     v = visitors.where(F.col("registration_code").isNotNull()).join(cat, "category_id", "left")

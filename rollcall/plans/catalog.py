@@ -144,7 +144,7 @@ CODE_CUTOFF = "2001-07-01 00:00:00"
 CODE_AS_OF = "2001-08-01 00:00:00"
 REGISTRATION_CUTOFF = "2001-01-01 00:00:00"
 PATCH_AS_OF = "2024-02-01 00:00:00"
-TICKET_KEY = "rollcall-dev-ticket-key-24"   # 24 bytes -> AES-192
+TICKET_KEY = "rollcall-ticket-key-0024"   # 24 bytes -> AES-192
 
 
 @query("active_subscriptions")

@@ -559,3 +559,36 @@ sql("rate_limit_stream", """
     JOIN (VALUES ('auth', 5), ('register', 10), ('other', 100)) AS l(route, "limit") USING (route)
     WHERE "count" > "limit"
       AND window_end <= (SELECT max(ts) FROM request_log) - INTERVAL 1 DAY""")
+
+# -- tickets and audit trail ---------------------------------------------------
+# Every sealed ticket must open with the key and re-verify its checksum.
+sql("ticket_verify", """
+    SELECT true AS valid, count(*) AS tickets FROM visitors WHERE registration_code IS NOT NULL""")
+
+sql("audit_changes", """
+    WITH a AS (
+      SELECT event_type AS action, 'user' AS entity_type, user_id AS entity_id, props AS old_values,
+             CASE event_type
+               WHEN 'click' THEN props
+               WHEN 'view' THEN '{"k": ' || CAST(CAST(json_extract_string(props, '$.k') AS INTEGER) + 1 AS VARCHAR) || '}'
+               WHEN 'purchase' THEN '{"k": ' || CAST(CAST(json_extract_string(props, '$.k') AS INTEGER) AS VARCHAR)
+                                    || ', "paid": "yes"}'
+               WHEN 'signup' THEN '{}'
+               ELSE '{"k": null}' END AS new_values
+      FROM events),
+    f AS (
+      SELECT action, entity_type, entity_id, old_values, new_values,
+             unnest(list_distinct(list_concat(coalesce(json_keys(old_values), []),
+                                              coalesce(json_keys(new_values), [])))) AS field
+      FROM a),
+    d AS (
+      SELECT *, list_contains(coalesce(json_keys(old_values), []), field) AS has_o,
+                list_contains(coalesce(json_keys(new_values), []), field) AS has_n,
+                json_extract_string(old_values, '$."' || field || '"') AS ov,
+                json_extract_string(new_values, '$."' || field || '"') AS nv
+      FROM f)
+    SELECT action, entity_type,
+           CASE WHEN NOT has_o THEN 'added' WHEN NOT has_n THEN 'removed' ELSE 'changed' END AS change,
+           count(*) AS changes, count(DISTINCT entity_id) AS entities
+    FROM d WHERE (ov IS DISTINCT FROM nv) OR has_o <> has_n
+    GROUP BY 1, 2, 3""")
