@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 
 from ..functions.scalars import attendance_status as attendance_label
 from ..functions.scalars import percent_2dp
-from .common import left_join_keep_fanout
+from .common import left_join_keep_fanout, maybe_broadcast
 
 # Category codes counted by the dashboards and their output names.
 CODE_COLUMNS = [("VIP", "vip"), ("SPR", "sponsor"), ("SPK", "speaker"), ("PTC", "participant")]
@@ -17,7 +17,7 @@ CODE_COLUMNS = [("VIP", "vip"), ("SPR", "sponsor"), ("SPK", "speaker"), ("PTC",
 
 def _category_dim(categories: DataFrame) -> DataFrame:
     # Categories are a handful of rows per tenant: a broadcast dimension.
-    return F.broadcast(categories.select(
+    return maybe_broadcast(categories.select(
         "category_id",
         F.col("name").alias("category_name"),
         F.col("code").alias("category_code"),
@@ -108,7 +108,7 @@ def recent_checkins(checkins: DataFrame, visitors: DataFrame, categories: DataFr
         v = v.where(F.col("event_id") == F.lit(event_id))
     if tenant_id is not None:
         v = v.where(F.col("tenant_id") == F.lit(tenant_id))
-    cat = F.broadcast(categories.select("category_id", F.col("name").alias("category_name"),
+    cat = maybe_broadcast(categories.select("category_id", F.col("name").alias("category_name"),
                                         F.col("color").alias("category_color")))
     who = staff.select(F.col("user_id").alias("checked_in_by"),
                        F.col("first_name").alias("checked_in_by_name"))
@@ -204,7 +204,7 @@ def tenant_analytics(tenants: DataFrame, subscriptions: DataFrame, plans: DataFr
         "tenant_id", F.col("name").alias("tenant_name"), F.col("slug").alias("tenant_slug"),
         F.col("created_at").alias("tenant_created_at"))
     plan_names = (subscriptions.where(F.col("status") == "active")
-                  .join(F.broadcast(plans.select("plan_id", F.col("name").alias("plan_name"))),
+                  .join(maybe_broadcast(plans.select("plan_id", F.col("name").alias("plan_name"))),
                         "plan_id", "inner")
                   .select("tenant_id", "plan_name").distinct())
     ev = events.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("total_events"))

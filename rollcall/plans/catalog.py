@@ -510,3 +510,24 @@ def q_rate_limit_stream(spark, sf_dir):
     return res.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"),
                       F.col("window_end").cast("timestamp_ntz").alias("window_end"),
                       "tenant_id", "route", "count", "limit", "blocked")
+
+
+@query("checkin_stream_exact")
+def q_checkin_stream_exact(spark, sf_dir):
+    """Exact live admission run incrementally: the stored scans arrive first
+    (one availableNow run), the new scans later (a second run on the same
+    checkpoint); each micro-batch is decided against all earlier accepts."""
+    from ..streaming.runner import run_foreach_batch
+    d = dom(spark, sf_dir)
+    c = d.checkins.select(F.col("checkin_id").alias("request_id"), "visitor_id",
+                          F.col("checkin_time").alias("scan_time"), "is_stored")
+    src = rio.scratch_path(spark, "stream_src", "scans")
+    decisions = rio.scratch_path(spark, "streams", "decisions")
+    ckpt = rio.scratch_path(spark, "streams", "exact", "ckpt")
+    handler = live.exact_admission_batch(d.visitors, decisions)
+    schema = c.drop("is_stored").schema
+    for stored in (True, False):
+        c.where(F.col("is_stored") == stored).drop("is_stored").write.mode("append").parquet(src)
+        run_foreach_batch(spark.readStream.schema(schema).parquet(src), "exact", handler, ckpt=ckpt)
+    return spark.read.parquet(decisions).select("request_id", "visitor_id", "event_id",
+                                                "decision", "reason")

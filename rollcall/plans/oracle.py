@@ -592,3 +592,34 @@ sql("audit_changes", """
            count(*) AS changes, count(DISTINCT entity_id) AS entities
     FROM d WHERE (ov IS DISTINCT FROM nv) OR has_o <> has_n
     GROUP BY 1, 2, 3""")
+
+sql("checkin_stream_exact", """
+    WITH b1 AS (
+      SELECT c.checkin_id AS request_id, c.visitor_id, c.checkin_time AS scan_time, v.event_id,
+             v.visitor_id IS NOT NULL AS known
+      FROM checkins c LEFT JOIN visitors v ON v.visitor_id = c.visitor_id WHERE c.is_stored),
+    d1 AS (
+      SELECT *, row_number() OVER (PARTITION BY visitor_id, known ORDER BY scan_time, request_id) AS rn
+      FROM b1),
+    r1 AS (
+      SELECT request_id, visitor_id, event_id,
+             CASE WHEN known AND rn = 1 THEN 'accepted' ELSE 'rejected' END AS decision,
+             CASE WHEN NOT known THEN 'not_found' WHEN rn = 1 THEN NULL ELSE 'duplicate' END AS reason
+      FROM d1),
+    seen AS (SELECT DISTINCT visitor_id FROM r1 WHERE decision = 'accepted'),
+    b2 AS (
+      SELECT c.checkin_id AS request_id, c.visitor_id, c.checkin_time AS scan_time, v.event_id,
+             v.visitor_id IS NOT NULL AS known, s.visitor_id IS NOT NULL AS was_seen
+      FROM checkins c LEFT JOIN visitors v ON v.visitor_id = c.visitor_id
+      LEFT JOIN seen s ON s.visitor_id = c.visitor_id WHERE NOT c.is_stored),
+    d2 AS (
+      SELECT *, row_number() OVER (PARTITION BY visitor_id, known AND NOT was_seen
+                                   ORDER BY scan_time, request_id) AS rn
+      FROM b2),
+    r2 AS (
+      SELECT request_id, visitor_id, event_id,
+             CASE WHEN NOT was_seen AND known AND rn = 1 THEN 'accepted' ELSE 'rejected' END AS decision,
+             CASE WHEN was_seen THEN 'duplicate' WHEN NOT known THEN 'not_found'
+                  WHEN rn = 1 THEN NULL ELSE 'duplicate' END AS reason
+      FROM d2)
+    SELECT * FROM r1 UNION ALL SELECT * FROM r2""")

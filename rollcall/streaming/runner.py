@@ -20,9 +20,9 @@ def run_available_now(stream: DataFrame, name: str, output_mode: str = "append")
     return sink
 
 
-def run_foreach_batch(stream: DataFrame, name: str, handler) -> None:
+def run_foreach_batch(stream: DataFrame, name: str, handler, ckpt: str | None = None) -> None:
     spark = stream.sparkSession
-    ckpt = scratch_path(spark, "streams", name, "ckpt")
+    ckpt = ckpt or scratch_path(spark, "streams", name, "ckpt")
     q = (stream.writeStream.foreachBatch(handler).option("checkpointLocation", ckpt)
                .trigger(availableNow=True).start())
     q.awaitTermination()
