@@ -34,20 +34,22 @@ def parse_access_log(lines: DataFrame, col: str = "value") -> DataFrame:
     """Split proxy access-log lines into fields; lines that do not match
     keep ``parsed = false`` and NULL fields."""
     v = F.col(col)
-    ok = v.rlike(ACCESS_LOG_RE)
     # One regex pass rewrites a matching line into its 13 groups joined by a
-    # separator that cannot occur in a log line; split gives them all.
+    # separator that cannot occur in a log line; split gives them all. The
+    # pass sits in its own projection so it runs once per line (inside a
+    # CASE branch Catalyst would not share it between the 13 fields).
     sep = "\u0001"
-    groups = F.split(F.regexp_replace(v, ACCESS_LOG_RE, sep.join(f"${i}" for i in range(1, 14))),
-                     sep)
+    split = lines.select(
+        v.alias("line"), v.rlike(ACCESS_LOG_RE).alias("parsed"),
+        F.split(F.regexp_replace(v, ACCESS_LOG_RE, sep.join(f"${i}" for i in range(1, 14))),
+                sep).alias("_g"))
 
     def g(i: int):
-        return F.when(ok, F.nullif(F.element_at(groups, i), F.lit("")))
+        return F.when(F.col("parsed"), F.nullif(F.element_at("_g", i), F.lit("")))
 
     req = g(4)
-    return lines.select(
-        v.alias("line"),
-        ok.alias("parsed"),
+    return split.select(
+        "line", "parsed",
         g(1).alias("remote_addr"),
         F.nullif(g(2), F.lit("-")).alias("remote_user"),
         F.to_timestamp_ntz(F.substring_index(g(3), " ", 1), F.lit(ACCESS_LOG_TIME)).alias("time"),

@@ -9,8 +9,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import reports
+from ..operators import billing, changes, logs, registration, reports, tenancy
+from ..sources import io as rio
+from ..sources import seeds
 from ..sources.views import Domain
+from ..streaming import live
+from ..streaming.runner import run_available_now, run_foreach_batch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -135,8 +139,6 @@ def q_active_categories(spark, sf_dir):
 
 
 # -- billing -----------------------------------------------------------------
-from ..operators import billing, changes, logs, registration, tenancy  # noqa: E402
-from ..sources import seeds  # noqa: E402
 
 AS_OF_SUBS = "2024-03-01 00:00:00"
 AS_OF_PAYMENTS = "1998-01-01 00:00:00"
@@ -421,9 +423,6 @@ def q_audit_changes(spark, sf_dir):
 
 
 # -- sources and sinks -----------------------------------------------------------
-from ..sources import io as rio  # noqa: E402
-from ..streaming import live  # noqa: E402
-from ..streaming.runner import run_available_now  # noqa: E402
 
 NTZ_JSON = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
@@ -517,7 +516,6 @@ def q_checkin_stream_exact(spark, sf_dir):
     """Exact live admission run incrementally: the stored scans arrive first
     (one availableNow run), the new scans later (a second run on the same
     checkpoint); each micro-batch is decided against all earlier accepts."""
-    from ..streaming.runner import run_foreach_batch
     d = dom(spark, sf_dir)
     c = d.checkins.select(F.col("checkin_id").alias("request_id"), "visitor_id",
                           F.col("checkin_time").alias("scan_time"), "is_stored")
