@@ -81,20 +81,22 @@ _SEQ_FIELD = "_seq_local"
 _PID_FIELD = "_seq_pid"
 
 
-def number_within_groups(df: DataFrame, group: Sequence[str], order: Sequence[str],
-                         out: str = "seq", partitions: int | None = None) -> DataFrame:
-    """Add ``out`` = 1, 2, ... within each group in ``order`` (which must end
-    in a unique column). Same result as ``row_number()`` over
-    ``partitionBy(group).orderBy(order)``, but a hot group is spread across
+def running_within_groups(df: DataFrame, group: Sequence[str], order: Sequence[str],
+                          out: str = "seq", weight: str | None = None,
+                          partitions: int | None = None) -> DataFrame:
+    """Add ``out`` = running count (or running sum of ``weight``, inclusive)
+    within each group in ``order`` (which must end in a unique column).
+    Same result as a window ``partitionBy(group).orderBy(order)`` with
+    ``row_number()`` / ``sum(weight)``, but a hot group is spread across
     many tasks:
 
     1. range-partition on (group, order) so a big group spans several
        partitions, each sorted;
-    2. number rows within each (partition, group) with an Arrow batch pass;
-    3. per (partition, group) counts give each continuing group the number
-       of rows in earlier partitions. Only a group that starts in an earlier
-       partition needs such an offset, so that table has at most one row per
-       partition and is broadcast with a proven bound.
+    2. accumulate within each (partition, group) in an Arrow batch pass;
+    3. per (partition, group) totals give each continuing group the sum of
+       its rows in earlier partitions. Only a group that starts in an
+       earlier partition needs such an offset, so that table has at most
+       one row per partition and is broadcast with a proven bound.
     """
     group, order = as_list(group), as_list(order)
     spark = df.sparkSession
@@ -105,33 +107,76 @@ def number_within_groups(df: DataFrame, group: Sequence[str], order: Sequence[st
     key_names = list(group)
     schema = T.StructType(ranged.schema.fields + [T.StructField(_SEQ_FIELD, T.LongType(), False)])
 
-    def local_numbers(batches):
-        # Rows arrive sorted by (group, order); number runs of equal group
-        # keys, carrying the open run across Arrow batches of the partition.
-        last_hash, last_count = None, 0
+    def local_running(batches):
+        # Rows arrive sorted by (group, order); accumulate over runs of equal
+        # group keys, carrying the open run across Arrow batches.
+        last_hash, last_total = None, 0
         for pdf in batches:
             if pdf.empty:
                 yield pdf.assign(**{_SEQ_FIELD: pd.Series([], dtype="int64")})
                 continue
             h = pd.util.hash_pandas_object(pdf[key_names], index=False).to_numpy()
+            w = (np.ones(len(h), dtype=np.int64) if weight is None
+                 else pdf[weight].fillna(0).to_numpy(dtype=np.int64))
             starts = np.ones(len(h), dtype=bool)
             starts[1:] = h[1:] != h[:-1]
             starts[0] = h[0] != last_hash
             run = np.cumsum(starts)
-            pos = np.arange(len(h))
-            run_start = np.maximum.accumulate(np.where(starts, pos, 0))
-            seq = pos - run_start + 1
+            total = np.cumsum(w)
+            # batch-prefix sum before each run's first row, carried forward;
+            # a run continuing from the previous batch starts at 0 here
+            before_run = np.where(starts, total - w, -1)
+            if not starts[0]:
+                before_run[0] = 0
+            before_run = np.maximum.accumulate(before_run)
+            acc = total - before_run
             if not starts[0]:
-                seq[run == run[0]] += last_count
-            last_hash, last_count = h[-1], int(seq[-1])
-            yield pdf.assign(**{_SEQ_FIELD: pd.Series(seq.astype("int64"), index=pdf.index)})
+                acc[run == run[0]] += last_total
+            last_hash, last_total = h[-1], int(acc[-1])
+            yield pdf.assign(**{_SEQ_FIELD: pd.Series(acc.astype("int64"), index=pdf.index)})
 
-    local = ranged.mapInPandas(local_numbers, schema)
-    counts = ranged.groupBy(_PID_FIELD, *group).agg(F.count(F.lit(1)).alias("_n"))
+    local = ranged.mapInPandas(local_running, schema)
+    amount = F.count(F.lit(1)) if weight is None else F.sum(F.col(weight))
+    totals = ranged.groupBy(_PID_FIELD, *group).agg(amount.alias("_n"))
     w = Window.partitionBy(*group).orderBy(_PID_FIELD).rowsBetween(Window.unboundedPreceding, -1)
-    carry = (counts.withColumn("_carry", F.sum("_n").over(w))
+    carry = (totals.withColumn("_carry", F.sum("_n").over(w))
                    .where(F.col("_carry") > 0)
                    .select(_PID_FIELD, *group, "_carry"))
     joined = local.join(F.broadcast(carry), [_PID_FIELD, *group], "left")
     return (joined.withColumn(out, F.col(_SEQ_FIELD) + F.coalesce(F.col("_carry"), F.lit(0)))
                   .drop(_SEQ_FIELD, _PID_FIELD, "_carry"))
+
+
+def number_within_groups(df: DataFrame, group: Sequence[str], order: Sequence[str],
+                         out: str = "seq", partitions: int | None = None) -> DataFrame:
+    """``row_number()`` within groups, skew-safe (see ``running_within_groups``)."""
+    return running_within_groups(df, group, order, out=out, partitions=partitions)
+
+
+def percentile_exact(df: DataFrame, group: Sequence[str], value: str, q: float,
+                     out: str = "p", partitions: int | None = None) -> DataFrame:
+    """Exact percentile with linear interpolation (as ``percentile`` /
+    ``quantile_cont``) per group, without holding a group in one task.
+
+    Values are counted per (group, value) with partial aggregation, running
+    counts over the distinct values come from ``running_within_groups``, and
+    only the (at most two) distinct values that hold ranks floor(q(n-1)) and
+    ceil(q(n-1)) are kept per group for the interpolation.
+    """
+    group = as_list(group)
+    v = F.col(value)
+    hist = df.where(v.isNotNull()).groupBy(*group, v.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    sizes = hist.groupBy(*group).agg(F.sum("_c").alias("_n"))
+    cum = running_within_groups(hist, group, ["_v"], out="_cum", weight="_c", partitions=partitions)
+    pos = F.lit(q) * (F.col("_n") - 1)
+    lo, hi = F.floor(pos), F.ceil(pos)
+    first_rank = F.col("_cum") - F.col("_c")          # 0-based rank of this value's first copy
+    covers = lambda k: (first_rank <= k) & (k < F.col("_cum"))
+    marked = cum.join(sizes, group, "inner").select(
+        *group, "_v", pos.alias("_pos"), lo.alias("_lo"),
+        F.when(covers(lo), F.col("_v")).alias("_vlo"), F.when(covers(hi), F.col("_v")).alias("_vhi"))
+    picked = marked.where(F.col("_vlo").isNotNull() | F.col("_vhi").isNotNull())
+    agg = picked.groupBy(*group).agg(F.max("_vlo").alias("_a"), F.max("_vhi").alias("_b"),
+                                     F.max("_pos").alias("_pos"), F.max("_lo").alias("_lo"))
+    frac = F.col("_pos") - F.col("_lo")
+    return agg.select(*group, (F.col("_a") + (F.col("_b") - F.col("_a")) * frac).alias(out))

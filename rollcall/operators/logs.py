@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import percent_whole
-from .common import as_list
+from .common import as_list, percentile_exact
 
 # The proxy's access-log line layout
 #   $remote_addr - $remote_user [$time_local] "$request" $status $body_bytes_sent
@@ -69,22 +69,25 @@ def request_kpis(log: DataFrame, by: Sequence[str] | str = ("route",),
     """Requests, error share, mean and p95 duration, share under the p95
     target and share over the slow threshold, per ``by``.
 
-    The exact p95 aggregates a value->count map that is merged map-side, so
-    its memory follows the number of distinct durations, not rows;
-    ``approx=True`` switches to a fixed-size sketch."""
+    The exact p95 (``percentile_exact``) counts durations per (key, value),
+    runs cumulative counts over range partitions and interpolates, so a
+    route carrying most of the traffic is spread over many tasks;
+    ``approx=True`` uses a fixed-size sketch instead."""
     by = as_list(by)
     d = F.col(duration)
-    p95 = F.percentile_approx(d, 0.95, 10000) if approx else F.percentile(d, F.lit(0.95))
     n = F.count(F.lit(1))
-    return log.groupBy(*by).agg(
-        n.alias("requests"),
-        F.count(F.when(F.col("status") >= 500, 1)).alias("errors"),
-        F.round(F.count(F.when(F.col("status") >= 500, 1)) / n, 6).alias("error_rate"),
-        F.round(F.avg(d), 6).alias("avg_ms"),
-        F.round(p95, 6).alias("p95_ms"),
-        F.round(F.count(F.when(d < TARGET_MS, 1)) / n, 6).alias("under_target_share"),
-        F.round(F.count(F.when(d > SLOW_MS, 1)) / n, 6).alias("slow_share"),
-    )
+    aggs = [n.alias("requests"),
+            F.count(F.when(F.col("status") >= 500, 1)).alias("errors"),
+            F.round(F.count(F.when(F.col("status") >= 500, 1)) / n, 6).alias("error_rate"),
+            F.round(F.avg(d), 6).alias("avg_ms"),
+            F.round(F.count(F.when(d < TARGET_MS, 1)) / n, 6).alias("under_target_share"),
+            F.round(F.count(F.when(d > SLOW_MS, 1)) / n, 6).alias("slow_share")]
+    if approx:
+        return log.groupBy(*by).agg(*aggs, F.round(F.percentile_approx(d, 0.95, 10000), 6)
+                                    .alias("p95_ms"))
+    p95 = percentile_exact(log, by, duration, 0.95, out="_p95")
+    return (log.groupBy(*by).agg(*aggs).join(p95, by, "left")
+               .withColumn("p95_ms", F.round("_p95", 6)).drop("_p95"))
 
 
 # O26 ---------------------------------------------------------------------

@@ -67,3 +67,44 @@ def test_upsert_idempotent(spark, updates):
     twice = changes.upsert(once.select(*base.columns), upd, "k", ["v"], order_by="seq")
     assert rows(once.select(*base.columns)) == rows(twice.select(*base.columns))
     assert once.count() == len({0, 1, 2, 3} | {k for k, _, _ in updates} if updates else {0, 1, 2, 3})
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 30)), min_size=1, max_size=150),
+       st.sampled_from([0.0, 0.5, 0.95, 1.0]), st.integers(1, 6))
+def test_percentile_exact_matches_builtin(spark, data, q, parts):
+    from rollcall.operators.common import percentile_exact
+    df = spark.createDataFrame([(g, float(v)) for g, v in data], "g int, v double")
+    got = dict(rows(percentile_exact(df, ["g"], "v", q, partitions=parts), "g", "p"))
+    want = dict(rows(df.groupBy("g").agg(F.percentile("v", F.lit(q)).alias("p")), "g", "p"))
+    assert got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in got)
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 9)), min_size=1, max_size=120),
+       st.integers(1, 7))
+def test_running_sum_matches_window(spark, data, parts):
+    from rollcall.operators.common import running_within_groups
+    df = spark.createDataFrame([(g, w, i) for i, (g, w) in enumerate(data)], "g int, w long, id int")
+    got = running_within_groups(df, ["g"], ["id"], out="s", weight="w", partitions=parts)
+    want = df.withColumn("s", F.sum("w").over(Window.partitionBy("g").orderBy("id")
+                                               .rowsBetween(Window.unboundedPreceding, 0)))
+    assert rows(got, "id", "s") == rows(want, "id", "s")
+
+
+def test_running_sum_carries_across_arrow_batches(spark):
+    from rollcall.operators.common import running_within_groups
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        data = [(g, (i % 5) + 1, i) for i, g in enumerate([0] * 17 + [1] * 2 + [2] * 11)]
+        df = spark.createDataFrame(data, "g int, w long, id int")
+        got = running_within_groups(df, ["g"], ["id"], out="s", weight="w", partitions=2)
+        want = df.withColumn("s", F.sum("w").over(Window.partitionBy("g").orderBy("id")
+                                                   .rowsBetween(Window.unboundedPreceding, 0)))
+        assert rows(got, "id", "s") == rows(want, "id", "s")
+        seq = number_within_groups(df, ["g"], ["id"], out="n", partitions=3)
+        want_n = df.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy("id")))
+        assert rows(seq, "id", "n") == rows(want_n, "id", "n")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
