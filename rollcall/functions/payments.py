@@ -47,12 +47,15 @@ def payment_status(provider, transaction_status, fraud_status=None,
     return F.when(prov == FIRST_PROVIDER, first).when(prov == SECOND_PROVIDER, second)
 
 
-def quote_amount(price, currency, billing_period) -> Column:
-    """Exact decimal amount in IDR for a plan price and billing period."""
+def quote_amount(price, currency, billing_period, provider=None) -> Column:
+    """Exact decimal amount for a plan price and billing period; a USD price
+    is converted to IDR when the provider is one of the two gateways."""
     p = col_of(price).cast("decimal(18,2)")
     yearly = p * F.lit(YEARLY_MONTHS) * F.lit(YEARLY_FACTOR).cast("decimal(3,1)")
     amt = F.when(col_of(billing_period) == "yearly", yearly).otherwise(p)
-    return F.when(col_of(currency) == "USD", amt * F.lit(USD_TO_IDR)).otherwise(amt) \
+    gateway = F.lit(True) if provider is None \
+        else col_of(provider).isin(FIRST_PROVIDER, SECOND_PROVIDER)
+    return F.when((col_of(currency) == "USD") & gateway, amt * F.lit(USD_TO_IDR)).otherwise(amt) \
         .cast("decimal(20,3)")
 
 

@@ -116,7 +116,7 @@ def payment_quote(plans: DataFrame, requests: DataFrame) -> DataFrame:
                     .select("plan_id", "price", "currency", F.col("name").alias("plan_name")))
     out = requests.join(p, "plan_id", "inner")
     period = F.coalesce(F.col("billing_period"), F.lit("monthly"))
-    amount = quote_amount("price", "currency", period)
+    amount = quote_amount("price", "currency", period, "provider")
     return out.withColumn("amount_idr", amount) \
               .withColumn("provider_amount", provider_amount(F.col("amount_idr")))
 

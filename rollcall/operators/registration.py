@@ -111,6 +111,16 @@ def admit_checkins(requests: DataFrame, visitors: DataFrame, checkins: DataFrame
              .drop("_seen", "_known", "_first", "visitor_event_id"))
 
 
+def mark_checked_in(visitors: DataFrame, decisions: DataFrame, as_of) -> DataFrame:
+    """After admission the visitor's status becomes 'checked_in' (and
+    updated_at is stamped), as the check-in call does; other visitors keep
+    theirs. Uses O34's patch on the accepted visitor ids."""
+    from .changes import apply_patch
+    accepted = (decisions.where(F.col("decision") == "accepted")
+                .select("visitor_id", F.lit("checked_in").alias("status")).distinct())
+    return apply_patch(visitors, accepted, "visitor_id", as_of)
+
+
 # O28 ---------------------------------------------------------------------
 def assign_codes(new: DataFrame, existing: DataFrame, categories: DataFrame,
                  style: str = "saas", as_of: str | None = None,

@@ -55,10 +55,11 @@ def resolve_tenant(requests: DataFrame, tenants: DataFrame) -> DataFrame:
 
 # O36 ---------------------------------------------------------------------
 def normalize_contacts(df: DataFrame, phone: str = "phone", email: str = "email") -> DataFrame:
-    """Phone: keep digits and '+', '08...' -> '+628...', validity as the
-    form tests it. E-mail: trimmed, lower-case, validity by the form's
+    """Phone: keep digits and '+', '08...' -> '+628...'; validity is tested
+    on that cleaned value, as the form's blur check sees the field after its
+    input handler has rewritten it. E-mail: trimmed, lower-case, validity by the form's
     pattern."""
     return (df.withColumn("phone_normalized", phone_clean(phone))
-              .withColumn("phone_valid", phone_valid(phone))
+              .withColumn("phone_valid", phone_valid(phone_clean(phone)))
               .withColumn("email_normalized", email_clean(email))
               .withColumn("email_valid", email_valid(email_clean(email))))

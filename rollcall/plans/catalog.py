@@ -529,3 +529,15 @@ def q_checkin_stream_exact(spark, sf_dir):
         run_foreach_batch(spark.readStream.schema(schema).parquet(src), "exact", handler, ckpt=ckpt)
     return spark.read.parquet(decisions).select("request_id", "visitor_id", "event_id",
                                                 "decision", "reason")
+
+
+@query("mark_checked_in")
+def q_mark_checked_in(spark, sf_dir):
+    """Visitor status after admitting the new scans against the stored ones."""
+    d = dom(spark, sf_dir)
+    c = d.checkins
+    requests = c.where(~F.col("is_stored")).select(
+        F.col("checkin_id").alias("request_id"), "visitor_id", F.col("checkin_time").alias("scan_time"))
+    decisions = registration.admit_checkins(requests, d.visitors, c.where(F.col("is_stored")))
+    return registration.mark_checked_in(d.visitors.select("visitor_id", "tenant_id", "status"),
+                                        decisions, PATCH_AS_OF)

@@ -217,7 +217,7 @@ def _quote_sql(plans_sql: str) -> str:
     return f"""
     WITH pl AS ({plans_sql}),
     q AS (SELECT pay.order_id, pay.plan_id, pay.billing_period, pay.provider,
-                 CASE WHEN pl.currency = 'USD'
+                 CASE WHEN pl.currency = 'USD' AND pay.provider IN ('midtrans', 'xendit')
                       THEN (CASE WHEN pay.billing_period = 'yearly' THEN pl.price * 12 * 0.8 ELSE pl.price END) * 15000
                       ELSE (CASE WHEN pay.billing_period = 'yearly' THEN pl.price * 12 * 0.8 ELSE pl.price END)
                  END AS amt
@@ -413,8 +413,10 @@ sql("normalize_contacts", r"""
            CASE WHEN starts_with(regexp_replace(phone, '[^0-9+]', '', 'g'), '08')
                 THEN '+62' || substr(regexp_replace(phone, '[^0-9+]', '', 'g'), 2)
                 ELSE regexp_replace(phone, '[^0-9+]', '', 'g') END AS phone_normalized,
-           coalesce(regexp_matches(regexp_replace(phone, '[\s-]', '', 'g'), '^(\+62|62|0)[0-9]{9,13}$'), false)
-             AS phone_valid,
+           coalesce(regexp_matches(CASE WHEN starts_with(regexp_replace(phone, '[^0-9+]', '', 'g'), '08')
+                                        THEN '+62' || substr(regexp_replace(phone, '[^0-9+]', '', 'g'), 2)
+                                        ELSE regexp_replace(phone, '[^0-9+]', '', 'g') END,
+                                   '^(\+62|62|0)[0-9]{9,13}$'), false) AS phone_valid,
            lower(trim(email)) AS email_normalized,
            coalesce(regexp_matches(lower(trim(email)), '^[^\s@]+@[^\s@]+\.[^\s@]+$'), false) AS email_valid
     FROM contacts WHERE email IS NOT NULL OR phone IS NOT NULL""")
@@ -623,3 +625,13 @@ sql("checkin_stream_exact", """
                   WHEN rn = 1 THEN NULL ELSE 'duplicate' END AS reason
       FROM d2)
     SELECT * FROM r1 UNION ALL SELECT * FROM r2""")
+
+sql("mark_checked_in", """
+    WITH stored AS (SELECT DISTINCT visitor_id FROM checkins WHERE is_stored),
+    acc AS (SELECT DISTINCT c.visitor_id FROM checkins c
+            JOIN visitors v ON v.visitor_id = c.visitor_id
+            WHERE NOT c.is_stored AND c.visitor_id NOT IN (SELECT visitor_id FROM stored))
+    SELECT v.visitor_id, v.tenant_id,
+           CASE WHEN a.visitor_id IS NOT NULL THEN 'checked_in' ELSE v.status END AS status,
+           CASE WHEN a.visitor_id IS NOT NULL THEN TIMESTAMP '2024-02-01 00:00:00' END AS updated_at
+    FROM visitors v LEFT JOIN acc a ON a.visitor_id = v.visitor_id""")

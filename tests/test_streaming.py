@@ -91,3 +91,17 @@ def test_payment_expiry_stream_matches_batch(spark):
     out = live.payment_expiry_stream(ps, ns, hours=24, delay="1 hour")
     got = rows(spark.read.parquet(run_available_now(out, "expiry")), "order_id", "status")
     assert got == [("p2", "expired"), ("p3", "expired")]
+
+
+def test_json_events_stream_keeps_malformed_aside(spark):
+    from rollcall.sources.io import REQUEST_LOG_SCHEMA, read_json_events
+    path = scratch_path(spark, "json_stream")
+    lines = ['{"method": "GET", "url": "/api/x", "status": 200, "duration": "12ms", "tenantId": "3"}',
+             '{"method": "POST", "url": broken',
+             '{"method": "GET", "url": "/health", "status": 200, "duration": "1ms"}']
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(path)
+    stream = read_json_events(spark, path, REQUEST_LOG_SCHEMA, streaming=True)
+    out = run_available_now(stream.selectExpr("url", "status", "_corrupt_record IS NOT NULL AS bad"),
+                            "json_stream")
+    got = rows(spark.read.parquet(out), "url", "status", "bad")
+    assert got == [("/api/x", 200, False), ("/health", 200, False), (None, None, True)]
