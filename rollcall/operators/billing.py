@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.payments import payment_status, provider_amount, quote_amount
 from ..functions.scalars import js_month_shift, plus_hours, ts_ntz
-from .common import nulls_high, pick_per_group, maybe_broadcast
+from .common import nulls_high, pick_per_group
 
 
 def _as_of(as_of):
@@ -35,7 +35,7 @@ def latest_subscription(subs: DataFrame, plans: DataFrame, as_of=None) -> DataFr
     carry = [c for c in carry if c in subs.columns]
     latest = pick_per_group(active, ["tenant_id"],
                             [nulls_high(F.col("created_at")), F.col("subscription_id")], carry)
-    p = maybe_broadcast(plans.select("plan_id", F.col("name").alias("plan_name"),
+    p = (plans.select("plan_id", F.col("name").alias("plan_name"),
                                  F.col("slug").alias("plan_slug"), "max_events",
                                  "max_visitors_per_event", "max_admin_users", "features",
                                  F.col("price").alias("plan_price")))
@@ -45,7 +45,7 @@ def latest_subscription(subs: DataFrame, plans: DataFrame, as_of=None) -> DataFr
 # O12 ---------------------------------------------------------------------
 def reprice_plans(plans: DataFrame, prices: DataFrame) -> DataFrame:
     """Set price, currency IDR and features for the listed slugs only."""
-    pr = maybe_broadcast(prices.select("slug", F.col("price").alias("_price"),
+    pr = (prices.select("slug", F.col("price").alias("_price"),
                                    F.col("features").alias("_features")))
     hit = F.col("_price").isNotNull()
     out = plans.join(pr, "slug", "left")
@@ -112,7 +112,7 @@ def payment_quote(plans: DataFrame, requests: DataFrame) -> DataFrame:
     """Amount to charge per request (plan_id, billing_period, provider):
     yearly = 12 months at 80 %, USD converted to IDR, the provider amount
     rounded half-up to whole units."""
-    p = maybe_broadcast(plans.where(F.col("is_active"))
+    p = (plans.where(F.col("is_active"))
                     .select("plan_id", "price", "currency", F.col("name").alias("plan_name")))
     out = requests.join(p, "plan_id", "inner")
     period = F.coalesce(F.col("billing_period"), F.lit("monthly"))

@@ -17,27 +17,6 @@ def as_list(cols) -> list[str]:
     return [cols] if isinstance(cols, str) else list(cols)
 
 
-def maybe_broadcast(df: DataFrame, max_bytes: int | None = None) -> DataFrame:
-    """Broadcast ``df`` only when the optimizer's size estimate proves it
-    small (at most ``max_bytes``, default the session's auto-broadcast
-    threshold). Otherwise leave the join to the planner: a sort-merge join,
-    which AQE may still turn into a broadcast from measured runtime sizes.
-    """
-    spark = df.sparkSession
-    if max_bytes is None:
-        try:
-            max_bytes = int(spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
-        except Exception:  # noqa: BLE001 - e.g. a Connect session: use Spark's default
-            max_bytes = 10 * 1024 * 1024
-    if max_bytes <= 0:
-        return df
-    try:
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # noqa: BLE001 - no estimate: do not force a broadcast
-        return df
-    return F.broadcast(df) if size <= max_bytes else df
-
-
 def left_join_keep_fanout(one: DataFrame, many: DataFrame, on: Sequence[str]) -> DataFrame:
     """``one LEFT JOIN many`` with one output row per matching ``many`` row.
 

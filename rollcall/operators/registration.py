@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.contacts import EMAIL_VALID
 from ..functions.scalars import lpad_keep, ticket_checksum, ts_ntz
-from .common import as_list, number_within_groups, pick_per_group, maybe_broadcast
+from .common import as_list, number_within_groups, pick_per_group
 
 # The schema's CHECK lists and patterns.
 TENANT_SLUG = r"^[a-z0-9-]+$"
@@ -134,7 +134,7 @@ def assign_codes(new: DataFrame, existing: DataFrame, categories: DataFrame,
     non-numeric suffix is ignored); longer numbers are never cut. The whole
     batch is numbered at once, in ``order_by``.
     """
-    cats = maybe_broadcast(categories.select("category_id", F.col("code").alias("_cat_code")))
+    cats = (categories.select("category_id", F.col("code").alias("_cat_code")))
     if style == "saas":
         yy = F.date_format(ts_ntz(as_of), "yy") if as_of else F.date_format(F.current_date(), "yy")
         group, width = ["tenant_id", "category_id"], 4
@@ -187,7 +187,7 @@ def ticket_payload(visitors: DataFrame, categories: DataFrame, key: str, as_of:
     base64 encoded."""
     if len(key.encode()) not in (16, 24, 32):
         raise ValueError("ticket key must be 16, 24 or 32 bytes")
-    cat = maybe_broadcast(categories.select("category_id", F.col("name").alias("_cat_name")))
+    cat = (categories.select("category_id", F.col("name").alias("_cat_name")))
     # A ticket needs a registration code (visitors without one get none).
     v = visitors.where(F.col("registration_code").isNotNull()).join(cat, "category_id", "left")
     checksum = ticket_checksum("visitor_id", "registration_code", "email")

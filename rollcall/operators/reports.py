@@ -5,19 +5,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.scalars import attendance_status as attendance_label
 from ..functions.scalars import percent_2dp
-from .common import left_join_keep_fanout, maybe_broadcast
+from .common import left_join_keep_fanout
 
 # Category codes counted by the dashboards and their output names.
 CODE_COLUMNS = [("VIP", "vip"), ("SPR", "sponsor"), ("SPK", "speaker"), ("PTC", "participant")]
 
 
 def _category_dim(categories: DataFrame) -> DataFrame:
-    # Categories are a handful of rows per tenant: a broadcast dimension.
-    return maybe_broadcast(categories.select(
+    # A small dimension: Spark broadcasts it when its size estimate is under
+    # the auto-broadcast threshold, and AQE re-checks with measured sizes.
+    return (categories.select(
         "category_id",
         F.col("name").alias("category_name"),
         F.col("code").alias("category_code"),
@@ -108,7 +108,7 @@ def recent_checkins(checkins: DataFrame, visitors: DataFrame, categories: DataFr
         v = v.where(F.col("event_id") == F.lit(event_id))
     if tenant_id is not None:
         v = v.where(F.col("tenant_id") == F.lit(tenant_id))
-    cat = maybe_broadcast(categories.select("category_id", F.col("name").alias("category_name"),
+    cat = (categories.select("category_id", F.col("name").alias("category_name"),
                                         F.col("color").alias("category_color")))
     who = staff.select(F.col("user_id").alias("checked_in_by"),
                        F.col("first_name").alias("checked_in_by_name"))
@@ -204,7 +204,7 @@ def tenant_analytics(tenants: DataFrame, subscriptions: DataFrame, plans: DataFr
         "tenant_id", F.col("name").alias("tenant_name"), F.col("slug").alias("tenant_slug"),
         F.col("created_at").alias("tenant_created_at"))
     plan_names = (subscriptions.where(F.col("status") == "active")
-                  .join(maybe_broadcast(plans.select("plan_id", F.col("name").alias("plan_name"))),
+                  .join((plans.select("plan_id", F.col("name").alias("plan_name"))),
                         "plan_id", "inner")
                   .select("tenant_id", "plan_name").distinct())
     ev = events.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("total_events"))
@@ -232,20 +232,15 @@ def tenant_analytics(tenants: DataFrame, subscriptions: DataFrame, plans: DataFr
 # O23 ---------------------------------------------------------------------
 def category_counts(visitors: DataFrame, categories: DataFrame) -> DataFrame:
     """Visitors per category (0 for a category nobody chose) and the overall
-    total on every row."""
+    total on every row (a scalar subquery: one partial count, no window)."""
     per_cat = visitors.groupBy("category_id").agg(F.count(F.lit(1)).alias("visitors"))
-    # per_cat has one row per distinct category id: tiny, so the unpartitioned
-    # window that adds the grand total runs on a bounded input.
-    # per_cat has one row per distinct category id and the output one row per
-    # category, so the unpartitioned windows run on bounded inputs.
-    per_cat = per_cat.withColumn("total_registered", F.sum("visitors").over(Window.partitionBy()))
+    total = visitors.select(F.count(F.lit(1))).scalar()
     out = (categories.select("category_id", F.col("name").alias("category_name"))
            .join(per_cat, "category_id", "left"))
     return out.select(
         "category_id", "category_name",
         F.coalesce(F.col("visitors"), F.lit(0).cast("long")).alias("visitors"),
-        F.coalesce(F.max("total_registered").over(Window.partitionBy()),
-                   F.lit(0).cast("long")).alias("total_registered"))
+        total.alias("total_registered"))
 
 
 # O30 ---------------------------------------------------------------------
