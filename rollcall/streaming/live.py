@@ -29,11 +29,13 @@ def checkin_stream(scans: DataFrame, visitors: DataFrame, delay: str = "1 day",
                    time_col: str = "scan_time") -> DataFrame:
     """Live admission, watermark form: the first scan per visitor within the
     watermark is kept (a late offline replay still counts if it arrives
-    within ``delay``), joined to the static visitor table (stream-static
+    within ``delay``; an older one is dropped), joined to the static visitor table (stream-static
     inner join: unknown visitors drop out). State per visitor is dropped once
     the watermark passes, so a repeat scan much later is not caught here;
     ``exact_admission_batch`` gives the all-time rule."""
     v = visitors.select("visitor_id", "event_id", "tenant_id")
+    # Rows older than the watermark are dropped; Spark tests lateness
+    # against the previous micro-batch's watermark.
     return (scans.withWatermark(time_col, delay)
                  .dropDuplicatesWithinWatermark(["visitor_id"])
                  .join(v, "visitor_id", "inner"))

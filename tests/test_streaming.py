@@ -65,6 +65,19 @@ def test_watermark_dedupe_keeps_first_within_delay(spark):
     assert got == [("a1", 100), ("b1", 100)]
 
 
+def test_watermark_drops_scans_later_than_delay(spark):
+    # After batch 1 (09:40) the watermark is 08:40; Spark filters late rows
+    # against the previous batch's watermark, so in batch 3 visitor 2's
+    # offline scan from 08:05 is dropped, and visitor 1's repeat at 09:30
+    # (inside the delay) is removed as a duplicate.
+    batches = [[("a1", 1, at(100))], [("b1", 3, at(105))], [("late", 2, at(5)), ("dup", 1, at(90))]]
+    path = feed(spark, "late", batches, SCAN_SCHEMA)
+    stream = spark.readStream.schema(SCAN_SCHEMA).option("maxFilesPerTrigger", 1).parquet(path)
+    out = live.checkin_stream(stream, visitors(spark), delay="1 hour")
+    got = rows(spark.read.parquet(run_available_now(out, "late")), "request_id")
+    assert got == [("a1",), ("b1",)]
+
+
 def test_running_totals_complete_mode(spark):
     batches = [[("a1", 1, at(0)), ("a2", 3, at(1))], [("b1", 2, at(5)), ("b2", 3, at(6))]]
     path = feed(spark, "totals", batches, SCAN_SCHEMA)
