@@ -62,7 +62,7 @@ _PID_FIELD = "_seq_pid"
 
 def running_within_groups(df: DataFrame, group: Sequence[str], order: Sequence[str],
                           out: str = "seq", weight: str | None = None,
-                          partitions: int | None = None) -> DataFrame:
+                          partitions: int | None = None, engine: str = "window") -> DataFrame:
     """Add ``out`` = running count (or running sum of ``weight``, inclusive)
     within each group in ``order`` (which must end in a unique column).
     Same result as a window ``partitionBy(group).orderBy(order)`` with
@@ -71,7 +71,11 @@ def running_within_groups(df: DataFrame, group: Sequence[str], order: Sequence[s
 
     1. range-partition on (group, order) so a big group spans several
        partitions, each sorted;
-    2. accumulate within each (partition, group) in an Arrow batch pass;
+    2. accumulate within each (partition, group): a window partitioned by
+       (range partition, group), so no window partition is larger than one
+       range partition (``engine="window"``, JVM only), or an Arrow batch
+       pass over the sorted partition (``engine="arrow"``, no second
+       shuffle);
     3. per (partition, group) totals give each continuing group the sum of
        its rows in earlier partitions. Only a group that starts in an
        earlier partition needs such an offset, so that table has at most
@@ -114,7 +118,15 @@ def running_within_groups(df: DataFrame, group: Sequence[str], order: Sequence[s
             last_hash, last_total = h[-1], int(acc[-1])
             yield pdf.assign(**{_SEQ_FIELD: pd.Series(acc.astype("int64"), index=pdf.index)})
 
-    local = ranged.mapInPandas(local_running, schema)
+    if engine == "window":
+        amount_col = F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")
+        wl = (Window.partitionBy(_PID_FIELD, *group).orderBy(*order)
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        local = ranged.withColumn(_SEQ_FIELD, F.sum(F.coalesce(amount_col, F.lit(0))).over(wl))
+    elif engine == "arrow":
+        local = ranged.mapInPandas(local_running, schema)
+    else:
+        raise ValueError(f"unknown engine {engine!r}")
     amount = F.count(F.lit(1)) if weight is None else F.sum(F.col(weight))
     totals = ranged.groupBy(_PID_FIELD, *group).agg(amount.alias("_n"))
     w = Window.partitionBy(*group).orderBy(_PID_FIELD).rowsBetween(Window.unboundedPreceding, -1)
@@ -127,9 +139,10 @@ def running_within_groups(df: DataFrame, group: Sequence[str], order: Sequence[s
 
 
 def number_within_groups(df: DataFrame, group: Sequence[str], order: Sequence[str],
-                         out: str = "seq", partitions: int | None = None) -> DataFrame:
+                         out: str = "seq", partitions: int | None = None,
+                         engine: str = "window") -> DataFrame:
     """``row_number()`` within groups, skew-safe (see ``running_within_groups``)."""
-    return running_within_groups(df, group, order, out=out, partitions=partitions)
+    return running_within_groups(df, group, order, out=out, partitions=partitions, engine=engine)
 
 
 def percentile_exact(df: DataFrame, group: Sequence[str], value: str, q: float,

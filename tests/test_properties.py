@@ -83,11 +83,12 @@ def test_percentile_exact_matches_builtin(spark, data, q, parts):
 
 @settings(max_examples=5, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 9)), min_size=1, max_size=120),
-       st.integers(1, 7))
-def test_running_sum_matches_window(spark, data, parts):
+       st.integers(1, 7), st.sampled_from(["window", "arrow"]))
+def test_running_sum_matches_window(spark, data, parts, engine):
     from rollcall.operators.common import running_within_groups
     df = spark.createDataFrame([(g, w, i) for i, (g, w) in enumerate(data)], "g int, w long, id int")
-    got = running_within_groups(df, ["g"], ["id"], out="s", weight="w", partitions=parts)
+    got = running_within_groups(df, ["g"], ["id"], out="s", weight="w", partitions=parts,
+                                engine=engine)
     want = df.withColumn("s", F.sum("w").over(Window.partitionBy("g").orderBy("id")
                                                .rowsBetween(Window.unboundedPreceding, 0)))
     assert rows(got, "id", "s") == rows(want, "id", "s")
@@ -99,11 +100,12 @@ def test_running_sum_carries_across_arrow_batches(spark):
     try:
         data = [(g, (i % 5) + 1, i) for i, g in enumerate([0] * 17 + [1] * 2 + [2] * 11)]
         df = spark.createDataFrame(data, "g int, w long, id int")
-        got = running_within_groups(df, ["g"], ["id"], out="s", weight="w", partitions=2)
+        got = running_within_groups(df, ["g"], ["id"], out="s", weight="w", partitions=2,
+                                    engine="arrow")
         want = df.withColumn("s", F.sum("w").over(Window.partitionBy("g").orderBy("id")
                                                    .rowsBetween(Window.unboundedPreceding, 0)))
         assert rows(got, "id", "s") == rows(want, "id", "s")
-        seq = number_within_groups(df, ["g"], ["id"], out="n", partitions=3)
+        seq = number_within_groups(df, ["g"], ["id"], out="n", partitions=3, engine="arrow")
         want_n = df.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy("id")))
         assert rows(seq, "id", "n") == rows(want_n, "id", "n")
     finally:
