@@ -11,11 +11,14 @@ from .common import nulls_high, pick_per_group
 
 
 def _as_of(as_of):
+    """A point in time: 'YYYY-MM-DD HH:MM:SS' text, a Column, or None for now."""
+    if as_of is None:
+        return F.localtimestamp()
     return ts_ntz(as_of) if isinstance(as_of, str) else as_of
 
 
 # O10 ---------------------------------------------------------------------
-def active_subscriptions(subs: DataFrame, as_of) -> DataFrame:
+def active_subscriptions(subs: DataFrame, as_of=None) -> DataFrame:
     """status = 'active' and not yet ended at ``as_of``."""
     now = _as_of(as_of)
     return subs.where((F.col("status") == "active")
@@ -23,12 +26,13 @@ def active_subscriptions(subs: DataFrame, as_of) -> DataFrame:
 
 
 # O27 ---------------------------------------------------------------------
-def latest_subscription(subs: DataFrame, plans: DataFrame, as_of=None) -> DataFrame:
-    """Newest active subscription per tenant with its plan limits. Without
-    ``as_of`` the end date is not tested (as the app's lookup does); with it,
-    O10's test is applied first (as the limit check does). Newest = created
+def latest_subscription(subs: DataFrame, plans: DataFrame, as_of=False) -> DataFrame:
+    """Newest active subscription per tenant with its plan limits. By default
+    the end date is not tested (as the app's lookup does); with ``as_of`` (a
+    time, or None for now) O10's test is applied first (as the limit check
+    does). Newest = created
     last, NULL created first (PostgreSQL DESC), ties to the larger id."""
-    active = subs.where(F.col("status") == "active") if as_of is None \
+    active = subs.where(F.col("status") == "active") if as_of is False \
         else active_subscriptions(subs, as_of)
     carry = ["subscription_id", "plan_id", "status", "starts_at", "ends_at", "created_at",
              "billing_email"]
@@ -80,7 +84,7 @@ def subscription_with_last_payment(subs: DataFrame, plans: DataFrame,
 
 # O24 ---------------------------------------------------------------------
 def plan_usage(tenants: DataFrame, subs: DataFrame, plans: DataFrame, events: DataFrame,
-               staff: DataFrame, visitors: DataFrame, as_of) -> DataFrame:
+               staff: DataFrame, visitors: DataFrame, as_of=None) -> DataFrame:
     """Usage against the current plan's limits, three rows per tenant:
     events (all the tenant's events), users (active staff) and
     visitors_per_event (the tenant's largest event). ``allowed`` is

@@ -357,3 +357,16 @@ def test_access_log_parse(spark):
                       200, 512, 0.012, 0.011)
     assert got[1][2] == "bob" and got[1][7] == 502 and got[1][8] is None and got[1][10] is None
     assert got[2][0] is False and all(x is None for x in got[2][1:])
+
+
+def test_report_views_queryable_by_name(spark, dom):
+    from rollcall.plans.sql_views import register_report_views
+    names = register_report_views(dom, as_of="2024-03-01 00:00:00")
+    assert "dashboard_stats" in names and "tenant_limits" in names
+    one = spark.sql("SELECT total_registered, total_checkedin FROM dashboard_stats WHERE event_id = 5")
+    want = reports.dashboard_stats(dom.occasions, dom.visitors, dom.categories, dom.checkins) \
+        .where("event_id = 5").select("total_registered", "total_checkedin")
+    assert rows(one) == rows(want)
+    allowed = spark.sql("SELECT allowed FROM tenant_limits WHERE tenant_id = 1 AND limit_type = 'events'")
+    assert allowed.count() == 1
+    assert spark.sql("SELECT count(*) FROM visitor_summary").first()[0] >= dom.visitors.count()
