@@ -20,7 +20,9 @@ ACCESS_LOG_TIME = "dd/MMM/yyyy:HH:mm:ss"
 
 # Service targets (mean < 100 ms, p95 < 200 ms, errors < 0.1 %),
 # slow request threshold 1 s.
+MEAN_TARGET_MS = 100.0
 TARGET_MS = 200.0
+ERROR_TARGET = 0.001
 SLOW_MS = 1000.0
 
 # Rate-limit windows and ceilings per route; health checks skipped.
@@ -67,7 +69,8 @@ def parse_access_log(lines: DataFrame, col: str = "value") -> DataFrame:
 def request_kpis(log: DataFrame, by: Sequence[str] | str = ("route",),
                  duration: str = "duration_ms", approx: bool = False) -> DataFrame:
     """Requests, error share, mean and p95 duration, share under the p95
-    target and share over the slow threshold, per ``by``.
+    target and share over the slow threshold, per ``by``, with a pass flag
+    for each service target (mean, p95, error rate).
 
     The exact p95 (``percentile_exact``) counts durations per (key, value),
     runs cumulative counts over range partitions and interpolates, so a
@@ -82,12 +85,16 @@ def request_kpis(log: DataFrame, by: Sequence[str] | str = ("route",),
             F.round(F.avg(d), 6).alias("avg_ms"),
             F.round(F.count(F.when(d < TARGET_MS, 1)) / n, 6).alias("under_target_share"),
             F.round(F.count(F.when(d > SLOW_MS, 1)) / n, 6).alias("slow_share")]
+    aggs += [(F.avg(d) < MEAN_TARGET_MS).alias("mean_ok"),
+             (F.count(F.when(F.col("status") >= 500, 1)) / n < ERROR_TARGET).alias("errors_ok")]
     if approx:
-        return log.groupBy(*by).agg(*aggs, F.round(F.percentile_approx(d, 0.95, 10000), 6)
-                                    .alias("p95_ms"))
+        p = F.percentile_approx(d, 0.95, 10000)
+        return log.groupBy(*by).agg(*aggs, F.round(p, 6).alias("p95_ms"),
+                                    (p < TARGET_MS).alias("p95_ok"))
     p95 = percentile_exact(log, by, duration, 0.95, out="_p95")
     return (log.groupBy(*by).agg(*aggs).join(p95, by, "left")
-               .withColumn("p95_ms", F.round("_p95", 6)).drop("_p95"))
+               .withColumn("p95_ms", F.round("_p95", 6))
+               .withColumn("p95_ok", F.col("_p95") < TARGET_MS).drop("_p95"))
 
 
 # O26 ---------------------------------------------------------------------

@@ -11,7 +11,7 @@ from ..functions.contacts import EMAIL_VALID
 from ..functions.scalars import lpad_keep, ticket_checksum, ts_ntz
 from .common import as_list, number_within_groups, pick_per_group
 
-# The schema's CHECK lists and patterns.
+# The schema's CHECK lists, patterns and column lengths.
 TENANT_SLUG = r"^[a-z0-9-]+$"
 CATEGORY_COLOR = r"^#[0-9A-Fa-f]{6}$"
 EVENT_STATUSES = ["draft", "published", "active", "completed", "cancelled"]
@@ -29,6 +29,11 @@ def not_blank(c: str) -> Column:
     return F.col(c).isNotNull() & (F.length(F.trim(F.col(c))) > 0)
 
 
+def fits(c: str, n: int) -> Column:
+    """VARCHAR(n): at most n characters (NULL passes)."""
+    return F.length(F.col(c)) <= n
+
+
 def rule_sets() -> dict[str, list[tuple[str, Column]]]:
     """Named data-quality rules per table. A rule is violated when its
     condition is FALSE; NULL passes, as a CHECK constraint does, so
@@ -36,25 +41,35 @@ def rule_sets() -> dict[str, list[tuple[str, Column]]]:
     return {
         "tenants": [
             ("name_required", not_blank("name")),
+            ("name_length", fits("name", 255)),
             ("slug_required", not_blank("slug")),
+            ("slug_length", fits("slug", 100)),
             ("slug_format", F.col("slug").rlike(TENANT_SLUG)),
+            ("subdomain_length", fits("subdomain", 100)),
             ("subdomain_format", F.col("subdomain").rlike(TENANT_SLUG)),
         ],
         "occasions": [
             ("name_required", not_blank("event_name")),
+            ("name_length", fits("event_name", 255)),
+            ("slug_length", fits("slug", 255)),
             ("slug_format", F.col("slug").rlike(TENANT_SLUG)),
             ("status_enum", F.col("status").isin(EVENT_STATUSES)),
             ("end_after_start", F.col("end_time") > F.col("start_time")),
         ],
         "visitors": [
             ("name_required", not_blank("first_name")),
+            ("name_length", fits("first_name", 255)),
             ("email_required", not_blank("email")),
+            ("email_length", fits("email", 255)),
             ("email_format", F.col("email").rlike(EMAIL_VALID)),
+            ("code_length", fits("registration_code", 50)),
             ("category_range", F.col("category_id").between(1, 4)),
             ("event_id_positive", F.col("event_id") >= 1),
             ("status_enum", F.col("status").isin(VISITOR_STATUSES)),
         ],
         "categories": [
+            ("name_length", fits("name", 100)),
+            ("code_length", fits("code", 10)),
             ("color_format", F.col("color").rlike(CATEGORY_COLOR)),
         ],
         "subscriptions": [

@@ -39,6 +39,24 @@ REQUEST_LOG_SCHEMA = T.StructType([
 ])
 
 
+# Notice bodies of the two payment providers.
+FIRST_PROVIDER_NOTICE_SCHEMA = T.StructType([
+    T.StructField(n, T.StringType()) for n in
+    ("order_id", "transaction_status", "fraud_status", "gross_amount",
+     "custom_field1", "custom_field2", "custom_field3")])
+
+SECOND_PROVIDER_NOTICE_SCHEMA = T.StructType([
+    T.StructField("external_id", T.StringType()),
+    T.StructField("status", T.StringType()),
+    T.StructField("amount", T.DoubleType()),
+    T.StructField("metadata", T.StructType([
+        T.StructField("tenant_id", T.StringType()),
+        T.StructField("plan_id", T.StringType()),
+        T.StructField("billing_period", T.StringType())])),
+    T.StructField("id", T.StringType()),
+])
+
+
 def scratch_path(spark: SparkSession, *parts: str) -> str:
     """A fresh folder under the shared checkpoint directory."""
     root = ensure_checkpoint_dir(spark).rstrip("/")

@@ -49,3 +49,17 @@ def test_json_reader_batch_split(spark):
     assert rows(good, "qr_data", "location", "id") == [("abc", "Main Entrance", "off-1"),
                                                        ("def", "Gate 2", None)]
     assert [r[rio.CORRUPT] for r in bad.collect()] == ["not json at all"]
+
+
+def test_provider_notice_schemas_read_the_bodies(spark, dom):
+    from rollcall.operators.billing import map_payment_status
+    for provider, schema, key in (("midtrans", rio.FIRST_PROVIDER_NOTICE_SCHEMA, "order_id"),
+                                  ("xendit", rio.SECOND_PROVIDER_NOTICE_SCHEMA, "external_id")):
+        path = rio.scratch_path(spark, "notices", provider)
+        hooks = dom.webhooks.where(F.col("provider") == provider)
+        hooks.select(F.col("body").alias("value")).write.text(path)
+        ev = rio.read_json_events(spark, path, schema)
+        good, bad = rio.split_valid(ev)
+        assert bad.count() == 0
+        mapped = map_payment_status(hooks).select("order_id")
+        assert rows(good.select(F.col(key).alias("order_id"))) == rows(mapped)
