@@ -7,6 +7,7 @@ executor and a restarted driver see the same files.
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -113,23 +114,19 @@ class DuplicateKeyError(ValueError):
     pass
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hpath, jvm
-
-
 def refresh_snapshot(df: DataFrame, root: str, key, partition_by=None) -> str:
     """Rebuild a snapshot and swap it in whole.
 
     The new version is written to its own folder; its key is checked for
-    uniqueness on the written files (a distributed count, nothing collected
-    but the verdict); only then is the small ``_CURRENT`` pointer replaced
-    by a rename, so readers see either the old or the new version, never a
-    half-written one. A duplicate key leaves the old version current.
+    uniqueness on the written files (a distributed count; only the verdict
+    reaches the driver); only then is it published by appending one pointer
+    row whose name sorts after every earlier one. Pointers are never
+    rewritten, so a reader sees either the old or the new version, never a
+    half-written one, and older versions stay readable. A duplicate key
+    leaves the old version current.
     """
     spark = df.sparkSession
-    version = f"v-{uuid.uuid4().hex}"
+    version = f"v-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
     target = f"{root.rstrip('/')}/{version}"
     w = df.write.mode("errorifexists")
     if partition_by:
@@ -140,35 +137,19 @@ def refresh_snapshot(df: DataFrame, root: str, key, partition_by=None) -> str:
              .where(F.col("count") > 1).limit(1).count())
     if dupes:
         raise DuplicateKeyError(f"snapshot key {keys} is not unique; {target} not published")
-    publish_pointer(spark, root, version)
+    (spark.createDataFrame([(version,)], "version string").coalesce(1)
+          .write.mode("append").text(f"{root.rstrip('/')}/pointers"))
     return target
 
 
-def publish_pointer(spark: SparkSession, root: str, version: str) -> None:
-    """Write ``version`` to a temp file and rename it over ``_CURRENT`` in
-    one step (rename with overwrite is atomic on HDFS-like stores)."""
-    fs, hroot, jvm = _fs(spark, root)
-    Path = jvm.org.apache.hadoop.fs.Path
-    tmp = Path(f"{root.rstrip('/')}/_CURRENT.{uuid.uuid4().hex}")
-    out = fs.create(tmp, True)
-    out.write(bytearray(version.encode()))
-    out.close()
-    current = Path(f"{root.rstrip('/')}/_CURRENT")
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    fc = jvm.org.apache.hadoop.fs.FileContext.getFileContext(hroot.toUri(), conf)
-    rename = jvm.org.apache.hadoop.fs.Options.Rename
-    opts = spark.sparkContext._gateway.new_array(rename, 1)
-    opts[0] = rename.OVERWRITE
-    fc.rename(tmp, current, opts)
-
-
-def current_snapshot(spark: SparkSession, root: str) -> DataFrame:
-    """Read the version the pointer names (the pointer is a few bytes of
-    metadata read through the Hadoop file system, like a table log)."""
-    fs, _, jvm = _fs(spark, root)
-    stream = fs.open(jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/_CURRENT"))
-    try:
-        version = bytes(stream.readAllBytes()).decode().strip()
-    finally:
-        stream.close()
+def snapshot_versions(spark: SparkSession, root: str) -> DataFrame:
+    """Published versions, oldest first (one row per refresh)."""
+    return spark.read.text(f"{root.rstrip('/')}/pointers") \
+        .select(F.col("value").alias("version")).orderBy("version")
+
+
+def current_snapshot(spark: SparkSession, root: str, version: str | None = None) -> DataFrame:
+    """Read the latest published version (or a given earlier one)."""
+    if version is None:
+        version = snapshot_versions(spark, root).agg(F.max("version")).first()[0]
     return spark.read.parquet(f"{root.rstrip('/')}/{version}")

@@ -63,3 +63,13 @@ def test_provider_notice_schemas_read_the_bodies(spark, dom):
         assert bad.count() == 0
         mapped = map_payment_status(hooks).select("order_id")
         assert rows(good.select(F.col(key).alias("order_id"))) == rows(mapped)
+
+
+def test_snapshot_versions_keep_history(spark):
+    root = rio.scratch_path(spark, "snap_hist")
+    for n in (1, 2, 3):
+        rio.refresh_snapshot(spark.createDataFrame([(k, n) for k in range(3)], "k int, n int"), root, key="k")
+    versions = [r.version for r in rio.snapshot_versions(spark, root).collect()]
+    assert len(versions) == 3 and versions == sorted(versions)
+    assert rows(rio.current_snapshot(spark, root), "n") == [(3,)] * 3
+    assert rows(rio.current_snapshot(spark, root, versions[0]), "n") == [(1,)] * 3
