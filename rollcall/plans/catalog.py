@@ -34,7 +34,7 @@ def dom(spark: SparkSession, sf_dir: str) -> Domain:
 @query("load_views")
 def q_load_views(spark, sf_dir):
     d = dom(spark, sf_dir)
-    counts = [d.__getattribute__(v).agg(F.count(F.lit(1)).alias("row_count"))
+    counts = [getattr(d, v).agg(F.count(F.lit(1)).alias("row_count"))
               .select(F.lit(v).alias("view"), "row_count") for v in Domain.VIEW_NAMES]
     out = counts[0]
     for c in counts[1:]:
