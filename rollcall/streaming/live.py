@@ -69,14 +69,27 @@ def exact_admission_batch(visitors: DataFrame, decisions_path: str,
 def live_dashboard(scans: DataFrame, visitors: DataFrame, window: str = "1 hour",
                    by: Sequence[str] = ("event_id", "category_id"), delay: str = "1 day",
                    time_col: str = "scan_time") -> DataFrame:
-    """Check-in counts per tumbling window and ``by`` keys; with a watermark
-    the windows are final and can be emitted in append mode."""
-    v = visitors.select("visitor_id", *[c for c in as_list(by) if c != "visitor_id"])
-    joined = scans.withWatermark(time_col, delay).join(v, "visitor_id", "inner")
-    return (joined.groupBy(F.window(time_col, window).alias("w"), *as_list(by))
-                  .agg(F.count(F.lit(1)).alias("checkins"))
-                  .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
-                          *as_list(by), "checkins"))
+    """Check-in counts per tumbling window and ``by`` keys (visitor
+    attributes); with a watermark the windows are final and can be emitted
+    in append mode.
+
+    Micro-batches run without AQE, so a visitor scanned very often would
+    concentrate a stream-static join in one task. Scans are therefore first
+    counted per (window, visitor) (a partial aggregation), the per-visitor
+    counts are joined to the visitor table (at most one row per visitor and
+    window), and a second windowed aggregation over the first one's
+    ``window_time`` rolls them up per ``by``."""
+    by = as_list(by)
+    v = visitors.select("visitor_id", *[c for c in by if c != "visitor_id"])
+    per_visitor = (scans.withWatermark(time_col, delay)
+                        .groupBy(F.window(time_col, window).alias("w"), "visitor_id")
+                        .agg(F.count(F.lit(1)).alias("_n"))
+                        .select(F.window_time("w").alias("_wt"), "visitor_id", "_n"))
+    return (per_visitor.join(v, "visitor_id", "inner")
+                       .groupBy(F.window("_wt", window).alias("w"), *by)
+                       .agg(F.sum("_n").alias("checkins"))
+                       .select(F.col("w.start").alias("window_start"),
+                               F.col("w.end").alias("window_end"), *by, "checkins"))
 
 
 def running_totals(scans: DataFrame, visitors: DataFrame,
