@@ -78,7 +78,9 @@ def live_dashboard(scans: DataFrame, visitors: DataFrame, window: str = "1 hour"
     counted per (window, visitor) (a partial aggregation), the per-visitor
     counts are joined to the visitor table (at most one row per visitor and
     window), and a second windowed aggregation over the first one's
-    ``window_time`` rolls them up per ``by``."""
+    ``window_time`` rolls them up per ``by``. The price is state per active
+    visitor and open window (evicted as the watermark passes) instead of
+    per ``by`` key and window."""
     by = as_list(by)
     v = visitors.select("visitor_id", *[c for c in by if c != "visitor_id"])
     per_visitor = (scans.withWatermark(time_col, delay)
