@@ -541,3 +541,19 @@ def q_mark_checked_in(spark, sf_dir):
     decisions = registration.admit_checkins(requests, d.visitors, c.where(F.col("is_stored")))
     return registration.mark_checked_in(d.visitors.select("visitor_id", "tenant_id", "status"),
                                         decisions, PATCH_AS_OF)
+
+
+@query("payment_expiry_stream")
+def q_payment_expiry_stream(spark, sf_dir):
+    """Payments and provider notices as two streams; a payment with no
+    notice within 24 h is emitted as expired once the watermark (1 h delay,
+    the minimum over both inputs) has passed its creation + 24 h."""
+    d = dom(spark, sf_dir)
+    pays = live.event_time(d.payments.select("order_id", "tenant_id", "created_at"), "created_at")
+    notes = live.event_time(billing.map_payment_status(d.webhooks)
+                            .select("order_id", "received_at", "notice_id"), "received_at")
+    out = live.payment_expiry_stream(_stream_of(spark, pays, "payments"),
+                                     _stream_of(spark, notes, "notices"), hours=24, delay="1 hour")
+    res = spark.read.parquet(run_available_now(out, "payment_expiry"))
+    return res.select("order_id", "tenant_id",
+                      F.col("created_at").cast("timestamp_ntz").alias("created_at"), "status")

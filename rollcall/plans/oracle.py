@@ -643,3 +643,16 @@ sql("mark_checked_in", """
            CASE WHEN a.visitor_id IS NOT NULL THEN 'checked_in' ELSE v.status END AS status,
            CASE WHEN a.visitor_id IS NOT NULL THEN TIMESTAMP '2024-02-01 00:00:00' END AS updated_at
     FROM visitors v LEFT JOIN acc a ON a.visitor_id = v.visitor_id""")
+
+# Emitted once the final watermark (min over both inputs of max event time,
+# minus the 1 h delay) has passed creation + 24 h.
+sql("payment_expiry_stream", f"""
+    WITH n AS ({_NOTICES}),
+    wm AS (SELECT least((SELECT max(created_at) FROM payments),
+                        (SELECT max(received_at) FROM n)) - INTERVAL 1 HOUR AS w)
+    SELECT p.order_id, p.tenant_id, p.created_at, 'expired' AS status
+    FROM payments p
+    WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.order_id = p.order_id
+                        AND n.received_at >= p.created_at
+                        AND n.received_at <= p.created_at + INTERVAL 24 HOUR)
+      AND p.created_at + INTERVAL 24 HOUR < (SELECT w FROM wm)""")
