@@ -60,7 +60,10 @@ def exact_admission_batch(visitors: DataFrame, decisions_path: str,
             stored = batch.select("visitor_id").where(F.lit(False))
         decided = admit_checkins(batch, visitors, stored, time_col=time_col) \
             .withColumn("batch_id", F.lit(batch_id))
-        decided.write.mode("append").parquet(decisions_path)
+        # Partitioned by decision: reading the accepted set skips all
+        # rejects; each file holds one batch id, so the retry check above is
+        # answered from parquet statistics.
+        decided.write.mode("append").partitionBy("decision").parquet(decisions_path)
 
     return handle
 
