@@ -133,11 +133,21 @@ def running_within_groups(df: DataFrame, group: Sequence[str], order: Sequence[s
     carry = (totals.withColumn("_carry", F.sum("_n").over(w))
                    .where(F.col("_carry") > 0)
                    .select(_PID_FIELD, *group, "_carry"))
-    joined = local.join(F.broadcast(carry), [_PID_FIELD, *group], "left")
+    joined = _join_null_safe(local, F.broadcast(carry), [_PID_FIELD, *group], "left")
     return (joined.withColumn(out, F.col(_SEQ_FIELD) + F.coalesce(F.col("_carry"), F.lit(0)))
                   .drop(_SEQ_FIELD, _PID_FIELD, "_carry"))
 
 
+def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Equi-join on ``keys`` where NULL matches NULL (a NULL group is a group)."""
+    r = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
+    cond = None
+    for k in keys:
+        c = left[k].eqNullSafe(r[f"_r_{k}"])
+        cond = c if cond is None else cond & c
+    return left.join(r, cond, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def number_within_groups(df: DataFrame, group: Sequence[str], order: Sequence[str],
                          out: str = "seq", partitions: int | None = None,
                          engine: str = "window") -> DataFrame:
@@ -164,7 +174,7 @@ def percentile_exact(df: DataFrame, group: Sequence[str], value: str, q: float,
     lo, hi = F.floor(pos), F.ceil(pos)
     first_rank = F.col("_cum") - F.col("_c")          # 0-based rank of this value's first copy
     covers = lambda k: (first_rank <= k) & (k < F.col("_cum"))
-    marked = cum.join(sizes, group, "inner").select(
+    marked = _join_null_safe(cum, sizes, group, "inner").select(
         *group, "_v", pos.alias("_pos"), lo.alias("_lo"),
         F.when(covers(lo), F.col("_v")).alias("_vlo"), F.when(covers(hi), F.col("_v")).alias("_vhi"))
     picked = marked.where(F.col("_vlo").isNotNull() | F.col("_vhi").isNotNull())

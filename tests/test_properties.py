@@ -110,3 +110,15 @@ def test_running_sum_carries_across_arrow_batches(spark):
         assert rows(seq, "id", "n") == rows(want_n, "id", "n")
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_null_group_is_a_group(spark):
+    from rollcall.operators.common import percentile_exact
+    data = [(None if i % 3 == 0 else i % 2, float(i), i) for i in range(60)]
+    df = spark.createDataFrame(data, "g int, v double, id int")
+    got = number_within_groups(df, ["g"], ["id"], out="n", partitions=5)
+    want = df.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy("id")))
+    assert rows(got, "id", "n") == rows(want, "id", "n")
+    p = dict(rows(percentile_exact(df, ["g"], "v", 0.5, partitions=4), "g", "p"))
+    w = dict(rows(df.groupBy("g").agg(F.percentile("v", F.lit(0.5)).alias("p")), "g", "p"))
+    assert p == w
