@@ -26,19 +26,27 @@ def event_time(df: DataFrame, col: str) -> DataFrame:
 
 # O42 ---------------------------------------------------------------------
 def checkin_stream(scans: DataFrame, visitors: DataFrame, delay: str = "1 day",
-                   time_col: str = "scan_time") -> DataFrame:
+                   time_col: str = "scan_time", salt_buckets: int = 16) -> DataFrame:
     """Live admission, watermark form: the first scan per visitor within the
     watermark is kept (a late offline replay still counts if it arrives
-    within ``delay``; an older one is dropped), joined to the static visitor table (stream-static
-    inner join: unknown visitors drop out). State per visitor is dropped once
-    the watermark passes, so a repeat scan much later is not caught here;
-    ``exact_admission_batch`` gives the all-time rule."""
+    within ``delay``; an older one is dropped), joined to the static visitor
+    table (stream-static inner join: unknown visitors drop out). State per
+    visitor is dropped once the watermark passes, so a repeat scan much
+    later is not caught here; ``exact_admission_batch`` gives the all-time
+    rule.
+
+    Micro-batches run without AQE, so the de-duplication is salted: first
+    per (visitor, request-id bucket), which spreads a visitor scanned very
+    often over ``salt_buckets`` state tasks, then per visitor over at most
+    ``salt_buckets`` survivors. Rows older than the watermark are dropped;
+    Spark tests lateness against the previous micro-batch's watermark."""
     v = visitors.select("visitor_id", "event_id", "tenant_id")
-    # Rows older than the watermark are dropped; Spark tests lateness
-    # against the previous micro-batch's watermark.
-    return (scans.withWatermark(time_col, delay)
-                 .dropDuplicatesWithinWatermark(["visitor_id"])
-                 .join(v, "visitor_id", "inner"))
+    salted = scans.withColumn("_salt", F.abs(F.xxhash64("request_id")) % salt_buckets)
+    return (salted.withWatermark(time_col, delay)
+                  .dropDuplicatesWithinWatermark(["visitor_id", "_salt"])
+                  .dropDuplicatesWithinWatermark(["visitor_id"])
+                  .drop("_salt")
+                  .join(v, "visitor_id", "inner"))
 
 
 def exact_admission_batch(visitors: DataFrame, decisions_path: str,

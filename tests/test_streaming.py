@@ -118,3 +118,13 @@ def test_json_events_stream_keeps_malformed_aside(spark):
                             "json_stream")
     got = rows(spark.read.parquet(out), "url", "status", "bad")
     assert got == [("/api/x", 200, False), ("/health", 200, False), (None, None, True)]
+
+
+def test_salted_dedupe_keeps_one_scan_for_a_hot_visitor(spark):
+    batches = [[(f"h{i}", 1, at(i % 30)) for i in range(200)] + [("x", 3, at(1))],
+               [(f"k{i}", 1, at(40 + i % 10)) for i in range(100)]]
+    path = feed(spark, "hot", batches, SCAN_SCHEMA)
+    stream = spark.readStream.schema(SCAN_SCHEMA).option("maxFilesPerTrigger", 1).parquet(path)
+    out = live.checkin_stream(stream, visitors(spark), delay="1 hour", salt_buckets=8)
+    got = spark.read.parquet(run_available_now(out, "hot"))
+    assert rows(got.groupBy("visitor_id").count()) == [(1, 1), (3, 1)]
