@@ -97,33 +97,47 @@ def validate_rows(df: DataFrame, rules: Sequence[tuple[str, Column]] | str) -> D
 
 # O15 ---------------------------------------------------------------------
 def admit_checkins(requests: DataFrame, visitors: DataFrame, checkins: DataFrame,
-                   keys=("visitor_id",), time_col: str = "scan_time") -> DataFrame:
+                   keys=("visitor_id",), time_col: str = "scan_time",
+                   salt_buckets: int | None = None) -> DataFrame:
     """Batch admission, in the order the check-in call tests things: a
     visitor already checked in -> rejected 'duplicate'; unknown visitor ->
     rejected 'not_found'; otherwise the earliest request per visitor in the
     batch is accepted (event taken from the visitor) and later ones are
     'duplicate'. ``request_id`` must identify a request uniquely (a retried
-    request carries its own id). All joins are on unique keys or
-    de-duplicated key sets, and
-    the earliest pick is a partial aggregation, so a visitor scanned very
-    often does not concentrate work in one task."""
+    request carries its own id).
+
+    Everything is decided per visitor first: the batch's distinct visitors
+    are looked up (known, already checked in) and the earliest request per
+    visitor is a partial aggregation, so these joins see one row per
+    visitor. Only the final labelling join touches every request; with
+    ``salt_buckets`` (for micro-batches, which run without AQE) it is salted
+    so a visitor scanned very often is spread over that many tasks, while
+    in batch jobs AQE's skew join splits it."""
     keys = as_list(keys)
-    seen = checkins.select(*keys).distinct().withColumn("_seen", F.lit(True))
-    known = visitors.select(*keys, F.col("event_id").alias("visitor_event_id"),
+    in_batch = requests.select(*keys).distinct()
+    known = visitors.select(*keys, F.col("event_id").alias("_event_id"),
                             F.lit(True).alias("_known"))
-    r = requests.join(known, keys, "left").join(seen, keys, "left")
-    fresh = r.where(F.col("_known") & F.col("_seen").isNull())
-    first = pick_per_group(fresh, keys, [F.col(time_col), F.col("request_id")], ["request_id"],
-                           largest=False).select("request_id", F.lit(True).alias("_first"))
-    r = r.join(first, "request_id", "left")
+    seen = checkins.select(*keys).distinct().withColumn("_seen", F.lit(True))
+    first = pick_per_group(requests, keys, [F.col(time_col), F.col("request_id")], ["request_id"],
+                           largest=False).withColumnRenamed("request_id", "_first_id")
+    per_visitor = (in_batch.join(known, keys, "left").join(seen, keys, "left")
+                           .join(first, keys, "left"))
+    if salt_buckets:
+        salt = F.pmod(F.xxhash64("request_id"), F.lit(salt_buckets))
+        r = requests.withColumn("_salt", salt)
+        per_visitor = per_visitor.withColumn(
+            "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt_buckets - 1).cast("long"))))
+        r = r.join(per_visitor, [*keys, "_salt"], "left").drop("_salt")
+    else:
+        r = requests.join(per_visitor, keys, "left")
     reason = (F.when(F.col("_seen"), "duplicate")
                .when(F.col("_known").isNull(), "not_found")
-               .when(F.col("_first"), F.lit(None).cast("string"))
+               .when(F.col("request_id") == F.col("_first_id"), F.lit(None).cast("string"))
                .otherwise("duplicate"))
     return (r.withColumn("reason", reason)
              .withColumn("decision", F.when(F.col("reason").isNull(), "accepted").otherwise("rejected"))
-             .withColumn("event_id", F.col("visitor_event_id"))
-             .drop("_seen", "_known", "_first", "visitor_event_id"))
+             .withColumn("event_id", F.col("_event_id"))
+             .drop("_seen", "_known", "_first_id", "_event_id"))
 
 
 def mark_checked_in(visitors: DataFrame, decisions: DataFrame, as_of) -> DataFrame:

@@ -50,7 +50,7 @@ def checkin_stream(scans: DataFrame, visitors: DataFrame, delay: str = "1 day",
 
 
 def exact_admission_batch(visitors: DataFrame, decisions_path: str,
-                          time_col: str = "scan_time"):
+                          time_col: str = "scan_time", salt_buckets: int = 16):
     """``foreachBatch`` handler for the exact rule: each micro-batch is
     admitted (O15) against every scan accepted so far, and all decisions of
     the batch are appended to one table in a single write (accepted rows
@@ -66,7 +66,8 @@ def exact_admission_batch(visitors: DataFrame, decisions_path: str,
             stored = past.where(F.col("decision") == "accepted").select("visitor_id")
         except Exception:  # noqa: BLE001 - first batch: nothing decided yet
             stored = batch.select("visitor_id").where(F.lit(False))
-        decided = admit_checkins(batch, visitors, stored, time_col=time_col) \
+        decided = admit_checkins(batch, visitors, stored, time_col=time_col,
+                                 salt_buckets=salt_buckets) \
             .withColumn("batch_id", F.lit(batch_id))
         # Partitioned by decision: reading the accepted set skips all
         # rejects; each file holds one batch id, so the retry check above is

@@ -370,3 +370,15 @@ def test_report_views_queryable_by_name(spark, dom):
     allowed = spark.sql("SELECT allowed FROM tenant_limits WHERE tenant_id = 1 AND limit_type = 'events'")
     assert allowed.count() == 1
     assert spark.sql("SELECT count(*) FROM visitor_summary").first()[0] >= dom.visitors.count()
+
+
+def test_admit_checkins_salted_equals_plain(spark, dom):
+    c = dom.checkins
+    req = c.where(~F.col("is_stored")).select(F.col("checkin_id").alias("request_id"), "visitor_id",
+                                              F.col("checkin_time").alias("scan_time"))
+    stored = c.where(F.col("is_stored"))
+    cols = ("request_id", "decision", "reason", "event_id")
+    plain = registration.admit_checkins(req, dom.visitors, stored)
+    salted = registration.admit_checkins(req, dom.visitors, stored, salt_buckets=5)
+    assert rows(plain, *cols) == rows(salted, *cols)
+    assert salted.count() == req.count()
