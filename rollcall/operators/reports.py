@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.scalars import attendance_status as attendance_label
 from ..functions.scalars import percent_2dp
@@ -119,6 +120,28 @@ def recent_checkins(checkins: DataFrame, visitors: DataFrame, categories: DataFr
                 .limit(n))
 
 
+def recent_checkins_per_scanner(checkins: DataFrame, visitors: DataFrame, staff: DataFrame,
+                                n: int = 5) -> DataFrame:
+    """The scanner screen's list: the last ``n`` admitted check-ins of every
+    scanning staff member, newest first.
+
+    Written as ``row_number() <= n`` over each scanner; Spark plans it with a
+    partial window group limit before the shuffle, so every map task ships
+    at most ``n`` rows per scanner and a scanner doing most of the scans
+    does not land in one task. Names are joined onto the few kept rows."""
+    known = checkins.join(visitors.select("visitor_id"), "visitor_id", "left_semi")
+    w = Window.partitionBy("checked_in_by").orderBy(F.col("checkin_time").desc_nulls_first(),
+                                                    F.col("checkin_id").asc())
+    # The limit filters the row_number column itself (which lets Spark plan
+    # the partial group limit); the cast to long comes after it.
+    top = (known.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+                .withColumn("rank", F.col("rank").cast("long")))
+    v = visitors.select("visitor_id", "first_name", "last_name", "registration_code")
+    who = staff.select(F.col("user_id").alias("checked_in_by"),
+                       F.col("first_name").alias("checked_in_by_name"))
+    return top.join(v, "visitor_id", "inner").join(who, "checked_in_by", "left")
+
+
 # O19 ---------------------------------------------------------------------
 def count_by_tenant(df: DataFrame, tenant_id=None) -> DataFrame:
     if tenant_id is not None:

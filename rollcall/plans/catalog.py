@@ -557,3 +557,11 @@ def q_payment_expiry_stream(spark, sf_dir):
     res = spark.read.parquet(run_available_now(out, "payment_expiry"))
     return res.select("order_id", "tenant_id",
                       F.col("created_at").cast("timestamp_ntz").alias("created_at"), "status")
+
+
+@query("recent_checkins_per_scanner")
+def q_recent_checkins_per_scanner(spark, sf_dir):
+    d = dom(spark, sf_dir)
+    return reports.recent_checkins_per_scanner(d.checkins, d.visitors, d.staff, n=5).select(
+        "checked_in_by", "rank", "checkin_id", "visitor_id", "checkin_time", "first_name",
+        "last_name", "registration_code", "checked_in_by_name")

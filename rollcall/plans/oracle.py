@@ -656,3 +656,13 @@ sql("payment_expiry_stream", f"""
                         AND n.received_at >= p.created_at
                         AND n.received_at <= p.created_at + INTERVAL 24 HOUR)
       AND p.created_at + INTERVAL 24 HOUR < (SELECT w FROM wm)""")
+
+sql("recent_checkins_per_scanner", """
+    SELECT t.checked_in_by, t.rank, t.checkin_id, t.visitor_id, t.checkin_time,
+           v.first_name, v.last_name, v.registration_code, tu.first_name AS checked_in_by_name
+    FROM (SELECT c.*, row_number() OVER (PARTITION BY c.checked_in_by
+                                         ORDER BY c.checkin_time DESC NULLS FIRST, c.checkin_id) AS rank
+          FROM checkins c WHERE c.visitor_id IN (SELECT visitor_id FROM visitors)) t
+    JOIN visitors v ON v.visitor_id = t.visitor_id
+    LEFT JOIN staff tu ON tu.user_id = t.checked_in_by
+    WHERE t.rank <= 5""")
