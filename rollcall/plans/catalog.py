@@ -565,3 +565,8 @@ def q_recent_checkins_per_scanner(spark, sf_dir):
     return reports.recent_checkins_per_scanner(d.checkins, d.visitors, d.staff, n=5).select(
         "checked_in_by", "rank", "checkin_id", "visitor_id", "checkin_time", "first_name",
         "last_name", "registration_code", "checked_in_by_name")
+
+
+@query("request_kpis_by_tenant")
+def q_request_kpis_by_tenant(spark, sf_dir):
+    return logs.request_kpis(dom(spark, sf_dir).request_log, by=["tenant_id"])

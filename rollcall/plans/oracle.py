@@ -666,3 +666,16 @@ sql("recent_checkins_per_scanner", """
     JOIN visitors v ON v.visitor_id = t.visitor_id
     LEFT JOIN staff tu ON tu.user_id = t.checked_in_by
     WHERE t.rank <= 5""")
+
+sql("request_kpis_by_tenant", """
+    SELECT tenant_id, count(*) AS requests,
+           count(*) FILTER (WHERE status >= 500) AS errors,
+           round(count(*) FILTER (WHERE status >= 500) / count(*), 6) AS error_rate,
+           round(avg(duration_ms), 6) AS avg_ms,
+           round(quantile_cont(duration_ms, 0.95), 6) AS p95_ms,
+           round(count(*) FILTER (WHERE duration_ms < 200) / count(*), 6) AS under_target_share,
+           round(count(*) FILTER (WHERE duration_ms > 1000) / count(*), 6) AS slow_share,
+           avg(duration_ms) < 100 AS mean_ok,
+           quantile_cont(duration_ms, 0.95) < 200 AS p95_ok,
+           count(*) FILTER (WHERE status >= 500) / count(*) < 0.001 AS errors_ok
+    FROM request_log GROUP BY tenant_id""")

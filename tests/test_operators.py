@@ -382,3 +382,11 @@ def test_admit_checkins_salted_equals_plain(spark, dom):
     salted = registration.admit_checkins(req, dom.visitors, stored, salt_buckets=5)
     assert rows(plain, *cols) == rows(salted, *cols)
     assert salted.count() == req.count()
+
+
+def test_per_scanner_top_k_limits_before_shuffle(spark, dom):
+    df = reports.recent_checkins_per_scanner(dom.checkins, dom.visitors, dom.staff, n=5)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
+    counts = rows(df.groupBy("checked_in_by").count(), "count")
+    assert all(c <= 5 for (c,) in counts)
