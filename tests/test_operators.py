@@ -6,8 +6,6 @@ from __future__ import annotations
 import datetime as dt
 import random
 
-import pytest
-from pyspark.sql import Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
