@@ -570,3 +570,13 @@ def q_recent_checkins_per_scanner(spark, sf_dir):
 @query("request_kpis_by_tenant")
 def q_request_kpis_by_tenant(spark, sf_dir):
     return logs.request_kpis(dom(spark, sf_dir).request_log, by=["tenant_id"])
+
+
+@query("cancel_payments")
+def q_cancel_payments(spark, sf_dir):
+    """Every yearly payment gets a cancel request from its tenant; only the
+    pending ones may be cancelled, the rest are rejected."""
+    d = dom(spark, sf_dir)
+    requests = d.payments.where(F.col("billing_period") == "yearly").select("order_id", "tenant_id")
+    return billing.cancel_payments(d.payments, requests, PATCH_AS_OF).select(
+        "order_id", "tenant_id", "status", "cancel_result", "cancelled_at")

@@ -679,3 +679,13 @@ sql("request_kpis_by_tenant", """
            quantile_cont(duration_ms, 0.95) < 200 AS p95_ok,
            count(*) FILTER (WHERE status >= 500) / count(*) < 0.001 AS errors_ok
     FROM request_log GROUP BY tenant_id""")
+
+sql("cancel_payments", """
+    WITH req AS (SELECT DISTINCT order_id, tenant_id FROM payments WHERE billing_period = 'yearly')
+    SELECT p.order_id, p.tenant_id,
+           CASE WHEN r.order_id IS NOT NULL AND p.status = 'pending' THEN 'cancelled' ELSE p.status END AS status,
+           CASE WHEN r.order_id IS NOT NULL AND p.status = 'pending' THEN 'cancelled'
+                WHEN r.order_id IS NOT NULL THEN 'rejected' END AS cancel_result,
+           CASE WHEN r.order_id IS NOT NULL AND p.status = 'pending'
+                THEN TIMESTAMP '2024-02-01 00:00:00' END AS cancelled_at
+    FROM payments p LEFT JOIN req r ON r.order_id = p.order_id AND r.tenant_id = p.tenant_id""")
