@@ -9,6 +9,7 @@ import pytest
 from conftest import SMALL
 import __spark_entry__ as E
 from tools.check_oracle import TABLES, digest
+from tools.type_audit import SPARK_TO_DUCK
 
 ORACLE = E.oracle_sql()
 
@@ -30,6 +31,14 @@ def test_matches_oracle(spark, con, name):
     assert sorted(s_cols) == sorted(o_cols)
     assert len(s_rows) == len(o_rows)
     assert digest(s_cols, s_rows)[0] == digest(o_cols, o_rows)[0]
+    # Column types agree too (integer widths, timestamps without zone, ...).
+    duck_types = dict(zip(o_cols, (str(t) for t in con.sql(ORACLE[name]).types)))
+    for f in df.schema.fields:
+        st = f.dataType.simpleString()
+        if st.startswith("decimal"):
+            assert duck_types[f.name].startswith("DECIMAL"), (f.name, st, duck_types[f.name])
+        else:
+            assert SPARK_TO_DUCK.get(st, st.upper()) == duck_types[f.name], (f.name, st)
 
 
 def test_every_query_has_a_twin(spark):
