@@ -6,10 +6,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from rollcall.llm.common import table
 from rollcall.llm.line_dedup import drop_frequent_lines
+from rollcall.llm.simhash import near_duplicate_groups
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumnRenamed("kept", "kept_sha256"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": op4_line_dedup,
+    "op9_simhash": op9_simhash,
 }
