@@ -2,7 +2,29 @@
 
 from __future__ import annotations
 
+#: Words of a text for the decontamination query.
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                 '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
 ORACLE: dict[str, str] = {
+    "op2_decontaminate": rf"""
+        WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+        b AS (SELECT item_id, ws, least(10, len(ws)) AS k FROM (SELECT item_id, {_WORDS} AS ws FROM benchmark) WHERE len(ws) > 0),
+        wins AS (
+            SELECT DISTINCT item_id, k, array_to_string(ws[i:i + k - 1], ' ') AS win
+            FROM (SELECT item_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM b)),
+        sizes AS (SELECT DISTINCT k FROM wins),
+        spots AS (
+            SELECT doc_id, k, i, array_to_string(ws[i:i + k - 1], ' ') AS win
+            FROM (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM d, sizes WHERE len(ws) >= k)),
+        hits AS (SELECT s.doc_id, s.k, s.i, w.item_id FROM spots s JOIN wins w ON w.win = s.win AND w.k = s.k),
+        n AS (SELECT doc_id, count(DISTINCT p) AS n_hit
+              FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM (SELECT DISTINCT doc_id, k, i FROM hits)) GROUP BY doc_id),
+        its AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items
+                FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, coalesce(n.n_hit, 0) AS n_hit, coalesce(its.n_items, 0) AS n_items,
+               sha256(coalesce(its.items, '')) AS items_sha256, n.n_hit IS NOT NULL AS contaminated
+        FROM d LEFT JOIN n USING (doc_id) LEFT JOIN its USING (doc_id)""",
     "op4_line_dedup": r"""
         WITH lines AS (
             SELECT doc_id, pos, line,

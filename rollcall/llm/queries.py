@@ -6,12 +6,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rollcall.llm.common import table
+from rollcall.llm.decontaminate import contamination
 from rollcall.llm.line_dedup import drop_frequent_lines
 from rollcall.llm.simhash import near_duplicate_groups
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items",
+                        F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), "contaminated")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (drop_frequent_lines(table(spark, sf_dir, "documents"), digest=True)
             .withColumnRenamed("kept", "kept_sha256"))
@@ -22,6 +30,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontaminate": op2_decontaminate,
     "op4_line_dedup": op4_line_dedup,
     "op9_simhash": op9_simhash,
 }
