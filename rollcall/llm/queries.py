@@ -8,12 +8,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollcall.llm.common import table
+from rollcall.llm.common import table, text_hashes
 from rollcall.llm.decontaminate import contamination
 from rollcall.llm.line_dedup import drop_frequent_lines
+from rollcall.llm.sharding import shard_rows
 from rollcall.llm.simhash import near_duplicate_groups
 
 
+SHARDS = 16
+
+
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Law ``bytes``; atomic groups are equal texts, ordered by the text's hash."""
+    h1, h2 = text_hashes(F.col("text"))
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
+        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
+        h1.alias("h1"), h2.alias("h2"), F.xxhash64("doc_id").alias("place"))
+    return shard_rows(rows, ["h1", "h2"], "size", "h1", "place", SHARDS).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items",
@@ -30,6 +45,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sharding": op1_sharding,
     "op2_decontaminate": op2_decontaminate,
     "op4_line_dedup": op4_line_dedup,
     "op9_simhash": op9_simhash,
