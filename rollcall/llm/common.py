@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rollcall.session import ensure_checkpoint_dir
@@ -31,3 +31,31 @@ def shuffle_width(spark: SparkSession) -> int:
 def text_hashes(c: Column) -> tuple[Column, Column]:
     """Two 64-bit hashes with different seeds; together they identify a text."""
     return F.xxhash64(c), F.xxhash64(F.lit(7), c)
+
+
+#: Rows that one numbering window holds, about.
+ROWS_PER_WINDOW = 20_000
+
+
+def slice_of(c: Column, low: int, high: int, parts: int) -> Column:
+    """Which of ``parts`` equal parts of [low, high] holds ``c``."""
+    def whole(x: int) -> Column:    # the range of a long has more than 63 bits
+        return F.lit(str(x)).cast("decimal(20,0)")
+    return F.floor((c.cast("decimal(20,0)") - whole(low)) / whole((high - low) // parts + 1)).cast("long")
+
+
+def numbered(rows: DataFrame, group: str, place: str, out: str) -> DataFrame:
+    """``out``: 0, 1, 2, ... by ``place`` in each ``group``; neither is null. A
+    group of any size is numbered in parts of ``place``, which should spread
+    evenly over its range as hashes do; each part adds the rows of the group's
+    earlier parts."""
+    span = rows.agg(F.min(place).alias("low"), F.max(place).alias("high"), F.count(F.lit(1)).alias("n")).first()
+    if not span.n:
+        return rows.withColumn(out, F.lit(None).cast("long"))
+    some = rows.withColumn("_part", slice_of(F.col(place), span.low, span.high, span.n // ROWS_PER_WINDOW + 1))
+    counts = some.groupBy(group, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = settle(counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n"), "offsets")
+    inside = Window.partitionBy(group, "_part").orderBy(place, *[c for c in rows.columns if c not in (group, place)])
+    return (some.withColumn("_at", F.row_number().over(inside)).join(offsets, [group, "_part"])
+            .withColumn(out, (F.col("_at") - 1 + F.col("_before")).cast("long")).drop("_part", "_at", "_before"))

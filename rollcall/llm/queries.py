@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from rollcall.llm.common import table, text_hashes
 from rollcall.llm.decontaminate import contamination
 from rollcall.llm.line_dedup import drop_frequent_lines
+from rollcall.llm.mixing import mix
 from rollcall.llm.sharding import shard_rows
 from rollcall.llm.simhash import near_duplicate_groups
 
@@ -35,6 +36,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), "contaminated")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (drop_frequent_lines(table(spark, sf_dir, "documents"), digest=True)
             .withColumnRenamed("kept", "kept_sha256"))
@@ -47,6 +52,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_decontaminate": op2_decontaminate,
+    "op3_mixing": op3_mixing,
     "op4_line_dedup": op4_line_dedup,
     "op9_simhash": op9_simhash,
 }

@@ -23,14 +23,13 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rollcall.llm.common import settle
+from rollcall.llm import common
+from rollcall.llm.common import numbered, settle, slice_of
 
 SLICES, FINER = 4096, 64
-#: Rows that one numbering window holds, about.
-ROWS_PER_WINDOW = 20_000
 
 
 class Ends:
@@ -150,8 +149,8 @@ def shard_rows(rows: DataFrame, group: list[str], size: str, order: str, place:
     evenly over their range, as hashes and dense positions do.
     """
     rows = settle(rows.withColumn("_size", F.coalesce(F.col(size).cast("long"), F.lit(0))), "rows")
-    groups = settle(rows.groupBy(*group).agg(F.sum("_size").alias("size"), F.min(order).alias("at"), F.count(F.lit(1)).alias("n")), "groups")
-    whole = groups.agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("rows"), F.sum("size").alias("size"),
+    groups = settle(rows.groupBy(*group).agg(F.sum("_size").alias("size"), F.min(order).alias("at")), "groups")
+    whole = groups.agg(F.count(F.lit(1)).alias("groups"), F.sum("size").alias("size"),
                        F.max("size").alias("largest"), F.min("at").alias("low"), F.max("at").alias("high")).first()
     if not whole.groups:
         return rows.drop("_size").withColumns({"shard": F.lit(None).cast("int"), "slot": F.lit(None).cast("long")})
@@ -165,37 +164,17 @@ def shard_rows(rows: DataFrame, group: list[str], size: str, order: str, place:
     for more in same[1:]:
         on = on & more
     sharded = settle(rows.join(dealt, on, "left").drop(*[f"_in_{g}" for g in group], "_size"), "sharded")
-    return _numbered(sharded, place, whole.rows)
-
-
-def _slice_of(c: Column, low: int, high: int, parts: int) -> Column:
-    """Which of ``parts`` equal parts of [low, high] holds ``c``."""
-    def whole(x: int) -> Column:    # the range of a long has more than 63 bits
-        return F.lit(str(x)).cast("decimal(20,0)")
-    return F.floor((c.cast("decimal(20,0)") - whole(low)) / whole((high - low) // parts + 1)).cast("long")
+    return numbered(sharded, "shard", place, "slot")
 
 
 def _group_ends(groups: DataFrame, group: list[str], whole) -> DataFrame:
     """The groups with the end of each in the whole order: a window inside
     each of at most 4096 parts of the order, plus what stands before the part."""
-    parts = max(1, min(SLICES, whole.groups // ROWS_PER_WINDOW * 4 + 1))
-    some = groups.withColumn("part", _slice_of(F.col("at"), whole.low, whole.high, parts))
+    parts = max(1, min(SLICES, whole.groups // common.ROWS_PER_WINDOW * 4 + 1))
+    some = groups.withColumn("part", slice_of(F.col("at"), whole.low, whole.high, parts))
     inside = Window.partitionBy("part").orderBy("at", *group).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (some.groupBy("part").agg(F.sum("size").alias("n"))
                .select(F.col("part").alias("_part"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before")))
     return (some.withColumn("_sum", F.sum("size").over(inside)).join(offsets, F.col("part") == F.col("_part"))
             .select(*group, F.col("size").alias("group_size"), (F.col("_sum") + F.col("_before")).alias("end")))
-
-
-def _numbered(rows: DataFrame, place: str, n: int) -> DataFrame:
-    """``slot`` by ``place`` in each shard: numbers inside parts of the shard,
-    plus the rows of its earlier parts."""
-    span = rows.agg(F.min(place).alias("low"), F.max(place).alias("high")).first()
-    some = rows.withColumn("_part", _slice_of(F.col(place), span.low, span.high, n // ROWS_PER_WINDOW + 1))
-    counts = some.groupBy("shard", "_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = settle(counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n"), "offsets")
-    inside = Window.partitionBy("shard", "_part").orderBy(place, *[c for c in rows.columns if c not in ("shard", place)])
-    return (some.withColumn("_at", F.row_number().over(inside)).join(offsets, ["shard", "_part"])
-            .withColumn("slot", (F.col("_at") - 1 + F.col("_before")).cast("long")).drop("_part", "_at", "_before"))

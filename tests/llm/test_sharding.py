@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from rollcall.llm import sharding
+from rollcall.llm import common, sharding
 from rollcall.llm.sharding import Ends, balanced_cuts, minimax_cuts, shard_rows, smallest_capacity
 
 
@@ -55,7 +55,7 @@ def sharded(spark, rows, k):
 
 
 def test_groups_slots_ties_nulls_and_repeated_rows(spark, monkeypatch):
-    monkeypatch.setattr(sharding, "ROWS_PER_WINDOW", 50)
+    monkeypatch.setattr(common, "ROWS_PER_WINDOW", 50)
     rnd = random.Random(1)
     rows = [(i, rnd.randint(0, 300), rnd.randint(0, 90)) for i in range(1500)]
     rows += [(7, 3, 4), (7, 3, 4), (None, None, 5), (None, 2, None)]
