@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from rollcall.llm.common import table, text_hashes
 from rollcall.llm.decontaminate import contamination
+from rollcall.llm.fingerprints import as_hex, edited_pairs
 from rollcall.llm.line_dedup import drop_frequent_lines
 from rollcall.llm.mixing import mix
 from rollcall.llm.sharding import shard_rows
@@ -45,6 +46,12 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumnRenamed("kept", "kept_sha256"))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_pairs(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_hex(F.col("sketch")).alias("fingerprint"),
+        as_hex(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(table(spark, sf_dir, "documents"))
 
@@ -54,5 +61,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op3_mixing": op3_mixing,
     "op4_line_dedup": op4_line_dedup,
+    "op7_fingerprints": op7_fingerprints,
     "op9_simhash": op9_simhash,
 }
