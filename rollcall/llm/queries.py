@@ -16,6 +16,7 @@ from rollcall.llm.line_dedup import drop_frequent_lines
 from rollcall.llm.mixing import mix
 from rollcall.llm.sharding import shard_rows
 from rollcall.llm.simhash import near_duplicate_groups
+from rollcall.llm.url_filter import judge_urls
 
 
 SHARDS = 16
@@ -62,6 +63,14 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         as_hex(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next")
 
 
+#: (host and path, verdict); a rule fits subdomains too, the longest wins.
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(table(spark, sf_dir, "documents"))
 
@@ -73,5 +82,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": op4_line_dedup,
     "op5_chat_format": op5_chat_format,
     "op7_fingerprints": op7_fingerprints,
+    "op8_url_filter": op8_url_filter,
     "op9_simhash": op9_simhash,
 }
