@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollcall.llm.common import settle
+from rollcall.llm.common import settle, text_hashes
 
 SHINGLE, MAX_BITS = 4, 4
 #: (lowest bit, width) of the parts.
@@ -213,21 +213,32 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] = (),
                           shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """``id_col``, the ``carry`` columns, ``fingerprint`` (16 hex digits) and
-    ``component_id``, the smallest id that links reach."""
+    """``id_col``, the ``carry`` columns, ``fingerprint`` (16 hex digits),
+    ``component_id``, the smallest id that links reach, and ``component_fp``,
+    the component's smallest fingerprint as a signed long (never null)."""
     kept = list(dict.fromkeys([id_col, *carry]))
     marked = settle(with_fingerprint(docs, text_col, kept, shingle), "prints")
     prints = marked.groupBy("_fp").agg(F.min(id_col).alias("_least"))
     prints = settle(prints, "distinct")
     roots = components(near_links(prints.select(F.col("_fp").alias("fp")), max_bits))
     rooted = prints.join(roots, prints["_fp"] == roots["node"], "left").withColumn("_root", F.coalesce("root", "_fp"))
-    least = rooted.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    # Fingerprints alone keep their own least id; only linked ones take another.
-    moved = settle(rooted.where("node IS NOT NULL").select("_fp", "_root").unionByName(
-        roots.select(F.col("root").alias("_fp"), F.col("root").alias("_root")).distinct()).join(least, "_root")
-        .select(F.col("_fp").alias("_print"), "component_id"), "moved")
-    own = prints.join(moved, prints["_fp"] == moved["_print"], "left").select(
-        F.col("_fp").alias("_print"), F.coalesce("component_id", "_least").alias("component_id"))
-    own = settle(own, "classes")
+    rooted = settle(rooted.select("_fp", "_least", "_root"), "rooted")
+    least = rooted.groupBy("_root").agg(F.min("_least").alias("component_id")).select(F.col("_root").alias("component_fp"), "component_id")
+    own = settle(rooted.join(least, F.col("_root") == F.col("component_fp"))
+                 .select(F.col("_fp").alias("_print"), "component_fp", "component_id"), "classes")
     return (marked.join(own, marked["_fp"] == own["_print"], "left")
-            .select(*kept, F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id"))
+            .select(*kept, F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id", "component_fp"))
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
+                      max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows of ``docs`` but for near copies: of each component the row with
+    the smallest id stays (null ids last, ties by the text's hashes)."""
+    h1, h2 = text_hashes(docs[text_col])
+    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[id_col].alias("_id"), docs[text_col].alias("_text"),
+                        h1.alias("_h1"), h2.alias("_h2"))
+    groups = near_duplicate_groups(keyed, "_id", "_text", ["_h1", "_h2"], shingle, max_bits)
+    first = groups.groupBy("component_fp").agg(F.min(F.struct(F.col("_id").isNull().alias("n"), "_id", "_h1", "_h2")).alias("k"))
+    first = settle(first.select(F.col("k._id").alias("_kept"), F.col("k._h1").alias("_k1"), F.col("k._h2").alias("_k2")), "kept")
+    stay = keyed.join(first, F.col("_id").eqNullSafe(F.col("_kept")) & (F.col("_h1") == F.col("_k1")) & (F.col("_h2") == F.col("_k2")), "left_semi")
+    return stay.dropDuplicates(["_id", "_h1", "_h2"]).select("_row.*")

@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from rollcall.llm.simhash import _syndromes, components, fingerprint, near_duplicate_groups, near_links
+from rollcall.llm.simhash import _syndromes, components, fingerprint, near_duplicate_groups, near_links, one_of_each_group
 
 
 def brute_fp(text, k=4):
@@ -95,7 +95,17 @@ def test_hot_group_empty_table_null_ids_and_extra_columns(docs_of):
     docs = docs_of([(i, "the same text of one big group") for i in range(500)] + [(7, "other words stand here now"), (None, None), (None, "")])
     out = near_duplicate_groups(docs.withColumn("_fp", F.lit("x")).withColumn("root", F.lit(1)), carry=["root"])
     rows = out.collect()
-    assert len(rows) == 503 and out.columns == ["doc_id", "root", "fingerprint", "component_id"]
+    assert len(rows) == 503 and out.columns == ["doc_id", "root", "fingerprint", "component_id", "component_fp"]
     assert {r.component_id for r in rows if r.doc_id is None} == {None}
     assert sum(r.component_id == 0 for r in rows) == 500
     assert near_duplicate_groups(docs_of([])).collect() == []
+
+
+def test_one_row_of_each_group_stays(docs_of):
+    docs = docs_of([(5, "the same text of one group"), (3, "the same text of one group"), (3, "the same text of one group"), (9, "quite another text is this one"),
+                    (None, "third text"), (None, "third text"), (None, "fourth text, no id"), (2, None), (1, "")]).withColumn("_id", F.lit(0)).withColumn("component_fp", F.lit("c"))
+    out = one_of_each_group(docs)
+    assert out.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted(
+        [(3, "the same text of one group"), (9, "quite another text is this one"), (None, "third text"), (None, "fourth text, no id"), (1, "")], key=str)
+    assert one_of_each_group(docs.limit(0)).collect() == []
