@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,13 +15,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Removes a query's shuffle files as soon as it has ended.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` into the shared folder of ``spark.checkpoint.dir`` and read
     it back: cuts the lineage, so that a lost executor repeats no step before
-    this one, and lets several readers share one computation."""
+    this one, and lets several readers share one computation. The shuffle files
+    of the write are of no further use and go with it."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -59,3 +70,28 @@ def numbered(rows: DataFrame, group: str, place: str, out: str) -> DataFrame:
     inside = Window.partitionBy(group, "_part").orderBy(place, *[c for c in rows.columns if c not in (group, place)])
     return (some.withColumn("_at", F.row_number().over(inside)).join(offsets, [group, "_part"])
             .withColumn(out, (F.col("_at") - 1 + F.col("_before")).cast("long")).drop("_part", "_at", "_before"))
+
+
+#: bitmap_construct_agg makes bitmaps of so many bits.
+_PAGE = 32768
+
+
+def bitmap_of(hashes: DataFrame, col: str, n: int, most_bits: int) -> tuple[bytes, int]:
+    """A bitmap with bit (hash mod bits) set for each hash, and its bits: about
+    64 for each of ``n`` hashes, a power of two, ``most_bits`` at most."""
+    bits = most_bits
+    while bits > _PAGE and bits > 64 * n:
+        bits //= 2
+    place = F.pmod(F.col(col), F.lit(bits)) + 1   # bits divides 2**64: signed and unsigned agree
+    pages = (hashes.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("page"))
+             .agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect())
+    out = bytearray(bits // 8)
+    for p in pages:
+        out[(p.page - 1) * _PAGE // 8: p.page * _PAGE // 8] = p.bits
+    return bytes(out), bits
+
+
+def in_bitmap(page: np.ndarray, bits: int, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes (uint64) have their bit set in the bitmap's bytes."""
+    pos = hashes & np.uint64(bits - 1)
+    return (page[pos >> np.uint64(3)] >> (pos & np.uint64(7)).astype(np.uint8) & 1) == 1

@@ -33,14 +33,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rollcall.llm.common import settle, text_hashes
+from rollcall.llm.common import bitmap_of, in_bitmap, settle, text_hashes
 
 WINDOW, SHINGLE = 10, 5
 MAX_BITS = 1 << 26
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _SEED = 42
-#: bitmap_construct_agg makes bitmaps of so many bits.
-_PAGE = 32768
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -94,8 +92,7 @@ def _runs(bitmap, bits: int, kinds: dict[int, int]):
                     if len(words) < k:
                         continue
                     tokens = _tokens(flat, starts, ends, k)
-                    pos = tokens % np.uint64(bits)
-                    hit = np.flatnonzero(page[pos >> np.uint64(3)] >> (pos & np.uint64(7)).astype(np.uint8) & 1)
+                    hit = np.flatnonzero(in_bitmap(page, bits, tokens))
                     for some in np.split(hit, np.flatnonzero(np.diff(hit) != 1) + 1) if len(hit) else ():
                         if len(some) >= least:
                             a, b = int(some[0]), int(some[-1]) + 1
@@ -118,17 +115,6 @@ def _window_tokens(windows: DataFrame, shingle: int) -> DataFrame:
         F.concat_ws(" ", F.slice("ws", F.col("offset") + 1, F.col("kind")))).alias("token"))
 
 
-def _bitmap(tokens: DataFrame, bits: int) -> bytes:
-    """Bit (token mod bits, unsigned) set for each token; at most MAX_BITS / 8 bytes."""
-    place = F.pmod(F.col("token"), F.lit(bits)) + 1   # bits divides 2**64: signed and unsigned agree
-    pages = (tokens.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("page"))
-             .agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect())
-    out = bytearray(bits // 8)
-    for p in pages:
-        out[(p.page - 1) * _PAGE // 8: p.page * _PAGE // 8] = p.bits
-    return bytes(out)
-
-
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   item_id: str = "item_id", item_text: str = "text", window: int = WINDOW,
                   shingle: int = SHINGLE) -> DataFrame:
@@ -141,11 +127,8 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
                    .distinct(), "windows")
     windows = owned.select("window", "size").distinct()
     parts = settle(_window_tokens(windows, shingle), "shingles")
-    n_tokens = parts.count()
-    bits = MAX_BITS
-    while bits > _PAGE and bits > 64 * n_tokens:
-        bits //= 2
-    bitmap = spark.sparkContext.broadcast(_bitmap(parts, bits))
+    marks, bits = bitmap_of(parts, "token", parts.count(), MAX_BITS)
+    bitmap = spark.sparkContext.broadcast(marks)
     # At most ``window`` sizes: the shortest run of shingles that can hold a window.
     kinds = {r.kind: r.least for r in parts.groupBy("kind").agg(F.min(F.col("size") - F.col("kind") + 1).alias("least")).collect()}
     h1, h2 = text_hashes(F.col(text_col))
@@ -180,8 +163,8 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     listed = (hits.select(*key, "window").distinct().join(owned, "window").select(*key, "item_id").distinct()
               .groupBy(*key).agg(F.count(F.lit(1)).alias("n_items"),
                                  F.array_sort(F.collect_list(F.col("item_id").cast("string"))).alias("item_ids")))
-    marks = settle(_on_key(covered, listed, key, "inner"), "marks")
-    out = _on_key(scan.where("kind = 0").select(*key, F.col("at").alias("n_words")), marks, key, "left")
+    found = settle(_on_key(covered, listed, key, "inner"), "marks")
+    out = _on_key(scan.where("kind = 0").select(*key, F.col("at").alias("n_words")), found, key, "left")
     return out.select(F.col("id").alias(id_col), "h1", "h2", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
                       F.coalesce("n_items", F.lit(0)).alias("n_items"),
                       F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),

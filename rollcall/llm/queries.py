@@ -17,6 +17,7 @@ from rollcall.llm.line_dedup import drop_frequent_lines
 from rollcall.llm.mixing import mix
 from rollcall.llm.sharding import shard_rows
 from rollcall.llm.simhash import near_duplicate_groups
+from rollcall.llm.suffix_dedup import drop_repeats
 from rollcall.llm.url_filter import judge_urls
 
 
@@ -58,6 +59,10 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_chats(turns.unionByName(more)))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeats(table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_pairs(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_hex(F.col("sketch")).alias("fingerprint"),
@@ -89,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op4_line_dedup": op4_line_dedup,
     "op5_chat_format": op5_chat_format,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_fingerprints": op7_fingerprints,
     "op8_url_filter": op8_url_filter,
     "op9_simhash": op9_simhash,
