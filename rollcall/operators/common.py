@@ -5,13 +5,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..sources.io import scratch_path
+
 
 def as_list(cols) -> list[str]:
     return [cols] if isinstance(cols, str) else list(cols)
@@ -62,7 +62,7 @@ _PID_FIELD = "_seq_pid"
 
 def running_within_groups(df: DataFrame, group: Sequence[str], order: Sequence[str],
                           out: str = "seq", weight: str | None = None,
-                          partitions: int | None = None, engine: str = "window") -> DataFrame:
+                          partitions: int | None = None) -> DataFrame:
     """Add ``out`` = running count (or running sum of ``weight``, inclusive)
     within each group in ``order`` (which must end in a unique column).
     Same result as a window ``partitionBy(group).orderBy(order)`` with
@@ -70,67 +70,31 @@ def running_within_groups(df: DataFrame, group: Sequence[str], order: Sequence[s
     many tasks:
 
     1. range-partition on (group, order) so a big group spans several
-       partitions, each sorted;
-    2. accumulate within each (partition, group): a window partitioned by
-       (range partition, group), so no window partition is larger than one
-       range partition (``engine="window"``, JVM only), or an Arrow batch
-       pass over the sorted partition (``engine="arrow"``, no second
-       shuffle);
-    3. per (partition, group) totals give each continuing group the sum of
-       its rows in earlier partitions. Only a group that starts in an
-       earlier partition needs such an offset, so that table has at most
-       one row per partition and is broadcast with a proven bound.
+       pieces, and write the rows with their piece number to the shared
+       folder once. Range boundaries come from a random sample, so a second
+       plan of the same exchange may cut elsewhere; everything below reads
+       the written rows;
+    2. accumulate within each (piece, group): no window partition is larger
+       than one piece;
+    3. per (piece, group) totals give each continuing group the sum of its
+       rows in earlier pieces. Only a group that starts in an earlier piece
+       needs such an offset, so that table has at most one row per piece and
+       is broadcast with a proven bound.
     """
     group, order = as_list(group), as_list(order)
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.repartitionByRange(n, *group, *order)
-                .sortWithinPartitions(*group, *order)
-                .withColumn(_PID_FIELD, F.spark_partition_id()))
-    key_names = list(group)
-    schema = T.StructType(ranged.schema.fields + [T.StructField(_SEQ_FIELD, T.LongType(), False)])
-
-    def local_running(batches):
-        # Rows arrive sorted by (group, order); accumulate over runs of equal
-        # group keys, carrying the open run across Arrow batches.
-        last_hash, last_total = None, 0
-        for pdf in batches:
-            if pdf.empty:
-                yield pdf.assign(**{_SEQ_FIELD: pd.Series([], dtype="int64")})
-                continue
-            h = pd.util.hash_pandas_object(pdf[key_names], index=False).to_numpy()
-            w = (np.ones(len(h), dtype=np.int64) if weight is None
-                 else pdf[weight].fillna(0).to_numpy(dtype=np.int64))
-            starts = np.ones(len(h), dtype=bool)
-            starts[1:] = h[1:] != h[:-1]
-            starts[0] = h[0] != last_hash
-            run = np.cumsum(starts)
-            total = np.cumsum(w)
-            # batch-prefix sum before each run's first row, carried forward;
-            # a run continuing from the previous batch starts at 0 here
-            before_run = np.where(starts, total - w, -1)
-            if not starts[0]:
-                before_run[0] = 0
-            before_run = np.maximum.accumulate(before_run)
-            acc = total - before_run
-            if not starts[0]:
-                acc[run == run[0]] += last_total
-            last_hash, last_total = h[-1], int(acc[-1])
-            yield pdf.assign(**{_SEQ_FIELD: pd.Series(acc.astype("int64"), index=pdf.index)})
-
-    if engine == "window":
-        amount_col = F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")
-        wl = (Window.partitionBy(_PID_FIELD, *group).orderBy(*order)
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        local = ranged.withColumn(_SEQ_FIELD, F.sum(F.coalesce(amount_col, F.lit(0))).over(wl))
-    elif engine == "arrow":
-        local = ranged.mapInPandas(local_running, schema)
-    else:
-        raise ValueError(f"unknown engine {engine!r}")
-    amount = F.count(F.lit(1)) if weight is None else F.sum(F.col(weight))
-    totals = ranged.groupBy(_PID_FIELD, *group).agg(amount.alias("_n"))
-    w = Window.partitionBy(*group).orderBy(_PID_FIELD).rowsBetween(Window.unboundedPreceding, -1)
-    carry = (totals.withColumn("_carry", F.sum("_n").over(w))
+    path = scratch_path(spark, "ranged")
+    (df.repartitionByRange(n, *group, *order).withColumn(_PID_FIELD, F.spark_partition_id())
+       .write.parquet(path))
+    ranged = spark.read.schema(T.StructType([*df.schema.fields, T.StructField(_PID_FIELD, T.IntegerType())])).parquet(path)
+    amount = F.lit(1).cast("long") if weight is None else F.coalesce(F.col(weight).cast("long"), F.lit(0))
+    w = (Window.partitionBy(_PID_FIELD, *group).orderBy(*order)
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    local = ranged.withColumn(_SEQ_FIELD, F.sum(amount).over(w))
+    totals = ranged.groupBy(_PID_FIELD, *group).agg(F.sum(amount).alias("_n"))
+    before = Window.partitionBy(*group).orderBy(_PID_FIELD).rowsBetween(Window.unboundedPreceding, -1)
+    carry = (totals.withColumn("_carry", F.sum("_n").over(before))
                    .where(F.col("_carry") > 0)
                    .select(_PID_FIELD, *group, "_carry"))
     joined = _join_null_safe(local, F.broadcast(carry), [_PID_FIELD, *group], "left")
@@ -149,10 +113,32 @@ def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
 
 
 def number_within_groups(df: DataFrame, group: Sequence[str], order: Sequence[str],
-                         out: str = "seq", partitions: int | None = None,
-                         engine: str = "window") -> DataFrame:
+                         out: str = "seq", partitions: int | None = None) -> DataFrame:
     """``row_number()`` within groups, skew-safe (see ``running_within_groups``)."""
-    return running_within_groups(df, group, order, out=out, partitions=partitions, engine=engine)
+    return running_within_groups(df, group, order, out=out, partitions=partitions)
+
+
+def join_on_hot_key(many: DataFrame, one: DataFrame, on: Sequence[str], spread: Column,
+                    splits: int = 16) -> DataFrame:
+    """``many LEFT JOIN one`` where a key may hold most rows of ``many`` and
+    ``one`` has one row per key. Rows are dealt to ``splits`` parts of their key
+    by ``spread`` and ``one`` is repeated for each part; rows with a NULL key
+    meet nothing, so they are dealt by ``spread`` alone and sit in no one task."""
+    on = as_list(on)
+    part = F.pmod(F.xxhash64(spread), F.lit(splits)).cast("int")
+    known = F.expr(" AND ".join(f"`{c}` IS NOT NULL" for c in on))
+    dealt = many.withColumn("_part", F.when(known, part))
+    # A row without a key takes a part that no row of ``one`` has.
+    away = -F.lit(2) - F.pmod(F.xxhash64(spread), F.lit(1 << 20))
+    dealt = dealt.withColumn("_part", F.coalesce(F.col("_part").cast("long"), away))
+    each = one.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(splits - 1).cast("long"))))
+    keys = [F.col(f"m.{c}") == F.col(f"o._k_{c}") for c in on]
+    each = each.select("_part", *[F.col(c).alias(f"_k_{c}") for c in on], *[c for c in one.columns if c not in on])
+    cond = F.col("m._part") == F.col("o._part")
+    for k in keys:
+        cond = cond & k
+    return (dealt.alias("m").join(each.alias("o"), cond, "left")
+            .select(*[F.col(f"m.{c}") for c in many.columns], *[F.col(f"o.{c}") for c in one.columns if c not in on]))
 
 
 def percentile_exact(df: DataFrame, group: Sequence[str], value: str, q: float,

@@ -8,6 +8,7 @@ from __future__ import annotations
 from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Subscription plans as seeded (name, slug, price USD, max events,
@@ -83,13 +84,31 @@ CATEGORY_SCHEMA = T.StructType([
 ])
 
 
+def _values(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
+    """The rows as a VALUES relation, whose size Spark knows when it plans: a
+    join with one is a broadcast, never a shuffle of the other side by a key
+    of four values."""
+    def literal(v) -> str:
+        if v is None:
+            return "NULL"
+        if isinstance(v, bool):
+            return str(v).upper()
+        if isinstance(v, list):
+            return "array(" + ", ".join(map(literal, v)) + ")"
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(v, str) else str(v)
+    values = ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows)
+    names = ", ".join(schema.names)
+    raw = spark.sql(f"SELECT * FROM VALUES {values} AS t({names})")
+    return raw.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
 def plans(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PLAN_ROWS, PLAN_SCHEMA)
+    return _values(spark, PLAN_ROWS, PLAN_SCHEMA)
 
 
 def idr_prices(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(IDR_PRICES, PRICE_SCHEMA)
+    return _values(spark, IDR_PRICES, PRICE_SCHEMA)
 
 
 def categories(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(CATEGORY_ROWS, CATEGORY_SCHEMA)
+    return _values(spark, CATEGORY_ROWS, CATEGORY_SCHEMA)

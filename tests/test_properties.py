@@ -1,9 +1,10 @@
-"""Properties from the test strategy: O22 branch-wise equals the literal
-many-branch form, numbering equals row_number for any partitioning, upsert
-is idempotent, codes are unique."""
+"""Properties from the test strategy: O22 equals counting by hand, numbering
+equals row_number for any partitioning, upsert is idempotent, codes are
+unique."""
 
 from __future__ import annotations
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -14,37 +15,30 @@ from rollcall.operators import changes, reports
 from rollcall.operators.common import number_within_groups
 from rollcall.sources.views import load_views
 
-LITERAL_O22 = """
-SELECT t.tenant_id, t.name AS tenant_name, t.slug AS tenant_slug, sp.name AS plan_name,
-       t.created_at AS tenant_created_at,
-       COUNT(DISTINCT e.event_id) AS total_events,
-       COUNT(DISTINCT v.visitor_id) AS total_visitors,
-       COUNT(DISTINCT c.checkin_id) AS total_checkins,
-       COUNT(DISTINCT tu.user_id) AS total_users,
-       COUNT(DISTINCT v.visitor_id) FILTER (WHERE v.status = 'registered') AS registered_visitors,
-       COUNT(DISTINCT v.visitor_id) FILTER (WHERE v.status = 'checked_in') AS checked_in_visitors,
-       CAST(ROUND((COUNT(DISTINCT v.visitor_id) FILTER (WHERE v.status = 'checked_in'))::DECIMAL(20,0)
-             / NULLIF(COUNT(DISTINCT v.visitor_id), 0) * 100, 2) AS DOUBLE) AS checkin_percentage
-FROM tenants t
-LEFT JOIN subscriptions ts ON t.tenant_id = ts.tenant_id AND ts.status = 'active'
-LEFT JOIN plans sp ON ts.plan_id = sp.plan_id
-LEFT JOIN occasions e ON t.tenant_id = e.tenant_id
-LEFT JOIN visitors v ON t.tenant_id = v.tenant_id
-LEFT JOIN (SELECT c.*, vv.tenant_id FROM checkins c JOIN visitors vv ON c.visitor_id = vv.visitor_id) c
-       ON t.tenant_id = c.tenant_id
-LEFT JOIN staff tu ON t.tenant_id = tu.tenant_id AND tu.is_active = true
-WHERE t.is_active = true
-GROUP BY t.tenant_id, t.name, t.slug, sp.name, t.created_at
-"""
-
-
-def test_tenant_analytics_branchwise_equals_literal(spark):
+def test_tenant_analytics_against_counting_by_hand(spark):
+    """Every tenant and plan counted row by row in Python."""
     d = load_views(spark, SMALL)
-    literal = spark.sql(LITERAL_O22)
-    branch = reports.tenant_analytics(d.tenants, d.subscriptions, d.plans, d.occasions,
-                                      d.visitors, d.checkins, d.staff)
-    cols = literal.columns
-    assert rows(branch.select(*cols)) == rows(literal)
+    got = reports.tenant_analytics(d.tenants, d.subscriptions, d.plans, d.occasions, d.visitors, d.checkins, d.staff)
+    table = {n: getattr(d, n).collect() for n in ("tenants", "subscriptions", "plans", "occasions", "visitors", "checkins", "staff")}
+    plan_name = {p.plan_id: p.name for p in table["plans"]}
+    home = {v.visitor_id: v.tenant_id for v in table["visitors"]}
+    want = []
+    for t in table["tenants"]:
+        if not t.is_active:
+            continue
+        people = [v for v in table["visitors"] if v.tenant_id == t.tenant_id]
+        arrived = sum(v.status == "checked_in" for v in people)
+        named = {plan_name[s.plan_id] for s in table["subscriptions"] if s.tenant_id == t.tenant_id and s.status == "active"}
+        for plan in named or {None}:
+            want.append((t.tenant_id, plan, len({e.event_id for e in table["occasions"] if e.tenant_id == t.tenant_id}),
+                         len({v.visitor_id for v in people}),
+                         len({c.checkin_id for c in table["checkins"] if home.get(c.visitor_id) == t.tenant_id}),
+                         len({w.user_id for w in table["staff"] if w.tenant_id == t.tenant_id and w.is_active}),
+                         sum(v.status == "registered" for v in people), arrived,
+                         (arrived * 20000 + len(people)) // (2 * len(people)) / 100 if people else None))
+    cols = ["tenant_id", "plan_name", "total_events", "total_visitors", "total_checkins", "total_users",
+            "registered_visitors", "checked_in_visitors", "checkin_percentage"]
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got.select(*cols).collect())
 
 
 @settings(max_examples=8, deadline=None)
@@ -83,33 +77,35 @@ def test_percentile_exact_matches_builtin(spark, data, q, parts):
 
 @settings(max_examples=5, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 9)), min_size=1, max_size=120),
-       st.integers(1, 7), st.sampled_from(["window", "arrow"]))
-def test_running_sum_matches_window(spark, data, parts, engine):
+       st.integers(1, 7))
+def test_running_sum_matches_window(spark, data, parts):
     from rollcall.operators.common import running_within_groups
     df = spark.createDataFrame([(g, w, i) for i, (g, w) in enumerate(data)], "g int, w long, id int")
-    got = running_within_groups(df, ["g"], ["id"], out="s", weight="w", partitions=parts,
-                                engine=engine)
+    got = running_within_groups(df, ["g"], ["id"], out="s", weight="w", partitions=parts)
     want = df.withColumn("s", F.sum("w").over(Window.partitionBy("g").orderBy("id")
                                                .rowsBetween(Window.unboundedPreceding, 0)))
     assert rows(got, "id", "s") == rows(want, "id", "s")
 
 
-def test_running_sum_carries_across_arrow_batches(spark):
-    from rollcall.operators.common import running_within_groups
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+@pytest.mark.parametrize("parts,reuse", [(3, "true"), (8, "true"), (8, "false"), (29, "false")])
+def test_numbering_and_percentile_on_many_rows_with_payload(spark, parts, reuse):
+    """Range boundaries are sampled: the number of a row must not depend on
+    two plans cutting at the same place, nor on exchange reuse."""
+    from rollcall.operators.common import percentile_exact
+    before = spark.conf.get("spark.sql.exchange.reuse")
+    spark.conf.set("spark.sql.exchange.reuse", reuse)
     try:
-        data = [(g, (i % 5) + 1, i) for i, g in enumerate([0] * 17 + [1] * 2 + [2] * 11)]
-        df = spark.createDataFrame(data, "g int, w long, id int")
-        got = running_within_groups(df, ["g"], ["id"], out="s", weight="w", partitions=2,
-                                    engine="arrow")
-        want = df.withColumn("s", F.sum("w").over(Window.partitionBy("g").orderBy("id")
-                                                   .rowsBetween(Window.unboundedPreceding, 0)))
-        assert rows(got, "id", "s") == rows(want, "id", "s")
-        seq = number_within_groups(df, ["g"], ["id"], out="n", partitions=3, engine="arrow")
-        want_n = df.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy("id")))
-        assert rows(seq, "id", "n") == rows(want_n, "id", "n")
+        df = spark.range(200_000).select(
+            F.when(F.col("id") % 5 < 3, 0).otherwise(F.col("id") % 7).alias("g"), F.pmod(F.hash("id"), F.lit(5000)).alias("t"), "id",
+            F.sha2(F.col("id").cast("string"), 256).alias("payload"), F.pmod(F.xxhash64("id"), F.lit(9000)).cast("double").alias("v"))
+        got = number_within_groups(df, ["g"], ["t", "id"], out="n", partitions=parts)
+        want = df.withColumn("m", F.row_number().over(Window.partitionBy("g").orderBy("t", "id"))).select(F.col("id").alias("i"), "m")
+        assert got.join(want, F.col("id") == F.col("i")).where("n <> m").count() == 0 and got.count() == 200_000
+        p = percentile_exact(df, ["g"], "v", 0.95, partitions=parts)
+        w = df.groupBy(F.col("g").alias("h")).agg(F.percentile("v", F.lit(0.95)).alias("q"))
+        assert p.join(w, F.col("g") == F.col("h")).where("abs(p - q) > 1e-9").count() == 0 and p.count() == w.count()
     finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.set("spark.sql.exchange.reuse", before)
 
 
 def test_null_group_is_a_group(spark):
