@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -138,7 +140,7 @@ def map_payment_status(webhooks: DataFrame, polled: bool = False) -> DataFrame:
     """Normalise provider notices: order id, state, amount, tenant, plan and
     billing period pulled out of each provider's body, and the normalised
     status as the webhook handler (and the status poll) map it."""
-    parsed = webhooks.select("notice_id", "provider", "received_at",
+    parsed = webhooks.select("notice_id", "provider", "received_at", F.col("body").alias("raw_response"),
                              F.from_json("body", NOTICE_SCHEMA).alias("b"))
     first = F.col("provider") == "midtrans"
 
@@ -146,7 +148,7 @@ def map_payment_status(webhooks: DataFrame, polled: bool = False) -> DataFrame:
         return F.when(first, F.col(f"b.{a}")).otherwise(F.col(f"b.{b}"))
 
     fields = parsed.select(
-        "notice_id", "provider", "received_at",
+        "notice_id", "provider", "received_at", "raw_response",
         pick("order_id", "external_id").alias("order_id"),
         pick("transaction_status", "status").alias("provider_status"),
         F.when(first, F.col("b.fraud_status")).alias("_fraud"),
@@ -158,51 +160,61 @@ def map_payment_status(webhooks: DataFrame, polled: bool = False) -> DataFrame:
         "notice_id", "provider", "received_at", "order_id", "provider_status",
         payment_status("provider", "provider_status", "_fraud", polled=polled).alias("payment_status"),
         payment_status("provider", "provider_status", "_fraud", polled=True).alias("polled_status"),
-        "amount", "tenant_id", "plan_id", "billing_period")
+        "amount", "tenant_id", "plan_id", "billing_period", "raw_response")
 
 
 # O41 ---------------------------------------------------------------------
-def latest_notices(notices: DataFrame) -> DataFrame:
-    """The last notice per order (by receipt time, then notice id)."""
-    carry = [c for c in notices.columns if c != "order_id"]
+def latest_notices(notices: DataFrame, carry: Sequence[str] | None = None) -> DataFrame:
+    """The last notice per order (by receipt time, then notice id) with the
+    ``carry`` columns (all of them by default)."""
+    carry = list(carry) if carry is not None else [c for c in notices.columns if c != "order_id"]
     return pick_per_group(notices, ["order_id"],
                           [F.col("received_at"), F.col("notice_id")], carry)
 
 
 def apply_payment_notices(payments: DataFrame, notices: DataFrame) -> DataFrame:
-    """Set each payment's status from its latest notice and stamp updated_at."""
-    last = latest_notices(notices).select(
-        "order_id", F.col("payment_status").alias("_new"), F.col("received_at").alias("_at"))
+    """Set each payment's status from its latest notice and stamp updated_at;
+    ``raw_response`` is that notice's body where the notices carry one."""
+    raw = ["raw_response"] if "raw_response" in notices.columns else []
+    last = latest_notices(notices, ["payment_status", "received_at", *raw]).select(
+        "order_id", F.col("payment_status").alias("_new"), F.col("received_at").alias("_at"),
+        *[F.col(c).alias(f"_{c}") for c in raw])
     out = payments.join(last, "order_id", "left")
     cols = [F.coalesce(F.col("_new"), F.col("status")).alias("status") if c == "status"
-            else F.col(c) for c in payments.columns if c != "updated_at"]
+            else F.col(c) for c in payments.columns if c not in ("updated_at", *raw)]
     base_updated = F.col("updated_at") if "updated_at" in payments.columns \
         else F.lit(None).cast("timestamp_ntz")
+    cols += [F.coalesce(F.col(f"_{c}"), F.col(c) if c in payments.columns else F.lit(None)).alias(c) for c in raw]
     return out.select(*cols, F.coalesce(F.col("_at"), base_updated).alias("updated_at"))
 
 
 def activate_subscriptions(subs: DataFrame, notices: DataFrame, payments: DataFrame) -> DataFrame:
-    """Upsert one subscription per tenant from its latest successful notice:
-    plan, status 'active', starts at the notice time and ends one month
-    (or year) later with JavaScript's day overflow; billing e-mail from the
-    payment's customer data is set only on insert; updated_at on update."""
-    ok = latest_notices(notices).where(F.col("payment_status") == "success")
+    """Upsert one subscription per tenant from its latest *successful* notice
+    (each success acts when it comes; a later pending or failed notice of the
+    order takes nothing back): plan, status 'active', starts at the notice
+    time and ends one month (or year) later with JavaScript's day overflow;
+    billing e-mail from the payment's customer data and metadata (provider,
+    order, billing period) are set only on insert; updated_at on update."""
+    ok = latest_notices(notices.where(F.col("payment_status") == "success"),
+                        ["received_at", "notice_id", "tenant_id", "plan_id", "billing_period", "provider"])
     months = F.when(F.col("billing_period") == "yearly", F.lit(12)).otherwise(F.lit(1))
     ok = ok.join(payments.select("order_id", F.get_json_object("customer_data", "$.email")
                                  .alias("new_email")), "order_id", "left")
     upd = pick_per_group(ok.withColumn("ends", js_month_shift(F.col("received_at"), months)),
                          ["tenant_id"], [F.col("received_at"), F.col("order_id")],
-                         ["plan_id", "received_at", "ends", "new_email", "order_id"])
+                         ["plan_id", "received_at", "ends", "new_email", "order_id", "billing_period", "provider"])
     from .changes import upsert
     updates = upd.select(
         "tenant_id", "plan_id", F.lit("active").alias("status"),
         F.col("received_at").alias("starts_at"), F.col("ends").alias("ends_at"),
         F.col("new_email").alias("billing_email"), F.col("received_at").alias("updated_at"),
-        F.col("order_id").alias("last_order_id"))
+        F.col("order_id").alias("last_order_id"),
+        F.to_json(F.struct("provider", F.col("order_id").alias("orderId"),
+                           F.col("billing_period").alias("billingPeriod"))).alias("metadata"))
     return upsert(subs, updates, key=["tenant_id"],
                   set_cols=["plan_id", "status", "starts_at", "ends_at", "updated_at",
                             "last_order_id"],
-                  insert_only_cols=["billing_email"])
+                  insert_only_cols=["billing_email", "metadata"])
 
 
 def cancel_payments(payments: DataFrame, cancels: DataFrame, as_of) -> DataFrame:

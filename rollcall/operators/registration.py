@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.contacts import EMAIL_VALID
 from ..functions.scalars import lpad_keep, ticket_checksum, ts_ntz
-from .common import as_list, number_within_groups, pick_per_group
+from .common import as_list, join_on_hot_key, number_within_groups, pick_per_group
 
 # The schema's CHECK lists, patterns and column lengths.
 TENANT_SLUG = r"^[a-z0-9-]+$"
@@ -79,6 +79,10 @@ def rule_sets() -> dict[str, list[tuple[str, Column]]]:
             ("role_enum", F.col("role").isin(STAFF_ROLES)),
             ("email_required", not_blank("email")),
         ],
+        "contacts": [
+            ("phone_required", not_blank("phone")),
+            ("email_format", F.col("email").rlike(EMAIL_VALID)),
+        ],
         "payments": [
             ("provider_enum", F.col("provider").isin(PAYMENT_PROVIDERS)),
             ("status_enum", F.col("status").isin(PAYMENT_STATUSES)),
@@ -95,41 +99,59 @@ def validate_rows(df: DataFrame, rules: Sequence[tuple[str, Column]] | str) -> D
     return df.withColumn("violations", F.array_compact(F.array(*flags)))
 
 
+# The schema's unique constraints.
+UNIQUE_RULES = {
+    "staff": [("unique_tenant_email", ("tenant_id", "email"))],
+    "categories": [("unique_tenant_category_code", ("tenant_id", "code"))],
+    "occasions": [("unique_tenant_event_slug", ("tenant_id", "slug"))],
+    "visitors": [("unique_tenant_event_email", ("tenant_id", "event_id", "email")),
+                 ("unique_tenant_registration_code", ("tenant_id", "registration_code"))],
+    "payment_settings": [("unique_tenant_provider", ("tenant_id", "provider"))],
+}
+
+
+def uniqueness_violations(df: DataFrame, rules: Sequence[tuple[str, Sequence[str]]] | str) -> DataFrame:
+    """One row per broken unique rule and key: ``rule``, ``key`` (the key's
+    values, joined by ``|``) and ``rows``, how many rows share it. A NULL in the
+    key equals nothing. Rows are counted with map-side aggregation, so a value
+    that most rows share is one row per task."""
+    if isinstance(rules, str):
+        rules = UNIQUE_RULES[rules]
+    out = None
+    for name, cols in rules:
+        known = F.expr(" AND ".join(f"`{c}` IS NOT NULL" for c in cols))
+        found = (df.where(known).groupBy(*cols).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 1)
+                 .select(F.lit(name).alias("rule"), F.concat_ws("|", *[F.col(c).cast("string") for c in cols]).alias("key"), "rows"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 # O15 ---------------------------------------------------------------------
 def admit_checkins(requests: DataFrame, visitors: DataFrame, checkins: DataFrame,
                    keys=("visitor_id",), time_col: str = "scan_time",
-                   salt_buckets: int | None = None) -> DataFrame:
+                   salt_buckets: int = 16) -> DataFrame:
     """Batch admission, in the order the check-in call tests things: a
     visitor already checked in -> rejected 'duplicate'; unknown visitor ->
     rejected 'not_found'; otherwise the earliest request per visitor in the
     batch is accepted (event taken from the visitor) and later ones are
     'duplicate'. ``request_id`` must identify a request uniquely (a retried
-    request carries its own id).
-
-    Everything is decided per visitor first: the batch's distinct visitors
-    are looked up (known, already checked in) and the earliest request per
-    visitor is a partial aggregation, so these joins see one row per
-    visitor. Only the final labelling join touches every request; with
-    ``salt_buckets`` (for micro-batches, which run without AQE) it is salted
-    so a visitor scanned very often is spread over that many tasks, while
-    in batch jobs AQE's skew join splits it."""
+    request carries its own id). With ``keys=("tenant_id", "visitor_id")`` both
+    lookups test the tenant, so another tenant's scan finds no visitor.
+
+    Everything is decided per visitor first: the earliest request per visitor
+    is a partial aggregation, and the batch's visitors are looked up (known,
+    already checked in), so these joins see one row per visitor. Only the
+    final labelling join touches every request; it deals the requests of one
+    visitor to ``salt_buckets`` tasks and keeps NULL keys out of the join."""
     keys = as_list(keys)
-    in_batch = requests.select(*keys).distinct()
+    valid = F.expr(" AND ".join(f"`{c}` IS NOT NULL" for c in keys))
     known = visitors.select(*keys, F.col("event_id").alias("_event_id"),
                             F.lit(True).alias("_known"))
     seen = checkins.select(*keys).distinct().withColumn("_seen", F.lit(True))
-    first = pick_per_group(requests, keys, [F.col(time_col), F.col("request_id")], ["request_id"],
+    first = pick_per_group(requests.where(valid), keys, [F.col(time_col), F.col("request_id")], ["request_id"],
                            largest=False).withColumnRenamed("request_id", "_first_id")
-    per_visitor = (in_batch.join(known, keys, "left").join(seen, keys, "left")
-                           .join(first, keys, "left"))
-    if salt_buckets:
-        salt = F.pmod(F.xxhash64("request_id"), F.lit(salt_buckets))
-        r = requests.withColumn("_salt", salt)
-        per_visitor = per_visitor.withColumn(
-            "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt_buckets - 1).cast("long"))))
-        r = r.join(per_visitor, [*keys, "_salt"], "left").drop("_salt")
-    else:
-        r = requests.join(per_visitor, keys, "left")
+    per_visitor = first.join(known, keys, "left").join(seen, keys, "left")
+    r = join_on_hot_key(requests, per_visitor, keys, F.col("request_id"), splits=salt_buckets)
     reason = (F.when(F.col("_seen"), "duplicate")
                .when(F.col("_known").isNull(), "not_found")
                .when(F.col("request_id") == F.col("_first_id"), F.lit(None).cast("string"))
@@ -176,7 +198,8 @@ def assign_codes(new: DataFrame, existing: DataFrame, categories: DataFrame,
     ex = existing.join(cats, "category_id", "inner").where(
         F.col("registration_code").startswith(prefix))
     suffix = F.substring(F.col("registration_code"), F.length(prefix) + 1, 1 << 30)
-    used = ex.groupBy(*group).agg(F.max(suffix.try_cast("int")).alias("_max"))
+    number_used = F.when(suffix.rlike("^[0-9]+$"), suffix.try_cast("decimal(38,0)"))
+    used = ex.groupBy(*group).agg(F.max(number_used).alias("_max"))
 
     code = F.col("registration_code")
     needs = code.isNull() | (code == "")
@@ -185,7 +208,7 @@ def assign_codes(new: DataFrame, existing: DataFrame, categories: DataFrame,
     keep = n.where(~(needs & F.col("_cat_code").isNotNull()))
     numbered = number_within_groups(todo, group, list(order_by), out="_seq")
     numbered = numbered.join(used, group, "left")
-    number = F.coalesce(F.col("_max"), F.lit(0)) + F.col("_seq")
+    number = (F.coalesce(F.col("_max"), F.lit(0).cast("decimal(38,0)")) + F.col("_seq")).cast("decimal(38,0)")
     numbered = numbered.withColumn("registration_code", F.concat(prefix, lpad_keep(number, width)))
     cols = new.columns
     return numbered.select(*cols).unionByName(keep.select(*cols))
@@ -198,12 +221,15 @@ def dedupe_registrations(df: DataFrame, keys=("tenant_id", "event_id", "email"),
     """Mark the first registration per key as kept; later ones point at it
     through ``duplicate_of``. Keys: (tenant, event, e-mail) as the schema's
     unique rule, or ``("email",)`` for the global check of the simple
-    server. The first row per key is found by partial aggregation."""
+    server. The first row per key is found by partial aggregation, and the
+    labelling join deals the rows of one key to many tasks. A NULL in the key
+    equals nothing (as in a unique constraint), so such rows are all kept."""
     keys = as_list(keys)
-    first = pick_per_group(df, keys, [F.col(c) for c in order_by], [id_col], largest=False) \
+    known = F.expr(" AND ".join(f"`{c}` IS NOT NULL" for c in keys))
+    first = pick_per_group(df.where(known), keys, [F.col(c) for c in order_by], [id_col], largest=False) \
         .withColumnRenamed(id_col, "_first_id")
-    out = df.join(first, keys, "left")
-    kept = F.col(id_col) == F.col("_first_id")
+    out = join_on_hot_key(df, first, keys, F.col(id_col))
+    kept = F.col("_first_id").isNull() | (F.col(id_col) == F.col("_first_id"))
     return (out.withColumn("kept", kept)
                .withColumn("duplicate_of", F.when(~kept, F.col("_first_id")))
                .drop("_first_id"))

@@ -86,15 +86,20 @@ def visitors_with_category(visitors: DataFrame, categories: DataFrame, checkins:
                            event_id=None, tenant_id=None, status=None, category_id=None,
                            limit: int = 100, offset: int = 0) -> DataFrame:
     """One event's visitors with category and check-in time; optional
-    predicates are added only when given; newest registration first."""
+    predicates are added only when given; newest registration first.
+
+    A left join drops no visitor and gives each at least one row, so the page
+    holds rows of the first ``offset + limit`` visitors only: those are taken
+    first, and only their check-ins are looked up."""
     v = visitors
     for name, value in (("event_id", event_id), ("tenant_id", tenant_id),
                         ("status", status), ("category_id", category_id)):
         if value is not None:
             v = v.where(F.col(name) == F.lit(value))
-    v = v.join(_category_dim(categories), "category_id", "left")
-    c = checkins.select("visitor_id", "checkin_id", "checkin_time")
-    rows = left_join_keep_fanout(v, c, ["visitor_id"])
+    v = v.orderBy(F.col("registered_at").desc_nulls_first(), F.col("visitor_id").asc()).limit(offset + limit)
+    c = checkins.select("visitor_id", "checkin_id", "checkin_time") \
+        .join(F.broadcast(v.select("visitor_id")), "visitor_id", "left_semi")   # offset + limit ids at most
+    rows = v.join(c, "visitor_id", "left").join(_category_dim(categories), "category_id", "left")
     return (rows.orderBy(F.col("registered_at").desc_nulls_first(), F.col("visitor_id").asc(),
                          F.col("checkin_id").asc_nulls_first())
                 .offset(offset).limit(limit))
@@ -103,6 +108,9 @@ def visitors_with_category(visitors: DataFrame, categories: DataFrame, checkins:
 # O16 ---------------------------------------------------------------------
 def recent_checkins(checkins: DataFrame, visitors: DataFrame, categories: DataFrame,
                     staff: DataFrame, event_id=None, tenant_id=None, n: int = 10) -> DataFrame:
+    """The last ``n`` check-ins of known visitors. The visitor only has to
+    exist, so a semi join and the top ``n`` come first; names are looked up
+    for the ``n`` rows that are left."""
     v = visitors.select("visitor_id", "tenant_id", "event_id", "first_name", "last_name",
                         "registration_code", "category_id")
     if event_id is not None:
@@ -113,9 +121,11 @@ def recent_checkins(checkins: DataFrame, visitors: DataFrame, categories: DataFr
                                         F.col("color").alias("category_color")))
     who = staff.select(F.col("user_id").alias("checked_in_by"),
                        F.col("first_name").alias("checked_in_by_name"))
-    rows = (checkins.join(v, "visitor_id", "inner")
-                    .join(cat, "category_id", "left")
-                    .join(who, "checked_in_by", "left"))
+    last = (checkins.join(v.select("visitor_id"), "visitor_id", "left_semi")
+            .orderBy(F.col("checkin_time").desc_nulls_first(), F.col("checkin_id").asc()).limit(n))
+    rows = (last.join(v, "visitor_id", "inner")
+                .join(cat, "category_id", "left")
+                .join(who, "checked_in_by", "left"))
     return (rows.orderBy(F.col("checkin_time").desc_nulls_first(), F.col("checkin_id").asc())
                 .limit(n))
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 import re
 
 from ..sources import seeds
-from ..sources.views import (DAY_SPAN, EMAIL_SHAPE, FIRST_NAMES, HOST_RE, OCCASION_EPOCH,
+from ..sources.views import (EMAIL_SHAPE, FIRST_NAMES, HOST_RE, OCCASION_EPOCH,
                              PATH_RE, PHONE_SHAPE, SUBSCRIPTION_EPOCH, TENANT_EPOCH)
 
 
@@ -49,18 +49,18 @@ VIEWS: dict[str, str] = {
                lower(replace(n_name, '_', '-')) AS subdomain,
                CAST(NULL AS VARCHAR) AS custom_domain,
                (n_nationkey % 8) <> 7 AS is_active,
-               TIMESTAMP '{TENANT_EPOCH}' + to_days(CAST(n_nationkey % {DAY_SPAN} AS INTEGER)) AS created_at
+               TIMESTAMP '{TENANT_EPOCH}' + to_days(CAST(n_nationkey AS INTEGER)) AS created_at
         FROM nation""",
     "subscriptions": f"""
         SELECT s_suppkey AS subscription_id, s_nationkey AS tenant_id,
                CAST(s_suppkey % 4 + 1 AS INTEGER) AS plan_id,
                CASE WHEN s_suppkey % 5 = 0 THEN 'expired' WHEN s_suppkey % 5 = 1 THEN 'cancelled'
                     ELSE 'active' END AS status,
-               TIMESTAMP '{SUBSCRIPTION_EPOCH}' + to_days(CAST(s_suppkey % {DAY_SPAN} AS INTEGER)) AS starts_at,
+               TIMESTAMP '{SUBSCRIPTION_EPOCH}' + to_days(CAST(s_suppkey AS INTEGER)) AS starts_at,
                CASE WHEN s_suppkey % 3 = 0 THEN CAST(NULL AS TIMESTAMP)
-                    ELSE TIMESTAMP '{SUBSCRIPTION_EPOCH}' + to_days(CAST(s_suppkey % {DAY_SPAN} AS INTEGER) + 30)
+                    ELSE TIMESTAMP '{SUBSCRIPTION_EPOCH}' + to_days(CAST(s_suppkey AS INTEGER) + 30)
                END AS ends_at,
-               TIMESTAMP '{SUBSCRIPTION_EPOCH}' + to_days(CAST(s_suppkey % {DAY_SPAN} AS INTEGER)) AS created_at,
+               TIMESTAMP '{SUBSCRIPTION_EPOCH}' + to_days(CAST(s_suppkey AS INTEGER)) AS created_at,
                'billing' || CAST(s_suppkey AS VARCHAR) || '@example.com' AS billing_email
         FROM supplier""",
     "staff": """
@@ -159,10 +159,11 @@ VIEWS: dict[str, str] = {
                CAST(user_id % 25 AS INTEGER) AS tenant_id, event_type <> 'error' AS ok
         FROM events""",
     "contacts": f"""
-        SELECT doc_id,
-               nullif(regexp_extract(text, {_q(EMAIL_SHAPE)}, 0), '') AS email,
-               nullif(regexp_extract(text, {_q(PHONE_SHAPE)}, 0), '') AS phone
-        FROM documents""",
+        SELECT doc_id, CAST(i - 1 AS INTEGER) AS nth, es[i] AS email, ps[i] AS phone
+        FROM (SELECT doc_id, es, ps, unnest(range(1, greatest(len(es), len(ps), 1) + 1)) AS i
+              FROM (SELECT doc_id, coalesce(regexp_extract_all(text, {_q(EMAIL_SHAPE)}), []) AS es,
+                           coalesce(regexp_extract_all(text, {_q(PHONE_SHAPE)}), []) AS ps
+                    FROM documents))""",
     "requests": f"""
         SELECT page_id AS request_id, url,
                lower(regexp_extract(url, {_q(HOST_RE)}, 1)) AS host,

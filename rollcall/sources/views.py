@@ -17,6 +17,7 @@ Mapping (driver table -> domain view):
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,14 +34,14 @@ BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "li
 TENANT_EPOCH = "2023-01-01 00:00:00"
 SUBSCRIPTION_EPOCH = "2024-01-01 00:00:00"
 OCCASION_EPOCH = "2024-01-01"
-DAY_SPAN = 3650          # day offsets wrap so dates stay valid at any scale
 FIRST_NAMES = ["Budi", "Siti", "Agus", "Dewi"]
 EMAIL_SHAPE = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}"
 # The same matches for Java's backtracking engine without re-scanning every
 # word from every offset: a match may only start where a local-part run
 # starts (a later start in the same run reaches the same '@'), and the run
 # is taken possessively (it cannot contain '@', so giving back never helps).
-EMAIL_SHAPE_JAVA = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+[.][A-Za-z]{2,}"
+# The next match may begin where the last one ended.
+EMAIL_SHAPE_JAVA = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+[.][A-Za-z]{2,}"
 PHONE_SHAPE = r"(\+62|62|0)[0-9][0-9 -]{7,16}[0-9]"
 HOST_RE = r"^[A-Za-z]+://([^/?#:]+)"
 PATH_RE = r"^[A-Za-z]+://[^/?#]*([^?#]*)"
@@ -57,12 +58,19 @@ def category_code(category_id) -> Column:
 class Domain:
     """The domain views over one directory of driver parquet tables."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, streamed: Sequence[str] = ()):
+        """``streamed``: base tables read as file streams; the views over them
+        are then streaming DataFrames."""
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self.streamed = frozenset(streamed)
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        path = f"{self.sf_dir}/{name}.parquet"
+        if name in self.streamed:
+            # A pattern, as a stream takes a plain path for a folder and a table may be one file.
+            return self.spark.readStream.schema(self.spark.read.parquet(path).schema).parquet(f"{path[:-1]}[t]")
+        return self.spark.read.parquet(path)
 
     # -- seed dimensions (four rows each) ---------------------------------
     @cached_property
@@ -85,14 +93,14 @@ class Domain:
             slug.alias("subdomain"),
             F.lit(None).cast("string").alias("custom_domain"),
             ((F.col("n_nationkey") % 8) != 7).alias("is_active"),
-            plus_days(ts_ntz(TENANT_EPOCH), F.col("n_nationkey") % DAY_SPAN).alias("created_at"),
+            plus_days(ts_ntz(TENANT_EPOCH), F.col("n_nationkey")).alias("created_at"),
         )
 
     @cached_property
     def subscriptions(self) -> DataFrame:
         s = self.table("supplier")
         k = F.col("s_suppkey")
-        created = plus_days(ts_ntz(SUBSCRIPTION_EPOCH), k % DAY_SPAN)
+        created = plus_days(ts_ntz(SUBSCRIPTION_EPOCH), k)
         return s.select(
             k.alias("subscription_id"),
             F.col("s_nationkey").alias("tenant_id"),
@@ -235,7 +243,7 @@ class Domain:
             order_id.alias("order_id"), tx.alias("transaction_status"),
             fraud.alias("fraud_status"), F.col("o_totalprice").cast("string").alias("gross_amount"),
             tenant.alias("custom_field1"), plan.alias("custom_field2"),
-            period.alias("custom_field3")))
+            period.alias("custom_field3")), {"ignoreNullFields": "false"})
         body_second = F.to_json(F.struct(
             order_id.alias("external_id"), tx.alias("status"),
             F.col("o_totalprice").alias("amount"),
@@ -281,12 +289,14 @@ class Domain:
     # -- text sources ---------------------------------------------------------
     @cached_property
     def contacts(self) -> DataFrame:
+        """Every e-mail and phone of a text: the n-th of each share row n; a
+        text without any has one row of NULLs."""
         d = self.table("documents")
-        return d.select(
-            F.col("doc_id"),
-            F.nullif(F.regexp_extract("text", EMAIL_SHAPE_JAVA, 0), F.lit("")).alias("email"),
-            F.nullif(F.regexp_extract("text", PHONE_SHAPE, 0), F.lit("")).alias("phone"),
-        )
+        found = d.select("doc_id", F.expr(f"regexp_extract_all(text, r'{EMAIL_SHAPE_JAVA}', 0)").alias("email"),
+                         F.expr(f"regexp_extract_all(text, r'{PHONE_SHAPE}', 0)").alias("phone"))
+        return found.select("doc_id", F.posexplode_outer(F.arrays_zip("email", "phone")).alias("nth", "c")) \
+            .select("doc_id", F.coalesce("nth", F.lit(0)).alias("nth"), F.col("c.email").alias("email"),
+                    F.col("c.phone").alias("phone"))
 
     @cached_property
     def requests(self) -> DataFrame:

@@ -6,6 +6,7 @@ from __future__ import annotations
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -279,7 +280,7 @@ def test_activate_subscriptions_month_end(spark):
          (3, "o3", dt.datetime(2024, 12, 31, 8), "success", 3, 4, "monthly"),
          (4, "o4", dt.datetime(2025, 1, 5), "failed", 3, 2, "monthly")],
         "notice_id long, order_id string, received_at timestamp_ntz, payment_status string, tenant_id int, "
-        "plan_id int, billing_period string")
+        "plan_id int, billing_period string").withColumn("provider", F.lit("midtrans"))
     pays = spark.createDataFrame([("o1", '{"email":"a@x"}'), ("o2", '{"email":"b@x"}'), ("o3", '{}')],
                                  "order_id string, customer_data string")
     got = rows(billing.activate_subscriptions(subs, notices, pays),
@@ -388,3 +389,115 @@ def test_per_scanner_top_k_limits_before_shuffle(spark, dom):
     assert "WindowGroupLimit" in plan and "Partial" in plan
     counts = rows(df.groupBy("checked_in_by").count(), "count")
     assert all(c <= 5 for (c,) in counts)
+
+
+# -- NULL and repeated keys, hot keys -------------------------------------------
+def test_null_keys_are_kept_apart(spark):
+    df = spark.createDataFrame([(1, 1, 5, None, ts(0)), (2, 1, 5, None, ts(1)), (3, 1, 5, "a", ts(2)), (4, 1, 5, "a", ts(1))],
+                               "visitor_id long, tenant_id int, event_id long, email string, registered_at timestamp_ntz")
+    got = rows(registration.dedupe_registrations(df), "visitor_id", "kept", "duplicate_of")
+    assert got == [(1, True, None), (2, True, None), (3, False, 4), (4, True, None)]
+    base = spark.createDataFrame([("a", 1), (None, 2)], "k string, v int")
+    new = spark.createDataFrame([(None, 3), (None, 4), ("a", 5), ("b", 7), ("b", 6)], "k string, v int")
+    for order in ("v", None):
+        assert rows(changes.insert_ignore(base, new, "k", order_by=order)) == [("a", 1), ("b", 6), (None, 2), (None, 3), (None, 4)]
+
+
+def test_repeated_keys_give_one_row(spark):
+    base = spark.createDataFrame([(1, 10, 0, None), (2, 20, 0, None)], "k int, v int, n int, updated_at timestamp_ntz")
+    twice = spark.createDataFrame([(1, 11), (1, 12), (3, 30), (3, 31)], "k int, v int")
+    got = changes.upsert(base.select("k", "v"), twice, "k", ["v"])
+    assert rows(got, "k", "v") == [(1, 12), (2, 20), (3, 31)]
+    patch = spark.createDataFrame([(1, 5, 1), (1, 4, 2)], "k int, v int, n int")
+    got = changes.apply_patch(base, patch, "k", "2024-01-01 00:00:00", add_cols=["n"])
+    assert rows(got, "k", "v", "n") == [(1, 5, 3), (2, 20, 0)]
+    got = changes.apply_patch(base, patch, "k", "2024-01-01 00:00:00", add_cols=["n"], order_by="n")
+    assert rows(got, "k", "v", "n") == [(1, 4, 3), (2, 20, 0)]
+
+
+def test_notices_repeated_and_out_of_order(spark):
+    subs = spark.createDataFrame([(7, 70, 1, "active", ts(0), ts(9), "old@x.y")],
+                                 "tenant_id int, subscription_id long, plan_id int, status string, starts_at timestamp_ntz, "
+                                 "ends_at timestamp_ntz, billing_email string")
+    pay = spark.createDataFrame([("a", 7, "pending", '{"email":"a@x.y"}'), ("b", 8, "pending", '{"email":"b@x.y"}'), ("c", 9, "pending", "{}")],
+                                "order_id string, tenant_id int, status string, customer_data string")
+    notes = spark.createDataFrame(
+        [(3, "a", ts(3), "success", 7, 2), (4, "a", ts(4), "pending", 7, 2), (1, "b", ts(5), "failed", 8, 3), (2, "b", ts(2), "success", 8, 3),
+         (5, "b", ts(1), "success", 8, 3), (6, "c", ts(1), "failed", 9, 3)],
+        "notice_id long, order_id string, received_at timestamp_ntz, payment_status string, tenant_id int, plan_id int") \
+        .withColumns({"billing_period": F.lit("monthly"), "provider": F.lit("xendit"), "raw_response": F.concat(F.lit("body "), "notice_id")})
+    got = {r.tenant_id: r for r in billing.activate_subscriptions(subs, notes, pay).collect()}
+    assert set(got) == {7, 8} and got[7].plan_id == 2 and got[7].starts_at == ts(3) and got[7].billing_email == "old@x.y" and got[7].metadata is None
+    assert got[8].starts_at == ts(2) and got[8].billing_email == "b@x.y"
+    assert got[8].metadata == '{"provider":"xendit","orderId":"b","billingPeriod":"monthly"}'
+    done = rows(billing.apply_payment_notices(pay, notes), "order_id", "status", "raw_response")
+    assert done == [("a", "pending", "body 4"), ("b", "failed", "body 1"), ("c", "failed", "body 6")]
+
+
+def test_long_code_suffixes_continue(spark, dom):
+    cols = "visitor_id long, tenant_id int, category_id int, registration_code string, registered_at timestamp_ntz"
+    for used, want in (("3000000000", "VIP013000000001"), ("9" * 25, "VIP01" + "1" + "0" * 25), ("12x", "VIP010001")):
+        old = spark.createDataFrame([(1, 1, 1, "VIP01" + used, ts(0))], cols)
+        new = spark.createDataFrame([(2, 1, 1, None, ts(1))], cols)
+        got = registration.assign_codes(new, old, dom.categories, as_of="2001-01-01 00:00:00")
+        assert rows(got, "registration_code") == [(want,)]
+
+
+def test_admission_by_tenant_and_hot_visitor(spark):
+    vis = spark.createDataFrame([(1, 100, 1), (2, 200, 2)], "visitor_id long, event_id long, tenant_id int")
+    req = spark.createDataFrame([("a", 1, 1, ts(5)), ("b", 2, 1, ts(1)), ("c", 1, 1, ts(6)), ("d", 2, 2, ts(3)), ("e", None, 1, ts(0)), ("f", 1, None, ts(0))],
+                                "request_id string, tenant_id int, visitor_id long, scan_time timestamp_ntz")
+    got = rows(registration.admit_checkins(req, vis, vis.limit(0), keys=("tenant_id", "visitor_id")), "request_id", "reason")
+    assert got == [("a", None), ("b", "not_found"), ("c", "duplicate"), ("d", None), ("e", "not_found"), ("f", "not_found")]
+
+
+def test_hot_key_join_spreads_the_hot_key_and_null_keys(spark):
+    from rollcall.operators.common import join_on_hot_key
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        many = spark.range(60_000).select("id", F.when(F.col("id") % 10 < 6, 1).when(F.col("id") % 10 < 8, None).otherwise(F.col("id") % 500).cast("long").alias("k"))
+        one = spark.range(500).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+        out = join_on_hot_key(many, one, ["k"], F.col("id"), splits=64)
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 60_000 and max(sizes) < 3 * 60_000 / 16
+        assert out.where("k IS NULL AND v IS NOT NULL OR k IS NOT NULL AND v <> 2 * k OR k IS NOT NULL AND v IS NULL").count() == 0
+    finally:
+        for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled"):
+            spark.conf.unset(k)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_uniqueness_rules_and_tenant_path(spark):
+    v = spark.createDataFrame([(1, 1, "a@x", "C1"), (1, 1, "a@x", "C2"), (1, 2, "a@x", "C1"), (1, 1, None, None), (1, 1, None, None)],
+                              "tenant_id int, event_id long, email string, registration_code string")
+    assert rows(registration.uniqueness_violations(v, "visitors")) == [
+        ("unique_tenant_event_email", "1|1|a@x", 2), ("unique_tenant_registration_code", "1|C1", 2)]
+    ten = spark.createDataFrame([(5, "acme", "acme", None, True)], "tenant_id int, slug string, subdomain string, custom_domain string, is_active boolean")
+    req = spark.createDataFrame([(1, "localhost", "/t/acme/api/x", None), (2, "localhost", "/t/acme", None), (3, "localhost", "/t/nobody/api", None),
+                                 (4, "acme.example.com", "/t/acme/api", None)], "request_id long, host string, path string, header_tenant_id int")
+    got = rows(tenancy.resolve_tenant(req, ten), "request_id", "resolved_by", "path_without_tenant")
+    assert got == [(1, "path", "/api/x"), (2, "path", "/"), (3, None, "/t/nobody/api"), (4, "subdomain", "/t/acme/api")]
+
+
+def test_shared_folder_is_required_off_local():
+    from rollcall.session import ensure_checkpoint_dir
+
+    class Conf(dict):
+        def get(self, k, default=None):
+            return dict.get(self, k, default)
+
+    class Session:
+        conf = Conf({"spark.master": "yarn"})
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(Session())
+
+
+def test_every_contact_of_a_text(spark, tmp_path):
+    from rollcall.sources.views import Domain
+    text = "a@b.com-foo@c.org x@y.zz, 0812345678901 and +62812-3456-7890; end"
+    spark.createDataFrame([(1, text), (2, "none"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = rows(Domain(spark, str(tmp_path)).contacts, "doc_id", "nth", "email", "phone")
+    assert got == [(1, 0, "a@b.com", "0812345678901"), (1, 1, "-foo@c.org", "+62812-3456-7890"), (1, 2, "x@y.zz", None),
+                   (2, 0, None, None), (3, 0, None, None)]
