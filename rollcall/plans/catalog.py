@@ -14,7 +14,7 @@ from ..sources import io as rio
 from ..sources import seeds
 from ..sources.views import Domain
 from ..streaming import live
-from ..streaming.runner import run_available_now, run_foreach_batch
+from ..streaming.runner import run_available_now, run_foreach_batch, run_updates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -142,7 +142,8 @@ def q_active_categories(spark, sf_dir):
 
 AS_OF_SUBS = "2024-03-01 00:00:00"
 AS_OF_PAYMENTS = "1998-01-01 00:00:00"
-CODE_CUTOFF = "2001-07-01 00:00:00"
+CODE_CUTOFF = "1994-07-01 00:00:00"
+CODE_YEAR_OF = "1994-08-01 00:00:00"
 CODE_AS_OF = "2001-08-01 00:00:00"
 REGISTRATION_CUTOFF = "2001-01-01 00:00:00"
 PATCH_AS_OF = "2024-02-01 00:00:00"
@@ -207,7 +208,7 @@ def q_apply_payments(spark, sf_dir):
     d = dom(spark, sf_dir)
     notices = billing.map_payment_status(d.webhooks)
     return billing.apply_payment_notices(d.payments, notices).select(
-        "order_id", "tenant_id", "status", "updated_at")
+        "order_id", "tenant_id", "status", "updated_at", "raw_response")
 
 
 def _subscription_base(d):
@@ -245,6 +246,81 @@ def q_validate_events(spark, sf_dir):
         "event_id", F.array_join("violations", ",").alias("violations"))
 
 
+def _broken(df, rules, key):
+    return registration.validate_rows(df, rules).select(key, F.array_join("violations", ",").alias("violations"))
+
+
+@query("validate_tenants")
+def q_validate_tenants(spark, sf_dir):
+    return _broken(dom(spark, sf_dir).tenants, "tenants", "tenant_id")
+
+
+@query("validate_categories")
+def q_validate_categories(spark, sf_dir):
+    """The categories that visitors use."""
+    d = dom(spark, sf_dir)
+    used = d.categories.join(d.visitors.select("category_id"), "category_id", "left_semi")
+    return _broken(used, "categories", "category_id")
+
+
+@query("validate_subscriptions")
+def q_validate_subscriptions(spark, sf_dir):
+    return _broken(dom(spark, sf_dir).subscriptions, "subscriptions", "subscription_id")
+
+
+@query("validate_staff")
+def q_validate_staff(spark, sf_dir):
+    return _broken(dom(spark, sf_dir).staff, "staff", "user_id")
+
+
+@query("validate_payments")
+def q_validate_payments(spark, sf_dir):
+    return _broken(dom(spark, sf_dir).payments, "payments", "order_id")
+
+
+@query("validate_contacts")
+def q_validate_contacts(spark, sf_dir):
+    d = dom(spark, sf_dir)
+    return registration.validate_rows(d.contacts, "contacts").select(
+        "doc_id", "nth", F.array_join("violations", ",").alias("violations"))
+
+
+@query("unique_visitors")
+def q_unique_visitors(spark, sf_dir):
+    return registration.uniqueness_violations(dom(spark, sf_dir).visitors, "visitors")
+
+
+@query("unique_staff")
+def q_unique_staff(spark, sf_dir):
+    return registration.uniqueness_violations(dom(spark, sf_dir).staff, "staff")
+
+
+@query("unique_events")
+def q_unique_events(spark, sf_dir):
+    return registration.uniqueness_violations(dom(spark, sf_dir).occasions, "occasions")
+
+
+@query("unique_payment_settings")
+def q_unique_payment_settings(spark, sf_dir):
+    """One settings row per tenant and provider: the providers that a tenant's
+    payments used, one row per billing period, so repeats show."""
+    used = dom(spark, sf_dir).payments.select("tenant_id", "provider", "billing_period").distinct()
+    return registration.uniqueness_violations(used, "payment_settings")
+
+
+@query("admit_checkins_by_tenant")
+def q_admit_checkins_by_tenant(spark, sf_dir):
+    """Scans carry the scanning staff member's tenant; both lookups test it."""
+    d = dom(spark, sf_dir)
+    by = d.staff.select(F.col("user_id").alias("checked_in_by"), "tenant_id")
+    c = d.checkins.join(by, "checked_in_by", "left")
+    requests = c.where(~F.col("is_stored")).select(
+        F.col("checkin_id").alias("request_id"), "tenant_id", "visitor_id", F.col("checkin_time").alias("scan_time"))
+    return registration.admit_checkins(requests, d.visitors, c.where(F.col("is_stored")),
+                                       keys=("tenant_id", "visitor_id")).select(
+        "request_id", "tenant_id", "visitor_id", "event_id", "decision", "reason")
+
+
 @query("admit_checkins")
 def q_admit_checkins(spark, sf_dir):
     d = dom(spark, sf_dir)
@@ -266,10 +342,19 @@ def q_assign_codes(spark, sf_dir):
     new = v.where(F.col("registered_at") >= cutoff) \
         .withColumn("registration_code", F.lit(None).cast("string"))
     return registration.assign_codes(new, existing, d.categories, style="saas",
-                                     as_of=CODE_AS_OF).select(
+                                     as_of=CODE_YEAR_OF).select(
         "visitor_id", "tenant_id", "category_id", "registration_code")
 
 
+@query("assign_codes_single")
+def q_assign_codes_single(spark, sf_dir):
+    """The single-tenant style over all visitors, whose codes are taken away."""
+    d = dom(spark, sf_dir)
+    v = d.visitors.withColumn("registration_code", F.lit(None).cast("string"))
+    return registration.assign_codes(v, v.limit(0), d.categories, style="single").select(
+        "visitor_id", "category_id", "registration_code")
+
+
 @query("dedupe_registrations")
 def q_dedupe_registrations(spark, sf_dir):
     d = dom(spark, sf_dir)
@@ -306,7 +391,7 @@ def q_resolve_tenant(spark, sf_dir):
     directory = d.tenants.select("tenant_id", "slug", "subdomain", "custom_domain", "is_active") \
         .unionByName(d.sites.select("tenant_id", "slug", "subdomain", "custom_domain", "is_active"))
     return tenancy.resolve_tenant(d.requests, directory).select(
-        "request_id", "host", "path", "tenant_id", "resolved_by")
+        "request_id", "host", "path", "tenant_id", "resolved_by", "path_without_tenant")
 
 
 @query("normalize_contacts")
@@ -347,6 +432,27 @@ def _purged(spark, sf_dir):
                          children={"checkins": ("visitors", "visitor_id", "visitor_id")})
 
 
+@query("purge_whole_tenant")
+def q_purge_whole_tenant(spark, sf_dir):
+    """Every tenant-owned table after inactive tenants are erased: the key of
+    each row that stays, by table."""
+    d = dom(spark, sf_dir)
+    gone = d.tenants.where(~F.col("is_active")).select("tenant_id")
+    settings = d.payments.select("tenant_id", "provider").distinct() \
+        .withColumn("setting", F.concat_ws("-", "tenant_id", "provider"))
+    owned = {"tenants": (d.tenants, "tenant_id"), "events": (d.occasions, "event_id"), "staff": (d.staff, "user_id"),
+             "subscriptions": (d.subscriptions, "subscription_id"), "visitors": (d.visitors, "visitor_id"),
+             "payments": (d.payments, "order_id"), "payment_settings": (settings, "setting"),
+             "activity": (d.request_log, "request_id"), "checkins": (d.checkins, "checkin_id")}
+    left = changes.purge({k: v for k, (v, _) in owned.items()}, gone,
+                         children={"checkins": ("visitors", "visitor_id", "visitor_id")})
+    out = None
+    for name, (_, key) in owned.items():
+        some = left[name].select(F.lit(name).alias("table_name"), F.col(key).cast("string").alias("row_key"))
+        out = some if out is None else out.unionByName(some)
+    return out
+
+
 @query("purge_visitors")
 def q_purge_visitors(spark, sf_dir):
     return _purged(spark, sf_dir)["visitors"].select("visitor_id", "tenant_id", "event_id")
@@ -477,58 +583,63 @@ def q_refresh_snapshot(spark, sf_dir):
 
 # -- streams (availableNow over files derived from the tables) ------------------
 STREAM_DELAY = "1 day"
+# When the payment feeds are taken to have ended.
+FEED_END = "2100-01-01 00:00:00"
 
 
-def _stream_of(spark, df: DataFrame, name: str) -> DataFrame:
-    path = rio.scratch_path(spark, "stream_src", name)
-    df.write.parquet(path)
-    return spark.readStream.schema(df.schema).parquet(path)
+def _ntz(df: DataFrame, *cols: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in cols})
+
+
+def _scans(spark, sf_dir):
+    """The check-ins as a stream of scans, read from the table's own files."""
+    c = Domain(spark, sf_dir, streamed=["lineitem"]).checkins
+    return live.event_time(c.select(F.col("checkin_id").alias("request_id"), "visitor_id",
+                                    F.col("checkin_time").alias("scan_time")), "scan_time")
 
 
 @query("live_dashboard_stream")
 def q_live_dashboard_stream(spark, sf_dir):
-    d = dom(spark, sf_dir)
-    scans = live.event_time(d.checkins.select("visitor_id", F.col("checkin_time").alias("scan_time")),
-                            "scan_time")
-    s = _stream_of(spark, scans, "checkins")
-    out = live.live_dashboard(s, d.visitors, window="1 day", by=["category_id"],
-                              delay=STREAM_DELAY)
-    sink = run_available_now(out, "live_dashboard")
-    res = spark.read.parquet(sink)
-    return res.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"),
-                      F.col("window_end").cast("timestamp_ntz").alias("window_end"),
-                      "category_id", "checkins")
+    counts = run_updates(live.live_counts(_scans(spark, sf_dir), window="1 day", delay=STREAM_DELAY),
+                         "live_counts", ["window_start", "window_end", "visitor_id"])
+    res = live.live_dashboard(counts, dom(spark, sf_dir).visitors, by=["category_id"])
+    return _ntz(res, "window_start", "window_end")
+
+
+@query("running_totals_stream")
+def q_running_totals_stream(spark, sf_dir):
+    totals = live.running_totals(_scans(spark, sf_dir), dom(spark, sf_dir).visitors)
+    return run_updates(totals, "running_totals", ["event_id", "category_id"])
 
 
 @query("rate_limit_stream")
 def q_rate_limit_stream(spark, sf_dir):
-    d = dom(spark, sf_dir)
-    s = _stream_of(spark, live.event_time(d.request_log, "ts"), "request_log")
-    out = live.rate_limit_stream(s, key="tenant_id", window="1 day", delay=STREAM_DELAY)
-    res = spark.read.parquet(run_available_now(out, "rate_limit"))
-    return res.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"),
-                      F.col("window_end").cast("timestamp_ntz").alias("window_end"),
-                      "tenant_id", "route", "count", "limit", "blocked")
+    log = live.event_time(Domain(spark, sf_dir, streamed=["events"]).request_log, "ts")
+    out = live.rate_limit_stream(log, key="tenant_id", window="1 day", delay=STREAM_DELAY)
+    return _ntz(run_updates(out, "rate_limit", ["window_start", "window_end", "tenant_id", "route"]),
+                "window_start", "window_end")
+
+
+@query("checkin_stream")
+def q_checkin_stream(spark, sf_dir):
+    """Watermark admission: one admitted scan per known visitor."""
+    out = live.checkin_stream(_scans(spark, sf_dir), dom(spark, sf_dir).visitors, delay="3650 days")
+    return spark.read.parquet(run_available_now(out, "checkin")).select("visitor_id", "event_id", "tenant_id")
 
 
 @query("checkin_stream_exact")
 def q_checkin_stream_exact(spark, sf_dir):
     """Exact live admission run incrementally: the stored scans arrive first
-    (one availableNow run), the new scans later (a second run on the same
-    checkpoint); each micro-batch is decided against all earlier accepts."""
+    (one availableNow run), the new scans later (a second stream); each
+    micro-batch is decided against all earlier accepts."""
     d = dom(spark, sf_dir)
-    c = d.checkins.select(F.col("checkin_id").alias("request_id"), "visitor_id",
-                          F.col("checkin_time").alias("scan_time"), "is_stored")
-    src = rio.scratch_path(spark, "stream_src", "scans")
     decisions = rio.scratch_path(spark, "streams", "decisions")
-    ckpt = rio.scratch_path(spark, "streams", "exact", "ckpt")
-    handler = live.exact_admission_batch(d.visitors, decisions)
-    schema = c.drop("is_stored").schema
     for stored in (True, False):
-        c.where(F.col("is_stored") == stored).drop("is_stored").write.mode("append").parquet(src)
-        run_foreach_batch(spark.readStream.schema(schema).parquet(src), "exact", handler, ckpt=ckpt)
-    return spark.read.parquet(decisions).select("request_id", "visitor_id", "event_id",
-                                                "decision", "reason")
+        c = Domain(spark, sf_dir, streamed=["lineitem"]).checkins.where(F.col("is_stored") == stored)
+        scans = c.select(F.col("checkin_id").alias("request_id"), "visitor_id", F.col("checkin_time").alias("scan_time"))
+        handler = live.exact_admission_batch(d.visitors, decisions, "stored" if stored else "new")
+        run_foreach_batch(scans, "exact", handler)
+    return live.read_decisions(spark, decisions).select("request_id", "visitor_id", "event_id", "decision", "reason")
 
 
 @query("mark_checked_in")
@@ -545,18 +656,20 @@ def q_mark_checked_in(spark, sf_dir):
 
 @query("payment_expiry_stream")
 def q_payment_expiry_stream(spark, sf_dir):
-    """Payments and provider notices as two streams; a payment with no
-    notice within 24 h is emitted as expired once the watermark (1 h delay,
-    the minimum over both inputs) has passed its creation + 24 h."""
-    d = dom(spark, sf_dir)
-    pays = live.event_time(d.payments.select("order_id", "tenant_id", "created_at"), "created_at")
-    notes = live.event_time(billing.map_payment_status(d.webhooks)
-                            .select("order_id", "received_at", "notice_id"), "received_at")
-    out = live.payment_expiry_stream(_stream_of(spark, pays, "payments"),
-                                     _stream_of(spark, notes, "notices"), hours=24, delay="1 hour")
-    res = spark.read.parquet(run_available_now(out, "payment_expiry"))
-    return res.select("order_id", "tenant_id",
-                      F.col("created_at").cast("timestamp_ntz").alias("created_at"), "status")
+    """Pending payments and provider notices as two streams; what no final
+    notice settles within 24 h of creation expires: from the stream where the
+    watermark (1 h delay, the minimum over both inputs) has passed, from the
+    flush at the end of the feed for the rest."""
+    def feeds(d):
+        pays = live.event_time(d.payments.select("order_id", "tenant_id", "created_at", "status"), "created_at")
+        notes = live.event_time(billing.map_payment_status(d.webhooks)
+                                .select("order_id", "received_at", "notice_id", "payment_status"), "received_at")
+        return pays, notes
+    out = live.payment_expiry_stream(*feeds(Domain(spark, sf_dir, streamed=["orders"])), hours=24, delay="1 hour")
+    emitted = spark.read.parquet(run_available_now(out, "payment_expiry"))
+    pays, notes = feeds(dom(spark, sf_dir))
+    end = F.lit(FEED_END).cast("timestamp")
+    return _ntz(emitted.unionByName(live.payment_expiry_rest(pays, notes, emitted, end, hours=24)), "created_at")
 
 
 @query("recent_checkins_per_scanner")

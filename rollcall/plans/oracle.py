@@ -1,10 +1,8 @@
 """DuckDB twins of the registered queries (same names, same column names).
 
 Each is plain SQL over the driver tables; domain views are prefixed as CTEs
-by ``with_views``. Where the Spark side uses a rewritten plan (pre-aggregated
-fan-out, branch-wise distinct counts, struct max instead of row_number) the
-SQL here keeps the reference's literal form wherever DuckDB can run it, so
-the two are independent computations of the same answer.
+by ``with_views``. Each is written from the stated rule of its operator, in a
+form of its own, so the two are independent computations of the same answer.
 """
 
 from __future__ import annotations
@@ -31,28 +29,30 @@ sql("published_events", """
     ORDER BY event_date ASC, event_id""")
 
 sql("search_visitors", """
-    SELECT v.visitor_id, v.tenant_id, v.event_id, v.registration_code, v.first_name, v.last_name,
-           v.email, v.status, v.registered_at, gc.name AS category_name, gc.code AS category_code
-    FROM visitors v LEFT JOIN categories gc ON v.category_id = gc.category_id
-    WHERE (v.first_name ILIKE '%agus%' OR v.last_name ILIKE '%agus%' OR v.email ILIKE '%agus%'
-           OR v.registration_code ILIKE '%agus%')
-    ORDER BY v.registered_at DESC NULLS FIRST, v.visitor_id ASC
-    LIMIT 50 OFFSET 0""")
-
+    WITH hits AS (
+      SELECT *, row_number() OVER (ORDER BY registered_at DESC NULLS FIRST, visitor_id) AS place
+      FROM visitors
+      WHERE len(list_filter([first_name, last_name, email, registration_code], lambda x: contains(lower(x), 'agus'))) > 0)
+    SELECT visitor_id, tenant_id, event_id, registration_code, first_name, last_name, email, status, registered_at,
+           (SELECT k.name FROM categories k WHERE k.category_id = hits.category_id) AS category_name,
+           (SELECT k.code FROM categories k WHERE k.category_id = hits.category_id) AS category_code
+    FROM hits WHERE place <= 50""")
+
+# One row per scan, and one for each visitor without a scan; 'present' needs a scan time.
 _SUMMARY = """
-    SELECT v.visitor_id, v.registration_code, v.first_name, v.last_name, v.email,
-           gc.name AS category_name, gc.code AS category_code, gc.color AS category_color,
-           e.event_name, e.event_date, v.status, v.registered_at,
-           c.checkin_id, c.checkin_time, c.checked_in_by,
-           CASE WHEN c.checkin_time IS NOT NULL THEN 'Hadir'
-                WHEN v.status = 'confirmed' THEN 'Terkonfirmasi'
-                WHEN v.status = 'registered' THEN 'Terdaftar'
-                WHEN v.status = 'cancelled' THEN 'Dibatalkan'
-                ELSE 'Tidak Hadir' END AS attendance_status
-    FROM visitors v
-    LEFT JOIN categories gc ON v.category_id = gc.category_id
-    LEFT JOIN occasions e ON v.event_id = e.event_id
-    LEFT JOIN checkins c ON v.visitor_id = c.visitor_id"""
+    SELECT p.visitor_id, p.registration_code, p.first_name, p.last_name, p.email,
+           k.name AS category_name, k.code AS category_code, k.color AS category_color,
+           o.event_name, o.event_date, p.status, p.registered_at, p.checkin_id, p.checkin_time, p.checked_in_by,
+           CASE WHEN p.checkin_time IS NULL
+                THEN coalesce(MAP {'confirmed': 'Terkonfirmasi', 'registered': 'Terdaftar', 'cancelled': 'Dibatalkan'}[p.status],
+                              'Tidak Hadir')
+                ELSE 'Hadir' END AS attendance_status
+    FROM (SELECT visitors.*, s.checkin_id, s.checkin_time, s.checked_in_by
+          FROM checkins s JOIN visitors USING (visitor_id)
+          UNION ALL
+          SELECT visitors.*, NULL, NULL, NULL FROM visitors ANTI JOIN checkins USING (visitor_id)) p
+    LEFT JOIN (SELECT category_id AS cid, name, code, color FROM categories) k ON k.cid = p.category_id
+    LEFT JOIN (SELECT event_id AS oid, event_name, event_date FROM occasions) o ON o.oid = p.event_id"""
 
 sql("visitor_summary", _SUMMARY)
 
@@ -60,56 +60,63 @@ sql("attendance_status", f"""
     SELECT attendance_status, count(*) AS rows FROM ({_SUMMARY}) s GROUP BY attendance_status""")
 
 sql("visitors_with_category", """
-    SELECT v.visitor_id, v.tenant_id, v.event_id, v.registration_code, v.status, v.registered_at,
-           gc.name AS category_name, gc.code AS category_code, c.checkin_id, c.checkin_time
-    FROM visitors v
-    LEFT JOIN categories gc ON v.category_id = gc.category_id
-    LEFT JOIN checkins c ON v.visitor_id = c.visitor_id
-    WHERE v.status = 'confirmed'
-    ORDER BY v.registered_at DESC NULLS FIRST, v.visitor_id ASC, c.checkin_id ASC NULLS FIRST
-    LIMIT 100 OFFSET 0""")
+    WITH chosen AS (
+      SELECT visitor_id, tenant_id, event_id, registration_code, status, registered_at, category_id
+      FROM visitors WHERE status = 'confirmed'
+      ORDER BY registered_at DESC NULLS FIRST, visitor_id LIMIT 100),
+    with_scans AS (
+      SELECT chosen.*, s.checkin_id, s.checkin_time,
+             row_number() OVER (ORDER BY registered_at DESC NULLS FIRST, visitor_id, s.checkin_id NULLS FIRST) AS place
+      FROM chosen LEFT JOIN checkins s USING (visitor_id))
+    SELECT w.visitor_id, w.tenant_id, w.event_id, w.registration_code, w.status, w.registered_at,
+           k.name AS category_name, k.code AS category_code, w.checkin_id, w.checkin_time
+    FROM with_scans w LEFT JOIN categories k ON k.category_id = w.category_id
+    WHERE w.place <= 100""")
 
 sql("recent_checkins", """
-    SELECT c.checkin_id, c.visitor_id, c.checkin_time, v.first_name, v.last_name,
-           v.registration_code, gc.name AS category_name, tu.first_name AS checked_in_by_name
-    FROM checkins c
-    JOIN visitors v ON c.visitor_id = v.visitor_id
-    LEFT JOIN categories gc ON v.category_id = gc.category_id
-    LEFT JOIN staff tu ON c.checked_in_by = tu.user_id
-    ORDER BY c.checkin_time DESC NULLS FIRST, c.checkin_id ASC
-    LIMIT 10""")
+    WITH last_ten AS (
+      SELECT * FROM checkins SEMI JOIN visitors USING (visitor_id)
+      ORDER BY checkin_time DESC NULLS FIRST, checkin_id LIMIT 10)
+    SELECT t.checkin_id, t.visitor_id, t.checkin_time, p.first_name, p.last_name, p.registration_code,
+           (SELECT k.name FROM categories k WHERE k.category_id = p.category_id) AS category_name,
+           (SELECT w.first_name FROM staff w WHERE w.user_id = t.checked_in_by) AS checked_in_by_name
+    FROM last_ten t, visitors p WHERE p.visitor_id = t.visitor_id""")
 
 sql("count_by_tenant", "SELECT tenant_id, count(*) AS count FROM visitors GROUP BY tenant_id")
 
+# A visitor weighs as many rows as scans, one at least.
 sql("dashboard_stats", """
-    SELECT e.event_id, e.event_name,
-           count(v.visitor_id) AS total_registered,
-           count(CASE WHEN v.status = 'registered' THEN 1 END) AS total_pending,
-           count(CASE WHEN v.status = 'confirmed' THEN 1 END) AS total_confirmed,
-           count(c.checkin_id) AS total_checkedin,
-           count(CASE WHEN gc.code = 'VIP' THEN 1 END) AS total_vip,
-           count(CASE WHEN gc.code = 'SPR' THEN 1 END) AS total_sponsor,
-           count(CASE WHEN gc.code = 'SPK' THEN 1 END) AS total_speaker,
-           count(CASE WHEN gc.code = 'PTC' THEN 1 END) AS total_participant
-    FROM occasions e
-    LEFT JOIN visitors v ON e.event_id = v.event_id
-    LEFT JOIN categories gc ON v.category_id = gc.category_id
-    LEFT JOIN checkins c ON v.visitor_id = c.visitor_id
-    GROUP BY e.event_id, e.event_name""")
-
-sql("event_stats", """
-    SELECT e.event_id, e.tenant_id,
-           count(v.visitor_id) AS total_visitors,
-           count(CASE WHEN v.status = 'registered' THEN 1 END) AS registered_count,
-           count(CASE WHEN v.status = 'checked_in' THEN 1 END) AS checked_in_count,
-           count(CASE WHEN gc.code = 'VIP' THEN 1 END) AS vip_count,
-           count(CASE WHEN gc.code = 'SPR' THEN 1 END) AS sponsor_count,
-           count(CASE WHEN gc.code = 'SPK' THEN 1 END) AS speaker_count,
-           count(CASE WHEN gc.code = 'PTC' THEN 1 END) AS participant_count
-    FROM occasions e
-    LEFT JOIN visitors v ON v.event_id = e.event_id AND v.tenant_id = e.tenant_id
-    LEFT JOIN categories gc ON v.category_id = gc.category_id
-    GROUP BY e.event_id, e.tenant_id""")
+    WITH n AS (SELECT visitor_id, count(*) AS scans FROM checkins GROUP BY visitor_id),
+    w AS (SELECT event_id, status, k.code, coalesce(scans, 0) AS scans, greatest(coalesce(scans, 0), 1) AS weight
+          FROM visitors LEFT JOIN n USING (visitor_id) LEFT JOIN categories k USING (category_id)),
+    by_status AS (PIVOT (SELECT event_id, status, weight FROM w) ON status IN ('registered', 'confirmed')
+                  USING sum(weight) GROUP BY event_id),
+    by_code AS (PIVOT (SELECT event_id, code, weight FROM w) ON code IN ('VIP', 'SPR', 'SPK', 'PTC')
+                USING sum(weight) GROUP BY event_id),
+    totals AS (SELECT event_id, sum(weight) AS rows_, sum(scans) AS scans FROM w GROUP BY event_id)
+    SELECT o.event_id, o.event_name,
+           CAST(coalesce(rows_, 0) AS BIGINT) AS total_registered, CAST(coalesce(registered, 0) AS BIGINT) AS total_pending,
+           CAST(coalesce(confirmed, 0) AS BIGINT) AS total_confirmed, CAST(coalesce(scans, 0) AS BIGINT) AS total_checkedin,
+           CAST(coalesce(VIP, 0) AS BIGINT) AS total_vip, CAST(coalesce(SPR, 0) AS BIGINT) AS total_sponsor,
+           CAST(coalesce(SPK, 0) AS BIGINT) AS total_speaker, CAST(coalesce(PTC, 0) AS BIGINT) AS total_participant
+    FROM occasions o LEFT JOIN totals USING (event_id) LEFT JOIN by_status USING (event_id) LEFT JOIN by_code USING (event_id)""")
+
+_EVENT_STATS = """
+    WITH cells AS (SELECT event_id, tenant_id, status, k.code, count(*) AS n
+                   FROM visitors LEFT JOIN categories k USING (category_id) GROUP BY ALL),
+    found AS (
+      SELECT event_id, tenant_id, sum(n) AS people, sum(n * (status = 'registered')::INT) AS waiting,
+             sum(n * (status = 'checked_in')::INT) AS arrived, sum(n * (code IS NOT DISTINCT FROM 'VIP')::INT) AS vip,
+             sum(n * (code IS NOT DISTINCT FROM 'SPR')::INT) AS spr, sum(n * (code IS NOT DISTINCT FROM 'SPK')::INT) AS spk,
+             sum(n * (code IS NOT DISTINCT FROM 'PTC')::INT) AS ptc
+      FROM cells GROUP BY event_id, tenant_id)
+    SELECT event_id, tenant_id, CAST(coalesce(people, 0) AS BIGINT) AS total_visitors,
+           CAST(coalesce(waiting, 0) AS BIGINT) AS registered_count, CAST(coalesce(arrived, 0) AS BIGINT) AS checked_in_count,
+           CAST(coalesce(vip, 0) AS BIGINT) AS vip_count, CAST(coalesce(spr, 0) AS BIGINT) AS sponsor_count,
+           CAST(coalesce(spk, 0) AS BIGINT) AS speaker_count, CAST(coalesce(ptc, 0) AS BIGINT) AS participant_count
+    FROM occasions LEFT JOIN found USING (event_id, tenant_id)"""
+
+sql("event_stats", _EVENT_STATS)
 
 # The literal many-branch COUNT(DISTINCT) would build billions of rows here,
 # so the twin counts each branch with correlated scalar subqueries instead.
@@ -261,8 +268,8 @@ _NOTICES = """
                 WHEN provider = 'xendit' THEN
                   CASE WHEN tx = 'PAID' THEN 'success' WHEN tx IN ('EXPIRED', 'FAILED') THEN 'failed'
                        ELSE 'pending' END END AS polled_status,
-           amount, tenant_id, plan_id, billing_period
-    FROM (SELECT notice_id, provider, received_at,
+           amount, tenant_id, plan_id, billing_period, body AS raw_response
+    FROM (SELECT notice_id, provider, received_at, body,
                  CASE WHEN provider = 'midtrans' THEN json_extract_string(body, '$.order_id')
                       ELSE json_extract_string(body, '$.external_id') END AS order_id,
                  CASE WHEN provider = 'midtrans' THEN json_extract_string(body, '$.transaction_status')
@@ -287,7 +294,7 @@ sql("map_payment_status", _NOTICES)
 
 sql("apply_payments", f"""
     SELECT p.order_id, p.tenant_id, coalesce(l.payment_status, p.status) AS status,
-           l.received_at AS updated_at
+           l.received_at AS updated_at, l.raw_response
     FROM payments p LEFT JOIN ({_LAST_NOTICE}) l ON l.order_id = p.order_id""")
 
 sql("upsert_subscriptions", f"""
@@ -296,8 +303,9 @@ sql("upsert_subscriptions", f"""
                   CAST(CAST(date_trunc('month', CAST(l.received_at AS DATE))
                             + to_months(CASE WHEN l.billing_period = 'yearly' THEN 12 ELSE 1 END) AS DATE)
                        + CAST(day(l.received_at) - 1 AS INTEGER) AS TIMESTAMP) AS ends
-           FROM ({_LAST_NOTICE}) l LEFT JOIN payments p ON p.order_id = l.order_id
-           WHERE l.payment_status = 'success'),
+           FROM (SELECT n.* FROM ({_NOTICES}) n WHERE n.payment_status = 'success'
+                 QUALIFY row_number() OVER (PARTITION BY n.order_id ORDER BY n.received_at DESC, n.notice_id DESC) = 1) l
+           LEFT JOIN payments p ON p.order_id = l.order_id),
     u AS (SELECT * FROM (SELECT ok.*, row_number() OVER (PARTITION BY tenant_id
                                                         ORDER BY received_at DESC, order_id DESC) AS rk
                          FROM ok) WHERE rk = 1)
@@ -307,7 +315,9 @@ sql("upsert_subscriptions", f"""
            CASE WHEN u.tenant_id IS NOT NULL THEN u.received_at ELSE b.starts_at END AS starts_at,
            CASE WHEN u.tenant_id IS NOT NULL THEN u.ends ELSE b.ends_at END AS ends_at,
            CASE WHEN b.tenant_id IS NOT NULL THEN b.billing_email ELSE u.new_email END AS billing_email,
-           u.received_at AS updated_at, u.order_id AS last_order_id
+           u.received_at AS updated_at, u.order_id AS last_order_id,
+           CASE WHEN b.tenant_id IS NULL
+                THEN json_object('provider', u.provider, 'orderId', u.order_id, 'billingPeriod', u.billing_period)::VARCHAR END AS metadata
     FROM b FULL OUTER JOIN u ON b.tenant_id = u.tenant_id""")
 
 sql("payment_expiry", f"""
@@ -341,6 +351,84 @@ sql("validate_events", r"""
         CASE WHEN NOT (end_time > start_time) THEN 'end_after_start' END) AS violations
     FROM occasions""")
 
+sql("validate_tenants", r"""
+    SELECT tenant_id, concat_ws(',',
+        CASE WHEN trim(coalesce(name, '')) = '' THEN 'name_required' END,
+        CASE WHEN length(name) > 255 THEN 'name_length' END,
+        CASE WHEN trim(coalesce(slug, '')) = '' THEN 'slug_required' END,
+        CASE WHEN length(slug) > 100 THEN 'slug_length' END,
+        CASE WHEN NOT regexp_full_match(slug, '[a-z0-9-]+') THEN 'slug_format' END,
+        CASE WHEN length(subdomain) > 100 THEN 'subdomain_length' END,
+        CASE WHEN NOT regexp_full_match(subdomain, '[a-z0-9-]+') THEN 'subdomain_format' END) AS violations
+    FROM tenants""")
+
+sql("validate_categories", """
+    SELECT category_id, concat_ws(',',
+        CASE WHEN length(name) > 100 THEN 'name_length' END,
+        CASE WHEN length(code) > 10 THEN 'code_length' END,
+        CASE WHEN NOT regexp_full_match(color, '#[0-9A-Fa-f]{6}') THEN 'color_format' END) AS violations
+    FROM categories WHERE category_id IN (SELECT category_id FROM visitors)""")
+
+sql("validate_subscriptions", """
+    SELECT subscription_id, CASE WHEN status NOT IN ('active', 'cancelled', 'expired', 'suspended', 'trialing')
+                                 THEN 'status_enum' ELSE '' END AS violations
+    FROM subscriptions""")
+
+sql("validate_staff", """
+    SELECT user_id, concat_ws(',',
+        CASE WHEN role NOT IN ('owner', 'admin', 'manager', 'staff', 'viewer') THEN 'role_enum' END,
+        CASE WHEN trim(coalesce(email, '')) = '' THEN 'email_required' END) AS violations
+    FROM staff""")
+
+sql("validate_payments", """
+    SELECT order_id, concat_ws(',',
+        CASE WHEN provider NOT IN ('midtrans', 'xendit', 'stripe') THEN 'provider_enum' END,
+        CASE WHEN status NOT IN ('pending', 'success', 'failed', 'cancelled', 'expired', 'challenge') THEN 'status_enum' END,
+        CASE WHEN billing_period NOT IN ('monthly', 'yearly') THEN 'billing_period_enum' END) AS violations
+    FROM payments""")
+
+sql("validate_contacts", r"""
+    SELECT doc_id, nth, concat_ws(',',
+        CASE WHEN trim(coalesce(phone, '')) = '' THEN 'phone_required' END,
+        CASE WHEN NOT regexp_matches(email, '^[^\s@]+@[^\s@]+\.[^\s@]+$') THEN 'email_format' END) AS violations
+    FROM contacts""")
+
+sql("unique_visitors", """
+    SELECT 'unique_tenant_event_email' AS rule, concat_ws('|', tenant_id, event_id, email) AS key, count(*) AS rows
+    FROM visitors WHERE tenant_id IS NOT NULL AND event_id IS NOT NULL AND email IS NOT NULL
+    GROUP BY tenant_id, event_id, email HAVING count(*) > 1
+    UNION ALL
+    SELECT 'unique_tenant_registration_code', concat_ws('|', tenant_id, registration_code), count(*)
+    FROM visitors WHERE tenant_id IS NOT NULL AND registration_code IS NOT NULL
+    GROUP BY tenant_id, registration_code HAVING count(*) > 1""")
+
+sql("unique_staff", """
+    SELECT 'unique_tenant_email' AS rule, concat_ws('|', tenant_id, email) AS key, count(*) AS rows
+    FROM staff WHERE tenant_id IS NOT NULL AND email IS NOT NULL GROUP BY tenant_id, email HAVING count(*) > 1""")
+
+sql("unique_events", """
+    SELECT 'unique_tenant_event_slug' AS rule, concat_ws('|', tenant_id, slug) AS key, count(*) AS rows
+    FROM occasions WHERE tenant_id IS NOT NULL AND slug IS NOT NULL GROUP BY tenant_id, slug HAVING count(*) > 1""")
+
+sql("unique_payment_settings", """
+    SELECT 'unique_tenant_provider' AS rule, concat_ws('|', tenant_id, provider) AS key, count(DISTINCT billing_period) AS rows
+    FROM payments GROUP BY tenant_id, provider HAVING count(DISTINCT billing_period) > 1""")
+
+sql("admit_checkins_by_tenant", """
+    WITH scan AS (SELECT c.*, w.tenant_id FROM checkins c LEFT JOIN staff w ON w.user_id = c.checked_in_by),
+    req AS (
+      SELECT s.checkin_id AS request_id, s.tenant_id, s.visitor_id, v.event_id, v.visitor_id IS NOT NULL AS known,
+             EXISTS (SELECT 1 FROM scan o WHERE o.is_stored AND o.tenant_id = s.tenant_id AND o.visitor_id = s.visitor_id) AS seen,
+             min(struct_pack(t := s.checkin_time, i := s.checkin_id))
+               OVER (PARTITION BY s.tenant_id, s.visitor_id) AS earliest
+      FROM scan s LEFT JOIN visitors v ON v.visitor_id = s.visitor_id AND v.tenant_id = s.tenant_id
+      WHERE NOT s.is_stored),
+    judged AS (
+      SELECT *, CASE WHEN seen THEN 'duplicate' WHEN NOT known THEN 'not_found' WHEN earliest.i <> request_id THEN 'duplicate' END AS reason
+      FROM req)
+    SELECT request_id, tenant_id, visitor_id, event_id, CASE WHEN reason IS NULL THEN 'accepted' ELSE 'rejected' END AS decision, reason
+    FROM judged""")
+
 sql("admit_checkins", """
     WITH stored AS (SELECT DISTINCT visitor_id FROM checkins WHERE is_stored),
     req AS (SELECT checkin_id AS request_id, visitor_id, checkin_time AS scan_time
@@ -359,31 +447,39 @@ sql("admit_checkins", """
 sql("assign_codes", """
     WITH ex AS (
       SELECT v.tenant_id, v.category_id,
-             max(TRY_CAST(substr(v.registration_code, length(gc.code || '01') + 1) AS INTEGER)) AS mx
+             max(TRY_CAST(substr(v.registration_code, length(gc.code || '94') + 1) AS HUGEINT)) AS mx
       FROM visitors v JOIN categories gc ON gc.category_id = v.category_id
-      WHERE v.registered_at < TIMESTAMP '2001-07-01 00:00:00'
-        AND starts_with(v.registration_code, gc.code || '01')
+      WHERE v.registered_at < TIMESTAMP '1994-07-01 00:00:00'
+        AND starts_with(v.registration_code, gc.code || '94')
       GROUP BY v.tenant_id, v.category_id),
     nw AS (
       SELECT v.visitor_id, v.tenant_id, v.category_id, gc.code,
              row_number() OVER (PARTITION BY v.tenant_id, v.category_id
                                 ORDER BY v.registered_at, v.visitor_id) AS seq
       FROM visitors v LEFT JOIN categories gc ON gc.category_id = v.category_id
-      WHERE v.registered_at >= TIMESTAMP '2001-07-01 00:00:00'),
+      WHERE v.registered_at >= TIMESTAMP '1994-07-01 00:00:00'),
     num AS (SELECT nw.*, CAST(coalesce(ex.mx, 0) + nw.seq AS VARCHAR) AS n
             FROM nw LEFT JOIN ex ON ex.tenant_id = nw.tenant_id AND ex.category_id = nw.category_id)
     SELECT visitor_id, tenant_id, category_id,
            CASE WHEN code IS NULL THEN NULL
-                ELSE code || '01' || lpad(n, CAST(greatest(4, length(n)) AS INTEGER), '0') END AS registration_code
+                ELSE code || '94' || lpad(n, CAST(greatest(4, length(n)) AS INTEGER), '0') END AS registration_code
     FROM num""")
 
+sql("assign_codes_single", """
+    SELECT visitor_id, category_id, code || lpad(n, CAST(greatest(3, length(n)) AS INTEGER), '0') AS registration_code
+    FROM (SELECT visitor_id, category_id, k.code,
+                 CAST(row_number() OVER (PARTITION BY category_id ORDER BY registered_at, visitor_id) AS VARCHAR) AS n
+          FROM visitors LEFT JOIN categories k USING (category_id))""")
+
+# A NULL in the key equals nothing: such rows are all kept.
 _DEDUPE = """
     SELECT visitor_id, visitor_id = f AS kept, CASE WHEN visitor_id <> f THEN f END AS duplicate_of
-    FROM (SELECT visitor_id, first_value(visitor_id) OVER (PARTITION BY {keys}
-                                                           ORDER BY registered_at, visitor_id) AS f
+    FROM (SELECT visitor_id, CASE WHEN ({nulls}) THEN visitor_id
+                 ELSE first_value(visitor_id) OVER (PARTITION BY {keys} ORDER BY registered_at, visitor_id) END AS f
           FROM visitors)"""
-sql("dedupe_registrations", _DEDUPE.format(keys="tenant_id, event_id, email"))
-sql("dedupe_registrations_global", _DEDUPE.format(keys="email"))
+sql("dedupe_registrations", _DEDUPE.format(
+    keys="tenant_id, event_id, email", nulls="tenant_id IS NULL OR event_id IS NULL OR email IS NULL"))
+sql("dedupe_registrations_global", _DEDUPE.format(keys="email", nulls="email IS NULL"))
 
 sql("ticket_checksum", """
     SELECT visitor_id, registration_code,
@@ -403,7 +499,10 @@ sql("resolve_tenant", """
     SELECT r.request_id, r.host, r.path,
            coalesce(h.tenant_id, s.t, d.t, g.t) AS tenant_id,
            CASE WHEN h.tenant_id IS NOT NULL THEN 'header' WHEN s.t IS NOT NULL THEN 'subdomain'
-                WHEN d.t IS NOT NULL THEN 'custom_domain' WHEN g.t IS NOT NULL THEN 'path' END AS resolved_by
+                WHEN d.t IS NOT NULL THEN 'custom_domain' WHEN g.t IS NOT NULL THEN 'path' END AS resolved_by,
+           CASE WHEN coalesce(h.tenant_id, s.t, d.t) IS NULL AND g.t IS NOT NULL
+                THEN coalesce(nullif(substr(r.path, length('/t/' || r.k_slug) + 1), ''), '/')
+                ELSE r.path END AS path_without_tenant
     FROM r
     LEFT JOIN (SELECT DISTINCT tenant_id FROM dir) h ON h.tenant_id = r.header_tenant_id
     LEFT JOIN (SELECT subdomain AS k, min(tenant_id) AS t FROM dir
@@ -414,7 +513,7 @@ sql("resolve_tenant", """
                WHERE is_active AND slug IS NOT NULL GROUP BY slug) g ON g.k = r.k_slug""")
 
 sql("normalize_contacts", r"""
-    SELECT doc_id, email, phone,
+    SELECT doc_id, nth, email, phone,
            CASE WHEN starts_with(regexp_replace(phone, '[^0-9+]', '', 'g'), '08')
                 THEN '+62' || substr(regexp_replace(phone, '[^0-9+]', '', 'g'), 2)
                 ELSE regexp_replace(phone, '[^0-9+]', '', 'g') END AS phone_normalized,
@@ -449,6 +548,20 @@ sql("apply_patch", """
            CASE WHEN p.user_id IS NOT NULL THEN TIMESTAMP '2024-02-01 00:00:00' END AS updated_at
     FROM staff b LEFT JOIN p ON p.user_id = b.user_id""")
 
+sql("purge_whole_tenant", """
+    WITH gone AS (SELECT tenant_id FROM tenants WHERE NOT is_active),
+    owned AS (
+      SELECT 'tenants' AS table_name, CAST(tenant_id AS VARCHAR) AS row_key, tenant_id FROM tenants
+      UNION ALL SELECT 'events', CAST(event_id AS VARCHAR), tenant_id FROM occasions
+      UNION ALL SELECT 'staff', CAST(user_id AS VARCHAR), tenant_id FROM staff
+      UNION ALL SELECT 'subscriptions', CAST(subscription_id AS VARCHAR), tenant_id FROM subscriptions
+      UNION ALL SELECT 'visitors', CAST(visitor_id AS VARCHAR), tenant_id FROM visitors
+      UNION ALL SELECT 'payments', order_id, tenant_id FROM payments
+      UNION ALL (SELECT DISTINCT 'payment_settings', CAST(tenant_id AS VARCHAR) || '-' || provider, tenant_id FROM payments)
+      UNION ALL SELECT 'activity', CAST(request_id AS VARCHAR), tenant_id FROM request_log
+      UNION ALL SELECT 'checkins', c.checkin_id, v.tenant_id FROM checkins c LEFT JOIN visitors v USING (visitor_id))
+    SELECT table_name, row_key FROM owned WHERE tenant_id IS NULL OR tenant_id NOT IN (FROM gone)""")
+
 sql("purge_visitors", """
     SELECT visitor_id, tenant_id, event_id FROM visitors
     WHERE tenant_id NOT IN (SELECT tenant_id FROM tenants WHERE NOT is_active)""")
@@ -533,42 +646,26 @@ sql("read_json_events", """
            bad AS is_corrupt
     FROM (SELECT *, status = 500 AND client % 7 = 0 AS bad FROM request_log)""")
 
-sql("export_csv", """
-    SELECT e.event_id, e.tenant_id,
-           count(v.visitor_id) AS total_visitors,
-           count(CASE WHEN v.status = 'registered' THEN 1 END) AS registered_count,
-           count(CASE WHEN v.status = 'checked_in' THEN 1 END) AS checked_in_count,
-           count(CASE WHEN gc.code = 'VIP' THEN 1 END) AS vip_count,
-           count(CASE WHEN gc.code = 'SPR' THEN 1 END) AS sponsor_count,
-           count(CASE WHEN gc.code = 'SPK' THEN 1 END) AS speaker_count,
-           count(CASE WHEN gc.code = 'PTC' THEN 1 END) AS participant_count
-    FROM occasions e
-    LEFT JOIN visitors v ON v.event_id = e.event_id AND v.tenant_id = e.tenant_id
-    LEFT JOIN categories gc ON v.category_id = gc.category_id
-    GROUP BY e.event_id, e.tenant_id""")
+sql("export_csv", _EVENT_STATS)
 
 sql("refresh_snapshot", _RAW["tenant_analytics"])
 
-# Stream twins: a window is final (emitted in append mode) once the watermark,
-# max event time - 1 day, has reached its end.
+# Stream twins: the batch answer over the whole feed, open windows included.
 sql("live_dashboard_stream", """
-    SELECT date_trunc('day', c.checkin_time) AS window_start,
-           date_trunc('day', c.checkin_time) + INTERVAL 1 DAY AS window_end,
-           v.category_id, count(*) AS checkins
-    FROM checkins c JOIN visitors v ON v.visitor_id = c.visitor_id
-    GROUP BY 1, 2, 3
-    HAVING date_trunc('day', c.checkin_time) + INTERVAL 1 DAY
-           <= (SELECT max(checkin_time) FROM checkins) - INTERVAL 1 DAY""")
-
-sql("rate_limit_stream", """
-    SELECT window_start, window_end, tenant_id, route, "count", "limit", "count" - "limit" AS blocked
-    FROM (SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end,
-                 tenant_id, route, count(*) AS "count"
-          FROM request_log WHERE path NOT IN ('/health', '/api/health')
-          GROUP BY 1, 2, 3, 4) c
-    JOIN (VALUES ('auth', 5), ('register', 10), ('other', 100)) AS l(route, "limit") USING (route)
-    WHERE "count" > "limit"
-      AND window_end <= (SELECT max(ts) FROM request_log) - INTERVAL 1 DAY""")
+    SELECT CAST(d AS TIMESTAMP) AS window_start, CAST(d + 1 AS TIMESTAMP) AS window_end, category_id,
+           CAST(sum(n) AS BIGINT) AS checkins
+    FROM (SELECT CAST(checkin_time AS DATE) AS d, visitor_id, count(*) AS n FROM checkins GROUP BY ALL)
+    JOIN visitors USING (visitor_id) GROUP BY d, category_id""")
+
+sql("running_totals_stream", """
+    SELECT event_id, category_id, CAST(sum(n) AS BIGINT) AS checkins
+    FROM visitors JOIN (SELECT visitor_id, count(*) AS n FROM checkins GROUP BY visitor_id) USING (visitor_id)
+    GROUP BY event_id, category_id""")
+
+sql("checkin_stream", """
+    SELECT visitor_id, event_id, tenant_id FROM visitors SEMI JOIN checkins USING (visitor_id)""")
+
+sql("rate_limit_stream", _RAW["rate_limit_hits"])
 
 # -- tickets and audit trail ---------------------------------------------------
 # Every sealed ticket must open with the key and re-verify its checksum.
@@ -644,18 +741,14 @@ sql("mark_checked_in", """
            CASE WHEN a.visitor_id IS NOT NULL THEN TIMESTAMP '2024-02-01 00:00:00' END AS updated_at
     FROM visitors v LEFT JOIN acc a ON a.visitor_id = v.visitor_id""")
 
-# Emitted once the final watermark (min over both inputs of max event time,
-# minus the 1 h delay) has passed creation + 24 h.
+# Every pending payment that no final notice settles within a day of its creation.
 sql("payment_expiry_stream", f"""
-    WITH n AS ({_NOTICES}),
-    wm AS (SELECT least((SELECT max(created_at) FROM payments),
-                        (SELECT max(received_at) FROM n)) - INTERVAL 1 HOUR AS w)
-    SELECT p.order_id, p.tenant_id, p.created_at, 'expired' AS status
-    FROM payments p
-    WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.order_id = p.order_id
-                        AND n.received_at >= p.created_at
-                        AND n.received_at <= p.created_at + INTERVAL 24 HOUR)
-      AND p.created_at + INTERVAL 24 HOUR < (SELECT w FROM wm)""")
+    WITH settled AS (SELECT order_id, received_at FROM ({_NOTICES})
+                     WHERE payment_status IN ('success', 'failed', 'cancelled', 'expired'))
+    SELECT order_id, tenant_id, created_at, 'expired' AS status FROM payments
+    WHERE status = 'pending'
+      AND order_id NOT IN (SELECT p.order_id FROM payments p JOIN settled n USING (order_id)
+                           WHERE n.received_at BETWEEN p.created_at AND p.created_at + INTERVAL 24 HOUR)""")
 
 sql("recent_checkins_per_scanner", """
     SELECT t.checked_in_by, t.rank, t.checkin_id, t.visitor_id, t.checkin_time,

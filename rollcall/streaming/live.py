@@ -11,7 +11,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.common import as_list
@@ -27,9 +28,11 @@ def event_time(df: DataFrame, col: str) -> DataFrame:
 # O42 ---------------------------------------------------------------------
 def checkin_stream(scans: DataFrame, visitors: DataFrame, delay: str = "1 day",
                    time_col: str = "scan_time", salt_buckets: int = 16) -> DataFrame:
-    """Live admission, watermark form: the first scan per visitor within the
-    watermark is kept (a late offline replay still counts if it arrives
-    within ``delay``; an older one is dropped), joined to the static visitor
+    """Live admission, watermark form: one scan per visitor within the
+    watermark is kept, the first that the stream sees (of scans in one
+    micro-batch any of them; ``exact_admission_batch`` picks the earliest scan
+    time). A late offline replay still counts if it arrives within ``delay``;
+    an older one is dropped. Joined to the static visitor
     table (stream-static inner join: unknown visitors drop out). State per
     visitor is dropped once the watermark passes, so a repeat scan much
     later is not caught here; ``exact_admission_batch`` gives the all-time
@@ -49,61 +52,65 @@ def checkin_stream(scans: DataFrame, visitors: DataFrame, delay: str = "1 day",
                   .join(v, "visitor_id", "inner"))
 
 
-def exact_admission_batch(visitors: DataFrame, decisions_path: str,
+def exact_admission_batch(visitors: DataFrame, decisions_path: str, stream_id: str,
                           time_col: str = "scan_time", salt_buckets: int = 16):
     """``foreachBatch`` handler for the exact rule: each micro-batch is
-    admitted (O15) against every scan accepted so far, and all decisions of
-    the batch are appended to one table in a single write (accepted rows
-    are the stored check-ins). A batch id already present is skipped, so a
-    batch retried after a failure does not admit twice."""
+    admitted (O15) against every scan accepted so far; accepted rows are the
+    stored check-ins. ``stream_id`` names the stream's checkpoint: batch ids
+    count from 0 in each checkpoint, so (stream, batch) names a batch. Its
+    decisions are one folder, written as a whole: a batch that is repeated after
+    a failure is decided again without its own earlier decisions and replaces
+    them, so nothing is admitted twice and nothing is left half-written."""
 
     def handle(batch: DataFrame, batch_id: int):
         spark = batch.sparkSession
-        try:
-            past = spark.read.parquet(decisions_path)
-            if past.where(F.col("batch_id") == batch_id).limit(1).count() > 0:
-                return
-            stored = past.where(F.col("decision") == "accepted").select("visitor_id")
-        except Exception:  # noqa: BLE001 - first batch: nothing decided yet
-            stored = batch.select("visitor_id").where(F.lit(False))
-        decided = admit_checkins(batch, visitors, stored, time_col=time_col,
-                                 salt_buckets=salt_buckets) \
-            .withColumn("batch_id", F.lit(batch_id))
-        # Partitioned by decision: reading the accepted set skips all
-        # rejects; each file holds one batch id, so the retry check above is
-        # answered from parquet statistics.
-        decided.write.mode("append").partitionBy("decision").parquet(decisions_path)
+        own = (F.col("stream") == stream_id) & (F.col("batch") == batch_id)
+        past = read_decisions(spark, decisions_path, batch.schema["visitor_id"].dataType.simpleString())
+        touched = batch.select("visitor_id").distinct()
+        stored = past.where((F.col("decision") == "accepted") & ~own).select("visitor_id") \
+            .join(touched, "visitor_id", "left_semi")
+        decided = admit_checkins(batch, visitors, stored, time_col=time_col, salt_buckets=salt_buckets)
+        # Partitioned by decision: reading the accepted set skips all rejects.
+        decided.write.mode("overwrite").partitionBy("decision").parquet(
+            f"{decisions_path}/stream={stream_id}/batch={batch_id}")
 
     return handle
 
 
+def read_decisions(spark: SparkSession, decisions_path: str, visitor_type: str = "bigint") -> DataFrame:
+    """All decisions so far with stream and batch; none before the first batch.
+    Only a missing folder counts as none: any other failure to read is raised."""
+    try:
+        found = spark.read.option("basePath", decisions_path).parquet(f"{decisions_path}/stream=*")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], f"visitor_id {visitor_type}, stream string, batch long, decision string")
+    return found.withColumns({"stream": F.col("stream").cast("string"), "batch": F.col("batch").cast("long")})
+
+
 # O43 ---------------------------------------------------------------------
-def live_dashboard(scans: DataFrame, visitors: DataFrame, window: str = "1 hour",
-                   by: Sequence[str] = ("event_id", "category_id"), delay: str = "1 day",
-                   time_col: str = "scan_time") -> DataFrame:
-    """Check-in counts per tumbling window and ``by`` keys (visitor
-    attributes); with a watermark the windows are final and can be emitted
-    in append mode.
-
-    Micro-batches run without AQE, so a visitor scanned very often would
-    concentrate a stream-static join in one task. Scans are therefore first
-    counted per (window, visitor) (a partial aggregation), the per-visitor
-    counts are joined to the visitor table (at most one row per visitor and
-    window), and a second windowed aggregation over the first one's
-    ``window_time`` rolls them up per ``by``. The price is state per active
-    visitor and open window (evicted as the watermark passes) instead of
-    per ``by`` key and window."""
+def live_counts(scans: DataFrame, window: str = "1 hour", delay: str = "1 day",
+                time_col: str = "scan_time") -> DataFrame:
+    """Check-ins per tumbling window and visitor: the stateful part of the live
+    dashboard. Run in update mode it gives open windows as they stand; the
+    watermark only bounds how long a window's state is kept."""
+    return (scans.withWatermark(time_col, delay)
+                 .groupBy(F.window(time_col, window).alias("w"), "visitor_id")
+                 .agg(F.count(F.lit(1)).alias("n"))
+                 .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "visitor_id", "n"))
+
+
+def live_dashboard(counts: DataFrame, visitors: DataFrame,
+                   by: Sequence[str] = ("event_id", "category_id")) -> DataFrame:
+    """Check-in counts per window and ``by`` keys (visitor attributes) from the
+    current ``live_counts``. The join to the visitors is outside the stream, on
+    one row per visitor and window: a visitor scanned very often is one row,
+    and Spark re-plans the join from measured sizes, which micro-batches do not."""
     by = as_list(by)
     v = visitors.select("visitor_id", *[c for c in by if c != "visitor_id"])
-    per_visitor = (scans.withWatermark(time_col, delay)
-                        .groupBy(F.window(time_col, window).alias("w"), "visitor_id")
-                        .agg(F.count(F.lit(1)).alias("_n"))
-                        .select(F.window_time("w").alias("_wt"), "visitor_id", "_n"))
-    return (per_visitor.join(v, "visitor_id", "inner")
-                       .groupBy(F.window("_wt", window).alias("w"), *by)
-                       .agg(F.sum("_n").alias("checkins"))
-                       .select(F.col("w.start").alias("window_start"),
-                               F.col("w.end").alias("window_end"), *by, "checkins"))
+    return (counts.join(v, "visitor_id", "inner").groupBy("window_start", "window_end", *by)
+                  .agg(F.sum("n").alias("checkins")))
 
 
 def running_totals(scans: DataFrame, visitors: DataFrame,
@@ -118,7 +125,8 @@ def running_totals(scans: DataFrame, visitors: DataFrame,
 def rate_limit_stream(log: DataFrame, key: str = "client", window: str = "15 minutes",
                       limits: Mapping[str, int] | None = None, delay: str = "15 minutes",
                       ts: str = "ts") -> DataFrame:
-    """Stream form of O44: windows are emitted once the watermark closes them."""
+    """Stream form of O44. In update mode a window is reported from the moment it
+    passes its limit; in append mode once the watermark closes it."""
     limits = dict(limits or RATE_LIMITS)
     pairs = []
     for route, n in limits.items():
@@ -135,18 +143,43 @@ def rate_limit_stream(log: DataFrame, key: str = "client", window: str = "15 min
 
 
 # O45 ---------------------------------------------------------------------
+#: States after which a payment no longer waits for its provider.
+FINAL_STATES = ("success", "failed", "cancelled", "expired")
+
+
+def _waiting(payments: DataFrame) -> DataFrame:
+    return payments.where(F.col("status") == "pending").select("order_id", "tenant_id", "created_at")
+
+
+def _settled(notices: DataFrame) -> DataFrame:
+    return notices.where(F.col("payment_status").isin(*FINAL_STATES)).select(
+        F.col("order_id").alias("n_order_id"), "received_at", "notice_id")
+
+
+def _in_time(hours: int):
+    return ((F.col("order_id") == F.col("n_order_id")) & (F.col("received_at") >= F.col("created_at"))
+            & (F.col("received_at") <= F.col("created_at") + F.expr(f"INTERVAL {hours} HOURS")))
+
+
 def payment_expiry_stream(payments: DataFrame, notices: DataFrame, hours: int = 24,
                           delay: str = "1 hour") -> DataFrame:
-    """Payments with no provider notice within ``hours`` of creation: a
+    """Pending payments that no notice with a final state settles within
+    ``hours`` of creation (a notice that says 'pending' settles nothing): a
     stream-stream left outer join with watermarks on both sides and a
     time-range condition; the unmatched payment is emitted (as expired) once
-    the watermark passes creation + ``hours``."""
-    p = payments.select("order_id", "tenant_id", "created_at").withWatermark("created_at", delay)
-    n = notices.select(F.col("order_id").alias("n_order_id"), F.col("received_at"),
-                       F.col("notice_id")).withWatermark("received_at", delay)
-    cond = ((F.col("order_id") == F.col("n_order_id"))
-            & (F.col("received_at") >= F.col("created_at"))
-            & (F.col("received_at") <= F.col("created_at") + F.expr(f"INTERVAL {hours} HOURS")))
-    j = p.join(n, cond, "leftOuter")
+    the watermark passes creation + ``hours``. What the watermark has not yet
+    passed is ``payment_expiry_rest``'s."""
+    p = _waiting(payments).withWatermark("created_at", delay)
+    n = _settled(notices).withWatermark("received_at", delay)
+    j = p.join(n, _in_time(hours), "leftOuter")
     return j.where(F.col("notice_id").isNull()).select(
         "order_id", "tenant_id", "created_at", F.lit("expired").alias("status"))
+
+
+def payment_expiry_rest(payments: DataFrame, notices: DataFrame, emitted: DataFrame, as_of, hours: int = 24) -> DataFrame:
+    """The flush when a feed has ended: by the same rule, payments due at
+    ``as_of`` that the stream has not emitted."""
+    due = _waiting(payments).where(F.col("created_at") + F.expr(f"INTERVAL {hours} HOURS") <= as_of)
+    due = due.join(emitted.select("order_id"), "order_id", "left_anti")
+    return due.join(_settled(notices), _in_time(hours), "left_anti").select(
+        "order_id", "tenant_id", "created_at", F.lit("expired").alias("status"))

@@ -4,7 +4,11 @@ stream queries to compare a stream with its batch twin."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.io import scratch_path
 
@@ -20,9 +24,31 @@ def run_available_now(stream: DataFrame, name: str, output_mode: str = "append")
     return sink
 
 
-def run_foreach_batch(stream: DataFrame, name: str, handler, ckpt: str | None = None) -> None:
+def run_foreach_batch(stream: DataFrame, name: str, handler, ckpt: str | None = None,
+                      output_mode: str = "append") -> None:
     spark = stream.sparkSession
     ckpt = ckpt or scratch_path(spark, "streams", name, "ckpt")
-    q = (stream.writeStream.foreachBatch(handler).option("checkpointLocation", ckpt)
+    q = (stream.writeStream.foreachBatch(handler).option("checkpointLocation", ckpt).outputMode(output_mode)
                .trigger(availableNow=True).start())
     q.awaitTermination()
+
+
+def run_updates(stream: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
+    """Run an aggregating stream in update mode and return the current row of
+    each key, open windows included. Every micro-batch writes its changed rows
+    to a folder of its own, which a repeated batch overwrites as a whole; the
+    latest batch of a key holds its current row. Sink and checkpoint belong
+    together: a new checkpoint starts a new sink."""
+    spark = stream.sparkSession
+    sink = scratch_path(spark, "streams", name, "updates")
+    ckpt = scratch_path(spark, "streams", name, "ckpt")
+    carry = [c for c in stream.columns if c not in keys]
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+
+    def handle(batch: DataFrame, batch_id: int):
+        batch.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+
+    run_foreach_batch(stream, name, handle, ckpt=ckpt, output_mode="update")
+    rows = spark.read.schema(schema).parquet(sink)
+    last = rows.groupBy(*keys).agg(F.max(F.struct("batch", *carry)).alias("_last"))
+    return last.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in carry])

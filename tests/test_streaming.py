@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
 from rollcall.operators import registration
 from rollcall.sources.io import scratch_path
 from rollcall.streaming import live
-from rollcall.streaming.runner import run_available_now, run_foreach_batch
+from rollcall.streaming.runner import run_available_now, run_foreach_batch, run_updates
 
 T0 = dt.datetime(2024, 1, 1, 8, 0)
 
@@ -45,8 +46,8 @@ def test_exact_admission_across_batches_equals_batch_rule(spark):
     path = feed(spark, "scans", batches, SCAN_SCHEMA)
     stream = spark.readStream.schema(SCAN_SCHEMA).option("maxFilesPerTrigger", 1).parquet(path)
     decisions = scratch_path(spark, "decisions")
-    run_foreach_batch(stream, "exact", live.exact_admission_batch(visitors(spark), decisions))
-    dec = spark.read.parquet(decisions)
+    run_foreach_batch(stream, "exact", live.exact_admission_batch(visitors(spark), decisions, "s1"))
+    dec = live.read_decisions(spark, decisions)
     got_ok = rows(dec.where("decision = 'accepted'"), "request_id")
     got_bad = rows(dec.where("decision = 'rejected'"), "request_id", "reason")
     all_req = spark.createDataFrame([r for b in batches for r in b], SCAN_SCHEMA)
@@ -90,20 +91,46 @@ def test_running_totals_complete_mode(spark):
     assert rows(spark.table("running_totals")) == [(100, 2), (200, 2)]
 
 
-def test_payment_expiry_stream_matches_batch(spark):
-    pay_schema = "order_id string, tenant_id int, created_at timestamp"
-    note_schema = "order_id string, received_at timestamp, notice_id long"
-    pays = [[("p1", 1, at(0)), ("p2", 1, at(0)), ("p3", 2, at(60))],
-            [("sentinel", 0, at(60 * 24 * 10))]]
-    notes = [[("p1", at(30), 1), ("p3", at(60 + 60 * 25), 2)],      # p3's notice is too late
-             [("sentinel", at(60 * 24 * 10 + 1), 3)]]
-    ps = spark.readStream.schema(pay_schema).option("maxFilesPerTrigger", 1) \
-        .parquet(feed(spark, "pays", pays, pay_schema))
-    ns = spark.readStream.schema(note_schema).option("maxFilesPerTrigger", 1) \
-        .parquet(feed(spark, "notes", notes, note_schema))
+def test_exact_admission_new_checkpoint_retry_and_unreadable_history(spark):
+    decisions = scratch_path(spark, "decisions")
+    first = spark.createDataFrame([("a1", 1, at(0)), ("a2", 2, at(1))], SCAN_SCHEMA)
+    second = spark.createDataFrame([("b1", 1, at(5)), ("b2", 3, at(6))], SCAN_SCHEMA)
+    live.exact_admission_batch(visitors(spark), decisions, "one")(first, 0)
+    live.exact_admission_batch(visitors(spark), decisions, "one")(first, 0)      # the same batch again
+    live.exact_admission_batch(visitors(spark), decisions, "two")(second, 0)     # a new checkpoint counts from 0
+    got = rows(live.read_decisions(spark, decisions), "request_id", "decision")
+    assert got == [("a1", "accepted"), ("a2", "accepted"), ("b1", "rejected"), ("b2", "accepted")]
+    spark.createDataFrame([("not parquet",)], "value string").coalesce(1).write.text(f"{decisions}/stream=bad/batch=0/decision=accepted/x.parquet")
+    with pytest.raises(Exception):
+        live.exact_admission_batch(visitors(spark), decisions, "three")(second, 0)
+
+
+def test_live_dashboard_counts_open_windows(spark):
+    batches = [[("a1", 1, at(0)), ("a2", 1, at(1))], [("b1", 2, at(70)), ("b2", 3, at(2)), ("b3", 9, at(3))]]
+    path = feed(spark, "dash", batches, SCAN_SCHEMA)
+    stream = spark.readStream.schema(SCAN_SCHEMA).option("maxFilesPerTrigger", 1).parquet(path)
+    counts = run_updates(live.live_counts(stream), "dash", ["window_start", "window_end", "visitor_id"])
+    got = rows(live.live_dashboard(counts, visitors(spark), by=["event_id"]), "window_start", "event_id", "checkins")
+    assert got == [(at(0), 100, 2), (at(0), 200, 1), (at(60), 100, 1)]
+
+
+def test_payment_expiry_stream_with_flush_equals_the_rule(spark):
+    pay_schema = "order_id string, tenant_id int, created_at timestamp, status string"
+    note_schema = "order_id string, received_at timestamp, notice_id long, payment_status string"
+    day = 60 * 24
+    pays = [[("settled", 1, at(0), "pending"), ("silent", 1, at(0), "pending"), ("late", 2, at(60), "pending"),
+             ("asked", 2, at(30), "pending"), ("paid", 1, at(0), "success")],
+            [("end", 0, at(day * 10), "pending"), ("end2", 0, at(day * 10), "pending")]]
+    notes = [[("settled", at(30), 1, "failed"), ("late", at(60 + 60 * 25), 2, "success"), ("asked", at(40), 3, "pending")],
+             [("end", at(day * 10 + 1), 4, "success")]]
+    ppath, npath = feed(spark, "pays", pays, pay_schema), feed(spark, "notes", notes, note_schema)
+    ps = spark.readStream.schema(pay_schema).option("maxFilesPerTrigger", 1).parquet(ppath)
+    ns = spark.readStream.schema(note_schema).option("maxFilesPerTrigger", 1).parquet(npath)
     out = live.payment_expiry_stream(ps, ns, hours=24, delay="1 hour")
-    got = rows(spark.read.parquet(run_available_now(out, "expiry")), "order_id", "status")
-    assert got == [("p2", "expired"), ("p3", "expired")]
+    emitted = spark.read.parquet(run_available_now(out, "expiry"))
+    assert rows(emitted, "order_id", "status") == [("asked", "expired"), ("late", "expired"), ("silent", "expired")]
+    rest = live.payment_expiry_rest(spark.read.parquet(ppath), spark.read.parquet(npath), emitted, F.lit(at(day * 12)), hours=24)
+    assert rows(rest, "order_id") == [("end2",)]
 
 
 def test_json_events_stream_keeps_malformed_aside(spark):
