@@ -142,9 +142,10 @@ def join_on_hot_key(many: DataFrame, one: DataFrame, on: Sequence[str], spread:
 
 
 def percentile_exact(df: DataFrame, group: Sequence[str], value: str, q: float,
-                     out: str = "p", partitions: int | None = None) -> DataFrame:
+                     out: str = "p", partitions: int | None = None, weight: str | None = None) -> DataFrame:
     """Exact percentile with linear interpolation (as ``percentile`` /
-    ``quantile_cont``) per group, without holding a group in one task.
+    ``quantile_cont``) per group, without holding a group in one task. With
+    ``weight`` a row stands for that many values.
 
     Values are counted per (group, value) with partial aggregation, running
     counts over the distinct values come from ``running_within_groups``, and
@@ -153,9 +154,10 @@ def percentile_exact(df: DataFrame, group: Sequence[str], value: str, q: float,
     """
     group = as_list(group)
     v = F.col(value)
-    hist = df.where(v.isNotNull()).groupBy(*group, v.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    sizes = hist.groupBy(*group).agg(F.sum("_c").alias("_n"))
+    n = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    hist = df.where(v.isNotNull()).groupBy(*group, v.alias("_v")).agg(n.alias("_c"))
     cum = running_within_groups(hist, group, ["_v"], out="_cum", weight="_c", partitions=partitions)
+    sizes = cum.groupBy(*group).agg(F.max("_cum").alias("_n"))
     pos = F.lit(q) * (F.col("_n") - 1)
     lo, hi = F.floor(pos), F.ceil(pos)
     first_rank = F.col("_cum") - F.col("_c")          # 0-based rank of this value's first copy

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import percent_whole
+from ..sources.io import scratch_path
 from .common import as_list, percentile_exact
 
 # The proxy's access-log line layout
@@ -72,31 +73,41 @@ def request_kpis(log: DataFrame, by: Sequence[str] | str = ("route",),
     target and share over the slow threshold, per ``by``, with a pass flag
     for each service target (mean, p95, error rate).
 
-    The exact p95 (``percentile_exact``) counts durations per (key, value),
-    runs cumulative counts over range partitions and interpolates, so a
-    route carrying most of the traffic is spread over many tasks;
-    ``approx=True`` uses a fixed-size sketch instead."""
+    The log is read once: it is counted per (key, duration) with map-side
+    aggregation and written, and counts, mean and shares come from that table,
+    as does the exact p95 (``percentile_exact``), which runs over pieces of the
+    distinct durations, so a route carrying most of the traffic is spread over
+    many tasks. ``approx=True`` uses a fixed-size sketch instead."""
     by = as_list(by)
     d = F.col(duration)
-    n = F.count(F.lit(1))
-    aggs = [n.alias("requests"),
-            F.count(F.when(F.col("status") >= 500, 1)).alias("errors"),
-            F.round(F.count(F.when(F.col("status") >= 500, 1)) / n, 6).alias("error_rate"),
-            F.round(F.avg(d), 6).alias("avg_ms"),
-            F.round(F.count(F.when(d < TARGET_MS, 1)) / n, 6).alias("under_target_share"),
-            F.round(F.count(F.when(d > SLOW_MS, 1)) / n, 6).alias("slow_share")]
-    aggs += [(F.avg(d) < MEAN_TARGET_MS).alias("mean_ok"),
-             (F.count(F.when(F.col("status") >= 500, 1)) / n < ERROR_TARGET).alias("errors_ok")]
     if approx:
         p = F.percentile_approx(d, 0.95, 10000)
-        return log.groupBy(*by).agg(*aggs, F.round(p, 6).alias("p95_ms"),
-                                    (p < TARGET_MS).alias("p95_ok"))
-    p95 = percentile_exact(log, by, duration, 0.95, out="_p95")
-    return (log.groupBy(*by).agg(*aggs).join(p95, by, "left")
+        rows = log.withColumn("_n", F.lit(1).cast("long")).withColumn("_errors", (F.col("status") >= 500).cast("long"))
+        return rows.groupBy(*by).agg(*_kpis(d), F.round(p, 6).alias("p95_ms"), (p < TARGET_MS).alias("p95_ok"))
+    path = scratch_path(log.sparkSession, "durations")
+    cells = log.groupBy(*by, duration).agg(F.count(F.lit(1)).alias("_n"), F.count(F.when(F.col("status") >= 500, 1)).alias("_errors"))
+    cells.write.parquet(path)
+    cells = log.sparkSession.read.schema(cells.schema).parquet(path)
+    p95 = percentile_exact(cells, by, duration, 0.95, out="_p95", weight="_n")
+    return (cells.groupBy(*by).agg(*_kpis(d)).join(p95, by, "left")
                .withColumn("p95_ms", F.round("_p95", 6))
                .withColumn("p95_ok", F.col("_p95") < TARGET_MS).drop("_p95"))
 
 
+def _kpis(d: Column) -> list[Column]:
+    """From rows that stand for ``_n`` requests of one duration, ``_errors`` of them failed."""
+    n, errors = F.sum("_n"), F.coalesce(F.sum("_errors"), F.lit(0))
+    timed = F.sum(F.when(d.isNotNull(), F.col("_n")))
+    mean = F.sum(d * F.col("_n")) / timed
+
+    def share(cond: Column) -> Column:
+        return F.round(F.coalesce(F.sum(F.when(cond, F.col("_n"))), F.lit(0)) / n, 6)
+
+    return [n.alias("requests"), errors.alias("errors"), F.round(errors / n, 6).alias("error_rate"),
+            F.round(mean, 6).alias("avg_ms"), share(d < TARGET_MS).alias("under_target_share"),
+            share(d > SLOW_MS).alias("slow_share"), (mean < MEAN_TARGET_MS).alias("mean_ok"), (errors / n < ERROR_TARGET).alias("errors_ok")]
+
+
 # O26 ---------------------------------------------------------------------
 def scanner_stats(scans: DataFrame, by: Sequence[str] | str = ("scanner",)) -> DataFrame:
     """Total scans, successful ones, success percent (whole number, 0 when

@@ -7,9 +7,9 @@ executor and a restarted driver see the same files.
 
 from __future__ import annotations
 
-import time
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -120,13 +120,14 @@ def refresh_snapshot(df: DataFrame, root: str, key, partition_by=None) -> str:
     The new version is written to its own folder; its key is checked for
     uniqueness on the written files (a distributed count; only the verdict
     reaches the driver); only then is it published by appending one pointer
-    row whose name sorts after every earlier one. Pointers are never
+    row whose name sorts after every earlier one: versions are numbered from
+    the published pointers, not by a driver's clock. Pointers are never
     rewritten, so a reader sees either the old or the new version, never a
     half-written one, and older versions stay readable. A duplicate key
     leaves the old version current.
     """
     spark = df.sparkSession
-    version = f"v-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    version = f"v-{_last_number(spark, root) + 1:020d}-{uuid.uuid4().hex[:8]}"
     target = f"{root.rstrip('/')}/{version}"
     w = df.write.mode("errorifexists")
     if partition_by:
@@ -142,6 +143,17 @@ def refresh_snapshot(df: DataFrame, root: str, key, partition_by=None) -> str:
     return target
 
 
+def _last_number(spark: SparkSession, root: str) -> int:
+    """Number of the latest published version; 0 before the first."""
+    try:
+        last = snapshot_versions(spark, root).agg(F.max("version")).first()[0]
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return 0
+    return int(last.split("-")[1]) if last else 0
+
+
 def snapshot_versions(spark: SparkSession, root: str) -> DataFrame:
     """Published versions, oldest first (one row per refresh)."""
     return spark.read.text(f"{root.rstrip('/')}/pointers") \
