@@ -182,7 +182,7 @@ class Scorer:
     def features(self, text: str | None) -> list[float]:
         sums, most, n = [0.0] * len(KINDS), 0.0, 0
         symbols, weights = [], []
-        hit = False
+        hit, matches, different = False, 0, set()
         memory, symbol = self.memory, self.symbol
         for token in [*_TOKEN.findall((text or "").lower()), "."]:
             if token in _STOPS:
@@ -196,9 +196,11 @@ class Scorer:
             n += 1
             if weight:
                 weights.append(weight)
+                different.add(token)
+                matches += 1
                 hit = True
         live = sums[0] + sums[1] + sums[4]
-        return [math.log1p(s) for s in sums] + [min(10.0, 100 * live / (n + 20)), min(10.0, most)]
+        return [math.log1p(s) for s in sums] + [min(10.0, 100 * live / (n + 20)), min(10.0, most), math.log1p(matches), math.log1p(len(different))]
 
     def score(self, features: list[float]) -> float:
         if self.weights is None:

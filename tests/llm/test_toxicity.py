@@ -32,7 +32,7 @@ def test_clauses_are_apart_and_text_may_be_missing():
     s = Scorer({"scum$": 2.0})
     apart = s.features("not here, scum")
     assert apart[0] > 0 and apart[2] == 0
-    assert s.features(None) == s.features("") == s.features("clean text. \n") == [0.0] * 7
+    assert s.features(None) == s.features("") == s.features("clean text. \n") == [0.0] * 9
     assert s.score(apart) == 0.0
 
 
