@@ -79,7 +79,8 @@ def as_hex(sketch: Column) -> Column:
 
 def with_next(docs: DataFrame, id_col: str, text_col: str, sketch: str) -> DataFrame:
     """(id, text, sketch, next_text, next_sketch): the next row by descending
-    id, after the last the first. Ties stand by text, null ids last.
+    id, after the last the first. Ties stand by descending text (nulls last),
+    null ids last.
 
     Ids are cut into even parts of their range. Each part is ordered by itself
     and gets, as an extra last row, the first row of the next part that has rows.
@@ -91,17 +92,16 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, sketch: str) -> DataF
     else:
         part = F.coalesce(slice_of(F.col("id"), span.low, span.high, span.n // ROWS_PER_PART + 1), F.lit(-1))
     rows = rows.withColumn("part", part)
-    tops = rows.groupBy("part").agg(F.max("id").alias("top"))
-    first = rows.join(tops.withColumnRenamed("part", "_part"), (F.col("part") == F.col("_part")) & F.col("id").eqNullSafe(F.col("top")))
-    heads = settle(first.groupBy("part").agg(F.min("text").alias("text"), F.count(F.when(F.col("text").isNull(), 1)).alias("nulls"))
-                   .select("part", F.when(F.col("nulls") == 0, F.col("text")).alias("text")), "heads")
+    # The first row of a part is a maximum, found with map-side aggregation: no text of other rows moves.
+    heads = rows.groupBy("part").agg(F.max(F.struct("id", "text")).alias("first"))
+    heads = settle(heads.select("part", F.col("first.text").alias("text")), "heads")
     down = Window.orderBy(F.desc("part"))
     links = (heads.select("part", F.lead("part").over(down).alias("next"), F.max("part").over(Window.partitionBy()).alias("_top"))
              .select(F.col("part").alias("_from"), F.coalesce("next", "_top").alias("_to")))
     extra = (links.join(heads, F.col("_to") == F.col("part"))
              .select(F.lit(None).cast(docs.schema[id_col].dataType).alias("id"), "text", F.col("_from").alias("part"), F.lit(True).alias("extra")))
     both = with_sketch(rows.withColumn("extra", F.lit(False)).unionByName(extra), F.col("text"), sketch)
-    order = Window.partitionBy("part").orderBy("extra", F.desc("id"), F.asc_nulls_first("text"))
+    order = Window.partitionBy("part").orderBy("extra", F.desc("id"), F.desc("text"))
     return (both.withColumn("next_text", F.lead("text").over(order)).withColumn(f"next_{sketch}", F.lead(sketch).over(order))
             .where("NOT extra").drop("extra", "part"))
 

@@ -17,7 +17,7 @@ def shingles(text, k=5):
 
 def edited(items):
     """(id, n_chars, edited text, text, next text) by descending id."""
-    items = sorted(items, key=lambda x: (x[0] is None, -(x[0] or 0), x[1] is not None, x[1] or ""))
+    items = sorted(items, key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or ""), reverse=True)
     out = []
     for i, (doc_id, t) in enumerate(items):
         t, nxt = t or "", items[(i + 1) % len(items)][1] or ""
