@@ -267,7 +267,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = known.select(F.col("doc_id").alias("_id"), (F.col("toxic") > 0).cast("int").alias("toxic"),
                           F.pmod(F.hash("doc_id"), F.lit(FOLDS)).cast("int").alias("fold"), place.alias("_place"))
     chosen = chosen.where(F.col("_place") < F.when(F.col("toxic") == 1, cut[1]).otherwise(cut[0]))
-    sample = settle(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(chosen, "_id")
+    # About 2 * SAMPLE ids whatever the number of labels: small enough to send, so no text moves but the sample's.
+    sample = settle(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id")
                     .select("text", "toxic", "fold"), "sample")
     per_fold = {(r.fold, r.toxic): r.n for r in sample.groupBy("fold", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n = [sum(v for (_, y), v in per_fold.items() if y == k) for k in (0, 1)]
