@@ -453,9 +453,10 @@ def test_admission_by_tenant_and_hot_visitor(spark):
 
 def test_hot_key_join_spreads_the_hot_key_and_null_keys(spark):
     from rollcall.operators.common import join_on_hot_key
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    for_this = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in for_this}
+    for k, v in for_this.items():
+        spark.conf.set(k, v)
     try:
         many = spark.range(60_000).select("id", F.when(F.col("id") % 10 < 6, 1).when(F.col("id") % 10 < 8, None).otherwise(F.col("id") % 500).cast("long").alias("k"))
         one = spark.range(500).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
@@ -464,9 +465,8 @@ def test_hot_key_join_spreads_the_hot_key_and_null_keys(spark):
         assert sum(sizes) == 60_000 and max(sizes) < 3 * 60_000 / 16
         assert out.where("k IS NULL AND v IS NOT NULL OR k IS NOT NULL AND v <> 2 * k OR k IS NOT NULL AND v IS NULL").count() == 0
     finally:
-        for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled"):
-            spark.conf.unset(k)
-        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def test_uniqueness_rules_and_tenant_path(spark):
