@@ -6,6 +6,7 @@ import re
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docs_fixture import docs_of  # noqa: F401 (fixture)
 from rollcall.llm.decontaminate import contamination, without_contaminated
 
 ITEMS = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("text", T.StringType())])

@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from docs_fixture import docs_of  # noqa: F401 (fixture)
 from rollcall.llm import fingerprints as fp
 
 

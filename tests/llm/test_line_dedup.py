@@ -7,6 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from docs_fixture import docs_of  # noqa: F401 (fixture)
 from rollcall.llm.line_dedup import PerfectHash, drop_frequent_lines
 
 

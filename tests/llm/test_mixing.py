@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from docs_fixture import docs_of  # noqa: F401 (fixture)
 from rollcall.llm import mixing
 from rollcall.llm.mixing import cycle_slots, cycles, mix
 

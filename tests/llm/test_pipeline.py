@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from docs_fixture import docs_of  # noqa: F401 (fixture)
 import corpus_pipeline as cp
 from rollcall.llm import toxicity as tox
 from rollcall.llm.common import table

@@ -8,6 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from docs_fixture import docs_of  # noqa: F401 (fixture)
 from rollcall.llm.simhash import _syndromes, components, fingerprint, near_duplicate_groups, near_links, one_of_each_group
 
 

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from docs_fixture import docs_of  # noqa: F401 (fixture)
 from rollcall.llm import suffix_dedup as sd
 from rollcall.llm.suffix_dedup import Collection, drop_repeats, later_windows, repeated_blocks, text_anchors
 

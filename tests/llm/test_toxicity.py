@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from docs_fixture import docs_of  # noqa: F401 (fixture)
 from rollcall.llm.common import table
 from rollcall.llm.toxicity import Grammar, Scorer, fit, held_out, lexicon_of, score
 
