@@ -280,7 +280,9 @@ def category_counts(visitors: DataFrame, categories: DataFrame) -> DataFrame:
 def page(df: DataFrame, order_by: str = "created_at", desc: bool = True, limit: int = 100,
          offset: int = 0, tie_breaker: str | None = None) -> DataFrame:
     """One sorted page; PostgreSQL puts NULLs first in DESC, last in ASC. A
-    unique tie-breaker makes the page deterministic."""
+    unique tie-breaker makes the page deterministic. ``offset + limit`` rows
+    meet in one task, so this is for pages near the top; to walk a whole
+    table, filter on the last key seen instead of raising the offset."""
     key = F.col(order_by).desc_nulls_first() if desc else F.col(order_by).asc_nulls_last()
     keys = [key] + ([F.col(tie_breaker).asc()] if tie_breaker else [])
     return df.orderBy(*keys).offset(offset).limit(limit)
