@@ -6,17 +6,21 @@ of ``documents`` (the last adds position, shard and slot). ``run`` writes each
 stage's rows into the shared folder and reads them again.
 
 Mixing changes no rows but their order: its result is laid out by position in
-the mixture, and sharding cuts that order, so each shard is a slice of the
-mixture. An empty table stays empty through all stages.
+the mixture, over the written files and inside each. Sharding schedules nothing
+of its own: it takes the order in which the rows stand in their files (number
+of the file, row in the file) and cuts that, so each shard is a slice of the
+mixture that the mixing stage decided. An empty table stays empty through all
+stages.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rollcall.llm import toxicity as tox
-from rollcall.llm.common import settle, table, text_hashes
+from rollcall.llm.common import numbered, settle, table, text_hashes
 from rollcall.llm.decontaminate import without_contaminated
 from rollcall.llm.mixing import mix
 from rollcall.llm.sharding import shard_rows
@@ -25,6 +29,8 @@ from rollcall.llm.simhash import one_of_each_group
 SHARDS = 16
 #: Documents with this score or more are rejected.
 TOXIC = 0.5
+#: Weights of the mixture by source; None: by the sources' sizes.
+WEIGHTS: dict | None = None
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -51,14 +57,35 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, laid out in the order of the mixture."""
-    mixed = mix(_rows(docs), carry=["_row"])
+    mixed = mix(_rows(docs), carry=["_row"], weights=WEIGHTS)
     return mixed.repartitionByRange("position").sortWithinPartitions("position").select("_row.*")
 
 
+def _as_laid_out(docs: DataFrame) -> DataFrame:
+    """Each row as ``_row``, with its text and ``position``, its place from 0 in
+    the order in which the rows stand in their files: by the number that
+    Spark's writer gave the file, then the file's path, then the row in it."""
+    try:
+        rows = docs.select("_metadata.file_path", "_metadata.row_index", F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs["text"].alias("text"))
+    except AnalysisException:   # not read from files: written once as it stands
+        rows = settle(docs.select(F.lit("").alias("file_path"), F.monotonically_increasing_id().alias("row_index"),
+                                  F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs["text"].alias("text")), "laid")
+    files = settle(rows.groupBy("file_path").agg(F.max("row_index").alias("last"), F.count(F.lit(1)).alias("n")), "files")
+    number = [F.regexp_extract("file_path", p, 1).try_cast("long") for p in (r"/part-(\d+)[^/]*$", r"\.c(\d+)[^/]*$")]
+    before = Window.orderBy(*number, "file_path").rowsBetween(Window.unboundedPreceding, -1)
+    starts = files.select(F.col("file_path").alias("_file"), F.coalesce(F.sum(F.col("last") + 1).over(before), F.lit(0)).alias("_start"))
+    placed = rows.join(F.broadcast(starts), F.col("file_path") == F.col("_file")).select("_row", "text", (F.col("_start") + F.col("row_index")).alias("position"))
+    if files.where(F.col("last") + 1 != F.col("n")).isEmpty():
+        return placed
+    # Only some rows of the files: the gaps between them are closed.
+    return numbered(placed.withColumnRenamed("position", "_at").withColumn("_all", F.lit(0)), "_all", "_at", "position").drop("_all")
+
+
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with position, shard and slot: contiguous runs of the
-    mixture with near-equal bytes; equal texts share a shard."""
-    placed = settle(mix(_rows(docs), carry=["_row", "text"]).select("_row", "text", "position"), "mixture")
+    order in which they are laid out, with near-equal bytes; equal texts share
+    a shard."""
+    placed = _as_laid_out(docs)
     h1, h2 = text_hashes(F.col("text"))
     slim = placed.select("position", h1.alias("h1"), h2.alias("h2"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"))
     sharded = settle(shard_rows(slim, ["h1", "h2"], "size", "position", "position", SHARDS).select("position", "shard", "slot"), "shards")

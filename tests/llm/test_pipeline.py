@@ -63,3 +63,33 @@ def test_odd_rows_and_clashing_columns(spark, docs_of, name):
     if name == "decontaminate":
         assert 50 not in ids and len(got) == len(rows) + 1
     assert stage(spark, docs.limit(0), SF).collect() == []
+
+
+def test_runs_order_follows_the_mixing_stages_weights(spark, monkeypatch, tmp_path):
+    docs = spark.range(16000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"),
+                                     F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("source"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    docs = table(spark, str(tmp_path), "documents")
+    keep = lambda spark, docs, sf_dir: docs
+    monkeypatch.setattr(cp, "STAGES", [(n, f if n in ("mixing", "sharding") else keep) for n, f in cp.STAGES])
+    orders = []
+    for heavy, weights in (("a", {"a": 3, "b": 1}), ("b", {"a": 1, "b": 3})):
+        monkeypatch.setattr(cp, "WEIGHTS", weights)
+        wanted = cp.mix(cp._rows(docs), carry=["_row"], weights=weights).orderBy("position").collect()
+        got = sorted(cp.run(spark, str(tmp_path)).collect(), key=lambda r: r.position)
+        assert [r.doc_id for r in got] == [r.doc_id for r in wanted]
+        assert [r.position for r in got] == list(range(16000))
+        assert abs(sum(r.source == heavy for r in got[:8000]) - 6000) <= 8
+        orders.append([r.doc_id for r in got])
+    assert orders[0] != orders[1]
+
+
+def test_sharding_takes_the_order_of_the_files(spark, docs_of, tmp_path):
+    path = str(tmp_path / "laid")
+    items = [(i * 7919 % 997, f"text {i}", f"s{i % 3}") for i in range(997)]
+    docs_of(items).coalesce(1).write.option("maxRecordsPerFile", 100).parquet(path)
+    docs = spark.read.parquet(path)
+    order = [r.doc_id for r in sorted(cp.sharding(spark, docs, SF).collect(), key=lambda r: r.position)]
+    assert order == [i for i, _, _ in items]
+    some = sorted(cp.sharding(spark, docs.where("doc_id % 3 = 0"), SF).collect(), key=lambda r: r.position)
+    assert [r.doc_id for r in some] == [i for i in order if i % 3 == 0] and [r.position for r in some] == list(range(len(some)))
