@@ -1,23 +1,23 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source's rows stand in a fixed pseudo-random order and are cut into blocks.
-A source of target weight ``a / Q`` (integer parts) serves its j-th block of a
-cycle of Q slots in the Pfair window [floor(j Q / a), ceil((j + 1) Q / a)): its
-release time and its deadline. Earliest-deadline-first fills each slot with a
-released block whose deadline comes first; with weights that sum to one every
-block meets its window, so at every slot each source has served its target
-share to within less than one block.
-
-A cycle uses whole blocks, so cycles repeat. When a source has fewer blocks
-left than its part, one cycle is scheduled with what it has left, and later
-cycles without it: every row is used exactly once, and while a source lasts its
-share follows the weights among those that last. There are at most two kinds of
-cycle for each source.
+Each source's rows stand in a fixed pseudo-random order and are cut into blocks,
+one block a slot. In the ideal mixture all sources are served at once, each at
+its weight's share among the sources that last; a source that is used up leaves
+its share to the others. The time at which source i of weight w has had x blocks
+there is t(x / w), where t(v) is the sum over all sources of min(v * weight,
+blocks). Block j gets the Pfair window [floor(t(j / w)), ceil(t((j + 1) / w))):
+its release time and its deadline. Earliest-deadline-first fills each slot with
+a released block whose deadline comes first. The ideal mixture serves one block
+a slot, so every block meets its window: at every slot, from the first to the
+last, each source has had its ideal share to within less than one block.
+
+Weights count as they are given: windows are computed in whole numbers from the
+exact ratio of the weights, nothing is rounded before floor and ceil.
 
 Rows are only touched by DataFrame operations: a row's number in its source
-gives its block, and a small table of (kind of cycle, source) with the slots of
-the cycle gives the slot. That table is bounded: at most MAX_SOURCES sources
-(smaller ones beyond that are pooled as one) of PARTS + MAX_SOURCES slots.
+gives its block, and a written table of (source, block) gives the slot. The
+driver makes that table in pieces of PIECE slots: it holds a few numbers for
+each source and one piece, and its time is linear in the number of blocks.
 
 A null source is a source of its own. Rows that repeat a ``doc_id`` are rows.
 Weights: a mapping from source (None for null) to a positive weight; sources
@@ -28,37 +28,86 @@ rows has weight n ** ALPHA. An empty table gives no rows.
 from __future__ import annotations
 
 import heapq
-import json
-
-from pyspark.sql import Column, DataFrame
+import math
+import uuid
+from bisect import bisect_left
+from collections.abc import Iterator
+from fractions import Fraction
+from itertools import islice
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.llm.common import numbered, settle
+from rollcall.session import ensure_checkpoint_dir
 
 BLOCK_ROWS, PARTS, ALPHA = 8, 1000, 0.7
 MAX_SOURCES = 256
+#: Slots that the driver schedules and writes at a time.
+PIECE = 1 << 18
+
+
+def whole_weights(weights: list[float]) -> list[int]:
+    """Integers in exactly the ratio of the weights."""
+    exact = [Fraction(w) for w in weights]
+    scale = math.lcm(*[x.denominator for x in exact])
+    return [x.numerator * (scale // x.denominator) for x in exact]
+
+
+def windows(blocks: list[int], weights: list[int]) -> Iterator[tuple[int, int, int, int]]:
+    """(source, block, release, deadline) of every slot, in order. There is a
+    block of each source; weights are positive integers."""
+    shift = 2 * max(w.bit_length() for w in weights)     # two different ratios differ by more than 2 ** -shift
+    order = sorted(range(len(blocks)), key=lambda i: (blocks[i] << shift) // weights[i])
+    ends = [blocks[i] / weights[i] for i in order]
+    done, active = [0], [sum(weights)]      # before the k-th source ends: blocks of those that have, weights of the others
+    for i in order[:-1]:
+        done.append(done[-1] + blocks[i])
+        active.append(active[-1] - weights[i])
+
+    def times(i: int, j: int) -> tuple[int, int]:
+        """Floor and ceiling of the time at which source i has had j blocks."""
+        w = weights[i]
+        k = min(bisect_left(ends, j / w), len(order) - 1)
+        while blocks[order[k]] * w < j * weights[order[k]]:
+            k += 1
+        while k and blocks[order[k - 1]] * w >= j * weights[order[k - 1]]:
+            k -= 1
+        part = j * active[k]
+        return done[k] + part // w, done[k] - (-part // w)
+
+    block, release = [0] * len(blocks), [0] * len(blocks)
+    after = [times(i, 1) for i in range(len(blocks))]    # of the current block's end
+    ready = [(after[i][1], i) for i in range(len(blocks))]
+    heapq.heapify(ready)
+    later: list[tuple[int, int]] = []
+    for slot in range(sum(blocks)):
+        while later and later[0][0] <= slot:
+            i = heapq.heappop(later)[1]
+            heapq.heappush(ready, (after[i][1], i))
+        deadline, i = heapq.heappop(ready)
+        assert slot < deadline
+        yield i, block[i], release[i], deadline
+        block[i] += 1
+        if block[i] < blocks[i]:
+            release[i], after[i] = after[i][0], times(i, block[i] + 1)
+            heapq.heappush(later, (release[i], i))
 
 
 def cycle_slots(parts: dict[int, int]) -> dict[int, list[int]]:
-    """Slots of each source's blocks in one cycle of sum(parts) slots."""
-    total = sum(parts.values())
-    released = sorted((j * total // a, -(-(j + 1) * total // a), i, j) for i, a in parts.items() for j in range(a))
-    slots = {i: [0] * a for i, a in parts.items()}
-    ready: list[tuple[int, int, int]] = []
-    at = 0
-    for slot in range(total):
-        while at < total and released[at][0] <= slot:
-            _, deadline, i, j = released[at]
-            heapq.heappush(ready, (deadline, i, j))
-            at += 1
-        deadline, i, j = heapq.heappop(ready)
-        assert slot < deadline
-        slots[i][j] = slot
+    """Slots of each source's blocks in one cycle of sum(parts) slots, with the
+    parts as weights."""
+    names = list(parts)
+    slots: dict[int, list[int]] = {i: [] for i in names}
+    for slot, (i, _, _, _) in enumerate(windows([*parts.values()], [*parts.values()])):
+        slots[names[i]].append(slot)
     return slots
 
 
 def cycles(blocks: list[int], parts: list[int]) -> list[dict]:
-    """The kinds of cycle, in order: ``base`` slot, ``times``, ``parts`` by
+    """How often cycles of ``parts`` repeat until all blocks are used (mix does
+    not need it: its windows run over the whole). The kinds of cycle, in order: ``base`` slot, ``times``, ``parts`` by
     source and ``used``, the blocks of each source that come before."""
     left, used, base, out = list(blocks), [0] * len(blocks), 0, []
     while any(left):
@@ -74,16 +123,12 @@ def cycles(blocks: list[int], parts: list[int]) -> list[dict]:
     return out
 
 
-def integer_parts(weights: list[float], parts: int) -> list[int]:
-    whole = sum(weights)
-    return [max(1, round(w / whole * parts)) for w in weights]
-
-
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", carry: list[str] = (),
         weights: dict | None = None, block_rows: int = BLOCK_ROWS, parts: int = PARTS, alpha: float = ALPHA) -> DataFrame:
     """``id_col``, ``source_col`` and the ``carry`` columns of every row, with
     target_weight, block, slot, release, deadline and ``position``, the row's
-    place in the mixture, gapless from 0."""
+    place in the mixture, gapless from 0. ``parts`` bounds nothing any more:
+    weights are not rounded to parts of a cycle."""
     spark = docs.sparkSession
     kept = list(dict.fromkeys([id_col, source_col, *carry]))
     name = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit(""))
@@ -98,51 +143,39 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", car
     names, counts = [r[0] for r in known], [r[1] for r in known]
     if weights:
         given = {"" if k is None else f"={k}": w for k, w in weights.items()}
-        wanted = [given.get(n, min(given.values())) for n in names]
+        least = min(given.values())
+        wanted = [given.get(n, least) for n in names]
     else:
         wanted = [n ** alpha for n in counts]
-    shares = integer_parts(wanted, parts)
-    plan = cycles([-(-n // block_rows) for n in counts], shares)
 
     single = F.when(F.col("_name").isin(names), F.col("_name")).otherwise("*").alias("_src")
-    ranked = numbered(rows.select("_row", single, "_place"), "_src", "_place", "_n")
-    table = F.broadcast(_plan_table(spark, plan, names, shares))
-    block, turn = F.expr(f"_n div {block_rows}"), F.expr("(block - used) div part")
-    placed = (ranked.withColumn("block", block).join(table, (F.col("_src") == F.col("name")) & (F.col("block") >= F.col("used"))
-                                                     & (F.col("block") < F.col("used") + F.col("part") * F.col("times")))
-              .withColumn("_turn", turn).withColumn("_j", F.expr("(block - used) % part"))
-              .withColumn("_from", F.col("base") + F.col("_turn") * F.col("total")))
-    slot = (F.col("_from") + F.get("slots", F.col("_j").cast("int"))).cast("long")
-    return placed.withColumn("slot", slot).select(
-        *[F.col(f"_row.`{c}`").alias(c) for c in kept], F.col("share").alias("target_weight"), "block", "slot",
-        (F.col("_from") + F.expr("(_j * total) div part")).cast("long").alias("release"),
-        (F.col("_from") + F.expr("((_j + 1) * total + part - 1) div part")).cast("long").alias("deadline"),
-        (F.col("slot") * block_rows - _missing_before(plan, counts, block_rows) + F.expr(f"_n % {block_rows}")).cast("long").alias("position"))
+    ranked = numbered(rows.select("_row", single, "_place"), "_src", "_place", "_n").withColumn("_block", F.expr(f"_n div {block_rows}"))
+    plan = _written_plan(spark, names, counts, whole_weights(wanted), block_rows)
+    placed = ranked.join(plan, (F.col("_src") == F.col("name")) & (F.col("_block") == F.col("block")))
+    return placed.select(
+        *[F.col(f"_row.`{c}`").alias(c) for c in kept], F.col("share").alias("target_weight"), "block", "slot", "release", "deadline",
+        (F.col("first") + F.expr(f"_n % {block_rows}")).alias("position"))
 
 
 _ADDED = [("target_weight", "double"), ("block", "long"), ("slot", "long"), ("release", "long"), ("deadline", "long"), ("position", "long")]
+_PLAN = "name string, share double, block long, slot long, release long, deadline long, first long"
 
 
-def _plan_table(spark, plan: list[dict], names: list[str], shares: list[int]) -> DataFrame:
-    """One row per kind of cycle and source."""
-    rows = []
-    for c in plan:
-        slots, total = cycle_slots(c["parts"]), sum(c["parts"].values())
-        rows += [{"name": names[i], "share": shares[i] / sum(shares), "base": c["base"], "times": c["times"], "total": total,
-                  "used": c["used"][i], "part": a, "slots": slots[i]} for i, a in c["parts"].items()]
-    schema = "array<struct<name string, share double, base long, times long, total long, used long, part long, slots array<int>>>"
-    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), schema)))
-
-
-def _missing_before(plan: list[dict], counts: list[int], block_rows: int) -> Column:
-    """Rows that blocks in earlier slots lack: only a source's last block is short."""
-    short = {}
-    for c in plan:
-        slots, total = cycle_slots(c["parts"]), sum(c["parts"].values())
-        for i, a in c["parts"].items():   # later kinds of cycle overwrite
-            short[i] = c["base"] + (c["times"] - 1) * total + slots[i][a - 1]
-    lacks = [F.struct(F.lit(slot).cast("long").alias("slot"), F.lit(-counts[i] % block_rows).cast("long").alias("rows"))
-             for i, slot in short.items() if counts[i] % block_rows]
-    if not lacks:
-        return F.lit(0)
-    return F.aggregate(F.filter(F.array(*lacks), lambda x: x["slot"] < F.col("slot")), F.lit(0).cast("long"), lambda a, x: a + x["rows"])
+def _written_plan(spark, names: list[str], counts: list[int], weights: list[int], block_rows: int) -> DataFrame:
+    """One row per block; ``first`` is the position of the block's first row."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-mixture-{uuid.uuid4().hex}"
+    whole = sum(weights)
+    shares = [w / whole for w in weights]
+    slots, slot, first = windows([-(-n // block_rows) for n in counts], weights), 0, 0
+    while piece := list(islice(slots, PIECE)):
+        source, block, release, deadline = zip(*piece)
+        starts = []
+        for i, j in zip(source, block):
+            starts.append(first)
+            first += min(block_rows, counts[i] - j * block_rows)
+        cols = [pa.array([names[i] for i in source], pa.string()), pa.array([shares[i] for i in source], pa.float64()), pa.array(block, pa.int64()),
+                pa.array(range(slot, slot + len(piece)), pa.int64()), pa.array(release, pa.int64()), pa.array(deadline, pa.int64()), pa.array(starts, pa.int64())]
+        slot += len(piece)
+        table = pa.Table.from_arrays(cols, ["name", "share", "block", "slot", "release", "deadline", "first"])
+        spark.createDataFrame(table, _PLAN).write.mode("append").parquet(path)
+    return spark.read.schema(_PLAN).parquet(path)

@@ -2,13 +2,14 @@ from __future__ import annotations
 
 import random
 from collections import Counter
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
 
 from docs_fixture import docs_of  # noqa: F401 (fixture)
 from rollcall.llm import mixing
-from rollcall.llm.mixing import cycle_slots, cycles, mix
+from rollcall.llm.mixing import cycle_slots, cycles, mix, whole_weights, windows
 
 
 @pytest.mark.parametrize("seed", range(15))
@@ -68,3 +69,46 @@ def test_pooled_sources_empty_table_and_clashing_columns(docs_of, monkeypatch):
     out = mix(docs, block_rows=3, parts=20).collect()
     assert sorted(r.position for r in out) == list(range(200))
     assert mix(docs_of([])).collect() == []
+
+
+def ideal(counts, weights, slots):
+    """Blocks of each source that the ideal mixture has served by each slot."""
+    left, out, got = dict(enumerate(counts)), [], [Fraction(0)] * len(counts)
+    for _ in range(slots):
+        room = Fraction(1)
+        while room:
+            whole = sum(Fraction(weights[i]) for i in left)
+            step = min(room, *[(counts[i] - got[i]) * whole / Fraction(weights[i]) for i in left])
+            for i in list(left):
+                got[i] += step * Fraction(weights[i]) / whole
+                if got[i] == counts[i]:
+                    del left[i]
+            room -= step
+        out.append(list(got))
+    return out
+
+
+@pytest.mark.parametrize("weights, blocks", [([0.9996, 0.0004], [4000, 6]), ([1 / 3, 0.1, 7 ** 0.7, 1e-5], [60, 60, 300, 2]), ([2.0, 2.0, 1.0], [10, 10, 5]), ([5], [4])])
+def test_unrounded_weights_deviate_less_than_a_block_to_the_end(weights, blocks):
+    served, n = [0] * len(blocks), sum(blocks)
+    slots = list(windows(blocks, whole_weights(weights)))
+    for slot, ((i, j, release, deadline), wanted) in enumerate(zip(slots, ideal(blocks, weights, n), strict=True)):
+        assert j == served[i] and release <= slot < deadline
+        served[i] += 1
+        assert all(abs(a - b) < 1 for a, b in zip(served, wanted))
+    assert served == blocks
+
+
+def test_target_weight_is_the_given_one(docs_of):
+    items = [(i, "x", "a" if i % 100 else "b") for i in range(3000)]
+    out = mix(docs_of(items), weights={"a": 0.9996, "b": 0.0004}, block_rows=1).collect()
+    check(out, 3000, 1)
+    assert {r.source: r.target_weight for r in out} == pytest.approx({"a": 0.9996, "b": 0.0004}, rel=1e-12)
+    assert sum(r.source == "b" for r in out if r.slot < 2900) <= 2
+
+
+def test_weights_hold_for_sources_of_few_blocks(docs_of):
+    items = [(i, "x", f"s{i % 20}") for i in range(200)]
+    out = mix(docs_of(items), weights={f"s{i}": 200 if i == 7 else 1 for i in range(20)}).collect()
+    check(out, 200, 8)
+    assert sum(r.source == "s7" for r in out if r.position < 24) == 10
