@@ -43,6 +43,7 @@ from rollcall.llm.common import numbered, settle
 from rollcall.session import ensure_checkpoint_dir
 
 BLOCK_ROWS, PARTS, ALPHA = 8, 1000, 0.7
+#: Bounds nothing any more: every source has its own weight and windows.
 MAX_SOURCES = 256
 #: Slots that the driver schedules and writes at a time.
 PIECE = 1 << 18
@@ -134,13 +135,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", car
     name = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit(""))
     rows = docs.select(F.struct(*kept).alias("_row"), name.alias("_name"), F.xxhash64(*[F.col(c) for c in kept]).alias("_place"))
     sizes = settle(rows.groupBy("_name").agg(F.count(F.lit(1)).alias("n")), "sources")
-    known = sizes.orderBy(F.desc("n"), "_name").limit(MAX_SOURCES).collect()
-    if not known:
+    known = sizes.orderBy(F.desc("n"), "_name").toArrow()
+    names, counts = known["_name"].to_pylist(), known["n"].to_pylist()
+    if not names:
         return docs.select(*kept, *[F.lit(None).cast(t).alias(c) for c, t in _ADDED])
-    if len(known) == MAX_SOURCES:
-        rest = sizes.agg(F.sum("n").alias("n")).first().n - sum(r.n for r in known[:-1])
-        known = [(r._name, r.n) for r in known[:-1]] + [("*", rest)]
-    names, counts = [r[0] for r in known], [r[1] for r in known]
     if weights:
         given = {"" if k is None else f"={k}": w for k, w in weights.items()}
         least = min(given.values())
@@ -148,10 +146,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", car
     else:
         wanted = [n ** alpha for n in counts]
 
-    single = F.when(F.col("_name").isin(names), F.col("_name")).otherwise("*").alias("_src")
-    ranked = numbered(rows.select("_row", single, "_place"), "_src", "_place", "_n").withColumn("_block", F.expr(f"_n div {block_rows}"))
+    ranked = numbered(rows, "_name", "_place", "_n").withColumn("_block", F.expr(f"_n div {block_rows}"))
     plan = _written_plan(spark, names, counts, whole_weights(wanted), block_rows)
-    placed = ranked.join(plan, (F.col("_src") == F.col("name")) & (F.col("_block") == F.col("block")))
+    placed = ranked.join(plan, (F.col("_name") == F.col("name")) & (F.col("_block") == F.col("block")))
     return placed.select(
         *[F.col(f"_row.`{c}`").alias(c) for c in kept], F.col("share").alias("target_weight"), "block", "slot", "release", "deadline",
         (F.col("first") + F.expr(f"_n % {block_rows}")).alias("position"))

@@ -112,3 +112,16 @@ def test_weights_hold_for_sources_of_few_blocks(docs_of):
     out = mix(docs_of(items), weights={f"s{i}": 200 if i == 7 else 1 for i in range(20)}).collect()
     check(out, 200, 8)
     assert sum(r.source == "s7" for r in out if r.position < 24) == 10
+
+
+def test_each_of_many_sources_keeps_its_own_weight(docs_of):
+    weights = {f"host{i}": 1 + i % 7 + (50 if i == 299 else 0) for i in range(300)}
+    items = [(i, "x", f"host{i % 300}") for i in range(300 * 12)]
+    out = mix(docs_of(items), weights=weights, block_rows=2).collect()
+    check(out, 3600, 2)
+    whole = sum(weights.values())
+    assert {r.source: r.target_weight for r in out} == pytest.approx({s: w / whole for s, w in weights.items()})
+    # Until the first source ends, the ideal mixture gives each its weight's share of the slots.
+    until = int(6 * whole / max(weights.values()))
+    served = Counter(r.source for r in {(r.source, r.block): r for r in out if r.slot < until}.values())
+    assert all(abs(served[s] - until * w / whole) < 1 for s, w in weights.items())
