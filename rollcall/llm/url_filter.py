@@ -10,10 +10,16 @@ score reaches a threshold that is calibrated on labelled URLs which the models
 have not seen (one in HOLD_OUT by the URL's hash), as the point that gives the
 least sum of both error rates.
 
-Counting is a numpy pass over Arrow batches that counts contexts and
-characters in hashed cells, summed by Spark over all labelled URLs. The number
-of cells follows the number of labelled URLs up to MAX_CELLS, which bounds the
-model that tasks receive (MAX_CELLS * (ORDER + 1) * 2 * 2 numbers of 4 bytes).
+The counts are exact and stand in tables that grow with the URLs: a byte with
+the ORDER bytes before it is a gram, a long; numpy passes over Arrow batches
+count the grams of each batch, Spark sums them. The counts of a shorter order
+are sums over the grams' last bytes. As a byte's probability depends on its gram
+alone, each order's table gets it from the next shorter one's by a join in which
+a key meets 256 rows at most, and each gram's difference of the models is one
+number (an integer of 2 ** -32 natural units, so sums do not depend on their
+order). The HEAVY most frequent grams are sent to the URLs and summed there; all
+others are joined to their URLs, by one gram and URL a row. Both ways give the
+same sums, whatever HEAVY is.
 
 Null or empty URLs have score 0. Without labelled URLs of either kind all
 scores and the threshold are 0, and URLs without a rule are accepted.
@@ -23,14 +29,21 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rollcall.llm.common import settle
 
 ORDER, ESCAPE, HOLD_OUT = 5, 2.0, 5
-MIN_CELLS, MAX_CELLS = 1 << 14, 1 << 17
+#: Cells of ``log_likelihood``'s hashed model, which the operator does not use.
+MAX_CELLS = 1 << 17
+#: Grams whose differences are sent to the tasks; all others are joined.
+HEAVY = 1 << 16
+#: Differences of the models are integers of 1 / UNIT.
+UNIT = 1 << 32
+#: Bytes that a numpy pass takes at a time, about.
+PIECE = 1 << 20
 #: Scores are put into so many bins a natural unit when the threshold is chosen.
 BINS = 200
 _START = 2
@@ -95,23 +108,9 @@ def _cells(grams: np.ndarray, cells: int, kind: int) -> np.ndarray:
     return ((n * 2 + kind) * cells + (grams % np.uint64(cells)).astype(np.int64))
 
 
-def _count(order: int, cells: int):
-    def run(batches):
-        for batch in batches:
-            urls = [u or b"" for u in batch.column(0).cast(pa.binary()).to_pylist()]
-            accepted = np.array(batch.column(1).to_pylist(), bool)
-            for kind in (False, True):
-                some = [u for u, a in zip(urls, accepted) if a == kind]
-                if not some:
-                    continue
-                context, whole = _grams(some, order)
-                cell, n = np.unique(np.concatenate([_cells(context, cells, 0).ravel(), _cells(whole, cells, 1).ravel()]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cell), kind)), pa.array(cell), pa.array(n)], ["accepted", "cell", "n"])
-    return run
-
-
 def log_likelihood(model: np.ndarray, urls: list[bytes], order: int, cells: int) -> np.ndarray:
-    """Of each URL under one model: counts by cell, as ``_cells`` numbers them."""
+    """Of each URL under one model in one process: counts by cell, as ``_cells``
+    numbers them. A small reference; the operator counts exactly, in tables."""
     context, whole = _grams(urls, order)
     p = np.full(context.shape[1], 1 / 256)
     for n in range(order + 1):
@@ -125,38 +124,112 @@ def log_likelihood(model: np.ndarray, urls: list[bytes], order: int, cells: int)
     return total[ends] - total[ends - sizes]
 
 
-def _score(models, order: int, cells: int):
+def _pieces(urls: list[bytes]):
+    """Slices of the list with about PIECE bytes each."""
+    some, size = [], 0
+    for u in urls:
+        some.append(u)
+        size += len(u)
+        if size >= PIECE:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
+def _byte_grams(urls: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each byte of each URL with the ``order`` bytes before it, as a number;
+    the sizes of the URLs."""
+    pad = bytes([_START]) * order
+    flat = np.frombuffer(b"".join(pad + u for u in urls), np.uint8).astype(np.int64)
+    sizes = np.array([len(u) for u in urls], np.int64)
+    at = np.arange(sizes.sum()) + np.repeat(np.arange(1, len(urls) + 1) * order, sizes)
+    gram = np.zeros(len(at), np.int64)
+    for n in range(order, -1, -1):
+        gram = gram << 8 | flat[at - n]
+    return gram, sizes
+
+
+def _count_grams(order: int):
+    def run(batches):
+        for batch in batches:
+            urls = [u or b"" for u in batch.column(0).cast(pa.binary()).to_pylist()]
+            kinds = batch.column(1).to_pylist()
+            at = 0
+            for some in _pieces(urls):
+                gram, sizes = _byte_grams(some, order)
+                kind = np.repeat(np.array([2 if k is None else int(k) for k in kinds[at:at + len(some)]], np.int64), sizes)
+                at += len(some)
+                found, where = np.unique(gram, return_inverse=True)
+                n = [np.bincount(where[kind == k], minlength=len(found)) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n[0] + n[1] + n[2]), pa.array(n[1]), pa.array(n[0])], ["gram", "n", "good", "bad"])
+    return run
+
+
+def _sum_heavy(heavy, order: int):
+    """Each row with the sum over its URL's heavy grams, and its other grams."""
     def run(batches):
-        rejected, accepted = models.value
+        grams, diffs = heavy.value
         for batch in batches:
             urls = [u or b"" for u in batch.column("_url").cast(pa.binary()).to_pylist()]
-            out = np.zeros(len(urls))
-            for i in range(0, len(urls), 2000):
-                some = urls[i:i + 2000]
-                diff = log_likelihood(accepted, some, order, cells) - log_likelihood(rejected, some, order, cells)
-                out[i:i + 2000] = diff / np.maximum(1, [len(u) for u in some])
+            sums, rest, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
+            for some in _pieces(urls):
+                gram, sizes = _byte_grams(some, order)
+                at = np.minimum(np.searchsorted(grams, gram), len(grams) - 1)
+                known, last = grams[at] == gram, np.cumsum(sizes)
+                total = np.concatenate([[0], np.cumsum(np.where(known, diffs[at], 0))])
+                others = np.concatenate([[0], np.cumsum(~known)])
+                sums.append(total[last] - total[last - sizes])
+                ends.append(others[last] + ends[-1][-1])
+                rest.append(gram[~known])
             kept = [i for i, c in enumerate(batch.schema.names) if c != "_url"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], pa.array(out)],
-                                             [*[batch.schema.names[i] for i in kept], "_score"])
+            more = pa.LargeListArray.from_arrays(pa.array(np.concatenate(ends), pa.int64()), pa.array(np.concatenate(rest), pa.int64())).cast(pa.list_(pa.int64()))
+            size = pa.array([len(u) for u in urls], pa.int64())
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], size, pa.array(np.concatenate(sums)), more],
+                                             [*[batch.schema.names[i] for i in kept], "_size", "_sum", "_rest"])
     return run
 
 
+def gram_differences(grams: DataFrame, order: int = ORDER) -> DataFrame:
+    """(gram, n, diff) from (gram, n, good, bad): log-probability of the gram's
+    last byte after the others under the model of accepted URLs less that under
+    the model of rejected ones, in 1 / UNIT."""
+    below = None
+    for k in range(order + 1):
+        tail = F.col("gram").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1))
+        level = grams.groupBy(tail.alias("gram")).agg(*[F.sum(c).alias(c) for c in ("n", "good", "bad")])
+        context = Window.partitionBy(F.shiftright("gram", 8))    # 256 rows at most
+        level = level.select("gram", "n", "good", "bad", *[F.sum(c).over(context).alias(f"{c}_seen") for c in ("good", "bad")])
+        if below is None:
+            level = level.withColumns({"_good": F.lit(1 / 256), "_bad": F.lit(1 / 256)})
+        else:
+            level = level.join(below, F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1)) == F.col("_tail"))
+        p = {c: (F.col(c) + ESCAPE * F.col(f"_{c}")) / (F.col(f"{c}_seen") + ESCAPE) for c in ("good", "bad")}
+        below = level.select(F.col("gram").alias("_tail"), "n", p["good"].alias("_good"), p["bad"].alias("_bad"))
+        last, below = below, below.drop("n")
+    return last.select(F.col("_tail").alias("gram"), "n", F.round((F.log("_good") - F.log("_bad")) * UNIT).cast("long").alias("diff"))
+
+
 def scored(pages: DataFrame, url: str, accepted: str, order: int = ORDER) -> DataFrame:
     """``pages`` with ``_score``; ``accepted`` is true, false or null (no label)."""
     spark = pages.sparkSession
-    fit = pages.where(F.col(accepted).isNotNull() & ~_held_out(url)).select(F.col(url).alias("u"), F.col(accepted).alias("accepted"))
-    n = fit.count()
-    cells = MIN_CELLS
-    while cells < min(MAX_CELLS, n):
-        cells *= 2
-    counts = (fit.mapInArrow(_count(order, cells), "accepted boolean, cell long, n long")
-              .groupBy("accepted", "cell").agg(F.sum("n").alias("n")).toArrow())
-    models = np.zeros((2, (order + 1) * 2 * cells), np.float32)
-    models[counts["accepted"].to_numpy().astype(int), counts["cell"].to_numpy()] = counts["n"].to_numpy()
-    if not (models[0].any() and models[1].any()):
+    known = F.when(~_held_out(url), F.col(accepted))
+    grams = (pages.select(F.col(url).alias("u"), known.alias("accepted")).mapInArrow(_count_grams(order), "gram long, n long, good long, bad long")
+             .groupBy("gram").agg(*[F.sum(c).alias(c) for c in ("n", "good", "bad")]))
+    grams = settle(grams, "grams")
+    both = grams.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).first()
+    if not (both.good and both.bad):
         return pages.withColumn("_score", F.lit(0.0))
-    schema = T.StructType([*pages.schema.fields, T.StructField("_score", T.DoubleType())])
-    return settle(pages.withColumn("_url", F.col(url)).mapInArrow(_score(spark.sparkContext.broadcast(models), order, cells), schema), "scores")
+    diffs = settle(gram_differences(grams, order), "differences")
+    heavy = diffs.orderBy(F.desc("n"), "gram").limit(HEAVY).select("gram", "diff").toArrow().sort_by("gram")
+    sent = spark.sparkContext.broadcast((heavy["gram"].to_numpy(), heavy["diff"].to_numpy()))
+    rows = pages.withColumn("_row", F.monotonically_increasing_id())
+    added = [T.StructField("_size", T.LongType()), T.StructField("_sum", T.LongType()), T.StructField("_rest", T.ArrayType(T.LongType()))]
+    rows = settle(rows.withColumn("_url", F.col(url)).mapInArrow(_sum_heavy(sent, order), T.StructType([*rows.schema.fields, *added])), "sums")
+    others = (rows.select(F.col("_row").alias("_of"), F.explode("_rest").alias("_gram")).join(diffs, F.col("_gram") == F.col("gram"))
+              .groupBy("_of").agg(F.sum("diff").alias("_more")))
+    total = (F.col("_sum") + F.coalesce("_more", F.lit(0))) / F.lit(float(UNIT)) / F.greatest("_size", F.lit(1))
+    return settle(rows.join(others, F.col("_row") == F.col("_of"), "left").select(*pages.columns, total.alias("_score")), "scores")
 
 
 def _held_out(url: str) -> Column:

@@ -84,3 +84,43 @@ def test_without_examples_and_empty_table(spark):
     assert [(r.rule, r.verdict, r.score) for r in judge_urls(df, URL_RULES).collect()] == [(None, "allow", 0.0)] * 2
     assert judge_urls(df.limit(0), URL_RULES).collect() == []
     assert url_filter.MAX_CELLS * (ORDER + 1) * 2 * 2 * 4 < 32 << 20
+
+
+@pytest.mark.parametrize("heavy", [1 << 16, 7])
+def test_scores_are_exact_where_hashed_cells_collide(spark, monkeypatch, heavy):
+    monkeypatch.setattr(url_filter, "HEAVY", heavy)
+    rnd = random.Random(9)
+    say = lambda letters, n: "".join(rnd.choice(letters) for _ in range(n))
+    many = "".join(chr(c) for c in range(33, 127))
+    rows = [(i, "http://" + say(many, 40), i % 2 == 0) for i in range(1500)]     # some 50,000 grams, over three for each of 16,384 cells
+    rows += [(3000 + i, "http://" + say(many, 20) + u[7:30], None) for i, (_, u, _) in enumerate(rows[:40])] + [(4000, None, None), (4001, "", True), (4002, "é" * 9, None)]
+    df = spark.createDataFrame(rows, "i long, u string, a boolean").repartition(3)
+    held = {r.u for r in df.select("u", url_filter._held_out("u").alias("h")).collect() if r.h}
+    train = [[u for _, u, a in rows if a is kind and u not in held] for kind in (True, False)]
+    models = [brute_counts(t) for t in train]
+    got = {r.i: r._score for r in url_filter.scored(df, "u", "a").collect()}
+    assert len(got) == len(rows)
+    for i, u, _ in rows[-43:] + rows[:40]:
+        wanted = (brute_under(models[0], u) - brute_under(models[1], u)) / len(u.encode()) if u else 0.0
+        assert got[i] == pytest.approx(wanted, abs=1e-8)
+
+
+def brute_counts(train):
+    seen, both = Counter(), Counter()
+    for u in train:
+        u = b"\x02" * ORDER + u.encode()
+        for i in range(ORDER, len(u)):
+            for n in range(ORDER + 1):
+                seen[u[i - n:i], n] += 1
+                both[u[i - n:i + 1], n] += 1
+    return seen, both
+
+
+def brute_under(model, url):
+    (seen, both), u, total = model, b"\x02" * ORDER + url.encode(), 0.0
+    for i in range(ORDER, len(u)):
+        p = 1 / 256
+        for n in range(ORDER + 1):
+            p = (both[u[i - n:i + 1], n] + ESCAPE * p) / (seen[u[i - n:i], n] + ESCAPE)
+        total += math.log(p)
+    return total
