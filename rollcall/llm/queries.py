@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollcall.llm import toxicity
+from rollcall.llm import merkle, toxicity
 from rollcall.llm.chat_format import format_chats, read_back
 from rollcall.llm.common import table, text_hashes
 from rollcall.llm.decontaminate import contamination
@@ -88,6 +88,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def merkle_manifest(docs: DataFrame, depth: int = merkle.DEPTH) -> DataFrame:
+    """Proofs of all rows; where 5 divides the CRC-32 of the id, the claim is the
+    row with its text lower-cased. A null id is not tampered with."""
+    fixed = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    made = merkle.manifest(docs, "source", "doc_id", merkle.leaf_of(*fixed, F.col("text")),
+                           claim=F.when(tampered, merkle.leaf_of(*fixed, lowered)), depth=depth)
+    return merkle.prove(made, digest=True).select("doc_id", "leaf", "subroot", "root", F.col("proof").alias("proof_sha256"), "folded_root", "verified")
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_decontaminate": op2_decontaminate,
@@ -99,4 +114,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
+    "op12_merkle": op12_merkle,
 }
