@@ -13,6 +13,7 @@ from rollcall.llm.chat_format import format_chats, read_back
 from rollcall.llm.common import table, text_hashes
 from rollcall.llm.decontaminate import contamination
 from rollcall.llm.fingerprints import as_hex, edited_pairs
+from rollcall.llm.licenses import scan_licenses
 from rollcall.llm.line_dedup import drop_frequent_lines
 from rollcall.llm.mixing import mix
 from rollcall.llm.sharding import shard_rows
@@ -88,6 +89,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def license_scan(docs: DataFrame) -> DataFrame:
+    joined = [F.concat_ws(",", c).alias(c) for c in ("base_labels", "labels")]
+    return scan_licenses(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", *joined, "score")
+
+
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def merkle_manifest(docs: DataFrame, depth: int = merkle.DEPTH) -> DataFrame:
     """Proofs of all rows; where 5 divides the CRC-32 of the id, the claim is the
     row with its text lower-cased. A null id is not tampered with."""
@@ -114,5 +124,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
+    "op11_licenses": op11_licenses,
     "op12_merkle": op12_merkle,
 }
