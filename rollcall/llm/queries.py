@@ -16,6 +16,7 @@ from rollcall.llm.fingerprints import as_hex, edited_pairs
 from rollcall.llm.licenses import scan_licenses
 from rollcall.llm.line_dedup import drop_frequent_lines
 from rollcall.llm.mixing import mix
+from rollcall.llm.periodic import periodic_runs
 from rollcall.llm.sharding import shard_rows
 from rollcall.llm.simhash import near_duplicate_groups
 from rollcall.llm.suffix_dedup import drop_repeats
@@ -113,6 +114,26 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest(table(spark, sf_dir, "documents"))
 
 
+def planted_runs(docs: DataFrame) -> DataFrame:
+    """Runs of all documents; where 10 divides the CRC-32 of the id, the words
+    from a place on repeat with a period. A null id has nothing planted."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    some = docs.select("doc_id", "text", F.when(h % 10 == 0, words).alias("w"), F.floor(h / 10).cast("long").alias("g"))
+    some = some.withColumn("n", F.size("w").cast("long")).withColumn("a", F.expr("if(n > 0, g % n, null)")).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    planted = F.expr("array_join(transform(w, (x, i) -> if(i < a, x, w[cast(a + (i - a) % p as int)])), ' ')")
+    found = periodic_runs(some, text=F.when(F.col("n") > 0, planted).otherwise(F.col("text")), digest=True)
+    top = F.expr("array_max(transform(runs, r -> struct(r.length as k, -r.start as s, -r.period as q)))")
+    listed = F.expr("concat_ws('', transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')))")
+    return found.withColumn("top", top).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("top.s")).alias("start"), F.col("top.k").alias("length"), (-F.col("top.q")).alias("period"),
+        F.expr("1000 * top.k div -top.q").alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"), F.col("collapsed").alias("collapsed_sha256"))
+
+
+def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planted_runs(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_decontaminate": op2_decontaminate,
@@ -126,4 +147,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
     "op11_licenses": op11_licenses,
     "op12_merkle": op12_merkle,
+    "op13_periodic": op13_periodic,
 }
