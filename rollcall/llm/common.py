@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rollcall.operators.common import number_within_groups
 from rollcall.session import ensure_checkpoint_dir
 
 
@@ -35,6 +36,13 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_file_key(rows: DataFrame) -> DataFrame:
+    """``rows``, read from files, with ``_file`` and ``_at``: the hash of a row's
+    file and its place in it, the same at every reading. (Hashes of a million
+    files meet with a probability of 3e-8.)"""
+    return rows.select(*rows.columns, F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -46,6 +54,8 @@ def text_hashes(c: Column) -> tuple[Column, Column]:
 
 #: Rows that one numbering window holds, about.
 ROWS_PER_WINDOW = 20_000
+#: A part of so many windows' rows is cut anew.
+CROWDED = 8
 
 
 def slice_of(c: Column, low: int, high: int, parts: int) -> Column:
@@ -57,19 +67,25 @@ def slice_of(c: Column, low: int, high: int, parts: int) -> Column:
 
 def numbered(rows: DataFrame, group: str, place: str, out: str) -> DataFrame:
     """``out``: 0, 1, 2, ... by ``place`` in each ``group``; neither is null. A
-    group of any size is numbered in parts of ``place``, which should spread
-    evenly over its range as hashes do; each part adds the rows of the group's
-    earlier parts."""
+    group of any size is numbered in parts of ``place``, each of which adds the
+    rows of the group's earlier parts. Places that spread evenly over their
+    range, as hashes do, give even parts. Where they do not (many rows of one
+    place, far outliers), so that a part would hold CROWDED windows' rows, the
+    rows are cut by measured bounds instead, ties by a number of their own."""
     span = rows.agg(F.min(place).alias("low"), F.max(place).alias("high"), F.count(F.lit(1)).alias("n")).first()
     if not span.n:
         return rows.withColumn(out, F.lit(None).cast("long"))
     some = rows.withColumn("_part", slice_of(F.col(place), span.low, span.high, span.n // ROWS_PER_WINDOW + 1))
-    counts = some.groupBy(group, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    counts = some.groupBy(group, "_part").agg(F.count(F.lit(1)).alias("_in_part"))
     before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = settle(counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n"), "offsets")
+    offsets = settle(counts.withColumn("_before", F.coalesce(F.sum("_in_part").over(before), F.lit(0))), "offsets")
+    if offsets.agg(F.max("_in_part")).first()[0] > CROWDED * ROWS_PER_WINDOW:
+        each = settle(rows.withColumn("_nth", F.monotonically_increasing_id()), "rows")
+        ranked = number_within_groups(each, [group], [place, "_nth"], out=out)
+        return ranked.withColumn(out, F.col(out) - 1).drop("_nth")
     inside = Window.partitionBy(group, "_part").orderBy(place, *[c for c in rows.columns if c not in (group, place)])
-    return (some.withColumn("_at", F.row_number().over(inside)).join(offsets, [group, "_part"])
-            .withColumn(out, (F.col("_at") - 1 + F.col("_before")).cast("long")).drop("_part", "_at", "_before"))
+    return (some.withColumn("_in_order", F.row_number().over(inside)).join(offsets.drop("_in_part"), [group, "_part"])
+            .withColumn(out, (F.col("_in_order") - 1 + F.col("_before")).cast("long")).drop("_part", "_in_order", "_before"))
 
 
 #: bitmap_construct_agg makes bitmaps of so many bits.

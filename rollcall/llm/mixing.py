@@ -22,7 +22,8 @@ each source and one piece, and its time is linear in the number of blocks.
 A null source is a source of its own. Rows that repeat a ``doc_id`` are rows.
 Weights: a mapping from source (None for null) to a positive weight; sources
 without one get the smallest given weight. Without a mapping a source of n
-rows has weight n ** ALPHA. An empty table gives no rows.
+rows has weight n ** ALPHA. An empty table gives no rows. Texts play no part
+unless they are carried, of whatever length they are.
 """
 
 from __future__ import annotations
@@ -36,15 +37,13 @@ from fractions import Fraction
 from itertools import islice
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.llm.common import numbered, settle
 from rollcall.session import ensure_checkpoint_dir
 
-BLOCK_ROWS, PARTS, ALPHA = 8, 1000, 0.7
-#: Bounds nothing any more: every source has its own weight and windows.
-MAX_SOURCES = 256
+BLOCK_ROWS, ALPHA = 8, 0.7
 #: Slots that the driver schedules and writes at a time.
 PIECE = 1 << 18
 
@@ -96,71 +95,62 @@ def windows(blocks: list[int], weights: list[int]) -> Iterator[tuple[int, int, i
             heapq.heappush(later, (release[i], i))
 
 
-def cycle_slots(parts: dict[int, int]) -> dict[int, list[int]]:
-    """Slots of each source's blocks in one cycle of sum(parts) slots, with the
-    parts as weights."""
-    names = list(parts)
-    slots: dict[int, list[int]] = {i: [] for i in names}
-    for slot, (i, _, _, _) in enumerate(windows([*parts.values()], [*parts.values()])):
-        slots[names[i]].append(slot)
-    return slots
-
-
-def cycles(blocks: list[int], parts: list[int]) -> list[dict]:
-    """How often cycles of ``parts`` repeat until all blocks are used (mix does
-    not need it: its windows run over the whole). The kinds of cycle, in order: ``base`` slot, ``times``, ``parts`` by
-    source and ``used``, the blocks of each source that come before."""
-    left, used, base, out = list(blocks), [0] * len(blocks), 0, []
-    while any(left):
-        lasting = [i for i, n in enumerate(left) if n]
-        times = min(left[i] // parts[i] for i in lasting)
-        some = {i: parts[i] if times else min(parts[i], left[i]) for i in lasting}
-        times = max(1, times)
-        out.append({"base": base, "times": times, "parts": some, "used": {i: used[i] for i in some}})
-        for i, a in some.items():
-            left[i] -= a * times
-            used[i] += a * times
-        base += times * sum(some.values())
-    return out
-
-
-def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", carry: list[str] = (),
-        weights: dict | None = None, block_rows: int = BLOCK_ROWS, parts: int = PARTS, alpha: float = ALPHA) -> DataFrame:
-    """``id_col``, ``source_col`` and the ``carry`` columns of every row, with
-    target_weight, block, slot, release, deadline and ``position``, the row's
-    place in the mixture, gapless from 0. ``parts`` bounds nothing any more:
-    weights are not rounded to parts of a cycle."""
+def schedule(docs: DataFrame, source_col: str = "source", weights: dict | None = None, block_rows: int = BLOCK_ROWS,
+             alpha: float = ALPHA, path: str | None = None) -> DataFrame:
+    """The written plan, one row for each block: its source, windows, slot and
+    the position of its first row. Any table of the same sources and sizes can
+    be placed by it. ``path``: where it is written, if not in a new folder."""
     spark = docs.sparkSession
-    kept = list(dict.fromkeys([id_col, source_col, *carry]))
-    name = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit(""))
-    rows = docs.select(F.struct(*kept).alias("_row"), name.alias("_name"), F.xxhash64(*[F.col(c) for c in kept]).alias("_place"))
-    sizes = settle(rows.groupBy("_name").agg(F.count(F.lit(1)).alias("n")), "sources")
+    sizes = settle(docs.groupBy(_name(source_col).alias("_name")).agg(F.count(F.lit(1)).alias("n")), "sources")
     known = sizes.orderBy(F.desc("n"), "_name").toArrow()
     names, counts = known["_name"].to_pylist(), known["n"].to_pylist()
-    if not names:
-        return docs.select(*kept, *[F.lit(None).cast(t).alias(c) for c, t in _ADDED])
     if weights:
         given = {"" if k is None else f"={k}": w for k, w in weights.items()}
         least = min(given.values())
         wanted = [given.get(n, least) for n in names]
     else:
         wanted = [n ** alpha for n in counts]
+    return _written_plan(spark, names, counts, whole_weights(wanted), block_rows, path)
 
+
+def placed(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", source_col: str = "source", carry: list[str] = (),
+           block_rows: int = BLOCK_ROWS, place: str | None = None) -> DataFrame:
+    """As ``mix``, by a plan that is there. ``place``: a long that orders the rows
+    of a source; a hash of the columns that are kept if there is none."""
+    kept = list(dict.fromkeys([id_col, source_col, *carry]))
+    order = F.xxhash64(*[docs[c] for c in kept]) if place is None else docs[place]
+    rows = docs.select(F.struct(*[docs[c] for c in kept]).alias("_row"), _name(source_col).alias("_name"), order.alias("_place"))
     ranked = numbered(rows, "_name", "_place", "_n").withColumn("_block", F.expr(f"_n div {block_rows}"))
-    plan = _written_plan(spark, names, counts, whole_weights(wanted), block_rows)
-    placed = ranked.join(plan, (F.col("_name") == F.col("name")) & (F.col("_block") == F.col("block")))
-    return placed.select(
-        *[F.col(f"_row.`{c}`").alias(c) for c in kept], F.col("share").alias("target_weight"), "block", "slot", "release", "deadline",
-        (F.col("first") + F.expr(f"_n % {block_rows}")).alias("position"))
+    found = ranked.join(plan, (F.col("_name") == F.col("name")) & (F.col("_block") == F.col("block")))
+    added = [c for c, _ in _ADDED]
+    return found.select(
+        *[F.col(f"_row.`{c}`").alias(c if c not in added else f"{c}_of_row") for c in kept], F.col("share").alias("target_weight"),
+        "block", "slot", "release", "deadline", (F.col("first") + F.expr(f"_n % {block_rows}")).alias("position"))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", carry: list[str] = (),
+        weights: dict | None = None, block_rows: int = BLOCK_ROWS, alpha: float = ALPHA) -> DataFrame:
+    """``id_col``, ``source_col`` and the ``carry`` columns of every row, with
+    target_weight, block, slot, release, deadline and ``position``, the row's
+    place in the mixture, gapless from 0. A column that is kept and has one of
+    these names comes back with ``_of_row`` appended."""
+    return placed(docs, schedule(docs, source_col, weights, block_rows, alpha), id_col, source_col, carry, block_rows)
+
+
+def _name(source_col: str) -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit(""))
 
 
 _ADDED = [("target_weight", "double"), ("block", "long"), ("slot", "long"), ("release", "long"), ("deadline", "long"), ("position", "long")]
-_PLAN = "name string, share double, block long, slot long, release long, deadline long, first long"
+PLAN = "name string, share double, block long, slot long, release long, deadline long, first long"
 
 
-def _written_plan(spark, names: list[str], counts: list[int], weights: list[int], block_rows: int) -> DataFrame:
+def _written_plan(spark, names: list[str], counts: list[int], weights: list[int], block_rows: int, path: str | None) -> DataFrame:
     """One row per block; ``first`` is the position of the block's first row."""
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-mixture-{uuid.uuid4().hex}"
+    path = path or f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-mixture-{uuid.uuid4().hex}"
+    spark.createDataFrame([], PLAN).write.mode("overwrite").parquet(path)
+    if not names:
+        return spark.read.schema(PLAN).parquet(path)
     whole = sum(weights)
     shares = [w / whole for w in weights]
     slots, slot, first = windows([-(-n // block_rows) for n in counts], weights), 0, 0
@@ -174,5 +164,5 @@ def _written_plan(spark, names: list[str], counts: list[int], weights: list[int]
                 pa.array(range(slot, slot + len(piece)), pa.int64()), pa.array(release, pa.int64()), pa.array(deadline, pa.int64()), pa.array(starts, pa.int64())]
         slot += len(piece)
         table = pa.Table.from_arrays(cols, ["name", "share", "block", "slot", "release", "deadline", "first"])
-        spark.createDataFrame(table, _PLAN).write.mode("append").parquet(path)
-    return spark.read.schema(_PLAN).parquet(path)
+        spark.createDataFrame(table, PLAN).write.mode("append").parquet(path)
+    return spark.read.schema(PLAN).parquet(path)

@@ -16,7 +16,9 @@ those slices alone inside which an answer depended, 64 times finer, until none
 does. Then every answer was exact.
 
 Sizes are not negative; null sizes count 0. An empty table gives no rows.
-More shards than groups leave shards empty.
+More shards than groups leave shards empty. Null is a value like others in a
+group's key. Groups of one place in the order stand by their key; rows that
+repeat are one group and keep a slot each. Texts play no part but by their size.
 """
 
 from __future__ import annotations
@@ -146,25 +148,28 @@ def shard_rows(rows: DataFrame, group: list[str], size: str, order: str, place:
     ``group``: columns that name a row's group; ``size``: a row's size;
     ``order``: a long by which groups (by their least one) are ordered;
     ``place``: a long that orders the rows of a shard. Both should spread
-    evenly over their range, as hashes and dense positions do.
+    evenly over their range, as hashes and dense positions do. Columns named
+    ``shard`` or ``slot`` come back with ``_of_row`` appended.
     """
-    rows = settle(rows.withColumn("_size", F.coalesce(F.col(size).cast("long"), F.lit(0))), "rows")
-    groups = settle(rows.groupBy(*group).agg(F.sum("_size").alias("size"), F.min(order).alias("at")), "groups")
+    back = [F.col(f"_row.`{c}`").alias(f"{c}_of_row" if c in ("shard", "slot") else c) for c in rows.columns]
+    keys = [f"_g{i}" for i in range(len(group))]
+    rows = settle(rows.select(F.struct(*[rows[c] for c in rows.columns]).alias("_row"), *[rows[g].alias(k) for g, k in zip(group, keys)], rows[order].alias("_order"),
+                              rows[place].alias("_place"), F.coalesce(rows[size].cast("long"), F.lit(0)).alias("_size")), "rows")
+    groups = settle(rows.groupBy(*keys).agg(F.sum("_size").alias("size"), F.min("_order").alias("at")), "groups")
     whole = groups.agg(F.count(F.lit(1)).alias("groups"), F.sum("size").alias("size"),
                        F.max("size").alias("largest"), F.min("at").alias("low"), F.max("at").alias("high")).first()
     if not whole.groups:
-        return rows.drop("_size").withColumns({"shard": F.lit(None).cast("int"), "slot": F.lit(None).cast("long")})
-    ends = settle(_group_ends(groups, group, whole), "ends")
+        return rows.select(*back, F.lit(None).cast("int").alias("shard"), F.lit(None).cast("long").alias("slot"))
+    ends = settle(_group_ends(groups, keys, whole), "ends")
     cuts = minimax_cuts(ends, whole.size, whole.largest, shards)[1]
     start = F.col("end") - F.col("group_size")
     shard = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in [-1, *cuts]]), lambda c: c <= start)) - 1
-    dealt = ends.select(*[F.col(g).alias(f"_in_{g}") for g in group], shard.alias("shard"))
-    same = [rows[g].eqNullSafe(dealt[f"_in_{g}"]) for g in group]
-    on = same[0]
-    for more in same[1:]:
-        on = on & more
-    sharded = settle(rows.join(dealt, on, "left").drop(*[f"_in_{g}" for g in group], "_size"), "sharded")
-    return numbered(sharded, "shard", place, "slot")
+    dealt = ends.select(*[F.col(k).alias(f"_in{k}") for k in keys], shard.alias("shard"))
+    on = F.lit(True)
+    for k in keys:
+        on = on & rows[k].eqNullSafe(dealt[f"_in{k}"])
+    sharded = settle(rows.join(dealt, on, "left").select("_row", "_place", "shard"), "sharded")
+    return numbered(sharded, "shard", "_place", "slot").select(*back, "shard", "slot")
 
 
 def _group_ends(groups: DataFrame, group: list[str], whole) -> DataFrame:

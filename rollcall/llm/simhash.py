@@ -21,9 +21,11 @@ Links (at most 4 differing bits) are found between *distinct* fingerprints:
 4. Components are the closure of the links by alternating large-star and
    small-star steps over the linked fingerprints.
 
-Null or empty text has fingerprint zero. Rows that repeat a ``doc_id`` keep
-their rows; a null ``doc_id`` takes part, and a component of null ids alone
-has a null ``component_id``.
+Null or empty text has fingerprint zero, a text of any length is hashed whole.
+Rows that repeat a ``doc_id`` keep their rows; a null ``doc_id`` takes part, and
+a component of null ids alone has a null ``component_id``. An empty table gives
+no rows. Columns that are not named in ``carry`` play no part; a carried column
+named as one of the results comes back with ``_of_row`` appended.
 """
 
 from __future__ import annotations
@@ -31,11 +33,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollcall.llm.common import settle, text_hashes
+from rollcall.llm.common import settle, text_hashes, with_file_key
 
 SHINGLE, MAX_BITS = 4, 4
 #: (lowest bit, width) of the parts.
@@ -198,11 +200,12 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         # Large star: each node's larger neighbours go to its smallest neighbour or itself.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"))
+        # It is written, so that the join deals both sides by ``u`` itself and Spark splits a centre's rows.
+        low = settle(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low")), "low")
         large = settle(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v"))
                        .where("u <> v").distinct(), "large")
         # Small star: each node and its smaller neighbours go to the smallest of them.
-        low = large.groupBy("u").agg(F.min("v").alias("low"))
+        low = settle(large.groupBy("u").agg(F.min("v").alias("low")), "low")
         small = settle(large.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("low").alias("v"))
                        .where("u <> v").distinct(), "small")
         done = small.join(edges, ["u", "v"], "left_anti").isEmpty() and edges.join(small, ["u", "v"], "left_anti").isEmpty()
@@ -217,28 +220,39 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     ``component_id``, the smallest id that links reach, and ``component_fp``,
     the component's smallest fingerprint as a signed long (never null)."""
     kept = list(dict.fromkeys([id_col, *carry]))
-    marked = settle(with_fingerprint(docs, text_col, kept, shingle), "prints")
-    prints = marked.groupBy("_fp").agg(F.min(id_col).alias("_least"))
-    prints = settle(prints, "distinct")
+    rows = docs.select(F.struct(*[docs[c] for c in kept]).alias("_row"), docs[id_col].alias("_id"), docs[text_col].alias("_text"))
+    marked = settle(with_fingerprint(rows, "_text", ["_row", "_id"], shingle), "prints")
+    prints = settle(marked.groupBy("_fp").agg(F.min("_id").alias("_least")), "distinct")
     roots = components(near_links(prints.select(F.col("_fp").alias("fp")), max_bits))
     rooted = prints.join(roots, prints["_fp"] == roots["node"], "left").withColumn("_root", F.coalesce("root", "_fp"))
     rooted = settle(rooted.select("_fp", "_least", "_root"), "rooted")
     least = rooted.groupBy("_root").agg(F.min("_least").alias("component_id")).select(F.col("_root").alias("component_fp"), "component_id")
     own = settle(rooted.join(least, F.col("_root") == F.col("component_fp"))
                  .select(F.col("_fp").alias("_print"), "component_fp", "component_id"), "classes")
+    added = ("fingerprint", "component_id", "component_fp")
     return (marked.join(own, marked["_fp"] == own["_print"], "left")
-            .select(*kept, F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id", "component_fp"))
+            .select(*[F.col(f"_row.`{c}`").alias(c if c not in added else f"{c}_of_row") for c in kept],
+                    F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id", "component_fp"))
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
-                      max_bits: int = MAX_BITS) -> DataFrame:
+                      max_bits: int = MAX_BITS, key: list[Column] | None = None) -> DataFrame:
     """The rows of ``docs`` but for near copies: of each component the row with
-    the smallest id stays (null ids last, ties by the text's hashes)."""
-    h1, h2 = text_hashes(docs[text_col])
-    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[id_col].alias("_id"), docs[text_col].alias("_text"),
-                        h1.alias("_h1"), h2.alias("_h2"))
-    groups = near_duplicate_groups(keyed, "_id", "_text", ["_h1", "_h2"], shingle, max_bits)
-    first = groups.groupBy("component_fp").agg(F.min(F.struct(F.col("_id").isNull().alias("n"), "_id", "_h1", "_h2")).alias("k"))
-    first = settle(first.select(F.col("k._id").alias("_kept"), F.col("k._h1").alias("_k1"), F.col("k._h2").alias("_k2")), "kept")
-    stay = keyed.join(first, F.col("_id").eqNullSafe(F.col("_kept")) & (F.col("_h1") == F.col("_k1")) & (F.col("_h2") == F.col("_k2")), "left_semi")
-    return stay.dropDuplicates(["_id", "_h1", "_h2"]).select("_row.*")
+    the smallest id stays (null ids last, ties by the text's hashes, then by the
+    row's place). ``key``: two columns that name each row and read the same
+    every time, as file and place in it; without them the rows are written
+    first. Only keys are grouped and compared, whole rows move once at most."""
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("_row")
+    if key is None:
+        rows = with_file_key(settle(docs.select(row), "rows"))
+    else:
+        rows = docs.select(row, key[0].alias("_file"), key[1].alias("_at"))
+    own = ["_file", "_at"]
+    h1, h2 = text_hashes(F.col("_text"))
+    slim = rows.select(*own, F.col(f"_row.`{id_col}`").alias("_id"), F.col(f"_row.`{text_col}`").alias("_text")).withColumns({"_h1": h1, "_h2": h2})
+    groups = settle(near_duplicate_groups(slim, "_id", "_text", ["_h1", "_h2", *own], shingle, max_bits)
+                    .select("component_fp", F.struct(F.col("_id").isNull().alias("n"), "_id", "_h1", "_h2", *own).alias("k")), "members")
+    first = settle(groups.groupBy("component_fp").agg(F.min("k").alias("first")), "first")
+    gone = settle(groups.join(first, "component_fp").where("k <> first").select(*[F.col(f"k.{c}").alias(f"_gone{c}") for c in own]), "gone")
+    on = (F.col("_file") == F.col("_gone_file")) & (F.col("_at") == F.col("_gone_at"))
+    return rows.join(gone, on, "left_anti").select("_row.*")

@@ -8,28 +8,20 @@ import pytest
 from pyspark.sql import functions as F
 
 from docs_fixture import docs_of  # noqa: F401 (fixture)
-from rollcall.llm import mixing
-from rollcall.llm.mixing import cycle_slots, cycles, mix, whole_weights, windows
+from rollcall.llm import common
+from rollcall.llm.mixing import mix, placed, schedule, whole_weights, windows
 
 
 @pytest.mark.parametrize("seed", range(15))
 def test_edf_meets_every_window_and_deviates_less_than_a_block(seed):
     rnd = random.Random(seed)
-    parts = {i: rnd.choice([1, 2, 7, 40, 300]) for i in range(rnd.randint(1, 25))}
-    total, slots = sum(parts.values()), cycle_slots(parts)
-    assert sorted(s for x in slots.values() for s in x) == list(range(total))
-    served = Counter()
-    owner = {s: i for i, x in slots.items() for s in x}
-    for t in range(total):
-        served[owner[t]] += 1
-        assert all(abs(served[i] * total - (t + 1) * a) < total for i, a in parts.items())
-
-
-def test_cycles_use_every_block_once():
-    blocks, parts = [100, 7, 0, 33], [50, 30, 10, 10]
-    plan = cycles(blocks, parts)
-    assert [sum(c["parts"].get(i, 0) * c["times"] for c in plan) for i in range(4)] == blocks
-    assert [c["base"] for c in plan] == [sum(x["times"] * sum(x["parts"].values()) for x in plan[:k]) for k in range(len(plan))]
+    parts = [rnd.choice([1, 2, 7, 40, 300]) for _ in range(rnd.randint(1, 25))]
+    total, served = sum(parts), Counter()
+    for t, (i, j, release, deadline) in enumerate(windows(parts, parts)):
+        assert j == served[i] and release <= t < deadline
+        served[i] += 1
+        assert all(abs(served[i] * total - (t + 1) * a) < total for i, a in enumerate(parts))
+    assert [served[i] for i in range(len(parts))] == parts
 
 
 def check(out, n, block_rows):
@@ -47,7 +39,7 @@ def check(out, n, block_rows):
 def test_every_row_once_in_gapless_order(docs_of):
     rnd = random.Random(3)
     items = [(i, f"t{i}", rnd.choice(["a", "a", "a", "b", "c"]) if i % 50 else None) for i in range(1000)] + [(5, "t5", "a"), (5, "t5", "a")]
-    out = mix(docs_of(items), block_rows=4, parts=60).collect()
+    out = mix(docs_of(items), block_rows=4).collect()
     check(out, 1002, 4)
     assert Counter(r.doc_id for r in out)[5] == 3
     # While every source lasts, each keeps its share to within a block.
@@ -57,20 +49,41 @@ def test_every_row_once_in_gapless_order(docs_of):
 
 def test_given_weights_hold_until_a_source_ends(docs_of):
     items = [(i, "x", "ab"[i % 2]) for i in range(400)]
-    out = mix(docs_of(items), weights={"a": 3, "b": 1}, block_rows=1, parts=4).collect()
+    out = mix(docs_of(items), weights={"a": 3, "b": 1}, block_rows=1).collect()
     check(out, 400, 1)
     first = Counter(r.source for r in out if r.position < 200)
     assert abs(first["a"] - 150) <= 1
 
 
-def test_pooled_sources_empty_table_and_clashing_columns(docs_of, monkeypatch):
-    monkeypatch.setattr(mixing, "MAX_SOURCES", 4)
-    docs = docs_of([(i, "x", f"s{i % 9}") for i in range(200)]).withColumn("slot", F.lit("mine")).withColumn("_n", F.lit(1))
-    out = mix(docs, block_rows=3, parts=20).collect()
-    assert sorted(r.position for r in out) == list(range(200))
+def test_empty_table_and_clashing_columns(docs_of):
+    docs = docs_of([(i, "x", f"s{i % 9}") for i in range(200)])
+    for c in ("slot", "block", "position", "_n", "name", "_row"):
+        docs = docs.withColumn(c, F.lit("mine"))
+    out = mix(docs, carry=["slot", "block", "position", "_n", "name", "_row"], block_rows=3)
+    rows = out.collect()
+    check(rows, 200, 3)
+    assert len(set(out.columns)) == len(out.columns)
+    assert all(r.slot_of_row == r.block_of_row == r.position_of_row == r._n == r.name == r._row == "mine" for r in rows)
     assert mix(docs_of([])).collect() == []
 
 
+def test_rows_of_one_place_are_spread(spark, monkeypatch):
+    """Most rows without an id: no window holds them all, and the order is whole."""
+    monkeypatch.setattr(common, "ROWS_PER_WINDOW", 50)
+    docs = spark.range(4000).select(F.when(F.col("id") % 10 == 0, F.col("id")).alias("doc_id"), F.lit("hot").alias("source"))
+    check(mix(docs).collect(), 4000, 8)
+    far = spark.range(3000).select(F.when(F.col("id") == 0, F.lit(2**62)).otherwise(F.col("id")).alias("place"), F.lit(0).alias("g"))
+    got = common.numbered(far, "g", "place", "n").collect()
+    assert [r.place for r in sorted(got, key=lambda r: r.n)] == [*range(1, 3000), 2**62] and sorted(r.n for r in got) == list(range(3000))
+
+
+def test_a_written_plan_places_the_same_rows_again(docs_of):
+    docs = docs_of([(i, "x", f"s{i % 5}") for i in range(500)])
+    plan = schedule(docs, weights={"s1": 5, "s0": 1})
+    want = {r.doc_id: r.position for r in mix(docs, weights={"s1": 5, "s0": 1}).collect()}
+    assert {r.doc_id: r.position for r in placed(docs.repartition(3), plan).collect()} == want
+
+
 def ideal(counts, weights, slots):
     """Blocks of each source that the ideal mixture has served by each slot."""
     left, out, got = dict(enumerate(counts)), [], [Fraction(0)] * len(counts)

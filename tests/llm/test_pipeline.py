@@ -93,3 +93,16 @@ def test_sharding_takes_the_order_of_the_files(spark, docs_of, tmp_path):
     assert order == [i for i, _, _ in items]
     some = sorted(cp.sharding(spark, docs.where("doc_id % 3 = 0"), SF).collect(), key=lambda r: r.position)
     assert [r.doc_id for r in some] == [i for i in order if i % 3 == 0] and [r.position for r in some] == list(range(len(some)))
+
+
+def test_order_of_the_mixture_survives_other_files(spark, docs_of, tmp_path):
+    """Sharding finds the mixture by its rows: joined, split or renamed files change nothing."""
+    docs = docs_of([(i, f"text {i}", f"s{i % 3}") for i in range(600)] + [(7, "text 7", "s1")] * 3 + [(None, None, None)] * 2)
+    mixed = cp.settle(cp.mixing(spark, docs, SF), "mixed")
+    want = sorted((r.position, r.doc_id, r.shard, r.slot) for r in cp.sharding(spark, mixed, SF).collect() if r.doc_id is not None)
+    mixed.repartition(4, "text").write.parquet(str(tmp_path / "other"))
+    got = cp.sharding(spark, spark.read.parquet(str(tmp_path / "other")), SF).collect()
+    assert sorted((r.position, r.doc_id, r.shard, r.slot) for r in got if r.doc_id is not None) == want
+    laid = [r.doc_id for r in mixed.coalesce(1).collect()]
+    by = {r.position: r.doc_id for r in got}
+    assert sorted(by) == list(range(605)) and set(laid) == set(by.values())

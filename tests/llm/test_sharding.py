@@ -77,3 +77,13 @@ def test_hot_group_leaves_no_shard_empty_and_empty_table(spark):
     assert max(loads) == 2000 and min(loads) > 0
     assert sharded(spark, [], 4)[1] == []
     assert [r.shard for r in sharded(spark, [(1, 1, 5)], 4)[1]] is not None
+
+
+def test_clashing_names_nulls_and_repeated_rows(spark):
+    rows = spark.createDataFrame([(1, "a", 3), (1, "a", 3), (None, None, None), (2, "b", 5)], "doc_id long, g string, size long")
+    rows = rows.withColumns({c: F.lit("mine") for c in ("shard", "slot", "_part", "_at")}).withColumn("place", F.xxhash64("doc_id"))
+    out = shard_rows(rows, ["g"], "size", "place", "place", 3).collect()
+    assert len(out) == 4 and all(r.shard_of_row == r.slot_of_row == r._part == r._at == "mine" for r in out)
+    assert len({r.shard for r in out if r.g == "a"}) == 1
+    for s in {r.shard for r in out}:
+        assert sorted(r.slot for r in out if r.shard == s) == list(range(sum(r.shard == s for r in out)))
