@@ -9,11 +9,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import billing, changes, logs, registration, reports, tenancy
+from ..operators import billing, changes, logs, registration, reports, search, tenancy
 from ..sources import io as rio
 from ..sources import seeds
 from ..sources.views import Domain
-from ..streaming import live
+from ..streaming import admission, live
 from ..streaming.runner import run_available_now, run_foreach_batch, run_updates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,6 +61,23 @@ def q_search_visitors(spark, sf_dir):
                 "last_name", "email", "status", "registered_at", "category_name", "category_code")
 
 
+@query("search_visitors_indexed")
+def q_search_visitors_indexed(spark, sf_dir):
+    """A rare term through the trigram index over all visitors."""
+    d = dom(spark, sf_dir)
+    index = search.build(d.visitors)
+    return search.search(index, d.categories, term="Tamu77", limit=200) \
+        .select("visitor_id", "tenant_id", "event_id", "registration_code", "first_name",
+                "last_name", "email", "status", "registered_at", "category_name", "category_code")
+
+
+@query("search_index_counts")
+def q_search_index_counts(spark, sf_dir):
+    """How many visitors hold each trigram, from the postings of the index."""
+    lists = search.build(dom(spark, sf_dir).visitors).postings
+    return lists.groupBy("trigram").agg(F.sum(F.size("ids")).alias("visitors"))
+
+
 @query("attendance_status")
 def q_attendance_status(spark, sf_dir):
     d = dom(spark, sf_dir)
@@ -627,6 +644,19 @@ def q_checkin_stream(spark, sf_dir):
     return spark.read.parquet(run_available_now(out, "checkin")).select("visitor_id", "event_id", "tenant_id")
 
 
+@query("checkin_stream_keyed")
+def q_checkin_stream_keyed(spark, sf_dir):
+    """All-time admission with keyed state: the stored check-ins are the first
+    state, the new scans arrive as a stream."""
+    d = dom(spark, sf_dir)
+    c = Domain(spark, sf_dir, streamed=["lineitem"]).checkins.where(~F.col("is_stored"))
+    scans = c.select(F.col("checkin_id").alias("request_id"), "visitor_id", F.col("checkin_time").alias("scan_time"))
+    stored = d.checkins.where(F.col("is_stored")).select("visitor_id")
+    out = run_available_now(admission.keyed_admission(scans, stored), "admission")
+    changes_ = spark.read.schema(admission.CHANGES).parquet(out)
+    return admission.current_decisions(changes_, d.visitors).select("request_id", "visitor_id", "event_id", "decision", "reason")
+
+
 @query("checkin_stream_exact")
 def q_checkin_stream_exact(spark, sf_dir):
     """Exact live admission run incrementally: the stored scans arrive first

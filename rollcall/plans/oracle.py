@@ -38,6 +38,20 @@ sql("search_visitors", """
            (SELECT k.code FROM categories k WHERE k.category_id = hits.category_id) AS category_code
     FROM hits WHERE place <= 50""")
 
+sql("search_visitors_indexed", """
+    SELECT visitor_id, tenant_id, event_id, registration_code, first_name, last_name, email, status, registered_at,
+           k.name AS category_name, k.code AS category_code
+    FROM visitors LEFT JOIN categories k USING (category_id)
+    WHERE concat_ws(chr(10), first_name, last_name, email, registration_code) ILIKE '%tamu77%'
+    ORDER BY registered_at DESC NULLS FIRST, visitor_id LIMIT 200""")
+
+sql("search_index_counts", """
+    WITH fields AS (
+      SELECT visitor_id, lower(unnest([first_name, last_name, email, registration_code])) AS f FROM visitors)
+    SELECT trigram, count(DISTINCT visitor_id) AS visitors
+    FROM (SELECT visitor_id, substr(f, unnest(range(1, len(f) - 1)), 3) AS trigram FROM fields)
+    GROUP BY trigram""")
+
 # One row per scan, and one for each visitor without a scan; 'present' needs a scan time.
 _SUMMARY = """
     SELECT p.visitor_id, p.registration_code, p.first_name, p.last_name, p.email,
@@ -700,6 +714,17 @@ sql("audit_changes", """
     FROM d WHERE (ov IS DISTINCT FROM nv) OR has_o <> has_n
     GROUP BY 1, 2, 3""")
 
+# A scan is in if no other of the visitor comes before it, stored ones before all.
+sql("checkin_stream_keyed", """
+    SELECT c.checkin_id AS request_id, c.visitor_id, v.event_id,
+           CASE WHEN v.visitor_id IS NOT NULL AND c.checkin_id = f.first THEN 'accepted' ELSE 'rejected' END AS decision,
+           CASE WHEN v.visitor_id IS NULL THEN 'not_found' WHEN c.checkin_id IS DISTINCT FROM f.first THEN 'duplicate' END AS reason
+    FROM checkins c LEFT JOIN visitors v USING (visitor_id)
+    LEFT JOIN (SELECT visitor_id, CASE WHEN bool_or(is_stored) THEN NULL
+                                       ELSE arg_min(checkin_id, (checkin_time, checkin_id)) END AS first
+               FROM checkins GROUP BY visitor_id) f USING (visitor_id)
+    WHERE NOT c.is_stored""")
+
 sql("checkin_stream_exact", """
     WITH b1 AS (
       SELECT c.checkin_id AS request_id, c.visitor_id, c.checkin_time AS scan_time, v.event_id,
