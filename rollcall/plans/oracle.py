@@ -157,6 +157,9 @@ sql("tenant_analytics", """
       ON sp.tenant_id = t.tenant_id
     WHERE t.is_active""")
 
+# Changes applied one after another must end where a full count does.
+sql("refresh_incremental", _RAW["tenant_analytics"])
+
 sql("category_counts", """
     SELECT gc.category_id, gc.name AS category_name,
            (SELECT count(*) FROM visitors v WHERE v.category_id = gc.category_id) AS visitors,
