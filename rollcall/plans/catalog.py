@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import billing, changes, incremental, logs, registration, reports, search, tenancy
+from ..operators import billing, changes, incremental, logs, registration, reports, search, tenancy, windows
 from ..sources import io as rio
 from ..sources import seeds
 from ..sources.views import Domain
@@ -496,6 +496,19 @@ def q_rate_limit_hits(spark, sf_dir):
     return logs.rate_limit_hits(dom(spark, sf_dir).request_log, key="tenant_id", window="1 day")
 
 
+@query("client_windows")
+def q_client_windows(spark, sf_dir):
+    """Limiter windows that begin with the client's first request; tenants are
+    the clients and a day the window, so that limits are passed."""
+    return windows.client_windows(dom(spark, sf_dir).request_log, key="tenant_id", window="1 day")
+
+
+@query("client_windows_all")
+def q_client_windows_all(spark, sf_dir):
+    """All windows of 15 minutes of each client and route."""
+    return windows.client_windows(dom(spark, sf_dir).request_log, only_over=False)
+
+
 def access_lines(d):
     """Proxy access-log lines rendered from the request log."""
     r = d.request_log
