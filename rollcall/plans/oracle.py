@@ -622,17 +622,20 @@ sql("rate_limit_hits", """
 def _windows(key: str, width: str, over: str) -> str:
     """Windows one after another, each from the first request after the one before."""
     return f"""
-    WITH RECURSIVE req AS (
+    SELECT * FROM (WITH RECURSIVE req AS (
       SELECT {key} AS who, route, date_trunc('millisecond', ts) AS t FROM request_log WHERE path NOT IN ('/health', '/api/health')),
+    later AS (
+      SELECT a.who, a.route, a.t AS s, b.t AS next FROM (SELECT DISTINCT * FROM req) a
+      ASOF JOIN (SELECT DISTINCT * FROM req) b ON b.who = a.who AND b.route = a.route AND a.t + INTERVAL {width} <= b.t),
     w AS (
       SELECT who, route, min(t) AS s FROM req GROUP BY who, route
       UNION ALL
-      SELECT w.who, w.route, q.t FROM w ASOF JOIN req q ON q.who = w.who AND q.route = w.route AND w.s + INTERVAL {width} <= q.t)
+      SELECT who, route, later.next FROM w JOIN later USING (who, route, s))
     SELECT w.s AS window_start, w.s + INTERVAL {width} AS window_end, w.who AS {key}, w.route,
            count(*) AS "count", any_value(l."limit") AS "limit", greatest(count(*) - any_value(l."limit"), 0) AS blocked
     FROM w JOIN req ON req.who = w.who AND req.route = w.route AND req.t >= w.s AND req.t < w.s + INTERVAL {width}
     JOIN (VALUES ('auth', 5), ('register', 10), ('other', 100)) AS l(route, "limit") ON l.route = w.route
-    GROUP BY w.s, w.who, w.route {over}"""
+    GROUP BY w.s, w.who, w.route {over}) found"""
 
 
 sql("client_windows", _windows("tenant_id", "1 DAY", 'HAVING count(*) > any_value(l."limit")'))
