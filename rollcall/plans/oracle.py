@@ -625,12 +625,13 @@ def _windows(key: str, width: str, over: str) -> str:
     SELECT * FROM (WITH RECURSIVE req AS (
       SELECT {key} AS who, route, date_trunc('millisecond', ts) AS t FROM request_log WHERE path NOT IN ('/health', '/api/health')),
     later AS (
-      SELECT a.who, a.route, a.t AS s, b.t AS next FROM (SELECT DISTINCT * FROM req) a
-      ASOF JOIN (SELECT DISTINCT * FROM req) b ON b.who = a.who AND b.route = a.route AND a.t + INTERVAL {width} <= b.t),
+      SELECT DISTINCT who, route, t AS s,
+             min(t) OVER (PARTITION BY who, route ORDER BY t RANGE BETWEEN INTERVAL {width} FOLLOWING AND UNBOUNDED FOLLOWING) AS next
+      FROM req),
     w AS (
       SELECT who, route, min(t) AS s FROM req GROUP BY who, route
       UNION ALL
-      SELECT who, route, later.next FROM w JOIN later USING (who, route, s))
+      SELECT who, route, later.next FROM w JOIN later USING (who, route, s) WHERE later.next IS NOT NULL)
     SELECT w.s AS window_start, w.s + INTERVAL {width} AS window_end, w.who AS {key}, w.route,
            count(*) AS "count", any_value(l."limit") AS "limit", greatest(count(*) - any_value(l."limit"), 0) AS blocked
     FROM w JOIN req ON req.who = w.who AND req.route = w.route AND req.t >= w.s AND req.t < w.s + INTERVAL {width}
