@@ -34,9 +34,10 @@ def left_join_keep_fanout(one: DataFrame, many: DataFrame, on: Sequence[str]) ->
 
 
 def pick_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column],
-                   carry: Sequence[str], largest: bool = True) -> DataFrame:
+                   carry: Sequence[str], largest: bool = True, count: str | None = None) -> DataFrame:
     """One row per group: the row with the largest (or smallest) ``order``
-    tuple, returning ``group + carry`` columns.
+    tuple, returning ``group + carry`` columns, and the group's rows as
+    ``count`` if it is named.
 
     Uses ``max``/``min`` over a struct, which Spark aggregates partially on
     the map side, so a hot group costs one small record per task instead of
@@ -46,8 +47,9 @@ def pick_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column],
     group = as_list(group)
     fields = [o.alias(f"_o{i}") for i, o in enumerate(order)] + [F.col(c) for c in carry]
     agg = F.max if largest else F.min
-    picked = df.groupBy(*group).agg(agg(F.struct(*fields)).alias("_pick"))
-    return picked.select(*group, *[F.col(f"_pick.{c}").alias(c) for c in carry])
+    rows = [F.count(F.lit(1)).alias(count)] if count else []
+    picked = df.groupBy(*group).agg(agg(F.struct(*fields)).alias("_pick"), *rows)
+    return picked.select(*group, *[F.col(f"_pick.{c}").alias(c) for c in carry], *([count] if count else []))
 
 
 def nulls_high(c: Column) -> Column:
@@ -118,27 +120,50 @@ def number_within_groups(df: DataFrame, group: Sequence[str], order: Sequence[st
     return running_within_groups(df, group, order, out=out, partitions=partitions)
 
 
-def join_on_hot_key(many: DataFrame, one: DataFrame, on: Sequence[str], spread: Column,
-                    splits: int = 16) -> DataFrame:
-    """``many LEFT JOIN one`` where a key may hold most rows of ``many`` and
-    ``one`` has one row per key. Rows are dealt to ``splits`` parts of their key
-    by ``spread`` and ``one`` is repeated for each part; rows with a NULL key
-    meet nothing, so they are dealt by ``spread`` alone and sit in no one task."""
+#: Rows of one key that one task joins.
+HEAVY_ROWS = 1_000_000
+
+
+def join_on_hot_key(many: DataFrame, one: DataFrame, on: Sequence[str], spread: Column, rows: str | None = None,
+                    heavy_rows: int | None = None) -> DataFrame:
+    """``many LEFT JOIN one`` where a key may hold most rows of ``many``. ``one``
+    has one row per key, with the number of the key's rows in ``many`` as
+    ``rows`` (an aggregation that makes ``one`` counts them on its way; without
+    it they are counted here). It is written, as it is read twice.
+
+    Light keys are joined as they are, sent once. A key of more rows than a task
+    should join is dealt by ``spread`` to as many parts as it needs, and its row
+    of ``one`` alone is repeated. Heavy keys are found map-side, by a broadcast:
+    one has at least 1 / (4 * partitions) of all rows, so there are at most four
+    for each partition. Rows with a NULL key meet nothing and do not move."""
     on = as_list(on)
-    part = F.pmod(F.xxhash64(spread), F.lit(splits)).cast("int")
+    spark = many.sparkSession
     known = F.expr(" AND ".join(f"`{c}` IS NOT NULL" for c in on))
-    dealt = many.withColumn("_part", F.when(known, part))
-    # A row without a key takes a part that no row of ``one`` has.
-    away = -F.lit(2) - F.pmod(F.xxhash64(spread), F.lit(1 << 20))
-    dealt = dealt.withColumn("_part", F.coalesce(F.col("_part").cast("long"), away))
-    each = one.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(splits - 1).cast("long"))))
-    keys = [F.col(f"m.{c}") == F.col(f"o._k_{c}") for c in on]
-    each = each.select("_part", *[F.col(c).alias(f"_k_{c}") for c in on], *[c for c in one.columns if c not in on])
-    cond = F.col("m._part") == F.col("o._part")
-    for k in keys:
-        cond = cond & k
-    return (dealt.alias("m").join(each.alias("o"), cond, "left")
-            .select(*[F.col(f"m.{c}") for c in many.columns], *[F.col(f"o.{c}") for c in one.columns if c not in on]))
+    if rows is None:
+        rows = "_rows"
+        one = one.join(many.where(known).groupBy(*on).agg(F.count(F.lit(1)).alias(rows)), on)
+    path = scratch_path(spark, "per_key")
+    one.write.parquet(path)
+    one = spark.read.schema(one.schema).parquet(path)
+    extra = [c for c in one.columns if c not in on and c != rows]
+    size = one.agg(F.sum(rows).alias("all"), F.max(rows).alias("most")).first()
+    limit = max(heavy_rows or HEAVY_ROWS, -(-(size["all"] or 0) // (4 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    keyed = many.where(known)
+    if (size["most"] or 0) <= limit:
+        met = keyed.join(one.drop(rows), on, "left").select(*many.columns, *extra)
+    else:
+        parts = F.ceil(F.col(rows) / limit).cast("int")
+        heavy = one.where(F.col(rows) > limit).select(*[F.col(c).alias(f"_h_{c}") for c in on], parts.alias("_parts"))
+        same = F.lit(True)
+        for c in on:
+            same = same & (F.col(c) == F.col(f"_h_{c}"))
+        part = F.pmod(F.xxhash64(spread), F.coalesce("_parts", F.lit(1))).cast("int")
+        dealt = keyed.join(F.broadcast(heavy), same, "left").withColumn("_part", part).select(*many.columns, "_part")
+        last = F.when(F.col(rows) > limit, parts - 1).otherwise(F.lit(0))
+        each = one.withColumn("_part", F.explode(F.sequence(F.lit(0), last))).drop(rows)
+        met = dealt.join(each, [*on, "_part"], "left").select(*many.columns, *extra)
+    alone = many.where(~known).select(*many.columns, *[F.lit(None).cast(one.schema[c].dataType).alias(c) for c in extra])
+    return met.unionByName(alone)
 
 
 def percentile_exact(df: DataFrame, group: Sequence[str], value: str, q: float,

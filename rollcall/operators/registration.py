@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.contacts import EMAIL_VALID
 from ..functions.scalars import lpad_keep, ticket_checksum, ts_ntz
+from ..sources.io import scratch_path
 from .common import as_list, join_on_hot_key, number_within_groups, pick_per_group
 
 # The schema's CHECK lists, patterns and column lengths.
@@ -128,8 +129,7 @@ def uniqueness_violations(df: DataFrame, rules: Sequence[tuple[str, Sequence[str
 
 # O15 ---------------------------------------------------------------------
 def admit_checkins(requests: DataFrame, visitors: DataFrame, checkins: DataFrame,
-                   keys=("visitor_id",), time_col: str = "scan_time",
-                   salt_buckets: int = 16) -> DataFrame:
+                   keys=("visitor_id",), time_col: str = "scan_time") -> DataFrame:
     """Batch admission, in the order the check-in call tests things: a
     visitor already checked in -> rejected 'duplicate'; unknown visitor ->
     rejected 'not_found'; otherwise the earliest request per visitor in the
@@ -141,17 +141,17 @@ def admit_checkins(requests: DataFrame, visitors: DataFrame, checkins: DataFrame
     Everything is decided per visitor first: the earliest request per visitor
     is a partial aggregation, and the batch's visitors are looked up (known,
     already checked in), so these joins see one row per visitor. Only the
-    final labelling join touches every request; it deals the requests of one
-    visitor to ``salt_buckets`` tasks and keeps NULL keys out of the join."""
+    final labelling join touches every request; it splits visitors with very
+    many requests and keeps NULL keys out of the join."""
     keys = as_list(keys)
     valid = F.expr(" AND ".join(f"`{c}` IS NOT NULL" for c in keys))
     known = visitors.select(*keys, F.col("event_id").alias("_event_id"),
                             F.lit(True).alias("_known"))
     seen = checkins.select(*keys).distinct().withColumn("_seen", F.lit(True))
     first = pick_per_group(requests.where(valid), keys, [F.col(time_col), F.col("request_id")], ["request_id"],
-                           largest=False).withColumnRenamed("request_id", "_first_id")
+                           largest=False, count="_rows").withColumnRenamed("request_id", "_first_id")
     per_visitor = first.join(known, keys, "left").join(seen, keys, "left")
-    r = join_on_hot_key(requests, per_visitor, keys, F.col("request_id"), splits=salt_buckets)
+    r = join_on_hot_key(requests, per_visitor, keys, F.col("request_id"), "_rows")
     reason = (F.when(F.col("_seen"), "duplicate")
                .when(F.col("_known").isNull(), "not_found")
                .when(F.col("request_id") == F.col("_first_id"), F.lit(None).cast("string"))
@@ -200,6 +200,10 @@ def assign_codes(new: DataFrame, existing: DataFrame, categories: DataFrame,
     suffix = F.substring(F.col("registration_code"), F.length(prefix) + 1, 1 << 30)
     number_used = F.when(suffix.rlike("^[0-9]+$"), suffix.try_cast("decimal(38,0)"))
     used = ex.groupBy(*group).agg(F.max(number_used).alias("_max"))
+    # A row per tenant and category. Written, its size is known: sent whole if small, else Spark can split a hot group.
+    path = scratch_path(new.sparkSession, "numbers_used")
+    used.write.parquet(path)
+    used = new.sparkSession.read.schema(used.schema).parquet(path)
 
     code = F.col("registration_code")
     needs = code.isNull() | (code == "")
@@ -226,9 +230,9 @@ def dedupe_registrations(df: DataFrame, keys=("tenant_id", "event_id", "email"),
     equals nothing (as in a unique constraint), so such rows are all kept."""
     keys = as_list(keys)
     known = F.expr(" AND ".join(f"`{c}` IS NOT NULL" for c in keys))
-    first = pick_per_group(df.where(known), keys, [F.col(c) for c in order_by], [id_col], largest=False) \
+    first = pick_per_group(df.where(known), keys, [F.col(c) for c in order_by], [id_col], largest=False, count="_rows") \
         .withColumnRenamed(id_col, "_first_id")
-    out = join_on_hot_key(df, first, keys, F.col(id_col))
+    out = join_on_hot_key(df, first, keys, F.col(id_col), "_rows")
     kept = F.col("_first_id").isNull() | (F.col(id_col) == F.col("_first_id"))
     return (out.withColumn("kept", kept)
                .withColumn("duplicate_of", F.when(~kept, F.col("_first_id")))

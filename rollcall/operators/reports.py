@@ -98,7 +98,7 @@ def visitors_with_category(visitors: DataFrame, categories: DataFrame, checkins:
             v = v.where(F.col(name) == F.lit(value))
     v = v.orderBy(F.col("registered_at").desc_nulls_first(), F.col("visitor_id").asc()).limit(offset + limit)
     c = checkins.select("visitor_id", "checkin_id", "checkin_time") \
-        .join(F.broadcast(v.select("visitor_id")), "visitor_id", "left_semi")   # offset + limit ids at most
+        .join(v.select("visitor_id"), "visitor_id", "left_semi")   # Spark knows the limit: sent whole if that is small
     rows = v.join(c, "visitor_id", "left").join(_category_dim(categories), "category_id", "left")
     return (rows.orderBy(F.col("registered_at").desc_nulls_first(), F.col("visitor_id").asc(),
                          F.col("checkin_id").asc_nulls_first())

@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark.errors import PySparkAttributeError, PySparkNotImplementedError
 from pyspark.sql import SparkSession
 
 # Settings that matter at scale. AQE re-plans joins from runtime sizes
@@ -61,8 +62,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         current = tempfile.mkdtemp(prefix="rollcall-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     try:
-        # Needed for DataFrame.checkpoint(); not available on a Connect session.
-        spark.sparkContext.setCheckpointDir(current)
-    except Exception:  # noqa: BLE001
-        pass
+        context = spark.sparkContext
+    except (PySparkAttributeError, PySparkNotImplementedError):    # a Connect session has none
+        return current
+    context.setCheckpointDir(current)   # needed for DataFrame.checkpoint()
     return current

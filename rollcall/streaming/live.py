@@ -53,7 +53,7 @@ def checkin_stream(scans: DataFrame, visitors: DataFrame, delay: str = "1 day",
 
 
 def exact_admission_batch(visitors: DataFrame, decisions_path: str, stream_id: str,
-                          time_col: str = "scan_time", salt_buckets: int = 16):
+                          time_col: str = "scan_time"):
     """``foreachBatch`` handler for the exact rule: each micro-batch is
     admitted (O15) against every scan accepted so far; accepted rows are the
     stored check-ins. ``stream_id`` names the stream's checkpoint: batch ids
@@ -69,7 +69,7 @@ def exact_admission_batch(visitors: DataFrame, decisions_path: str, stream_id: s
         touched = batch.select("visitor_id").distinct()
         stored = past.where((F.col("decision") == "accepted") & ~own).select("visitor_id") \
             .join(touched, "visitor_id", "left_semi")
-        decided = admit_checkins(batch, visitors, stored, time_col=time_col, salt_buckets=salt_buckets)
+        decided = admit_checkins(batch, visitors, stored, time_col=time_col)
         # Partitioned by decision: reading the accepted set skips all rejects.
         decided.write.mode("overwrite").partitionBy("decision").parquet(
             f"{decisions_path}/stream={stream_id}/batch={batch_id}")

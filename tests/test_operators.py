@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from conftest import rows
+from rollcall.operators import common
 from rollcall.operators import billing, changes, logs, registration, reports, tenancy
 from rollcall.operators.common import number_within_groups, pick_per_group
 from rollcall.sources import seeds
@@ -371,14 +372,15 @@ def test_report_views_queryable_by_name(spark, dom):
     assert spark.sql("SELECT count(*) FROM visitor_summary").first()[0] >= dom.visitors.count()
 
 
-def test_admit_checkins_salted_equals_plain(spark, dom):
+def test_admit_checkins_with_split_visitors_equals_plain(spark, dom, monkeypatch):
     c = dom.checkins
     req = c.where(~F.col("is_stored")).select(F.col("checkin_id").alias("request_id"), "visitor_id",
                                               F.col("checkin_time").alias("scan_time"))
     stored = c.where(F.col("is_stored"))
     cols = ("request_id", "decision", "reason", "event_id")
     plain = registration.admit_checkins(req, dom.visitors, stored)
-    salted = registration.admit_checkins(req, dom.visitors, stored, salt_buckets=5)
+    monkeypatch.setattr(common, "HEAVY_ROWS", 2)
+    salted = registration.admit_checkins(req, dom.visitors, stored)
     assert rows(plain, *cols) == rows(salted, *cols)
     assert salted.count() == req.count()
 
@@ -460,7 +462,12 @@ def test_hot_key_join_spreads_the_hot_key_and_null_keys(spark):
     try:
         many = spark.range(60_000).select("id", F.when(F.col("id") % 10 < 6, 1).when(F.col("id") % 10 < 8, None).otherwise(F.col("id") % 500).cast("long").alias("k"))
         one = spark.range(500).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-        out = join_on_hot_key(many, one, ["k"], F.col("id"), splits=64)
+        out = join_on_hot_key(many, one, ["k"], F.col("id"), heavy_rows=1000)
+        # Only the hot key's row is repeated: the rest of ``one`` is sent once.
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "sequence(0, CASE WHEN" in plan
+        light = join_on_hot_key(many, one, ["k"], F.col("id"))
+        assert "explode" not in light._jdf.queryExecution().optimizedPlan().toString() and light.count() == 60_000
         sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
         assert sum(sizes) == 60_000 and max(sizes) < 3 * 60_000 / 16
         assert out.where("k IS NULL AND v IS NOT NULL OR k IS NOT NULL AND v <> 2 * k OR k IS NOT NULL AND v IS NULL").count() == 0
