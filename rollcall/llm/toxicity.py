@@ -11,15 +11,17 @@ under what holds there: plain, targeted, negated, reported or threat. So not
 words but matched clauses count.
 
 The insult lexicon is learned: from a sample of at most about 2 * SAMPLE
-labelled training rows, words and word beginnings of 3 to 8 letters that many
-toxic and few clean documents hold, each of the most specific form, weighted by
-their log odds. A logistic model over the clause weights turns them into a
+labelled training ids, words and word beginnings of 3 to 8 letters whose counts
+in toxic and clean documents are evidence beyond chance, however rare they are,
+each of the most specific form, weighted by their log odds. A logistic model over the clause weights turns them into a
 score; its features come from lexicons of the other folds, so it learns how far
 the lexicon can be trusted. Scoring reads every whole text and nothing else.
 
 Null or empty texts, and texts without a match, get the model's lowest score.
 Without toxic or without clean examples the score of all is 0. Rows that repeat
-a doc_id are scored each; their labels count once (the largest).
+a doc_id are scored each; their labels count once (the largest), and so does one
+text of theirs. Null ids are never learned from. An empty table gives no rows.
+A carried column named as one of the results comes back with ``_of_row`` appended.
 """
 
 from __future__ import annotations
@@ -41,8 +43,8 @@ from rollcall.llm.common import settle
 SAMPLE = 3000
 FOLDS = 3
 SHORTEST, LONGEST = 3, 8
-#: A feature needs this share of the toxic sample, and MIN_DOCS documents.
-SUPPORT, MIN_DOCS, MIN_ODDS = 0.02, 3, 2.0
+#: A feature needs MIN_DOCS toxic documents and these log odds.
+MIN_DOCS, MIN_ODDS = 3, 2.0
 #: Words kept in a task's memory of lexicon matches.
 MEMORY = 500_000
 
@@ -140,11 +142,22 @@ def features_of(words: set[str]) -> set[str]:
     return out
 
 
-def lexicon_of(counts: dict[str, tuple[int, int]], toxic: int, clean: int) -> dict[str, float]:
-    """Weighted features from (toxic, clean) document counts: of a chain of
-    beginnings of one word, the longest that keeps nearly all of the support."""
-    least = max(MIN_DOCS, SUPPORT * toxic)
-    odds = {f: math.log((a + 0.5) / (toxic + 1)) - math.log((b + 0.5) / (clean + 1)) for f, (a, b) in counts.items() if a >= least}
+def evidence(a: int, b: int, toxic: int, clean: int) -> float:
+    """Log likelihood ratio of ``a`` toxic and ``b`` clean documents against the
+    labels' shares of the sample: how sure it is that a feature tells them apart."""
+    share = toxic / (toxic + clean)
+    n = a + b
+    return sum(k * math.log(k / (n * p)) for k, p in ((a, share), (b, 1 - share)) if k)
+
+
+def lexicon_of(counts: dict[str, tuple[int, int]], toxic: int, clean: int, tried: int = 0) -> dict[str, float]:
+    """Weighted features from (toxic, clean) document counts. Of ``tried``
+    features less than one passes by chance: a feature's evidence must be over
+    their logarithm, however rare it is. Of a chain of beginnings of one word,
+    the longest that keeps nearly all of the support."""
+    sure = math.log(max(tried, 2))
+    odds = {f: math.log((a + 0.5) / (toxic + 1)) - math.log((b + 0.5) / (clean + 1)) for f, (a, b) in counts.items()
+            if a >= MIN_DOCS and evidence(a, b, toxic, clean) > sure}
     odds = {f: w for f, w in odds.items() if w >= MIN_ODDS}
     parents = {}
     for f in odds:
@@ -268,8 +281,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                           F.pmod(F.hash("doc_id"), F.lit(FOLDS)).cast("int").alias("fold"), place.alias("_place"))
     chosen = chosen.where(F.col("_place") < F.when(F.col("toxic") == 1, cut[1]).otherwise(cut[0]))
     # About 2 * SAMPLE ids whatever the number of labels: small enough to send, so no text moves but the sample's.
-    sample = settle(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id")
-                    .select("text", "toxic", "fold"), "sample")
+    # Of rows that repeat an id the text with the least hash counts, so the sample is no larger than its ids.
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id")
+    one = texts.groupBy("_id", "toxic", "fold").agg(F.min(F.struct(F.xxhash64("text"), F.col("text").alias("text"))).alias("least"))
+    sample = settle(one.select("least.text", "toxic", "fold"), "sample")
     per_fold = {(r.fold, r.toxic): r.n for r in sample.groupBy("fold", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n = [sum(v for (_, y), v in per_fold.items() if y == k) for k in (0, 1)]
     if not (n[0] and n[1]):
@@ -278,13 +293,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
               .agg(*[F.sum(F.when(F.col("fold") == f, F.col(c)).otherwise(0)).alias(f"{c}{f}") for f in range(FOLDS) for c in ("toxic", "clean")])
               .withColumn("all", sum((F.col(f"toxic{f}") for f in range(1, FOLDS)), F.col("toxic0")))
               .withColumn("other", sum((F.col(f"clean{f}") for f in range(1, FOLDS)), F.col("clean0"))))
-    # What a fold's lexicon may hold: enough toxic documents, and a larger share of these than of the clean.
-    counts = counts.where((F.col("all") >= max(MIN_DOCS, SUPPORT * n[1] * 0.5)) & (F.col("all") * n[0] > 3 * F.col("other") * n[1])).collect()
+    counts = settle(counts, "counts")
+    tried = counts.where(F.col("all") + F.col("other") >= MIN_DOCS).count()
+    # What a lexicon may hold: enough toxic documents for its evidence (at most a * ln of all / toxic), and a larger share of these than of the clean.
+    enough = max(MIN_DOCS, math.log(max(tried, 2)) / math.log((n[0] + n[1]) / n[1]))
+    counts = counts.where((F.col("all") >= enough) & (F.col("all") * n[0] > 3 * F.col("other") * n[1])).collect()
     lexicons = []
     for left in (*range(FOLDS), None):
         using = [f for f in range(FOLDS) if f != left]
         table = {r.feature: (sum(r[f"toxic{f}"] for f in using), sum(r[f"clean{f}"] for f in using)) for r in counts}
-        lexicons.append(lexicon_of(table, *(sum(per_fold.get((f, y), 0) for f in using) for y in (1, 0))))
+        lexicons.append(lexicon_of(table, *(sum(per_fold.get((f, y), 0) for f in using) for y in (1, 0)), tried))
     got = sample.mapInArrow(_sample_features(spark.sparkContext.broadcast(lexicons[:FOLDS])), "x array<double>, y int").collect()
     # The classes weigh as in all labelled rows, not as in the sample.
     x, y = np.array([r.x for r in got]), np.array([r.y for r in got], float)
@@ -311,6 +329,8 @@ def _score(model):
 def score(docs: DataFrame, model: Scorer, text_col: str = "text", carry: list[str] = ("doc_id",)) -> DataFrame:
     """The ``carry`` columns, ``score`` and ``clause_weights`` by kind."""
     sent = docs.sparkSession.sparkContext.broadcast((model.lexicon, model.weights))
-    schema = T.StructType([*[docs.schema[c] for c in carry], T.StructField("score", T.DoubleType()),
+    rows = docs.select(F.struct(*[docs[c] for c in carry]).alias("_row"), docs[text_col].alias("_text"))
+    schema = T.StructType([rows.schema["_row"], T.StructField("score", T.DoubleType()),
                            T.StructField("clause_weights", T.StructType([T.StructField(k, T.DoubleType()) for k in KINDS]))])
-    return docs.select(*carry, F.col(text_col).alias("_text")).mapInArrow(_score(sent), schema)
+    added = ("score", "clause_weights")
+    return rows.mapInArrow(_score(sent), schema).select(*[F.col(f"_row.`{c}`").alias(c if c not in added else f"{c}_of_row") for c in carry], *added)

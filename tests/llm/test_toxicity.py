@@ -1,13 +1,16 @@
 from __future__ import annotations
 
+import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from docs_fixture import docs_of  # noqa: F401 (fixture)
 from rollcall.llm.common import table
-from rollcall.llm.toxicity import Grammar, Scorer, fit, held_out, lexicon_of, score
+from rollcall.llm import toxicity
+from rollcall.llm.toxicity import Grammar, Scorer, evidence, fit, held_out, lexicon_of, score
 
 LABELS = "doc_id long, quality int, toxic int"
 
@@ -88,3 +91,100 @@ def test_accuracy_on_held_out_rows(spark):
     got = (score(docs, fit(docs, labels)).join(labels, "doc_id").where(held_out(F.col("doc_id")))
            .select("toxic", (F.col("score") >= 0.5).cast("int").alias("said")).collect())
     assert sum(r.toxic == r.said for r in got) / len(got) >= 0.95
+
+
+def test_long_tail_of_rare_insults(spark, docs_of):
+    """120 insults, each in 0.8 % of the toxic documents and in no clean one."""
+    rnd = random.Random(11)
+    letters = "bcdfghklmnprstvz"
+    vocab = ["".join(rnd.choice(letters) + rnd.choice("aeiou") for _ in range(rnd.randint(1, 4))) for _ in range(3000)]
+    insults = [f"x{rnd.choice(letters)}{rnd.choice('aeiou')}{rnd.choice(letters)}{i}".replace("0", "o").replace("1", "i").replace("2", "u").replace("3", "e")
+               .replace("4", "a").replace("5", "y").replace("6", "q").replace("7", "w").replace("8", "j").replace("9", "k") for i in range(120)]
+    rows, labels = [], []
+    for i in range(6000):
+        words = rnd.choices(vocab, k=30)
+        if i % 2:
+            words[rnd.randrange(30)] = insults[i // 2 % 120]
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, i % 2))
+    docs = docs_of(rows)
+    got = score(docs, fit(docs, spark.createDataFrame(labels, LABELS))).where(held_out(F.col("doc_id"))).collect()
+    found = [r.score >= 0.5 for r in got if r.doc_id % 2]
+    wrong = [r for r in got if r.doc_id % 2 == 0 and r.score >= 0.5]
+    assert sum(found) >= 0.95 * len(found) and len(wrong) <= 0.01 * len(got)
+
+
+def test_evidence_is_the_log_likelihood_ratio():
+    assert evidence(0, 0, 10, 10) == 0 and evidence(5, 5, 100, 100) == pytest.approx(0)
+    assert evidence(20, 0, 100, 100) == pytest.approx(20 * math.log(2)) and evidence(6, 2, 100, 300) > 0
+
+
+def test_a_repeated_id_is_one_row_of_the_sample(spark, docs_of, monkeypatch):
+    rows, labels = made(200)
+    seen = []
+    monkeypatch.setattr(toxicity, "settle", lambda df, name, old=toxicity.settle: seen.append(old(df, name)) or seen[-1])
+    fit(docs_of(rows + [(1, f"other text {i}") for i in range(500)] + [(2, None)] * 50), spark.createDataFrame(labels, LABELS))
+    assert seen[0].count() <= len(labels)
+
+
+INSULT = {"scum": 2.0, "moron": 3.0}
+
+
+def brute(text):
+    """Clause weights by kind, clause by clause and word by word, from the rules."""
+    sums = dict.fromkeys(toxicity.KINDS, 0.0)
+    for clause in re.split(r"[.!?;:,\n]", text.lower()):
+        tokens = re.findall(r"[^\W\d_]+|[\"«»“”„]", clause)
+        for i, w in enumerate(tokens):
+            threat = w in toxicity.THREATS
+            if w not in INSULT and not threat:
+                continue
+            before, near = tokens[:i], tokens[max(0, i - 3):i]
+            target = any(x in toxicity.TARGETS for x in near)
+            if threat and not (target or any(x in toxicity.INTENTS for x in before)):
+                continue
+            inside = said = False
+            for x in before:
+                if x == '"':
+                    inside, said = not inside, said and not inside and said
+                    if not inside:
+                        said = False
+                elif x in "«“„":
+                    inside = True
+                elif x in "»”":
+                    inside = said = False
+                elif x in toxicity.REPORTS and not inside:
+                    said = True
+            weight = INSULT.get(w, toxicity.MIN_ODDS)
+            if inside or said:
+                kind = "reported"
+            elif any(x in toxicity.NEGATIONS for x in near):
+                kind = "negated"
+            elif threat:
+                kind = "threat"
+            elif target or any(x in toxicity.TARGETS for x in tokens[i + 1:i + 4]):
+                kind = "targeted"
+            else:
+                kind = "plain"
+            sums[kind] += weight
+    return [sums[k] for k in toxicity.KINDS]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_clause_weights_equal_brute_force(seed):
+    rnd = random.Random(seed)
+    words = ["scum", "moron", "kill", "hurt", "you", "du", "not", "nie", "said", "will", "house", "tree", "river", '"', "«", "»", ".", ",", "\n", "Scum", "9"]
+    scorer = Scorer({f"{w}$": v for w, v in INSULT.items()})
+    for _ in range(400):
+        text = " ".join(rnd.choices(words, k=rnd.randrange(25)))
+        got = [math.expm1(x) for x in scorer.features(text)[:5]]
+        assert got == pytest.approx(brute(text)), text
+
+
+def test_clashing_names(spark, docs_of):
+    rows, labels = made(120)
+    docs = docs_of(rows)
+    for c in ("score", "clause_weights", "_row", "_text", "_id", "toxic", "fold"):
+        docs = docs.withColumn(c, F.lit("mine"))
+    out = score(docs, fit(docs, spark.createDataFrame(labels, LABELS)), carry=["doc_id", "score", "_row", "toxic"])
+    assert all(r.score_of_row == r._row == r.toxic == "mine" and 0 <= r.score <= 1 for r in out.collect())
