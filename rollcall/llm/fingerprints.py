@@ -13,7 +13,9 @@ and estimate
 
 All of it is built-in column functions. Null and empty text have the empty
 sketch. Two empty sketches resemble each other fully, an empty one and another
-not at all.
+not at all. A text of any length is sketched whole, in one row. Rows that repeat
+an id, and null ids, are rows of their own, in the order of the text's hash. An
+empty table gives no rows. Other columns play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +25,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rollcall.llm.common import settle, slice_of
+from rollcall.llm.common import settle, slice_of, with_file_key
+from rollcall.operators.common import number_within_groups
 
 SHINGLE, K = 5, 128
 #: Documents of one part of the order, about.
@@ -77,33 +80,54 @@ def as_hex(sketch: Column) -> Column:
     return F.lower(F.concat_ws("", F.transform(sketch, lambda h: F.lpad(F.hex(h), 16, "0"))))
 
 
+#: A slice of so many parts' documents is cut anew.
+CROWDED = 8
+
+
+def _in_parts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (id, h, text) with ``part``: parts stand in the order of ids, each
+    of about ROWS_PER_PART rows; and the parts that have rows.
+
+    Even slices of the range of ids are taken if no slice is crowded. Where ids
+    are uneven (a far one, many null or repeated ones) the rows are written and
+    numbered by (id, h) in measured pieces, and a part is so many numbers."""
+    span = rows.agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n")).first()
+    if span.low is not None:
+        part = F.coalesce(slice_of(F.col("id"), span.low, span.high, span.n // ROWS_PER_PART + 1), F.lit(-1))
+        parts = settle(rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")), "parts")
+        if parts.agg(F.max("n")).first()[0] <= CROWDED * ROWS_PER_PART:
+            return rows.withColumn("part", part), parts
+    rows = with_file_key(settle(rows, "rows"))
+    slim = settle(rows.select("_file", "_at", "id", "h", F.lit(0).alias("g")), "slim")
+    ranked = number_within_groups(slim, ["g"], ["id", "h", "_file", "_at"], out="r")
+    at = settle(ranked.select(F.col("_file").alias("_f"), F.col("_at").alias("_a"), F.expr(f"(r - 1) div {ROWS_PER_PART}").alias("part")), "placed")
+    placed = rows.join(at, (F.col("_file") == F.col("_f")) & (F.col("_at") == F.col("_a"))).select("id", "h", "text", "part")
+    return placed, at.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+
+
 def with_next(docs: DataFrame, id_col: str, text_col: str, sketch: str) -> DataFrame:
     """(id, text, sketch, next_text, next_sketch): the next row by descending
-    id, after the last the first. Ties stand by descending text (nulls last),
-    null ids last.
+    id, after the last the first. Ties stand by the text's hash, descending,
+    then by the text; null ids last.
 
-    Ids are cut into even parts of their range. Each part is ordered by itself
-    and gets, as an extra last row, the first row of the next part that has rows.
+    Each part of the order is ordered by itself and gets, as an extra last row,
+    the first row of the next part that has rows.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    span = rows.agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n")).first()
-    if span.low is None:
-        part = F.lit(-1).cast("long")
-    else:
-        part = F.coalesce(slice_of(F.col("id"), span.low, span.high, span.n // ROWS_PER_PART + 1), F.lit(-1))
-    rows = rows.withColumn("part", part)
+    rows = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("h"), docs[text_col].alias("text"))
+    rows, parts = _in_parts(rows)
     # The first row of a part is a maximum, found with map-side aggregation: no text of other rows moves.
-    heads = rows.groupBy("part").agg(F.max(F.struct("id", "text")).alias("first"))
+    heads = rows.groupBy("part").agg(F.max(F.struct("id", "h", "text")).alias("first"))
     heads = settle(heads.select("part", F.col("first.text").alias("text")), "heads")
-    down = Window.orderBy(F.desc("part"))
-    links = (heads.select("part", F.lead("part").over(down).alias("next"), F.max("part").over(Window.partitionBy()).alias("_top"))
-             .select(F.col("part").alias("_from"), F.coalesce("next", "_top").alias("_to")))
-    extra = (links.join(heads, F.col("_to") == F.col("part"))
-             .select(F.lit(None).cast(docs.schema[id_col].dataType).alias("id"), "text", F.col("_from").alias("part"), F.lit(True).alias("extra")))
+    ranked = settle(number_within_groups(parts.select("part", F.lit(0).alias("g")), ["g"], ["part"], out="r").select("part", "r"), "ranks")
+    last = ranked.count()
+    links = ranked.select(F.col("part").alias("_from"), F.when(F.col("r") == 1, F.lit(last)).otherwise(F.col("r") - 1).alias("_r")) \
+        .join(ranked.select(F.col("part").alias("_to"), "r"), F.col("_r") == F.col("r")).select("_from", "_to")
+    extra = links.join(heads, F.col("_to") == F.col("part")).select(
+        F.lit(None).cast(docs.schema[id_col].dataType).alias("id"), F.lit(None).cast("long").alias("h"), "text", F.col("_from").alias("part"), F.lit(True).alias("extra"))
     both = with_sketch(rows.withColumn("extra", F.lit(False)).unionByName(extra), F.col("text"), sketch)
-    order = Window.partitionBy("part").orderBy("extra", F.desc("id"), F.desc("text"))
+    order = Window.partitionBy("part").orderBy("extra", F.desc("id"), F.desc("h"), F.desc("text"))
     return (both.withColumn("next_text", F.lead("text").over(order)).withColumn(f"next_{sketch}", F.lead(sketch).over(order))
-            .where("NOT extra").drop("extra", "part"))
+            .where("NOT extra").drop("extra", "part", "h"))
 
 
 def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:

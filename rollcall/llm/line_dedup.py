@@ -18,7 +18,9 @@ largest ``doc_id`` that holds it.
 
 Null or empty text is one empty line. A null ``doc_id`` counts as a document
 below every other. Repeated rows of one ``doc_id`` are one document to the
-counts and each lose the same lines.
+counts and each lose the same lines. A text of any length is one row. An empty
+table gives no rows. A carried column named as one of the results comes back
+with ``_of_row`` appended; other columns play no part.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rollcall.llm.common import settle, shuffle_width
 
@@ -87,6 +90,9 @@ class PerfectHash:
 
     @classmethod
     def build(cls, keys: np.ndarray) -> PerfectHash:
+        """Distinct keys part at some level; equal ones never would."""
+        if len(np.unique(keys)) < len(keys):
+            raise ValueError("a perfect hash is over distinct keys")
         levels, rest = [], keys
         while len(rest):
             size = -(-len(rest) * 5 // 4 // 8) * 8 + 8
@@ -108,23 +114,27 @@ class PerfectHash:
         return out
 
 
-_INDEX = "shard int, salt int, levels array<binary>, fingerprints binary, counts binary, keeps binary"
+_INDEX = "shard int, salt int, levels array<binary>, fingerprints binary, counts binary, keeps binary, twins binary"
 
 
 def _index_of(splits: int):
     """One index row per shard, repeated for each split of the probing lines."""
     def build(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         h1, h2, n, keep = (t.column(c).to_numpy() for c in ("h1", "h2", "n", "keep"))
-        # Two keys that share h1 are told apart by h2; both sit under one mixed value.
+        # Keys whose mixed values meet stand in a list of their own, as they are.
+        _, which, times = np.unique(joined(h1, h2), return_inverse=True, return_counts=True)
+        alone = times[which] == 1
+        twins = np.stack([h1[~alone], h2[~alone], keep[~alone]], axis=1).astype("<i8")
+        h1, h2, n, keep = h1[alone], h2[alone], n[alone], keep[alone]
         mphf = PerfectHash.build(joined(h1, h2))
         at = mphf.slots(joined(h1, h2))
         prints, counts, keeps = (np.empty(len(h1), d) for d in ("<i8", "<i4", "<i8"))
         prints[at], counts[at], keeps[at] = h2, np.minimum(n, 2**31 - 1), keep
         row = {"shard": key[0].as_py(), "levels": [x.tobytes() for x in mphf.levels],
-               "fingerprints": prints.tobytes(), "counts": counts.tobytes(), "keeps": keeps.tobytes()}
+               "fingerprints": prints.tobytes(), "counts": counts.tobytes(), "keeps": keeps.tobytes(), "twins": twins.tobytes()}
         return pa.Table.from_pylist([row | {"salt": s} for s in range(splits)], schema=pa.schema(
             [("shard", pa.int32()), ("salt", pa.int32()), ("levels", pa.list_(pa.binary())), ("fingerprints", pa.binary()),
-             ("counts", pa.binary()), ("keeps", pa.binary())]))
+             ("counts", pa.binary()), ("keeps", pa.binary()), ("twins", pa.binary())]))
     return build
 
 
@@ -146,6 +156,8 @@ def _probe(lines: pa.Table, index: pa.Table) -> pa.Table:
     prints, keeps = np.frombuffer(row["fingerprints"], "<i8"), np.frombuffer(row["keeps"], "<i8")
     drop = np.flatnonzero(at >= 0)
     drop = drop[(prints[at[drop]] == h2[drop]) & (keeps[at[drop]] != doc[drop])]
+    for a, b, keep in np.frombuffer(row["twins"], "<i8").reshape(-1, 3):
+        drop = np.union1d(drop, np.flatnonzero((h1 == a) & (h2 == b) & (doc != keep)))
     raw = np.stack([h1[drop], h2[drop]], axis=1).tobytes()
     return pa.table({"doc": pa.array(doc[drop]), "key": pa.array([raw[i:i + 16] for i in range(0, len(raw), 16)], pa.binary())})
 
@@ -199,8 +211,8 @@ def drop_frequent_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
              .applyInArrow(_probe, "doc long, key binary"))
     per_doc = drops.groupBy("doc").agg(F.collect_set("key").alias("_drops"))
     kept_cols = list(dict.fromkeys([id_col, *carry]))
-    base = docs.select(*kept_cols, F.col(text_col).alias("_text"), doc.alias("_doc"))
-    joined_ = base.join(per_doc, base["_doc"] == per_doc["doc"], "left").select(*kept_cols, "_text", "_drops")
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept_cols]
-                       + ["n_lines long, n_dropped long, kept string"])
-    return joined_.mapInArrow(_drop_lines(min_chars, not digest), schema)
+    base = docs.select(F.struct(*[docs[c] for c in kept_cols]).alias("_row"), docs[text_col].alias("_text"), doc.alias("_doc"))
+    joined_ = base.join(per_doc, base["_doc"] == per_doc["doc"], "left").select("_row", "_text", "_drops")
+    added = T.StructType([T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept", T.StringType())])
+    cut = joined_.mapInArrow(_drop_lines(min_chars, not digest), T.StructType([base.schema["_row"], *added.fields]))
+    return cut.select(*[F.col(f"_row.`{c}`").alias(c if c not in added.names else f"{c}_of_row") for c in kept_cols], *added.names)

@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from docs_fixture import docs_of  # noqa: F401 (fixture)
@@ -17,8 +18,11 @@ def shingles(text, k=5):
 
 
 def edited(items):
-    """(id, n_chars, edited text, text, next text) by descending id."""
-    items = sorted(items, key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or ""), reverse=True)
+    """(id, n_chars, edited text, text, next text) by descending id, ties by the text's hash."""
+    def h(t):
+        x = xxhash.xxh64_intdigest(t.encode(), 42) if t is not None else 42
+        return x - 2**64 if x >= 2**63 else x
+    items = sorted(items, key=lambda x: (x[0] is not None, x[0] or 0, h(x[1])), reverse=True)
     out = []
     for i, (doc_id, t) in enumerate(items):
         t, nxt = t or "", items[(i + 1) % len(items)][1] or ""
@@ -71,3 +75,34 @@ def test_small_tables_and_hex(docs_of):
     r = fp.edited_pairs(docs_of([(3, "abcd efgh")])).withColumn("hex", fp.as_hex(F.col("sketch"))).collect()[0]
     assert (r.edited, r.n_chars, r.near_next, len(r.hex)) == ("abcd abcd", 9, 1.0, 16)
     assert [x.doc_id for x in fp.edited_pairs(docs_of([(None, None)])).collect()] == [None]
+
+
+def test_sketch_holds_the_least_hashes(spark):
+    rnd = random.Random(2)
+    text = say(rnd, 900)
+    got = fp.with_sketch(spark.createDataFrame([(text,)], "t string"), F.col("t"), "s").first().s
+    ws = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
+    def h(words):
+        x = 42
+        for w in words:     # Spark's hash of several columns: each seeded by the one before
+            x = xxhash.xxh64_intdigest(w.encode(), x)
+        return x - 2**64 if x >= 2**63 else x
+    assert got == sorted({h(ws[i:i + 5]) for i in range(len(ws) - 4)})[:fp.K]
+
+
+@pytest.mark.parametrize("ids", [[*range(300), 2**62], [*range(20), *[None] * 300], [7] * 200 + [9] * 100, [None] * 250])
+def test_uneven_ids_stay_in_small_parts(spark, docs_of, monkeypatch, ids):
+    monkeypatch.setattr(fp, "ROWS_PER_PART", 10)
+    items = [(x, f"text number {i}") for i, x in enumerate(ids)]
+    rows = docs_of(items).select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), "text")
+    placed, _ = fp._in_parts(rows)
+    assert placed.groupBy("part").count().agg(F.max("count")).first()[0] <= 80
+    got = sorted((str(r.doc_id), r.n_chars, r.edited) for r in fp.edited_pairs(docs_of(items)).collect())
+    assert got == sorted((str(w[0]), w[1], w[2]) for w in edited(items))
+
+
+def test_clashing_names(docs_of):
+    docs = docs_of([(i, f"text {i}") for i in range(5)])
+    for c in ("id", "h", "part", "extra", "sketch", "next_text", "_file", "n_chars_"):
+        docs = docs.withColumn(c, F.lit("mine"))
+    assert len(fp.edited_pairs(docs).collect()) == 5

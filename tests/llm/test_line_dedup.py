@@ -7,6 +7,10 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+import pyarrow as pa
+from rollcall.llm import line_dedup
+from pyspark.sql import functions as F
+
 from docs_fixture import docs_of  # noqa: F401 (fixture)
 from rollcall.llm.line_dedup import PerfectHash, drop_frequent_lines
 
@@ -65,3 +69,27 @@ def test_few_keys_per_shard(docs_of, monkeypatch):
     monkeypatch.setattr("rollcall.llm.line_dedup.KEYS_PER_SHARD", 7)
     items = [(i, "\n".join(f"this is the common line number {j}" for j in range(i % 40, 60))) for i in range(60)]
     assert sorted(map(tuple, drop_frequent_lines(docs_of(items), digest=True).collect())) == brute(items)
+
+
+def test_clashing_names(docs_of):
+    line = "a line that many documents hold"
+    docs = docs_of([f"{line}\nown {i}" for i in range(5)])
+    names = ["doc", "_text", "_doc", "_drops", "_row", "n_lines", "kept", "key", "h1"]
+    for c in names:
+        docs = docs.withColumn(c, F.lit("mine"))
+    out = drop_frequent_lines(docs, carry=names)
+    assert {"n_lines_of_row", "kept_of_row"} <= set(out.columns) and len(set(out.columns)) == len(out.columns)
+    got = {r.doc_id: r for r in out.collect()}
+    assert got[4].kept == f"{line}\nown 4" and got[0].kept == "own 0" and all(r.kept_of_row == r._text == r.doc == "mine" for r in got.values())
+
+
+def test_equal_keys_are_refused_and_meeting_values_probed_exactly(monkeypatch):
+    with pytest.raises(ValueError):
+        line_dedup.PerfectHash.build(np.array([5, 7, 5], np.uint64))
+    monkeypatch.setattr(line_dedup, "joined", lambda a, b: (a.view(np.uint64) % np.uint64(4)))
+    h1, h2 = np.arange(8, dtype="<i8"), np.arange(100, 108, dtype="<i8")
+    heavy = pa.table({"shard": pa.array([0] * 8, pa.int32()), "h1": h1, "h2": h2, "n": np.full(8, 3), "keep": np.arange(8)})
+    index = line_dedup._index_of(1)((pa.scalar(0),), heavy)
+    lines = pa.table({"h1": np.r_[h1, h1], "h2": np.r_[h2, h2 + 1], "doc": np.r_[np.arange(8), np.arange(8)] + np.r_[np.zeros(4, int), np.ones(12, int)]})
+    got = line_dedup._probe(lines, index)
+    assert got.column("doc").to_pylist() == [5, 6, 7, 8]
