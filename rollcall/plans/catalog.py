@@ -9,7 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import billing, changes, incremental, logs, registration, reports, search, tenancy, windows
+from ..operators import billing, changes, incremental, limits, logs, registration, reports, search, tenancy, windows
+from ..functions.scalars import plus_days
 from ..sources import io as rio
 from ..sources import seeds
 from ..sources.views import Domain
@@ -196,6 +197,19 @@ def q_plan_usage(spark, sf_dir):
                               d.visitors, AS_OF_SUBS)
 
 
+@query("enforce_visitor_limits")
+def q_enforce_visitor_limits(spark, sf_dir):
+    """Registrations of each tenant in order against its plan's visitor limit;
+    every fourth visitor cancels 90 days later."""
+    d = dom(spark, sf_dir)
+    v = d.visitors.select("tenant_id", "visitor_id", "registered_at")
+    events = v.select("tenant_id", "visitor_id", F.col("registered_at").alias("at"), F.lit("register").alias("action")).unionByName(
+        v.where(F.col("visitor_id") % 4 == 0).select("tenant_id", "visitor_id", plus_days(F.col("registered_at"), 90).alias("at"), F.lit("cancel").alias("action")))
+    plan = billing.latest_subscription(d.subscriptions, d.plans).select(
+        "tenant_id", F.col("max_visitors_per_event").alias("limit"), (F.col("tenant_id") % 3 * 150).alias("used"))
+    return limits.enforce_limits(events, plan, ["tenant_id"], ["at", "visitor_id", "action"])
+
+
 def _quote(plans, d):
     q = billing.payment_quote(plans, d.payments.select("order_id", "plan_id", "billing_period",
                                                        "provider"))

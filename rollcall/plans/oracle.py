@@ -157,6 +157,29 @@ sql("tenant_analytics", """
       ON sp.tenant_id = t.tenant_id
     WHERE t.is_active""")
 
+# Row after row of each tenant, as the limit check meets them.
+sql("enforce_visitor_limits", """
+    SELECT tenant_id, visitor_id, "at", action, decision, "usage" FROM (
+    WITH RECURSIVE asked AS (
+      SELECT tenant_id, visitor_id, registered_at AS "at", 'register' AS action FROM visitors
+      UNION ALL SELECT tenant_id, visitor_id, registered_at + INTERVAL 90 DAY, 'cancel' FROM visitors WHERE visitor_id % 4 = 0),
+    steps AS (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY "at", visitor_id, action) AS i FROM asked),
+    plan AS (
+      SELECT s.tenant_id, p.max_visitors_per_event AS cap, s.tenant_id % 3 * 150 AS used
+      FROM (SELECT tenant_id, arg_max(plan_id, (created_at, subscription_id)) AS plan_id
+            FROM subscriptions WHERE status = 'active' GROUP BY tenant_id) s JOIN plans p USING (plan_id)),
+    walk AS (
+      SELECT tenant_id, CAST(0 AS BIGINT) AS i, cap, CAST(used AS BIGINT) AS u, '' AS decision FROM plan
+      UNION ALL
+      SELECT walk.tenant_id, r.i, cap,
+             CASE WHEN action = 'cancel' THEN greatest(u - 1, 0) WHEN u < cap THEN u + 1 ELSE u END,
+             CASE WHEN action = 'cancel' THEN CASE WHEN u > 0 THEN 'freed' ELSE 'ignored' END
+                  WHEN u < cap THEN 'accepted' ELSE 'rejected' END
+      FROM walk JOIN steps r ON r.tenant_id = walk.tenant_id AND r.i = walk.i + 1)
+    SELECT r.*, coalesce(walk.decision, CASE WHEN action = 'cancel' THEN 'freed' ELSE 'accepted' END) AS decision,
+           CAST(least(u, cap) AS BIGINT) AS "usage"
+    FROM steps r LEFT JOIN walk USING (tenant_id, i)) found""")
+
 # Changes applied one after another must end where a full count does.
 sql("refresh_incremental", _RAW["tenant_analytics"])
 
