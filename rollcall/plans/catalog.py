@@ -14,6 +14,7 @@ from ..functions.scalars import plus_days
 from ..sources import io as rio
 from ..sources import seeds
 from ..sources.views import Domain
+from . import sql_functions
 from ..streaming import admission, live
 from ..streaming.runner import run_available_now, run_foreach_batch, run_updates
 
@@ -210,6 +211,27 @@ def q_enforce_visitor_limits(spark, sf_dir):
     return limits.enforce_limits(events, plan, ["tenant_id"], ["at", "visitor_id", "action"])
 
 
+@query("sql_subscription_of")
+def q_sql_subscription_of(spark, sf_dir):
+    """The table function called for each tenant."""
+    sql_functions.register_functions(dom(spark, sf_dir), AS_OF_SUBS)
+    return spark.sql("SELECT t.tenant_id, s.* FROM tenants t, LATERAL subscription_of(t.tenant_id) s")
+
+
+@query("sql_usage_of")
+def q_sql_usage_of(spark, sf_dir):
+    sql_functions.register_functions(dom(spark, sf_dir), AS_OF_SUBS)
+    return spark.sql("SELECT t.tenant_id, u.* FROM tenants t, LATERAL usage_of(t.tenant_id) u")
+
+
+@query("sql_within_limit")
+def q_sql_within_limit(spark, sf_dir):
+    """The scalar function called for each staff member and limit."""
+    sql_functions.register_functions(dom(spark, sf_dir), AS_OF_SUBS)
+    return spark.sql("""SELECT user_id, within_limit(tenant_id, 'events') AS events, within_limit(tenant_id, 'users') AS users,
+                               within_limit(tenant_id, 'other') AS other FROM staff""")
+
+
 def _quote(plans, d):
     q = billing.payment_quote(plans, d.payments.select("order_id", "plan_id", "billing_period",
                                                        "provider"))

@@ -260,6 +260,20 @@ sql("plan_usage", f"""
     FROM t LEFT JOIN big ON big.tenant_id = t.tenant_id""")
 
 
+# A function called for every tenant gives what the whole report does.
+sql("sql_subscription_of", _RAW["subscription_with_last_payment"])
+sql("sql_usage_of", _RAW["plan_usage"])
+sql("sql_within_limit", f"""
+    SELECT f.user_id,
+           (SELECT count(*) FROM occasions o WHERE o.tenant_id = f.tenant_id) < coalesce(c.max_events, 0) AS events,
+           (SELECT count(*) FROM staff u WHERE u.is_active AND u.tenant_id = f.tenant_id) < coalesce(c.max_admin_users, 0) AS users,
+           false AS other
+    FROM staff f LEFT JOIN (
+      SELECT s.tenant_id, p.max_events, p.max_admin_users
+      FROM ({_LATEST_SUB.format(extra=f"AND (ts.ends_at IS NULL OR ts.ends_at > {AS_OF_SUBS})")}) s
+      JOIN plans p ON p.plan_id = s.plan_id) c USING (tenant_id)""")
+
+
 def _quote_sql(plans_sql: str) -> str:
     return f"""
     WITH pl AS ({plans_sql}),
