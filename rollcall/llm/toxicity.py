@@ -45,8 +45,8 @@ FOLDS = 3
 SHORTEST, LONGEST = 3, 8
 #: A feature needs MIN_DOCS toxic documents and these log odds.
 MIN_DOCS, MIN_ODDS = 3, 2.0
-#: Words kept in a task's memory of lexicon matches.
-MEMORY = 500_000
+#: Words kept in a task's memory of lexicon matches, and counts before they are handed on.
+MEMORY, CELLS = 100_000, 100_000
 
 # Closed word classes of the four languages.
 TARGETS = frozenset("you your yours u ur they them their he she him her du dich dir dein deine ihr euch euer sie tu te toi ton ta tes vous "
@@ -244,16 +244,23 @@ def held_out(id_col: Column) -> Column:
 
 
 def _count(batches):
-    """Documents by feature, fold and label, counted by batch."""
-    for batch in batches:
-        counts: Counter = Counter()
-        for text, toxic, fold in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            words = {w for w in _TOKEN.findall((text or "").lower()) if len(w) >= SHORTEST}
-            counts.update((f, fold, toxic) for f in features_of(words))
+    """Documents by feature, fold and label, counted in pieces of about CELLS."""
+    def made(counts: Counter) -> pa.RecordBatch:
         rows = [(f, fold, n if toxic else 0, 0 if toxic else n) for (f, fold, toxic), n in counts.items()]
         cols = list(zip(*rows)) if rows else [[], [], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()),
-                                          pa.array(cols[3], pa.int64())], ["feature", "fold", "toxic", "clean"])
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()),
+                                           pa.array(cols[3], pa.int64())], ["feature", "fold", "toxic", "clean"])
+
+    for batch in batches:
+        counts: Counter = Counter()
+        for text, toxic, fold in zip(*(batch.column(i) for i in range(3))):
+            words = {w for w in _TOKEN.findall((text.as_py() or "").lower()) if len(w) >= SHORTEST}
+            label = fold.as_py(), toxic.as_py()
+            counts.update((f, *label) for f in features_of(words))
+            if len(counts) >= CELLS:
+                yield made(counts)
+                counts = Counter()
+        yield made(counts)
 
 
 def _sample_features(lexicons):
