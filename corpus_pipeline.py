@@ -42,7 +42,7 @@ SHARDS = 16
 TOXIC = 0.5
 #: Weights of the mixture by source; None: by the sources' sizes.
 WEIGHTS: dict | None = None
-#: Rows of one file of the mixture, about.
+#: Rows of one file of the mixture at most, about.
 ROWS_PER_FILE = 100_000
 
 
@@ -107,7 +107,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     n = at.agg(F.max("position")).first()[0]
     whole = rows.join(at, (F.col("_file") == F.col("_f")) & (F.col("_at") == F.col("_a"))).select("_row", "position")
     # Positions are gapless, so equal slices of them are files of equal numbers of rows.
-    files = (n or 0) // ROWS_PER_FILE + 1 if (n or 0) >= ROWS_PER_FILE else min(max(1, n or 0), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    files = min(max(1, n or 0), max(int(spark.conf.get("spark.sql.shuffle.partitions")), (n or 0) // ROWS_PER_FILE + 1))
     share = -(-((n or 0) + 1) // files)
     return (whole.repartitionById(files, F.expr(f"cast(position div {share} as int)"))
             .sortWithinPartitions("position").select("_row.*"))
