@@ -361,6 +361,15 @@ def q_unique_payment_settings(spark, sf_dir):
     return registration.uniqueness_violations(used, "payment_settings")
 
 
+@query("unique_categories")
+def q_unique_categories(spark, sf_dir):
+    """One category row per tenant and code: the categories that the visitors of
+    each event chose, one row per event, so repeats show."""
+    d = dom(spark, sf_dir)
+    chosen = d.visitors.select("tenant_id", "event_id", "category_id").distinct()
+    return registration.uniqueness_violations(chosen.join(d.categories.select("category_id", "code"), "category_id"), "categories")
+
+
 @query("admit_checkins_by_tenant")
 def q_admit_checkins_by_tenant(spark, sf_dir):
     """Scans carry the scanning staff member's tenant; both lookups test it."""

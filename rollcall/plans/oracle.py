@@ -464,6 +464,11 @@ sql("unique_events", """
     SELECT 'unique_tenant_event_slug' AS rule, concat_ws('|', tenant_id, slug) AS key, count(*) AS rows
     FROM occasions WHERE tenant_id IS NOT NULL AND slug IS NOT NULL GROUP BY tenant_id, slug HAVING count(*) > 1""")
 
+sql("unique_categories", """
+    SELECT 'unique_tenant_category_code' AS rule, v.tenant_id || '|' || k.code AS key, count(DISTINCT v.event_id) AS rows
+    FROM visitors v JOIN categories k USING (category_id)
+    GROUP BY v.tenant_id, k.code HAVING count(DISTINCT v.event_id) > 1""")
+
 sql("unique_payment_settings", """
     SELECT 'unique_tenant_provider' AS rule, concat_ws('|', tenant_id, provider) AS key, count(DISTINCT billing_period) AS rows
     FROM payments GROUP BY tenant_id, provider HAVING count(DISTINCT billing_period) > 1""")
