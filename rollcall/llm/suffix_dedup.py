@@ -21,7 +21,8 @@ starts earlier (smaller doc_id, or the same document and an earlier start).
    are sorted across shards. The earliest window of a block stays.
 4. An anchor with more than HOT different contexts would be one large task; its
    windows are pre-aggregated by two 64-bit hashes instead, each on its own.
-5. The spans of each document meet its text again; covered bytes go.
+5. Spans that touch are joined, then those of each document meet its text
+   again; covered bytes go.
 
 Null text is empty; texts shorter than ``length`` stay whole. Null ids come
 first. Different texts that share a doc_id are separate documents ordered by
@@ -37,6 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from rollcall.llm.common import bitmap_of, in_bitmap, numbered, settle, shuffle_width, text_hashes
 
@@ -47,6 +49,8 @@ HOT = 20_000
 MAX_BITS = 1 << 26
 #: A longer text is anchored in overlapping pieces of so many windows.
 PIECE = 1 << 22
+#: Spans that start in one stretch of so many bytes are joined in one task.
+STRETCH = 1 << 16
 _ODD = 0x9E3779B97F4A7C15
 _POWERS: list[np.ndarray] = []
 _LOW = np.uint64(0xFFFFFF)
@@ -324,6 +328,18 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> Dat
             .drop("g", "i", "x1", "x2", "_id", "_h1", "_h2"))
 
 
+def joined(spans: DataFrame) -> DataFrame:
+    """(doc, a, b) with the spans of a stretch of a document that touch made one,
+    so that a document has no more of them than its bytes allow for: a text
+    that repeats itself gives a span for every byte."""
+    spans = spans.select("doc", "a", "b", F.expr(f"a div {STRETCH}").alias("stretch"))
+    by = Window.partitionBy("doc", "stretch").orderBy("a", "b")
+    reached = F.max("b").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    begins = spans.withColumn("begins", F.when(reached >= F.col("a"), 0).otherwise(1))
+    runs = begins.withColumn("run", F.sum("begins").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return runs.groupBy("doc", "stretch", "run").agg(F.min("a").alias("a"), F.max("b").alias("b")).select("doc", "a", "b")
+
+
 def later_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(doc, spans): byte spans of each document of (doc, text) that also start
     earlier; spans may overlap. Each doc is one row."""
@@ -341,7 +357,7 @@ def later_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
     f = first.where("n > 1").select("a", "c", F.col("doc").alias("first_doc"), F.col("at").alias("first_at"))
     copies = (found.join(f, ["a", "c"]).where("doc <> first_doc OR at <> first_at")
               .select("doc", F.col("at").alias("a"), (F.col("at") + F.col("own") + F.lit(length - 1)).alias("b")))
-    copies = settle(copies.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "copies")
+    copies = settle(joined(copies), "copies")
 
     apart = first.where("differ")
     crowds = apart.groupBy("a").agg(F.count(F.lit(1)).alias("m")).select(F.col("a").alias("_a"), (F.col("m") > HOT).alias("hot"))
@@ -356,8 +372,8 @@ def later_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
     least = alone.groupBy("w1", "w2").agg(F.min(F.struct("doc", "at")).alias("f"))
     crowd = (alone.join(least, ["w1", "w2"]).where("doc <> f.doc OR at <> f.at")
              .select("doc", F.col("at").alias("a"), (F.col("at") + length).alias("b")))
-    shared = settle(merged.unionByName(crowd).groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "shared")
-    return copies.unionByName(shared).groupBy("doc").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    shared = settle(joined(merged.unionByName(crowd)), "shared")
+    return copies.unionByName(shared).groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] = (),

@@ -98,6 +98,28 @@ def test_every_window_has_one_anchor_at_its_own_place(monkeypatch):
     assert anchor_of == whole
 
 
+def test_spans_that_touch_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(sd, "STRETCH", 50)
+    rnd = random.Random(3)
+    spans = [(d, a, a + rnd.choice([5, 30, 80])) for d in (1, 2, -4) for a in rnd.sample(range(600), 40)]
+    got = sd.joined(spark.createDataFrame(spans, "doc long, a long, b long")).collect()
+    covered = lambda rows: {(d, i) for d, a, b in rows for i in range(a, b)}
+    assert covered(map(tuple, got)) == covered(spans) and len(got) < len(spans)
+    for d, a, b in map(tuple, got):
+        assert not any(d == e and x // 50 == a // 50 and (x, y) != (a, b) and x <= b and a <= y for e, x, y in map(tuple, got))
+
+
+def test_a_text_that_repeats_itself_has_few_spans(docs_of):
+    """A million windows of one text are copies; a document gets a span or two for each stretch."""
+    n = 1_000_000
+    docs = docs_of([(1, "a" * n), (2, "xyz" * 1000)])
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("binary").alias("text"))
+    spans = {r.doc: r.spans for r in sd.later_spans(texts).collect()}
+    assert len(spans[1]) <= 2 * (n // sd.STRETCH + 1)
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in drop_repeats(docs, digest=True).collect()}
+    assert got == {1: (n - 1, 1), 2: (2997, 1)}
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_merged_blocks_are_the_common_prefixes(seed):
     rnd = random.Random(seed)
