@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import billing, changes, incremental, limits, logs, registration, reports, search, tenancy, windows
+from ..operators import billing, changes, incremental, limits, logs, numbering, registration, reports, search, tenancy, windows
 from ..functions.scalars import plus_days
 from ..sources import io as rio
 from ..sources import seeds
@@ -162,6 +162,7 @@ def q_active_categories(spark, sf_dir):
 AS_OF_SUBS = "2024-03-01 00:00:00"
 AS_OF_PAYMENTS = "1998-01-01 00:00:00"
 CODE_CUTOFF = "1994-07-01 00:00:00"
+CODE_LATER = "1996-01-01 00:00:00"
 CODE_YEAR_OF = "1994-08-01 00:00:00"
 CODE_AS_OF = "2001-08-01 00:00:00"
 REGISTRATION_CUTOFF = "2001-01-01 00:00:00"
@@ -417,6 +418,22 @@ def q_assign_codes_single(spark, sf_dir):
         "visitor_id", "category_id", "registration_code")
 
 
+@query("assign_codes_arriving")
+def q_assign_codes_arriving(spark, sf_dir):
+    """Codes given as visitors arrive: three streams one after another into one
+    log. Those before the cutoff, and every third later one, bring their code."""
+    static = dom(spark, sf_dir)
+    v = Domain(spark, sf_dir, streamed=["orders"]).visitors
+    at = F.col("registered_at")
+    cutoff, later = (F.lit(x).cast("timestamp_ntz") for x in (CODE_CUTOFF, CODE_LATER))
+    brings = (at < cutoff) | (F.col("visitor_id") % 3 == 0)
+    v = v.withColumn("registration_code", F.when(brings, F.col("registration_code")))
+    log = numbering.CodeLog(spark, rio.scratch_path(spark, "codes"), static.categories)
+    for name, part in (("stored", at < cutoff), ("next", (at >= cutoff) & (at < later)), ("last", at >= later)):
+        run_foreach_batch(v.where(part), f"codes_{name}", log.handler(name))
+    return log.codes().select("visitor_id", "tenant_id", "category_id", "registration_code")
+
+
 @query("dedupe_registrations")
 def q_dedupe_registrations(spark, sf_dir):
     d = dom(spark, sf_dir)

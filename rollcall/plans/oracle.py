@@ -530,6 +530,23 @@ sql("assign_codes_single", """
                  CAST(row_number() OVER (PARTITION BY category_id ORDER BY registered_at, visitor_id) AS VARCHAR) AS n
           FROM visitors LEFT JOIN categories k USING (category_id))""")
 
+# A visitor without a code is as many above a number brought before as visitors without one came since.
+sql("assign_codes_arriving", """
+    WITH a AS (
+      SELECT visitor_id, tenant_id, category_id, registered_at, k.code || strftime(registered_at, '%y') AS prefix,
+             CASE WHEN registered_at < TIMESTAMP '1994-07-01 00:00:00' OR visitor_id % 3 = 0 THEN registration_code END AS own
+      FROM visitors LEFT JOIN categories k USING (category_id)),
+    counted AS (
+      SELECT *, CASE WHEN starts_with(own, prefix) THEN TRY_CAST(substr(own, length(prefix) + 1) AS HUGEINT) END AS brought,
+             count(*) FILTER (own IS NULL) OVER w AS came
+      FROM a WINDOW w AS (PARTITION BY tenant_id, prefix ORDER BY registered_at, visitor_id)),
+    numbered AS (
+      SELECT *, CAST(came + greatest(0, coalesce(max(brought - came) OVER w, 0)) AS VARCHAR) AS n
+      FROM counted WINDOW w AS (PARTITION BY tenant_id, prefix ORDER BY registered_at, visitor_id))
+    SELECT visitor_id, tenant_id, category_id,
+           coalesce(own, prefix || lpad(n, CAST(greatest(4, length(n)) AS INTEGER), '0')) AS registration_code
+    FROM numbered""")
+
 # A NULL in the key equals nothing: such rows are all kept.
 _DEDUPE = """
     SELECT visitor_id, visitor_id = f AS kept, CASE WHEN visitor_id <> f THEN f END AS duplicate_of
