@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import billing, changes, incremental, limits, logs, numbering, registration, reports, search, tenancy, windows
+from ..operators import billing, changes, incremental, limits, logs, notices, numbering, registration, reports, search, tenancy, windows
 from ..functions.scalars import plus_days
 from ..sources import io as rio
 from ..sources import seeds
@@ -265,6 +265,48 @@ def q_apply_payments(spark, sf_dir):
         "order_id", "tenant_id", "status", "updated_at", "raw_response")
 
 
+def raw_notices(d):
+    """The provider notices with what a provider may send one day: a bank channel
+    that no schema knows, cut bodies, arrays, a provider without a reader, and
+    bodies without an order."""
+    n = F.col("notice_id")
+    body, more = F.col("body"), F.concat(F.lit(',"channel":{"bank":"bank'), (n % 5).cast("string"), F.lit('","tries":'), (n % 3).cast("string"), F.lit("}}"))
+    cut = F.substring(body, F.lit(1), F.length(body) - 1)
+    body = (F.when(n % 11 == 0, cut).when(n % 13 == 0, F.concat(F.lit("["), body, F.lit("]"))).when(n % 17 == 0, F.lit('{"status":"PAID"}'))
+             .when(n % 4 == 1, F.concat(cut, more)).otherwise(body))
+    return d.webhooks.select("notice_id", F.when(n % 19 == 0, "stripe").otherwise(F.col("provider")).alias("provider"), "received_at", body.alias("body"),
+                             F.concat(F.lit('{"x-callback-token":"t'), (n % 7).cast("string"), F.lit('"}')).alias("headers"))
+
+
+def _notice_log(spark, sf_dir):
+    path = rio.scratch_path(spark, "notices")
+    notices.append(raw_notices(dom(spark, sf_dir)), path)
+    return notices.read_log(spark, path)
+
+
+@query("notice_log")
+def q_notice_log(spark, sf_dir):
+    """Every notice as logged: usable ones by their paths, failed ones with the
+    answer, the error and the text that came."""
+    return _notice_log(spark, sf_dir).select(
+        "notice_id", "provider", "received_at", "order_id", "tenant_id", "status_code", "error_message", "raw_body",
+        F.try_variant_get("payload", "$.channel.bank", "string").alias("bank"),
+        F.try_variant_get("headers", "$['x-callback-token']", "string").alias("token"))
+
+
+@query("notice_fields")
+def q_notice_fields(spark, sf_dir):
+    """The fields that each provider's payloads hold, known to a reader or not."""
+    return notices.fields_in_use(_notice_log(spark, sf_dir))
+
+
+@query("apply_payments_logged")
+def q_apply_payments_logged(spark, sf_dir):
+    """Payments after the usable notices of the log."""
+    usable = notices.usable(_notice_log(spark, sf_dir)).drop("raw_response")
+    return billing.apply_payment_notices(dom(spark, sf_dir).payments, usable).select("order_id", "tenant_id", "status", "updated_at")
+
+
 def _subscription_base(d):
     return billing.latest_subscription(d.subscriptions, d.plans).select(
         "tenant_id", "subscription_id", "plan_id", "status", "starts_at", "ends_at",

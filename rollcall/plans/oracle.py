@@ -346,6 +346,43 @@ _LAST_NOTICE = f"""
 
 sql("map_payment_status", _NOTICES)
 
+# Notices of any shape; what cannot be used keeps its text and says why.
+_RAW_NOTICES = """
+    SELECT notice_id, CASE WHEN notice_id % 19 = 0 THEN 'stripe' ELSE provider END AS provider, received_at,
+           CASE WHEN notice_id % 11 = 0 THEN left(body, -1) WHEN notice_id % 13 = 0 THEN '[' || body || ']'
+                WHEN notice_id % 17 = 0 THEN '{"status":"PAID"}'
+                WHEN notice_id % 4 = 1 THEN left(body, -1) || ',"channel":{"bank":"bank' || notice_id % 5 || '","tries":' || notice_id % 3 || '}}'
+                ELSE body END AS body, 't' || notice_id % 7 AS token
+    FROM webhooks"""
+_JUDGED = f"""
+    SELECT *, CASE WHEN j IS NULL THEN 'malformed body' WHEN json_type(j) <> 'OBJECT' THEN 'not an object'
+                   WHEN provider NOT IN ('midtrans', 'xendit') THEN 'unknown provider'
+                   WHEN j ->> (CASE provider WHEN 'midtrans' THEN '$.order_id' ELSE '$.external_id' END) IS NULL THEN 'no order id' END AS error_message
+    FROM (SELECT *, CASE WHEN json_valid(body) THEN CAST(body AS JSON) END AS j FROM ({_RAW_NOTICES}))"""
+
+sql("notice_log", f"""
+    SELECT notice_id, provider, received_at, token, error_message,
+           CASE provider WHEN 'midtrans' THEN j ->> '$.order_id' WHEN 'xendit' THEN j ->> '$.external_id' END AS order_id,
+           TRY_CAST(CASE provider WHEN 'midtrans' THEN j ->> '$.custom_field1' WHEN 'xendit' THEN j ->> '$.metadata.tenant_id' END AS INTEGER) AS tenant_id,
+           CAST(CASE WHEN error_message IS NULL THEN 200 WHEN error_message = 'no order id' THEN 500
+                     WHEN error_message = 'unknown provider' THEN 404 ELSE 400 END AS INTEGER) AS status_code,
+           CASE WHEN error_message IS NOT NULL THEN body END AS raw_body, j ->> '$.channel.bank' AS bank
+    FROM ({_JUDGED})""")
+
+sql("notice_fields", f"""
+    WITH top AS (SELECT provider, unnest(json_keys(j)) AS k, j FROM ({_JUDGED}) WHERE error_message IS NULL),
+    one AS (SELECT provider, '$.' || k AS path, json_extract(j, '$.' || k) AS v FROM top),
+    two AS (SELECT provider, path, unnest(json_keys(v)) AS k, v FROM one WHERE json_type(v) = 'OBJECT'),
+    fields AS (SELECT * FROM one UNION ALL SELECT provider, path || '.' || k, json_extract(v, '$.' || k) FROM two)
+    SELECT provider, path, CASE WHEN json_type(v) IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN 'number' WHEN json_type(v) = 'VARCHAR' THEN 'string'
+                                ELSE lower(json_type(v)) END AS kind, count(*) AS notices
+    FROM fields GROUP BY ALL""")
+
+sql("apply_payments_logged", f"""
+    WITH good AS (SELECT notice_id, provider, received_at, body FROM ({_JUDGED}) WHERE error_message IS NULL)
+    SELECT p.order_id, p.tenant_id, coalesce(l.payment_status, p.status) AS status, l.received_at AS updated_at
+    FROM payments p LEFT JOIN ({_LAST_NOTICE.replace("FROM webhooks", "FROM good")}) l ON l.order_id = p.order_id""")
+
 sql("apply_payments", f"""
     SELECT p.order_id, p.tenant_id, coalesce(l.payment_status, p.status) AS status,
            l.received_at AS updated_at, l.raw_response
