@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import billing, changes, incremental, limits, logs, notices, numbering, registration, reports, search, tenancy, windows
+from ..operators import billing, changes, incremental, limits, logs, notices, numbering, quantiles, registration, reports, search, tenancy, windows
 from ..functions.scalars import plus_days
 from ..sources import io as rio
 from ..sources import seeds
@@ -853,6 +853,23 @@ def q_recent_checkins_per_scanner(spark, sf_dir):
         "last_name", "registration_code", "checked_in_by_name")
 
 
+@query("request_quantiles")
+def q_request_quantiles(spark, sf_dir):
+    """Weekly quantiles of every route from stored hourly sketches, and whether
+    their ranks in the whole log are within the stated error."""
+    d, qs, by = dom(spark, sf_dir), (0.5, 0.95, 0.99), ["route", "week"]
+    path = rio.scratch_path(spark, "sketches")
+    quantiles.append(d.request_log, path)
+
+    def weekly(df, ts):
+        return df.withColumn("week", F.window(ts, "7 days", startTime="4 days").getField("start"))    # from Monday
+
+    found = quantiles.quantiles(weekly(spark.read.parquet(path), "hour"), by, qs)
+    off = quantiles.rank_errors(weekly(d.request_log, "ts"), found, by, qs)
+    ok = [(F.col(c) <= quantiles.RANK_ERROR).alias(f"{c}_ok") for c in ("p50", "p95", "p99")]
+    return found.select(*by, "requests").join(off.select(*by, *ok), by, "left")
+
+
 @query("request_kpis_by_tenant")
 def q_request_kpis_by_tenant(spark, sf_dir):
     return logs.request_kpis(dom(spark, sf_dir).request_log, by=["tenant_id"])
