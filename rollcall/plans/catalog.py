@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import billing, changes, incremental, limits, logs, notices, numbering, quantiles, registration, reports, search, tenancy, windows
+from ..operators import billing, changes, incremental, limits, logs, notices, numbering, quantiles, registration, reports, search, tenancy, versions, windows
 from ..functions.scalars import plus_days
 from ..sources import io as rio
 from ..sources import seeds
@@ -662,6 +662,18 @@ def q_audit_changes(spark, sf_dir):
     return logs.audit_counts(logs.audit_changes(activity(d)))
 
 
+@query("audit_versions")
+def q_audit_versions(spark, sf_dir):
+    """Field changes between an earlier version of the visitors and today's, from
+    the buckets whose digests differ."""
+    v, k = dom(spark, sf_dir).visitors.select("visitor_id", "tenant_id", "email", "status"), F.col("visitor_id")
+    earlier = v.where(k % 97 != 1).withColumns({
+        "email": F.when(k % 103 != 5, F.col("email")), "status": F.when(k % 101 == 3, "registered").otherwise(F.col("status"))})
+    table = versions.VersionedTable(spark, rio.scratch_path(spark, "versions"), "visitor_id", buckets=32)
+    old, new = table.write(earlier), table.write(v.where(k % 89 != 7))
+    return logs.audit_changes(table.audit(old, new, v.schema, "visitor"))
+
+
 # -- sources and sinks -----------------------------------------------------------
 
 NTZ_JSON = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"

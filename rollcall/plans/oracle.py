@@ -815,6 +815,22 @@ sql("rate_limit_stream", _RAW["rate_limit_hits"])
 sql("ticket_verify", """
     SELECT true AS valid, count(*) AS tickets FROM visitors WHERE registration_code IS NOT NULL""")
 
+sql("audit_versions", """
+    WITH old AS (
+      SELECT visitor_id, tenant_id, CASE WHEN visitor_id % 103 <> 5 THEN email END AS email,
+             CASE WHEN visitor_id % 101 = 3 THEN 'registered' ELSE status END AS status
+      FROM visitors WHERE visitor_id % 97 <> 1),
+    now AS (SELECT * FROM visitors WHERE visitor_id % 89 <> 7),
+    o AS (SELECT visitor_id, 'tenant_id' AS field, CAST(tenant_id AS VARCHAR) AS old_value FROM old
+          UNION ALL SELECT visitor_id, 'email', email FROM old UNION ALL SELECT visitor_id, 'status', status FROM old),
+    n AS (SELECT visitor_id, 'tenant_id' AS field, CAST(tenant_id AS VARCHAR) AS new_value FROM now
+          UNION ALL SELECT visitor_id, 'email', email FROM now UNION ALL SELECT visitor_id, 'status', status FROM now)
+    SELECT CASE WHEN o.field IS NULL THEN 'insert' WHEN n.field IS NULL THEN 'delete' ELSE 'update' END AS action,
+           'visitor' AS entity_type, visitor_id AS entity_id, field, old_value, new_value,
+           CASE WHEN o.field IS NULL THEN 'added' WHEN n.field IS NULL THEN 'removed' ELSE 'changed' END AS change
+    FROM o FULL JOIN n USING (visitor_id, field)
+    WHERE o.field IS NULL OR n.field IS NULL OR old_value IS DISTINCT FROM new_value""")
+
 sql("audit_changes", """
     WITH a AS (
       SELECT event_type AS action, 'user' AS entity_type, user_id AS entity_id, props AS old_values,
