@@ -289,6 +289,14 @@ def page(df: DataFrame, order_by: str = "created_at", desc: bool = True, limit:
 
 
 # O31 ---------------------------------------------------------------------
+def used_categories(categories: DataFrame, visitors: DataFrame) -> DataFrame:
+    """The categories that visitors use. Every task hands on the few values it
+    has seen instead of its visitors, whom a join on the category would send to
+    one task for each value."""
+    used = visitors.select("category_id").distinct()
+    return categories.join(used, "category_id", "left_semi")
+
+
 def active_categories(categories: DataFrame, tenant_id=None) -> DataFrame:
     out = categories.where(F.col("is_active"))
     if tenant_id is not None and "tenant_id" in categories.columns:

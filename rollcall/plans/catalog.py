@@ -153,7 +153,7 @@ def q_page(spark, sf_dir):
 @query("active_categories")
 def q_active_categories(spark, sf_dir):
     d = dom(spark, sf_dir)
-    used = d.categories.join(d.visitors.select("category_id"), "category_id", "left_semi")
+    used = reports.used_categories(d.categories, d.visitors)
     return reports.active_categories(used).select("category_id", "name", "code", "priority")
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 
-from conftest import SMALL
+from conftest import SMALL, rows
 from tools.plan_audit import dimension_exchanges, initial_plan
 import __spark_entry__ as E
 
@@ -23,6 +25,17 @@ def optimized(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+@pytest.mark.parametrize("name", ["active_categories"])
+def test_categories_in_use_meet_distinct_values_not_visitors(spark, name):
+    assert re.search(r"Join LeftSemi.*\n *:- .*\n *\+- Aggregate \[category_id", optimized(E.QUERIES[name](spark, SMALL)))
+
+
+def test_categories_in_use_with_repeats_nulls_and_unknown(spark, dom):
+    from rollcall.operators import reports
+    v = spark.createDataFrame([(1, 4), (2, 4), (3, None), (4, 9), (5, 1)], "visitor_id long, category_id int")
+    assert rows(reports.used_categories(dom.categories, v), "category_id", "code") == [(1, "VIP"), (4, "PTC")]
+
+
 @pytest.mark.parametrize("wanted", ["payment_status = 'success'", "payment_status IN ('failed', 'expired')", "amount > 5 AND plan_id = 2"])
 def test_a_notice_is_parsed_once_under_any_filter(dom, wanted):
     from rollcall.operators import billing
