@@ -25,7 +25,7 @@ def optimized(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["active_categories"])
+@pytest.mark.parametrize("name", ["active_categories", "validate_categories"])
 def test_categories_in_use_meet_distinct_values_not_visitors(spark, name):
     assert re.search(r"Join LeftSemi.*\n *:- .*\n *\+- Aggregate \[category_id", optimized(E.QUERIES[name](spark, SMALL)))
 
