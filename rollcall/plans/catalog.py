@@ -807,7 +807,7 @@ def q_checkin_stream_keyed(spark, sf_dir):
     c = Domain(spark, sf_dir, streamed=["lineitem"]).checkins.where(~F.col("is_stored"))
     scans = c.select(F.col("checkin_id").alias("request_id"), "visitor_id", F.col("checkin_time").alias("scan_time"))
     stored = d.checkins.where(F.col("is_stored")).select("visitor_id")
-    out = run_available_now(admission.keyed_admission(scans, stored), "admission")
+    out = run_available_now(admission.keyed_admission(scans, stored), "admission", keyed_state=True)
     changes_ = spark.read.schema(admission.CHANGES).parquet(out)
     return admission.current_decisions(changes_, d.visitors).select("request_id", "visitor_id", "event_id", "decision", "reason")
 

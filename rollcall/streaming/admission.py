@@ -117,7 +117,8 @@ def keyed_admission(scans: DataFrame, stored: DataFrame | None = None, delay: st
                     ttl: str | None = None, time_col: str = "scan_time") -> DataFrame:
     """The changes (CHANGES) that a stream of scans (request_id, visitor_id,
     ``time_col``) makes; ``at`` is the scan time in microseconds. ``stored``: a
-    batch table of visitors that are checked in when the stream starts."""
+    batch table of visitors that are checked in when the stream starts. The
+    stream is started within ``runner.keyed_state_store``."""
     if keep and not delay or ttl and delay:
         raise ValueError("keep goes with a watermark's delay, ttl without")
     slim = scans.select(F.col("request_id").cast("string").alias("request_id"), F.col("visitor_id").cast("long").alias("visitor_id"),

@@ -4,22 +4,55 @@ stream queries to compare a stream with its batch twin."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import threading
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager, nullcontext
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.io import scratch_path
 
 
-def run_available_now(stream: DataFrame, name: str, output_mode: str = "append") -> str:
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+_IN_MEMORY = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_starting = threading.Lock()
+
+
+@contextmanager
+def keyed_state_store(spark: SparkSession) -> Iterator[None]:
+    """A stream with ``transformWithState`` is started in here. Spark's default
+    store cannot hold its state, so a session that has this store has the RocksDB
+    one meanwhile; any other is left as it is. A stream takes the settings of its
+    session when it starts, so the session has its own back at once. One at a
+    time, or one start would take the setting from another."""
+    with _starting:
+        own = spark.conf.get(STATE_STORE, None)
+        if own not in (None, _IN_MEMORY):
+            yield
+            return
+        spark.conf.set(STATE_STORE, _ROCKSDB)
+        try:
+            yield
+        finally:
+            if own is None:
+                spark.conf.unset(STATE_STORE)
+            else:
+                spark.conf.set(STATE_STORE, own)
+
+
+def run_available_now(stream: DataFrame, name: str, output_mode: str = "append", keyed_state: bool = False) -> str:
+    """Returns the sink. ``keyed_state``: the stream has ``transformWithState``."""
     spark = stream.sparkSession
     sink = scratch_path(spark, "streams", name, "out")
     ckpt = scratch_path(spark, "streams", name, "ckpt")
-    q = (stream.writeStream.format("parquet").option("path", sink)
-               .option("checkpointLocation", ckpt).outputMode(output_mode)
-               .trigger(availableNow=True).start())
+    writer = (stream.writeStream.format("parquet").option("path", sink)
+                    .option("checkpointLocation", ckpt).outputMode(output_mode)
+                    .trigger(availableNow=True))
+    with keyed_state_store(spark) if keyed_state else nullcontext():
+        q = writer.start()
     q.awaitTermination()
     return sink
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from rollcall.operators.registration import admit_checkins
 from rollcall.sources.io import scratch_path
 from rollcall.streaming import admission
-from rollcall.streaming.runner import run_available_now
+from rollcall.streaming.runner import STATE_STORE, keyed_state_store, run_available_now
 
 SCANS = "request_id string, visitor_id long, scan_time timestamp"
 T0 = dt.datetime(2024, 1, 1, 8, 0)
@@ -94,3 +94,28 @@ def test_options_that_do_not_go_together(spark):
         admission.keyed_admission(df, keep="1 hour")
     with pytest.raises(ValueError):
         admission.keyed_admission(df, delay="1 hour", ttl="1 hour")
+
+
+#: What a session has that sets no state store.
+DEFAULT_STORE = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+
+
+def test_starts_in_a_session_with_the_default_state_store(spark):
+    s = spark.newSession()
+    s.conf.set(STATE_STORE, DEFAULT_STORE)
+    path = feed(s, [[("a", 1, T0), ("b", 1, T0 + dt.timedelta(hours=1))], [("c", 1, T0 - dt.timedelta(hours=1)), ("d", 2, T0)]])
+    stream = s.readStream.schema(SCANS).option("maxFilesPerTrigger", 1).parquet(path)
+    out = run_available_now(admission.keyed_admission(stream), "admission", keyed_state=True)
+    got = {r.request_id: r.decision for r in admission.current_decisions(s.read.schema(admission.CHANGES).parquet(out), visitors(s)).collect()}
+    assert got == {"a": "rejected", "b": "rejected", "c": "accepted", "d": "accepted"}
+    assert s.conf.get(STATE_STORE) == DEFAULT_STORE
+
+
+def test_state_store_setting_is_lent_only_where_it_is_the_default(spark):
+    s = spark.newSession()
+    for own, meanwhile in ((DEFAULT_STORE, s.conf.get(STATE_STORE)), ("some.other.Store", "some.other.Store")):
+        s.conf.set(STATE_STORE, own)
+        with pytest.raises(RuntimeError), keyed_state_store(s):
+            assert s.conf.get(STATE_STORE) == meanwhile
+            raise RuntimeError
+        assert s.conf.get(STATE_STORE) == own
