@@ -119,3 +119,25 @@ def test_state_store_setting_is_lent_only_where_it_is_the_default(spark):
             assert s.conf.get(STATE_STORE) == meanwhile
             raise RuntimeError
         assert s.conf.get(STATE_STORE) == own
+
+
+def test_registered_query_in_a_session_with_the_default_state_store(spark):
+    from rollcall.plans.catalog import QUERIES
+    s = spark.newSession()
+    s.conf.set(STATE_STORE, DEFAULT_STORE)
+    sf = scratch_path(s, "tables")
+    day = lambda n: T0 + dt.timedelta(days=n)
+    tables = {
+        "customer": ("c_custkey long, c_nationkey int", [(7, 1)]),
+        "orders": ("o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+                   [(k, 7, "O", 1.0, T0, "1-URGENT") for k in (1, 2, 3)]),
+        "lineitem": ("l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_extendedprice double, l_linestatus string, l_shipdate timestamp_ntz",
+                     [(1, 5, 6, 1, 1.0, "O", day(2)), (1, 5, 6, 2, 1.0, "O", day(1)),      # the earlier of two
+                      (2, 5, 6, 1, 1.0, "F", day(3)), (2, 5, 6, 2, 1.0, "O", day(1)),      # checked in already
+                      (9, 5, 6, 1, 1.0, "O", day(1))]),                                    # no such visitor
+    }
+    for name, (schema, data) in tables.items():
+        s.createDataFrame(data, schema).coalesce(1).write.parquet(f"{sf}/{name}.parquet")
+    assert decided(QUERIES["checkin_stream_keyed"](s, sf)) == [
+        ("1-1-5-6-100", 1, 7, "rejected", "duplicate"), ("1-2-5-6-100", 1, 7, "accepted", None),
+        ("2-2-5-6-100", 2, 7, "rejected", "duplicate"), ("9-1-5-6-100", 9, None, "rejected", "not_found")]
