@@ -4,15 +4,21 @@ Of a visitor's scans the earliest (by scan time, then request id) is accepted,
 in whatever order they arrive: offline scanners replay theirs hours later. The
 stream keeps one value per visitor, the accepted scan. A scan that is later is
 rejected; one that is earlier takes its place, and the scan accepted before is
-taken back. So the stream's output is a log of changes: a request is accepted at
-most once and never again after a rejection, and what holds at any time is that
-a request is accepted if the log has only acceptances of it. Nothing that was
-written is read again while the stream runs.
+taken back. So the stream's output is a log of changes: a scan (a request at a
+time) is accepted at most once and never again after a rejection, and what holds
+at any time is that a request is accepted if the log has only acceptances of one
+of its scans. Nothing that was written is read again while the stream runs.
+
+A request that arrives more than once, at the same time or another, is decided
+as one, by its earliest scan, and each of its scans is answered: ``scans`` counts
+those that a change answers (none if it takes back or makes final). A copy of the
+accepted scan changes nothing, its ``accepted`` is null.
 
 A visitor scanned very often does not fill one task: before the state, every
-batch of rows in its own task rejects all scans of a visitor but its earliest
-one there, without a shuffle, so a visitor sends one scan per batch of rows to
-the state; the rejected rows travel under keys of their own.
+batch of rows in its own task makes one of all copies of a scan and rejects all
+scans of a visitor but its earliest one there, without a shuffle, so a visitor
+sends one scan per batch of rows to the state; the rejected rows travel under
+keys of their own.
 
 With ``delay`` the scans carry a watermark. Spark then drops scans older than
 it, so a scan's acceptance is final once the watermark has passed its time: a
@@ -31,12 +37,14 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
-CHANGES = "request_id string, visitor_id long, at long, accepted boolean, final boolean"
+CHANGES = "request_id string, visitor_id long, at long, accepted boolean, final boolean, scans long"
 _STATE = "at long, request_id string, stored boolean, final boolean"
 #: A missing scan time, in microseconds.
 _EARLIEST = -(2**63)
 #: Keys under which rejected rows travel.
 SPREAD = 64
+#: Answers to one request that are made at once.
+_AT_ONCE = 10_000
 
 
 def _millis(duration: str | None) -> int | None:
@@ -47,6 +55,14 @@ def _millis(duration: str | None) -> int | None:
     return int(n) * {"second": 1000, "minute": 60_000, "hour": 3_600_000, "day": 86_400_000}[unit.rstrip("s")]
 
 
+def _counted_here():
+    def run(batches):
+        """One row for all copies of a scan in each batch of rows."""
+        for b in batches:
+            yield b.groupby(["request_id", "visitor_id", "at"], dropna=False, sort=False).size().reset_index(name="scans")
+    return run
+
+
 def _earliest_here():
     def run(batches):
         """Marks the first scan of each visitor in each batch of rows."""
@@ -58,8 +74,8 @@ def _earliest_here():
 
 
 def _change_of():
-    def change(request_id, visitor_id, at, accepted, final) -> Row:
-        return Row(request_id=request_id, visitor_id=visitor_id, at=at, accepted=accepted, final=final)
+    def change(request_id, visitor_id, at, accepted, final, scans) -> Row:
+        return Row(request_id=request_id, visitor_id=visitor_id, at=at, accepted=accepted, final=final, scans=scans)
     return change
 
 
@@ -78,18 +94,19 @@ def _processor(event_time: bool, keep: int | None, ttl: int | None):
         def handleInputRows(self, key, rows, timerValues):
             if key[1] >= 0:
                 for x in rows:
-                    yield change(x.request_id, x.visitor_id, x.at, False, False)
+                    yield change(x.request_id, x.visitor_id, x.at, False, False, x.scans)
                 return
             best = had = self.state.get()
             for x in rows:
                 r, v, a = x.request_id, x.visitor_id, x.at
                 if best is None or not best[2] and (a, r) < (best[0], best[1]):
                     if best is not None:
-                        yield change(best[1], v, best[0], False, False)
+                        yield change(best[1], v, best[0], False, False, 0)
                     best = (a, r, False, False)
-                    yield change(r, v, a, True, False)
-                elif (a, r) != (best[0], best[1]):
-                    yield change(r, v, a, False, False)
+                    yield change(r, v, a, True, False, x.scans)
+                else:
+                    copy = not best[2] and (a, r) == (best[0], best[1])
+                    yield change(r, v, a, None if copy else False, False, x.scans)
             if best is not had:
                 self.state.update(tuple(best))
                 if event_time:
@@ -102,7 +119,7 @@ def _processor(event_time: bool, keep: int | None, ttl: int | None):
             if best is not None and not best[2]:
                 at = max(0, best[0] // 1000)
                 if due == at and not best[3]:
-                    yield change(best[1], int(key[0]), best[0], True, True)
+                    yield change(best[1], int(key[0]), best[0], True, True, 0)
                     self.state.update((best[0], best[1], False, True))
                 elif keep and due == at + keep:
                     self.state.clear()
@@ -121,12 +138,15 @@ def keyed_admission(scans: DataFrame, stored: DataFrame | None = None, delay: st
     stream is started within ``runner.keyed_state_store``."""
     if keep and not delay or ttl and delay:
         raise ValueError("keep goes with a watermark's delay, ttl without")
-    slim = scans.select(F.col("request_id").cast("string").alias("request_id"), F.col("visitor_id").cast("long").alias("visitor_id"),
-                        F.col(time_col).cast("timestamp").alias("scan_time"),
+    # In pandas a visitor is a string (beside nulls a long would be rounded) and a time a long (of any year).
+    slim = scans.select(F.col("request_id").cast("string").alias("request_id"), F.col("visitor_id").cast("long").cast("string").alias("visitor_id"),
                         F.coalesce(F.unix_micros(F.col(time_col).cast("timestamp")), F.lit(_EARLIEST)).alias("at"))
-    marked = slim.mapInPandas(_earliest_here(), "request_id string, visitor_id long, scan_time timestamp, at long, candidate boolean")
+    count, mark = _counted_here(), _earliest_here()
+    marked = slim.mapInPandas(lambda batches: mark(count(batches)), "request_id string, visitor_id string, at long, scans long, candidate boolean") \
+        .withColumn("visitor_id", F.col("visitor_id").cast("long"))
     if delay:
-        marked = marked.withWatermark("scan_time", delay)
+        when = F.when(F.col("at") != _EARLIEST, F.timestamp_micros("at"))
+        marked = marked.withColumn("scan_time", when).withWatermark("scan_time", delay)
     own = F.when(F.col("candidate"), F.col("visitor_id").cast("string")).otherwise("")
     way = F.when(F.col("candidate"), F.lit(-1)).otherwise(F.pmod(F.xxhash64("request_id"), F.lit(SPREAD)).cast("int"))
     keyed = marked.withColumns({"key": own, "way": way})
@@ -141,14 +161,18 @@ def keyed_admission(scans: DataFrame, stored: DataFrame | None = None, delay: st
 
 
 def current_decisions(changes: DataFrame, visitors: DataFrame) -> DataFrame:
-    """What the log of changes says now, one row per request, by the rule of
+    """What the log of changes says now, one row per scan, by the rule of
     ``admit_checkins``: accepted, or rejected as ``duplicate`` or ``not_found``.
     Unknown visitors are told apart here, outside the stream, where Spark sees
     the sizes and splits a hot visitor."""
-    last = changes.groupBy("request_id").agg(F.first("visitor_id").alias("visitor_id"), F.bool_and("accepted").alias("_ok"),
-                                             F.bool_or("final").alias("_final"))
+    each = changes.groupBy("request_id", "visitor_id", "at").agg(F.bool_and("accepted").alias("_ok"), F.bool_or("final").alias("_final"),
+                                                                 F.sum("scans").alias("_scans"))
+    last = each.groupBy("request_id", "visitor_id").agg(F.bool_or("_ok").alias("_ok"), F.bool_or(F.col("_ok") & F.col("_final")).alias("_final"),
+                                                        F.sum("_scans").alias("_scans"))
     known = visitors.select("visitor_id", "event_id", F.lit(True).alias("_known"))
     reason = F.when(F.col("_known").isNull(), "not_found").when(~F.col("_ok"), "duplicate")
     out = last.join(known, "visitor_id", "left").withColumn("reason", reason)
+    out = out.withColumn("_from", F.explode(F.sequence(F.lit(0), F.col("_scans") - 1, F.lit(_AT_ONCE)))) \
+        .withColumn("_nth", F.explode(F.sequence(F.lit(1), F.least(F.col("_scans") - F.col("_from"), F.lit(_AT_ONCE)))))
     return out.select("request_id", "visitor_id", "event_id", F.when(F.col("reason").isNull(), "accepted").otherwise("rejected").alias("decision"),
-                      "reason", (F.col("_final") & F.col("_ok")).alias("final"))
+                      "reason", F.col("_final").alias("final"))

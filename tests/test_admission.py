@@ -141,3 +141,65 @@ def test_registered_query_in_a_session_with_the_default_state_store(spark):
     assert decided(QUERIES["checkin_stream_keyed"](s, sf)) == [
         ("1-1-5-6-100", 1, 7, "rejected", "duplicate"), ("1-2-5-6-100", 1, 7, "accepted", None),
         ("2-2-5-6-100", 2, 7, "rejected", "duplicate"), ("9-1-5-6-100", 9, None, "rejected", "not_found")]
+
+
+def test_requests_that_arrive_more_than_once_are_decided_as_one_and_all_answered(spark):
+    later, sooner = T0 + dt.timedelta(hours=1), T0 - dt.timedelta(hours=1)
+    a, b, c, d, e, f, g = ("a", 1, T0), ("b", 2, T0), ("c", 3, T0), ("d", 3, later), ("e", 4, T0), ("f", 99, T0), ("g", None, T0)
+    batches = [[a, a, a, b, c, c, d, d, e, f, f, g, g],                        # copies beside each other
+               [a, ("b", 2, later), ("e", 4, sooner), f, g],                   # a copy later, the same request at other times
+               [("d", 3, sooner), ("h", 5, later), ("h", 5, T0), ("h", 5, later)]]   # rejected first, then the earliest
+    changes = streamed(spark, batches)
+    whole = spark.createDataFrame(sum(batches, []), SCANS)
+    got = decided(admission.current_decisions(changes, visitors(spark)))
+    assert got == decided(admit_checkins(whole, visitors(spark), whole.where(F.lit(False))))
+    assert [x[0] for x in got if x[3] == "accepted"] == ["a"] * 4 + ["b"] * 2 + ["d"] * 3 + ["e"] * 2 + ["h"] * 3
+    # The log accepts a scan once, whatever its copies.
+    assert changes.where("accepted").groupBy("request_id", "at").count().where("count > 1").isEmpty()
+
+
+def test_copies_of_a_stored_visitors_scan(spark):
+    stored = spark.createDataFrame([(1,)], "visitor_id long")
+    changes = streamed(spark, [[("a", 1, T0), ("a", 1, T0), ("", 1, None)], [("a", 1, T0)]], stored=stored)
+    assert decided(admission.current_decisions(changes, visitors(spark))) == [("", 1, 101, "rejected", "duplicate")] + [("a", 1, 101, "rejected", "duplicate")] * 3
+
+
+def test_many_answers_to_one_request_are_made_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(admission, "_AT_ONCE", 3)
+    changes = spark.createDataFrame([("a", 1, 0, True, False, 5), ("a", 1, 0, None, False, 3), ("b", 2, 0, True, False, 1)], admission.CHANGES)
+    assert decided(admission.current_decisions(changes, visitors(spark))) == [("a", 1, 101, "accepted", None)] * 8 + [("b", 2, 102, "accepted", None)]
+
+
+def test_large_visitor_ids_beside_a_missing_one_and_times_of_any_year(spark):
+    big = 2**53
+    far = dt.datetime(2400, 1, 1)
+    changes = streamed(spark, [[("a", big, T0), ("b", big + 1, far), ("c", None, T0), ("d", big + 1, far + dt.timedelta(days=1))]])
+    known = spark.createDataFrame([(big, 7), (big + 1, 8)], "visitor_id long, event_id long")
+    assert decided(admission.current_decisions(changes, known)) == [
+        ("a", big, 7, "accepted", None), ("b", big + 1, 8, "accepted", None), ("c", None, None, "rejected", "not_found"),
+        ("d", big + 1, 8, "rejected", "duplicate")]
+
+
+def test_registered_query_equals_its_sql_where_rows_come_twice(spark):
+    import duckdb
+    from rollcall.plans.catalog import QUERIES
+    from rollcall.plans.oracle import oracle_sql
+    sf = scratch_path(spark, "tables")
+    day = lambda n: T0 + dt.timedelta(days=n)
+    lines = [(1, 5, 6, 1, 1.0, "O", day(2)), (1, 5, 6, 2, 1.0, "O", day(1)), (2, 5, 6, 1, 1.0, "F", day(3)),
+             (2, 5, 6, 2, 1.0, "O", day(1)), (3, 5, 6, 1, 1.0, "O", day(1)), (9, 5, 6, 1, 1.0, "O", day(1))]
+    tables = {
+        "customer": ("c_custkey long, c_nationkey int", [(7, 1)]),
+        "orders": ("o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+                   [(k, 7, "O", 1.0, T0, "1-URGENT") for k in (1, 2, 3, 3)]),
+        "lineitem": ("l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_extendedprice double, l_linestatus string, l_shipdate timestamp_ntz",
+                     [*lines, *lines, (1, 5, 6, 2, 1.0, "O", day(4))]),      # and one at another time
+    }
+    con = duckdb.connect()
+    for name, (schema, data) in tables.items():
+        spark.createDataFrame(data, schema).coalesce(1).write.parquet(f"{sf}/{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{sf.removeprefix('file:')}/{name}.parquet/*.parquet')")
+    key = lambda t: tuple((x is None, str(x)) for x in t)
+    got = sorted((tuple(r) for r in QUERIES["checkin_stream_keyed"](spark, sf).collect()), key=key)
+    want = sorted(con.execute(oracle_sql()["checkin_stream_keyed"]).fetchall(), key=key)
+    assert got == want and len(got) == 13
