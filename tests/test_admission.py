@@ -203,3 +203,89 @@ def test_registered_query_equals_its_sql_where_rows_come_twice(spark):
     got = sorted((tuple(r) for r in QUERIES["checkin_stream_keyed"](spark, sf).collect()), key=key)
     want = sorted(con.execute(oracle_sql()["checkin_stream_keyed"]).fetchall(), key=key)
     assert got == want and len(got) == 13
+
+
+@pytest.mark.parametrize("with_stored", [False, True])
+def test_state_is_called_by_bucket_not_by_visitor(spark, monkeypatch, with_stored):
+    monkeypatch.setattr(admission, "BUCKETS", 8, raising=False)
+    path = feed(spark, [[(f"r{i}", i, T0) for i in range(400)], [(f"s{i}", i, T0 - dt.timedelta(hours=1)) for i in range(0, 500, 2)]])
+    stored = spark.range(300, 600).select(F.col("id").alias("visitor_id")) if with_stored else None
+    stream = spark.readStream.schema(SCANS).option("maxFilesPerTrigger", 1).parquet(path)
+    with keyed_state_store(spark):
+        q = admission.keyed_admission(stream, stored).writeStream.format("parquet").option("path", scratch_path(spark, "streams", "calls", "out")) \
+            .option("checkpointLocation", scratch_path(spark, "streams", "calls", "ckpt")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    written = [p["stateOperators"][0]["numRowsUpdated"] for p in q.recentProgress if p["numInputRows"]]
+    assert len(written) == 2 and 0 < max(written) <= 8 * 2
+
+
+@pytest.mark.parametrize("parts", [1, 2, 32])
+def test_equals_the_batch_rule_where_visitors_share_a_bucket(spark, monkeypatch, parts):
+    monkeypatch.setattr(admission, "_PARTS", parts, raising=False)
+    r = random.Random(parts)
+    scans = [(f"r{r.randrange(90):03d}", r.choice([1, 2, 3, 4, 5, 6, 7, 50, None]), T0 + dt.timedelta(minutes=r.randrange(90)) if i % 17 else None) for i in range(120)]
+    scans = list({x[0]: x for x in scans}.values())
+    scans += scans[:20:7]
+    batches = [scans[i:i + 18] for i in range(0, len(scans), 18)]
+    stored = spark.createDataFrame([(1,), (8,), (None,)], "visitor_id long")
+    changes = streamed(spark, batches, stored=stored, buckets=2)
+    whole = spark.createDataFrame(sum(batches, []), SCANS)
+    assert decided(admission.current_decisions(changes, visitors(spark))) == decided(admit_checkins(whole, visitors(spark), stored))
+
+
+@pytest.mark.parametrize("parts", [1, 32])
+def test_final_and_kept_visitors_of_one_bucket(spark, monkeypatch, parts):
+    monkeypatch.setattr(admission, "_PARTS", parts, raising=False)
+    monkeypatch.setattr(admission, "BUCKETS", 1, raising=False)
+    hours = lambda h: T0 + dt.timedelta(hours=h)
+    batches = [[("a", 1, hours(5)), ("b", 2, hours(6)), ("n", 6, None)], [("c", 2, hours(5.5)), ("d", 3, hours(9))], [("e", 4, hours(9.5)), ("late", 7, hours(1))],
+               [("f", 5, hours(20))], [("x", 10, hours(20))], [("g", 1, hours(21)), ("h", 3, hours(19)), ("i", 5, hours(19.5)), ("s", 9, hours(20))], [("j", 5, hours(30))]]
+    stored = spark.createDataFrame([(9,)], "visitor_id long")
+    log = [(x.request_id, x.accepted, x.final) for x in streamed(spark, batches, stored=stored, delay="2 hours", keep="3 hours").collect()]
+    # Each accepted scan that the watermark passed is final once; what was taken back never is.
+    assert sorted(x[0] for x in log if x[2]) == sorted(["n", "a", "c", "d", "e", "g", "h", "i", "x"])
+    # Visitors 1 and 3 were dropped, so their later scans are accepted anew; 5 is not yet, stored ones stay.
+    assert sorted(x[0] for x in log if x[1] and not x[2]) == ["a", "b", "c", "d", "e", "f", "g", "h", "i", "n", "x"]
+    assert sorted(x for x in log if x[0] in ("b", "s")) == [("b", False, False), ("b", True, False), ("s", False, False)]
+
+
+class ListState:
+    """A bucket's state without a stream."""
+    def __init__(self):
+        self.parts = []
+
+    def getListState(self, *_):
+        return self
+
+    def get(self):
+        return iter(self.parts)
+
+    def appendValue(self, x):
+        self.parts.append(x)
+
+    def put(self, parts):
+        self.parts = parts
+
+    def clear(self):
+        self.parts = []
+
+
+@pytest.mark.parametrize("parts", [1, 32])
+def test_state_of_a_visitor_is_dropped_by_the_clock(monkeypatch, parts):
+    import pandas as pd
+    from pyspark.sql.streaming.stateful_processor import TimerValues
+    monkeypatch.setattr(admission, "_PARTS", parts)
+    p = admission._processor(False, None, 1000)
+    p.init(ListState())
+    p.handleInitialState((0,), pd.DataFrame({"key": [0], "visitor_id": [9]}), TimerValues(0, 0))
+
+    def at(clock, *visitors):
+        rows = pd.DataFrame([(0, f"{v}@{clock}", v, True, clock, 1, True) for v in visitors], columns=["key", "request_id", "visitor_id", "known", "at", "scans", "candidate"])
+        return [r for x in p.handleInputRows((0,), iter([rows]), TimerValues(clock, 0)) for r in x.loc[x["said"] == 1, "request_id"]]
+
+    assert at(500, 1, 9) == ["1@500"]
+    assert at(999, 1, 2, 9) == ["2@999"]
+    assert at(1000, 1, 2, 9) == ["9@1000"]         # the stored one a second after the start
+    assert at(1500, 1, 2, 9) == ["1@1500"]
+    assert at(1999, 1, 2, 9) == ["2@1999"]
+    assert at(9000, 3) == ["3@9000"] and len(p.newest(p.load(), 9000)) == 1
